@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -56,3 +57,12 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BY
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared folder and reread."""
+    spark = df.sparkSession
+    to = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{to.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
