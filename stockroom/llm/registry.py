@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stockroom.llm.bpe import op8_bpe_codec
+from stockroom.llm.packing import op6_best_fit_packing
 from stockroom.llm.secret_scan import op4_secret_scan
 from stockroom.llm.simhash import op2_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_bpe_codec": op8_bpe_codec,
 }
 
 ORACLES: dict[str, str] = {}
