@@ -10,12 +10,14 @@ from stockroom.llm.bpe import op8_bpe_codec
 from stockroom.llm.packing import op6_best_fit_packing
 from stockroom.llm.secret_scan import op4_secret_scan
 from stockroom.llm.simhash import op2_simhash_dedup
+from stockroom.llm.topk import op10_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_bpe_codec": op8_bpe_codec,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLES: dict[str, str] = {}
