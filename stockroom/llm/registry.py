@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stockroom.llm.ann import op7_ann_search
 from stockroom.llm.bpe import op8_bpe_codec
 from stockroom.llm.packing import op6_best_fit_packing
 from stockroom.llm.secret_scan import op4_secret_scan
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_ann_search": op7_ann_search,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_exact_top_k": op10_exact_top_k,
 }
