@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stockroom.llm.ann import op7_ann_search
 from stockroom.llm.bpe import op8_bpe_codec
 from stockroom.llm.packing import op6_best_fit_packing
+from stockroom.llm.quality import op9_quality_rules
 from stockroom.llm.secret_scan import op4_secret_scan
 from stockroom.llm.simhash import op2_simhash_dedup
 from stockroom.llm.topk import op10_exact_top_k
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ann_search": op7_ann_search,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_quality_rules": op9_quality_rules,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
