@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stockroom.llm.ann import op7_ann_search
 from stockroom.llm.bpe import op8_bpe_codec
+from stockroom.llm.langid import op1_language_id
 from stockroom.llm.packing import op6_best_fit_packing
 from stockroom.llm.quality import op9_quality_rules
 from stockroom.llm.secret_scan import op4_secret_scan
@@ -15,6 +16,7 @@ from stockroom.llm.simhash import op2_simhash_dedup
 from stockroom.llm.topk import op10_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
