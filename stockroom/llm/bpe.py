@@ -35,6 +35,8 @@ PIECE_BYTES = 16 << 20
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A blank before another character always starts a new word. A blank before white space may stand inside a run.
 INSIDE_RUN, BEFORE_BLANK = re.compile(r" (?=\s)"), re.compile(r"(?= \S)")
+#: Marks that are a token of their own after letters.
+CLOSING = frozenset(".,!?;:|)")
 
 
 def default_path() -> str:
@@ -68,7 +70,8 @@ class PairIndexBpe:
         keys = self.pair[:, 0] << 32 | self.pair[:, 1]
         order = np.argsort(keys)
         self.keys, self.ranks = np.append(keys[order], -1), np.append(order, 0)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # words after a blank
+        self.firsts: dict[str, bytes] = {}  # words that a text starts with
         self.stops = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -97,10 +100,11 @@ class PairIndexBpe:
         while heap:
             r = heapq.heappop(heap)
             lists = index.pop(r)
-            at = np.unique(np.concatenate(lists)) if len(lists) > 1 or len(lists[0]) > 1 else lists[0]
+            at = np.concatenate(lists) if len(lists) > 1 else lists[0]
             a, b = self.pair[r]
             at = at[(token[at] == a) & (token[after[at]] == b)]
             if a == b and len(at) > 1:  # in a run, every second one from the left
+                at.sort()
                 starts = np.append(True, after[at[:-1]] != at[1:])
                 place = np.arange(len(at))
                 at = at[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0]
@@ -111,7 +115,7 @@ class PairIndexBpe:
             after[at] = beyond = after[gone]
             before[beyond] = at
             left = before[at]
-            left = left[left < n]
+            left = left[(left < n) & (token[left] != self.merged[r])]  # that pair is the other merge's own
             pairs = np.concatenate([left, at[beyond < n]])
             if not len(pairs):
                 continue
@@ -138,25 +142,36 @@ class PairIndexBpe:
         return [blob[s:e] for s, e in zip([0, *stop[:-1]], stop)]
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """The text cut before blanks that start a word; joined, the words give the text."""
+    def words(text: str) -> tuple[str, list[str]]:
+        """The text cut at blanks that start a word: its first word, and the others without their blank."""
         if INSIDE_RUN.search(text):
-            return BEFORE_BLANK.split(text)
+            first, *rest = BEFORE_BLANK.split(text)
+            return first, [w[1:] for w in rest]
         first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+        return first, rest
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes words into the cache."""
+    def learn(self, words: Iterable[str], blank: str, cache: dict[str, bytes]) -> None:
+        """Encodes words, each after `blank`, into the cache."""
         index: dict[str, int] = {}
-        plan = []
+        number = index.setdefault
+        plain, closed, others = [], [], []
         for word in words:
-            parts = (word,) if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) else SPLIT.findall(word)
-            plan.append((word, [index.setdefault(p, len(index)) for p in parts]))
+            if word.isalpha():
+                number(blank + word, len(index))
+                plain.append(word)
+            elif word[-1:] in CLOSING and word[:-1].isalpha():
+                closed.append((word, number(blank + word[:-1], len(index)), number(word[-1], len(index))))
+            else:
+                others.append((word, [number(p, len(index)) for p in SPLIT.findall(blank + word)]))
         if not index:
             return
         ids = self.merge([p.encode() for p in index])
-        for word, parts in plan:
-            self.cache[word] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+        for word in plain:
+            cache[word] = ids[index[blank + word]]
+        for word, core, mark in closed:
+            cache[word] = ids[core] + ids[mark]
+        for word, parts in others:
+            cache[word] = b"".join([ids[p] for p in parts])
 
     def segments(self, text: str) -> list[str | int]:
         """Ordinary text and the ids of special tokens that stand in it, in order."""
@@ -172,18 +187,32 @@ class PairIndexBpe:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         texts = [self.segments(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+        if len(self.cache) + len(self.firsts) > CACHE_WORDS:
+            self.cache, self.firsts = {}, {}
         new: set[str] = set()
+        firsts: set[str] = set()
         for parts in texts:
             for part in parts:
-                if part and isinstance(part, str):
-                    new.update(self.words(part))
-        new.discard("")
-        self.learn(w for w in new if w not in self.cache)
-        self.cache.setdefault("", b"")
+                if isinstance(part, str):
+                    first, rest = self.words(part)
+                    firsts.add(first)
+                    new.update(rest)
+        self.learn(new.difference(self.cache), " ", self.cache)
+        self.learn(firsts.difference(self.firsts), "", self.firsts)
+        self.firsts.setdefault("", b"")
         get = self.cache.__getitem__
-        return [b"".join([b"".join(map(get, self.words(p))) if isinstance(p, str) else p.to_bytes(4, "little") for p in parts]) for parts in texts]
+        out = []
+        for parts in texts:
+            ids = []
+            for part in parts:
+                if isinstance(part, str):
+                    first, rest = self.words(part)
+                    ids.append(self.firsts[first])
+                    ids += map(get, rest)
+                else:
+                    ids.append(part.to_bytes(4, "little"))
+            out.append(b"".join(ids))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Special tokens stay; bytes that are no UTF-8 become the replacement character."""
