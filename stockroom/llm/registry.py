@@ -13,11 +13,13 @@ from stockroom.llm.packing import op6_best_fit_packing
 from stockroom.llm.quality import op9_quality_rules
 from stockroom.llm.secret_scan import op4_secret_scan
 from stockroom.llm.simhash import op2_simhash_dedup
+from stockroom.llm.suffix_dedup import op3_suffix_dedup
 from stockroom.llm.topk import op10_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ann_search": op7_ann_search,
