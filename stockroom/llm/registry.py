@@ -10,6 +10,7 @@ from stockroom.llm.ann import op7_ann_search
 from stockroom.llm.bpe import op8_bpe_codec
 from stockroom.llm.langid import op1_language_id
 from stockroom.llm.packing import op6_best_fit_packing
+from stockroom.llm.pseudo_lm import op5_lm_scoring
 from stockroom.llm.quality import op9_quality_rules
 from stockroom.llm.secret_scan import op4_secret_scan
 from stockroom.llm.simhash import op2_simhash_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ann_search": op7_ann_search,
     "op8_bpe_codec": op8_bpe_codec,
