@@ -135,13 +135,13 @@ def scan_budget(files: DataFrame, each: int, total: int) -> DataFrame:
 
 def latest(history: DataFrame, keep: int = 50) -> DataFrame:
     """The last runs of each artifact."""
-    w = Window.partitionBy("aid").orderBy(F.col("at").desc(), F.col("ordinal").desc())
+    w = Window.partitionBy("aid").orderBy(F.col("done").desc(), F.col("ordinal").desc())
     return history.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).drop("n")
 
 
 def drift(history: DataFrame) -> DataFrame:
     """Changes of result between consecutive runs of an artifact."""
-    w = Window.partitionBy("aid").orderBy("at", "ordinal")
+    w = Window.partitionBy("aid").orderBy("done", "ordinal")
     return history.withColumn("before", F.lag("status").over(w)).where("before is not null and before <> status").select("aid", "ordinal", "before", F.col("status").alias("after"))
 
 
@@ -157,7 +157,7 @@ def distinct_hosts(sessions: DataFrame) -> DataFrame:
 
 def latest_by(runs: DataFrame, *keys: str) -> DataFrame:
     """The latest run of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("ordinal").desc())
+    w = Window.partitionBy(*keys).orderBy(F.col("done").desc(), F.col("ordinal").desc())
     return runs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 

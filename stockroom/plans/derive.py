@@ -38,7 +38,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "states": (
         ("lineitem",),
-        "select l_orderkey as aid, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as path,"
+        "select l_orderkey as aid, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as bigint) as path,"
         " cast(round(l_extendedprice * 100) as bigint) as size,"
         " case when l_returnflag = 'A' then 'verified' when l_returnflag = 'R' then 'handed_off'"
         " when l_linestatus = 'O' then 'missing' else 'partial' end as status from lineitem",

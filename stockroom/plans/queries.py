@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.operators import files, integrity, overlay, transfers, weights
+from stockroom.functions import names
+from stockroom.operators import files, findings, integrity, lineage, overlay, references, transfers, weights
 from stockroom.plans.derive import cte, view
+from stockroom.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,9 +122,9 @@ def f3(spark, sf):
     return files.selected(view(spark, sf, "inventory"), ["/de/*", "0000[0-4]?.txt"]).select("aid", "path", "size")
 
 
-@query("f3_empty_selection", cte("inventory") + " select distinct aid from inventory where aid not in (select aid from inventory where path similar to '.*/0000[0-1][0-9].txt')")
+@query("f3_empty_selection", cte("inventory") + " select distinct aid from inventory where aid not in (select aid from inventory where path similar to '.*/00000[0-9].txt')")
 def f3_empty(spark, sf):
-    return files.empty_selections(view(spark, sf, "inventory"), ["0000[01]?.txt"])
+    return files.empty_selections(view(spark, sf, "inventory"), ["00000?.txt"])
 
 
 @query("f4_selection_totals", cte("inventory") + """, t as (select aid, count(*) as full_files, cast(sum(size) as bigint) as full_bytes, cast(0 as bigint) as full_unknown,
@@ -285,8 +287,8 @@ def a26(spark, sf):
 NOW = "timestamp '1998-08-02 00:00:00'"
 
 
-@query("a28_estimate_age", f"""with o as (select 'catalog' || (o_custkey % 7) as catalog_id, case when o_orderkey % 5 = 0 then null else o_orderdate end as at from orders where o_orderkey % 3 = 0 or o_custkey % 7 = 2)
-  select catalog_id, case when min(at) is null then 'none' when not bool_or(coalesce(at < {NOW} - interval 7 day, false)) then 'fresh' else date_diff('day', min(at), {NOW}) || ' d' end as age from o group by 1""")
+@query("a28_estimate_age", f"""with o as (select 'catalog' || (o_custkey % 7) as catalog_id, case when o_orderkey % 5 = 0 then null else o_orderdate end as as_of from orders where o_orderkey % 3 = 0 or o_custkey % 7 = 2)
+  select catalog_id, case when min(as_of) is null then 'none' when not bool_or(coalesce(as_of < {NOW} - interval 7 day, false)) then 'fresh' else date_diff('day', min(as_of), {NOW}) || ' d' end as age from o group by 1""")
 def a28(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 3 = 0 or o_custkey % 7 = 2")
     at = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("string"))
@@ -447,25 +449,25 @@ def w2(spark, sf):
     return transfers.scan_budget(listing, each=8192, total=60000)
 
 
-HISTORY = "with h as (select o_custkey as aid, o_orderkey as ordinal, o_orderdate as at, case when o_orderstatus = 'F' then 'fail' else 'pass' end as status from orders)"
+HISTORY = "with h as (select o_custkey as aid, o_orderkey as ordinal, o_orderdate as done, case when o_orderstatus = 'F' then 'fail' else 'pass' end as status from orders)"
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    return o.select(F.col("o_custkey").alias("aid"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderstatus") == "F", "fail").otherwise("pass").alias("status"))
+    return o.select(F.col("o_custkey").alias("aid"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderdate").alias("done"), F.when(F.col("o_orderstatus") == "F", "fail").otherwise("pass").alias("status"))
 
 
-@query("w7_history_retention", HISTORY + " select aid, ordinal, at, status from h qualify row_number() over (partition by aid order by at desc, ordinal desc) <= 5")
+@query("w7_history_retention", HISTORY + " select aid, ordinal, done, status from h qualify row_number() over (partition by aid order by done desc, ordinal desc) <= 5")
 def w7(spark, sf):
     return transfers.latest(history(spark, sf), 5)
 
 
-@query("w8_verification_drift", HISTORY + ", d as (select aid, ordinal, lag(status) over (partition by aid order by at, ordinal) as before, status as after from h) select * from d where before <> after")
+@query("w8_verification_drift", HISTORY + ", d as (select aid, ordinal, lag(status) over (partition by aid order by done, ordinal) as before, status as after from h) select * from d where before <> after")
 def w8(spark, sf):
     return transfers.drift(history(spark, sf))
 
 
-@query("a31_latest_run", HISTORY + " select aid, status, at, ordinal from h qualify row_number() over (partition by aid, status order by at desc, ordinal desc) = 1")
+@query("a31_latest_run", HISTORY + " select aid, status, done, ordinal from h qualify row_number() over (partition by aid, status order by done desc, ordinal desc) = 1")
 def a31(spark, sf):
     return transfers.latest_by(history(spark, sf), "aid", "status")
 
@@ -479,3 +481,197 @@ def u6(spark, sf):
 def a21(spark, sf):
     s = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("aid"), F.col("o_orderpriority").alias("host"))
     return transfers.distinct_hosts(s).withColumn("hosts", F.array_join("hosts", ","))
+
+
+# lineage
+
+NAMES = "with n as (select p_partkey, upper(left(p_brand, 1)) || 'x' || (p_partkey % 4) || '.' || (p_partkey % 10) || '-' || p_size || 'B' || case p_partkey % 3 when 0 then '-Instruct' when 1 then '-GGUF' else '' end as name from part)"
+
+
+@query("p3_name_lineage", NAMES + """ select p_partkey, regexp_extract(name, '^([A-Za-z]+)', 1) as family, regexp_extract(name, '^[A-Za-z]+([0-9.]+)', 1) as generation, regexp_extract(name, '-([0-9]+B)', 1) as member,
+  case when name like '%Instruct' then 'instruct' else '' end as variants, case when name like '%GGUF' then 'gguf' else '' end as formats, cast(regexp_extract(name, '-([0-9]+)B', 1) as bigint) * 1000000000 as size_total from n""")
+def p3(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    tail = F.get(F.array(*map(F.lit, ("-Instruct", "-GGUF", ""))), (F.col("p_partkey") % 3).cast("int"))
+    p = p.select("p_partkey", F.concat(F.upper(F.left("p_brand", F.lit(1))), F.lit("x"), F.col("p_partkey") % 4, F.lit("."), F.col("p_partkey") % 10, F.lit("-"), "p_size", F.lit("B"), tail).alias("name"))
+    x = names.with_lineage(p)
+    return x.select("p_partkey", "lineage.family", "lineage.generation", "lineage.member", F.array_join("lineage.variants", ",").alias("variants"), F.array_join("lineage.formats", ",").alias("formats"), F.col("lineage.size_total").cast("long").alias("size_total"))
+
+
+@query("a10_family_tree", """with r as (select 'huggingface:pub' || (p_size % 7) || '/m' || p_partkey as source, 'pub' || (p_size % 7) as publisher, case when p_partkey % 3 = 0 then upper(p_type) else p_type end as family, cast(p_size % 3 as varchar) as generation, p_partkey % 5 <> 0 as provider from part),
+  v as (select lower(family) as key, family, sum(case when provider then 2 else 1 end) as votes from r group by 1, 2), h as (select lower(family) as key, publisher, count(*) as votes from r group by 1, 2), g as (select lower(family) as key, generation, count(*) as members, min(source) as first from r group by 1, 2),
+  bv as (select key, family from v qualify row_number() over (partition by key order by votes desc, family) = 1), bh as (select key, publisher from h qualify row_number() over (partition by key order by votes desc, publisher) = 1)
+  select g.key, g.generation, g.members, g.first, bv.family, bh.publisher from g join bv on g.key = bv.key join bh on g.key = bh.key""")
+def a10(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    pub = F.concat(F.lit("pub"), F.col("p_size") % 7)
+    rows = p.select(F.concat(F.lit("huggingface:"), pub, F.lit("/m"), "p_partkey").alias("source"), pub.alias("publisher"), F.when(F.col("p_partkey") % 3 == 0, F.upper("p_type")).otherwise(F.col("p_type")).alias("family"), (F.col("p_size") % 3).cast("string").alias("generation"), (F.col("p_partkey") % 5 != 0).alias("provider"))
+    return lineage.family_tree(rows)
+
+
+@query("t5_generation_order", "with g as (select distinct (p_size % 12) || '.' || (p_partkey % 15) as generation from part) select generation, cast(row_number() over (order by cast(split_part(generation, '.', 1) as int), cast(split_part(generation, '.', 2) as int)) as int) as place from g")
+def t5(spark, sf):
+    from pyspark.sql.window import Window
+
+    g = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.col("p_size") % 12, F.lit("."), F.col("p_partkey") % 15).alias("generation")).distinct()  # 180 at most
+    return g.select("generation", F.row_number().over(Window.orderBy(lineage.generation_key(F.col("generation")))).alias("place"))
+
+
+@query("a24_descendants", cte("edges") + " select parent, count(*) as children, count(*) filter (relation = 'quantized') as quantized, count(*) filter (relation = 'finetune') as finetune, count(*) filter (relation = 'adapter') as adapter, count(*) filter (relation = 'merge') as merge, cast(0 as bigint) as trained_on from edges group by parent")
+def a24(spark, sf):
+    return lineage.descendants(view(spark, sf, "edges"))
+
+
+@query("g3_ancestor_closure", cte("edges").replace("with ", "with recursive ", 1) + """, up(child, ancestor, depth) as (select child, parent, 1 from edges union all select up.child, e.parent, up.depth + 1 from up join edges e on up.ancestor = e.child where up.depth < 12)
+  select child, ancestor, cast(min(depth) as int) as depth from up group by all""")
+def g3(spark, sf):
+    return lineage.ancestors(view(spark, sf, "edges"), 12)
+
+
+@query("p21_declared_parents", """with m as (select c_custkey as c, 'work' || c_custkey as child from customer), e as (select child, 'base/b' || (c % 50) as parent, case when c % 4 = 0 then 'finetune' end as relation, 'card' as declared_by from m where c % 2 = 0
+  union all select child, 'base/b' || (c % 30), case when c % 3 = 0 then 'quantized' when c % 4 = 0 then 'finetune' end, 'tag' from m where c % 5 = 0 union all select child, 'data/d' || (c % 10), 'trained_on', 'card' from m where c % 7 = 0)
+  select child, parent, coalesce(max(case when declared_by = 'tag' then relation end), arg_min(relation, case when declared_by = 'card' then 0 else 1 end)) as relation, min(declared_by) as declared_by from e group by child, parent""")
+def p21(spark, sf):
+    c = F.col("c_custkey")
+    one = lambda test, prefix, n: F.when(test, F.array(F.concat(F.lit(prefix), c % n))).otherwise(F.array().cast("array<string>"))
+    tag = F.concat(F.lit("base_model:"), F.when(c % 3 == 0, "quantized:").otherwise(""), F.lit("base/b"), c % 30)
+    m = spark.read.parquet(f"{sf}/customer.parquet").select(
+        F.concat(F.lit("work"), c).alias("child"),
+        one(c % 2 == 0, "base/b", 50).alias("card_parents"),
+        F.when(c % 4 == 0, "finetune").alias("card_relation"),
+        F.when(c % 5 == 0, F.array(F.lit("license:mit"), tag)).otherwise(F.array().cast("array<string>")).alias("tags"),
+        one(c % 7 == 0, "data/d", 10).alias("card_datasets"),
+    )
+    return lineage.parents(m)
+
+
+# references in texts
+
+
+def trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of source trees, each with a first line that refers to something."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    k, at = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    name = F.when(at == 0, ".env.sample").when(at == 1, "compose.yaml").when(at == 2, "Dockerfile").when(at == 3, "run.py").otherwise("README.md")
+    line = (
+        F.when(at == 0, F.concat(F.lit("MODEL=own"), F.col("doc_id") % 7, F.lit("/net-"), F.col("doc_id") % 11))
+        .when(at == 1, F.concat(F.lit("    image: reg.example/own:v"), F.col("doc_id") % 9))
+        .when(at == 2, F.concat(F.lit("FROM own/img:"), F.col("doc_id") % 9))
+        .when(at == 3, F.concat(F.lit('NAME = "own'), F.col("doc_id") % 7, F.lit("/net-"), F.col("doc_id") % 11, F.lit('"')))
+        .otherwise(F.concat(F.lit("see https://huggingface.co/own"), F.col("doc_id") % 7, F.lit("/net-"), F.col("doc_id") % 11))
+    )
+    return d.select(F.col("source").alias("tree"), F.concat(k, F.lit("/"), name).alias("path"), F.concat(line, F.lit("\n"), F.lower("text")).alias("text"))
+
+
+@query("x2_line_counts", "with l as (select source as tree, regexp_split_to_array(lower(text), '\\r\\n|[\\n\\r]') as a from documents) select tree, cast(sum(len(a) + 1) as bigint) as lines from l group by tree")
+def x2(spark, sf):
+    return references.lines_of(trees(spark, sf)).groupBy("tree").agg(F.count("*").alias("lines"))
+
+
+@query("x4_declared", """select source as tree, case doc_id % 5 when 0 then 'own' || (doc_id % 7) || '/net-' || (doc_id % 11) when 1 then 'reg.example/own:v' || (doc_id % 9) else 'own/img:' || (doc_id % 9) end as value, count(*) as n from documents where doc_id % 5 < 3 group by all""")
+def x4(spark, sf):
+    mine = F.col("value").rlike(r"^(own|reg\.example/)")  # planted lines; a text's own may start alike
+    return references.declared(references.lines_of(trees(spark, sf))).where(mine).groupBy("tree", "value").agg(F.count("*").alias("n"))
+
+
+FOLDED = """with h as (select source as tree, case when doc_id % 5 in (1, 2) then 'image' else 'hub' end as kind, case doc_id % 5 when 1 then 'reg.example/own:v' || (doc_id % 9) when 2 then 'own/img:' || (doc_id % 9) else 'own' || (doc_id % 7) || '/net-' || (doc_id % 11) end as ref,
+  case when doc_id % 5 < 3 then 1 when doc_id % 5 = 3 then 2 else 3 end as rank from documents), f as (select tree, kind, ref, min(rank) as rank, count(*) as occurrences from h group by all)"""
+
+
+@query("a18_reference_items", FOLDED + " select tree, kind, ref, case rank when 1 then 'declared' when 2 then 'evidence' else 'mentioned' end as tier, occurrences from f")
+def a18(spark, sf):
+    mine = F.col("ref").rlike(r"^(own|reg\.example/)")  # planted lines; prose in the texts may look like a reference too
+    return references.folded(references.hits(trees(spark, sf)).where(mine)).select("tree", "kind", "ref", "tier", "occurrences")
+
+
+@query("j17_a19_primary_work", FOLDED + """, q as (select *, kind = 'hub' and rank < 3 as asked from f), r as (select *, asked and row_number() over (partition by tree, asked order by rank, ref) <= 20 and ref like '%1' as resolved from q)
+  select tree, case when count(*) filter (resolved) = 1 then max(ref) filter (resolved) end as primary, case count(*) filter (resolved) when 1 then 'one' when 0 then 'none resolves' else 'several resolve' end as reason from r group by tree""")
+def a19(spark, sf):
+    items = references.folded(references.hits(trees(spark, sf)).where(F.col("ref").rlike(r"^(own|reg\.example/)")))
+    known = items.where("ref like '%1'").select("ref")
+    return references.primary(references.resolved(items, known))
+
+
+# findings
+
+FOUND = DIFF + """, f as (select 'payload:' || left(sha256('payload' || chr(0) || aid || '/' || path), 10) as id, case when verdict = 'extra' then 'warning' else 'critical' end as severity, aid || '/' || path as path, verdict as summary from diff where verdict is not null)"""
+
+
+def found(spark: SparkSession, sf: str) -> DataFrame:
+    return findings.from_diff(integrity.integrity_diff(view(spark, sf, "inventory"), view(spark, sf, "observed")))
+
+
+@query("q3_payload_findings", FOUND + " select id, 'payload' as check_id, severity, path, summary from f")
+def q3(spark, sf):
+    return found(spark, sf)
+
+
+@query("a20_finding_report", FOUND + """ select cast(0 as bigint) as info, count(*) filter (severity = 'warning') as warning, count(*) filter (severity = 'critical') as critical, count(*) as findings,
+  case when count(*) filter (severity = 'critical') > 0 then 'degraded' when count(*) > 0 then 'partial' else 'healthy' end as status from f""")
+def a20(spark, sf):
+    return findings.report(found(spark, sf))
+
+
+@query("u5_findings_diff", FOUND + """, b as (select distinct id from f where length(path) % 3 <> 0), a as (select distinct id from f where length(path) % 3 <> 1) select coalesce(a.id, b.id) as id, case when b.id is null then 'new' when a.id is null then 'resolved' else 'persisting' end as state from b full join a on a.id = b.id""")
+def u5(spark, sf):
+    x = found(spark, sf)
+    return findings.difference(x.where("length(path) % 3 <> 0"), x.where("length(path) % 3 <> 1"))
+
+
+@query("f8_finding_selection", FOUND + " select id, severity from f where severity = 'critical'")
+def f8(spark, sf):
+    return findings.selected(found(spark, sf), only=["payload"], skip=["other"], least="critical").select("id", "severity")
+
+
+@query("p17_redaction", "select doc_id, sha256(regexp_replace(text, '(?i)(token|password|secret|api[_-]?key)(\\s*[:=]\\s*)([^\\s,;]+)', '\\1\\2[redacted]', 'g')) as redacted from documents")
+def p17(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2(findings.redacted(F.col("text")), 256).alias("redacted"))
+
+
+# transfers over time
+
+STREAM = cte("stream") + ", o as (select *, case when kind in ('network', 'local') then bytes else 0 end as moved from stream)"
+
+
+@query("st1_done_bytes", STREAM + ", d as (select event_id, aid, sum(moved) over (partition by aid order by ts, event_id rows unbounded preceding) as s from o) select event_id, aid, cast(least(s, 1000000) as bigint) as done from d")
+def st1(spark, sf):
+    e = view(spark, sf, "stream")
+    return telemetry.batch_done(e, e.select("aid").distinct().withColumn("total", F.lit(1000000)))
+
+
+@query("st2_window_rate", STREAM + """, c as (select *, sum(moved) over (partition by aid order by ts, event_id rows unbounded preceding) as s from o), r as (select event_id, aid, max(ts) over w - min(ts) over w as span, max(s) over w - min(s) over w as m from c window w as (partition by aid order by ts range between 36000 preceding and current row))
+  select event_id, aid, case when span > 0 then cast(m // span as bigint) end as rate from r""")
+def st2(spark, sf):
+    return telemetry.batch_rate(view(spark, sf, "stream"), 36000)
+
+
+@query("st7_retries", STREAM + ", i as (select *, sum(case when kind in ('network', 'local') then 1 else 0 end) over (partition by aid order by ts, event_id rows unbounded preceding) as island from o) select event_id, aid, cast(sum(case when kind = 'retry' then 1 else 0 end) over (partition by aid, island order by ts, event_id rows unbounded preceding) as bigint) as retries from i")
+def st7(spark, sf):
+    return telemetry.batch_retries(view(spark, sf, "stream"))
+
+
+@query("st8_outages", STREAM + """, x as (select *, case when kind = 'retry' then 0 else 1 end as m from o where kind in ('retry', 'network', 'local')), i as (select *, coalesce(sum(m) over (partition by aid order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as island from x)
+  select aid, min(ts) filter (m = 0) as started, max(ts) filter (m = 1) as ended, max(ts) filter (m = 1) - min(ts) filter (m = 0) as seconds, count(*) filter (m = 0) as attempts from i group by aid, island having count(*) filter (m = 0) > 0""")
+def st8(spark, sf):
+    return telemetry.batch_outages(view(spark, sf, "stream"))
+
+
+@query("st6_stalls", STREAM + ", l as (select aid, ts, lag(ts) over (partition by aid order by ts, event_id) as before from o where kind in ('network', 'local')) select aid, before as quiet_from, ts as quiet_to from l where ts - before >= 86400")
+def st6(spark, sf):
+    return telemetry.batch_stalls(view(spark, sf, "stream"), 86400)
+
+
+@query("st10_budget_alerts", STREAM + ", u as (select aid, ts, event_id, cast(sum(case when kind = 'network' then bytes else 0 end) over (partition by aid order by ts, event_id rows unbounded preceding) as bigint) as used from o) select aid, ts, event_id, used from u where used >= 50000 qualify row_number() over (partition by aid order by ts, event_id) = 1")
+def st10(spark, sf):
+    return telemetry.batch_budget_alerts(view(spark, sf, "stream"), 50000)
+
+
+@query("st3_smoothed_rate")
+def st3(spark, sf):
+    return telemetry.batch_ema(view(spark, sf, "stream"), seconds=36000)
+
+
+@query("st4_rollup", STREAM + ", h as (select aid, (ts // 3600) * 3600 as start, moved, kind from o) select aid, start, cast(sum(moved) as bigint) as bytes, count(*) as events, count(*) filter (kind = 'retry') as retries from h group by aid, start")
+def st4(spark, sf):
+    e = view(spark, sf, "stream").withColumn("at", F.timestamp_seconds("ts"))
+    return telemetry.rollup(e, "1 hour").select("aid", F.unix_timestamp("start").alias("start"), "bytes", "events", "retries")
