@@ -176,3 +176,47 @@ def hints(gated: Column, total: Column, quantized: Column, expected: Column, wei
     subset = (F.size(include_key(include)) > 0) & policy.isNull()
     named = {"gated": gated, "large": large, "quant": quantized, "redundant": redundant, "subset": subset}
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in named.items())))
+
+
+def board_entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """Board rows (row, source, revision, include) with the first entry (k) of the same source, revision and selection."""
+    keyed = lambda df: df.withColumns(dict(zip(("__a", "__b", "__c"), entry_key())))
+    first = keyed(entries).groupBy("__a", "__b", "__c").agg(F.min("k").alias("k"))
+    return keyed(rows).join(first, ["__a", "__b", "__c"], "left").select("row", "k")
+
+
+def resumable(requests: DataFrame, partials: DataFrame) -> DataFrame:
+    """Transfers under way that serve a request (request, source, revision); more than one is ambiguous and listed."""
+    r = requests.select("request", F.col("source").alias("r_source"), F.col("revision").alias("r_revision"))
+    same = (F.col("r_source") == F.col("source")) & (F.col("r_revision").isNull() | (F.col("r_revision") == F.col("revision")) | (F.col("r_revision") == F.col("ref")))
+    found = r.join(partials, same, "left").groupBy("request").agg(F.count("path").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+    return found.select("request", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "resume").otherwise("ambiguous").alias("outcome"), "paths")
+
+
+def scope_fit(requests: DataFrame, pins: DataFrame) -> DataFrame:
+    """Whether a request's selection fits the pin that exists (aid, include, policy): equal ones do, and a pin that a
+    policy selected fits a request without one."""
+    r = requests.select("request", "aid", include_key(F.col("include")).alias("want"))
+    x = r.join(pins.select("aid", include_key(F.col("include")).alias("have"), "policy", F.lit(True).alias("pinned")), "aid", "left")
+    outcome = F.when(F.col("pinned").isNull(), "new").when(F.col("want") == F.col("have"), "same").when((F.size("want") == 0) & F.col("policy"), "policy").otherwise("other selection")
+    return x.select("request", outcome.alias("outcome"))
+
+
+def reusable(pending: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Bytes of each pending pin that verified files of sibling bundles (same source and type) already hold, by digest."""
+    have = inventory.where("verified").select("source", "artifact_type", "sha256", F.col("aid").alias("holder")).distinct()
+    key = ["source", "artifact_type", "sha256"]
+    hit = pending.join(have, key).where(F.col("holder") != F.col("aid")).groupBy("aid", "path").agg(F.max("size").alias("size"), F.min("holder").alias("holder"))
+    return hit.groupBy("aid").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def priced(primary: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Each tree's primary work with whether it is held, its files, bytes and unknown sizes."""
+    totals = inventory.groupBy(F.col("source").alias("primary")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if(F.col("size").isNull()).alias("unknown_sizes"))
+    return primary.join(totals, "primary", "left").select("tree", "primary", F.col("files").isNotNull().alias("held"), "files", "bytes", "unknown_sizes")
+
+
+def top_variants(variants: DataFrame, most: int = 10) -> DataFrame:
+    """Variants of each parent by downloads, ties by name."""
+    w = Window.partitionBy("parent").orderBy(F.col("downloads").desc(), "child")
+    return variants.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
