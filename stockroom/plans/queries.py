@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.functions import names
-from stockroom.operators import files, findings, integrity, lineage, overlay, references, transfers, weights
+from stockroom.operators import classify, enrich, files, findings, integrity, lineage, overlay, references, rules, transfers, weights
 from stockroom.plans.derive import cte, view
 from stockroom.streaming import telemetry
 
@@ -675,3 +677,213 @@ def st3(spark, sf):
 def st4(spark, sf):
     e = view(spark, sf, "stream").withColumn("at", F.timestamp_seconds("ts"))
     return telemetry.rollup(e, "1 hour").select("aid", F.unix_timestamp("start").alias("start"), "bytes", "events", "retries")
+
+
+# rules and facts
+
+
+RULES = (("en", "first", "*00001*", True, 0), ("en", "tens", "/en/0000?0.txt", False, 1), ("fr", "any", "*.txt", True, 0), ("de", "none", "*.gguf", True, 0))
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RULES), "artifact_type string, label string, glob string, required boolean, ordinal int")
+
+
+def typed(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "inventory").withColumn("artifact_type", F.substring_index("path", "/", 1))
+
+
+TYPED = cte("inventory") + """, i as (select *, split_part(path, '/', 1) as artifact_type from inventory), r(artifact_type, label, pattern, required) as (values ('en', 'first', '.*00001.*', true), ('en', 'tens', 'en/0000.0[.]txt', false), ('fr', 'any', '.*[.]txt', true), ('de', 'none', '.*[.]gguf', true)),
+  h as (select i.aid || i.artifact_type as aid, r.label, i.path from i join r on i.artifact_type = r.artifact_type and regexp_full_match(i.path, r.pattern)),
+  w as (select distinct i.aid || i.artifact_type as aid, r.label, r.required from i left join r on i.artifact_type = r.artifact_type)"""
+
+
+@query("f11_completeness", TYPED + """, p as (select w.aid, w.label, w.required, exists (select 1 from h where h.aid = w.aid and h.label = w.label) as present from w), s as (select aid, case when bool_and(label is null) then 'unknown' when bool_or(required and not present) then 'incomplete' else 'complete' end as status from p group by aid)
+  select p.aid, p.label, p.required, p.present, s.status from p join s on p.aid = s.aid""")
+def f11(spark, sf):
+    rows = typed(spark, sf).withColumn("aid", F.concat("aid", "artifact_type"))
+    return rules.completeness(rows, rule_table(spark)).drop("files")
+
+
+@query("f13_declarations", TYPED + " select aid, label, count(distinct path) as files from h group by aid, label")
+def f13(spark, sf):
+    rows = typed(spark, sf).withColumn("aid", F.concat("aid", "artifact_type"))
+    return rules.declarations(rows, rule_table(spark)).drop("paths")
+
+
+@query("f10_lfs_routing", cte("inventory") + """, a as (select source as aid, lang as dir, '*' || (doc_id % 10) || '.txt' as pattern from documents where doc_id % 50 = 0) select distinct i.aid, i.path from inventory i join a on i.aid = a.aid and i.path like a.dir || '/%' and i.path like replace('%' || a.pattern, '*', '%')""")
+def f10(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 50 = 0")
+    lines = d.select(F.col("source").alias("aid"), F.col("lang").alias("dir"), F.concat(F.lit("*"), F.col("doc_id") % 10, F.lit(".txt")).alias("pattern"))
+    return rules.lfs_routed(view(spark, sf, "inventory").select("aid", "path"), lines)
+
+
+@query("f9_changed_since", "select o_custkey as aid, max(o_orderdate) as newest from orders group by 1 having max(o_orderdate) >= timestamp '1998-01-01'")
+def f9(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("aid"), F.col("o_orderdate").alias("modified"))
+    return rules.changed_since(o, F.expr("timestamp '1998-01-01'"))
+
+
+@query("f19_runnable", cte("inventory") + """, m as (select aid, cast(sum(size) as bigint) as need from inventory group by aid), c as (select 'm' || n_nationkey as machine, n_nationkey * 20000 as ram_bytes from nation)
+  select aid, machine, case when ram_bytes < need then 'error' when ram_bytes < need * 1.3 then 'warning' else 'ok' end as verdict from m, c""")
+def f19(spark, sf):
+    need = view(spark, sf, "inventory").groupBy("aid").agg(F.sum("size").alias("need"))
+    machines = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("m"), "n_nationkey").alias("machine"), (F.col("n_nationkey") * 20000).alias("ram_bytes"))
+    return rules.runnable(need, machines)
+
+
+@query("f21_weights_choice", GROUPS + """ select aid, case when bool_or(not complete) then 'refused' when count(*) filter (complete) = 1 then 'chosen' when count(*) filter (complete) = 0 then 'none' else 'ambiguous' end as outcome,
+  case when count(*) filter (complete) = 1 and not bool_or(not complete) then max(variant) filter (complete) end as chosen from g group by aid""")
+def f21(spark, sf):
+    return rules.weights_choice(weights.gguf_groups(view(spark, sf, "shards"))).drop("candidates")
+
+
+@query("p6_bytes_per_parameter", "select p_partkey, case when p_size > 0 and p_partkey % 5 > 0 then cast(round_even(p_size * 1.0 / (p_partkey % 5), 3) * 1000 as bigint) end as milli from part")
+def p6(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select("p_partkey", F.round(weights.bytes_per_parameter(F.col("p_size"), F.col("p_partkey") % 5) * 1000).cast("long").alias("milli"))
+
+
+@query("p8_context_price", """select p_partkey, s_suppkey * 1000 as tokens, cast(((p_size % 5) * s_suppkey * 1000 + (p_size % 3) * least(s_suppkey * 1000, 4096)) * 8 * 128 * 2 * 2 as bigint) as bytes from part, supplier where s_suppkey <= 4""")
+def p8(spark, sf):
+    contexts = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey <= 4").select((F.col("s_suppkey") * 1000).alias("tokens"))
+    p = spark.read.parquet(f"{sf}/part.parquet").join(F.broadcast(contexts))  # four contexts at most
+    price = weights.context_bytes(F.col("p_size") % 5, F.col("p_size") % 3, F.lit(4096), F.lit(8), F.lit(128), F.lit(2), F.lit(2), F.col("tokens"))
+    return p.select("p_partkey", "tokens", price.cast("long").alias("bytes"))
+
+
+@query("p10_hints", """select p_partkey, concat_ws(',', case when p_size % 7 = 0 then 'gated' end, case when cast(p_size as bigint) * 1000000000 >= 21474836480 then 'large' end, case when p_size % 3 = 0 then 'quant' end, case when p_size * 100 >= 1.75 * p_partkey then 'redundant' end, case when p_size % 4 = 0 and p_size % 5 <> 0 then 'subset' end) as hints from part""")
+def p10(spark, sf):
+    s, n = F.col("p_size"), F.col("p_size").cast("long")
+    include = F.when(s % 4 == 0, F.array(F.lit("*.x")))
+    policy = F.when(s % 5 == 0, "weights")
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.array_join(overlay.hints(s % 7 == 0, n * 1000000000, s % 3 == 0, F.col("p_partkey"), n * 100, include, policy), ",").alias("hints"))
+
+
+@query("p22_p23_tags", """select p_partkey, case when p_size % 3 = 0 then 'lic' || p_size end as license, concat_ws(',', case when p_size % 2 = 0 then 'safetensors' end, case when p_size % 5 = 0 then 'gguf' end, case when p_size % 7 = 0 then 'awq' end) as formats from part""")
+def p22(spark, sf):
+    s = F.col("p_size")
+    tags = F.array_compact(F.array(F.when(s % 2 == 0, F.lit("Safetensors")), F.when(s % 3 == 0, F.concat(F.lit("license:lic"), s)), F.when(s % 5 == 0, F.lit("gguf"))))
+    name = F.when(s % 7 == 0, "x-AWQ").otherwise("x")
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", enrich.license_of(tags).alias("license"), F.array_join(enrich.format_labels(tags, name), ",").alias("formats"))
+
+
+@query("p35_access", "select p_partkey, case p_size % 4 when 0 then 'open' when 1 then 'gated' when 2 then 'manual' else 'open' end as access from part")
+def p35(spark, sf):
+    s = F.col("p_size") % 4
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", enrich.access(F.when(s == 0, "false").when(s == 1, "True").when(s == 2, "Manual")).alias("access"))
+
+
+@query("p27_phase", "select l_orderkey, l_linenumber, case when l_partkey % 11 = 0 then 'offline' when l_partkey % 7 = 0 then 'retrying' when l_partkey % 5 = 0 then 'verifying' when l_partkey % 3 = 0 then 'stalled' when l_partkey % 2 = 0 then 'starting' else 'downloading' end as phase, count(*) as n from lineitem group by all")
+def p27(spark, sf):
+    at = lambda n: F.col("l_partkey") % n == 0
+    x = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("phase", enrich.phase(at(11), at(7), at(5), at(3), ~at(2)))
+    return x.groupBy("l_orderkey", "l_linenumber", "phase").agg(F.count("*").alias("n"))
+
+
+@query("p34_holdings", """with c as (select l_orderkey as aid, count(*) as files, count(*) filter (l_returnflag <> 'N' or l_linestatus = 'F') as done from lineitem group by 1) select aid, 'partial' as status, cast(done * 100 // files as bigint) as percent from c
+  union all select o_orderkey + 10000000, 'registered', 100 from orders""")
+def p34(spark, sf):
+    plans = transfers.transfer_plan(view(spark, sf, "states").withColumn("partial", F.expr("size div 2")))
+    registered = spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_orderkey") + 10000000).alias("aid"), F.col("o_orderkey").alias("payload_bytes"))
+    return enrich.holdings(registered, plans).select("aid", "status", "percent")
+
+
+@query("p38_relocated", """with h as (select o_custkey as aid, o_orderkey as ordinal, o_orderdate as done, o_orderpriority as location, case when o_orderkey % 10 = 0 then '' else 'h' || (o_orderkey % 2) end as h from orders), l as (select *, lag(location) over w as was, lag(h) over w as had, row_number() over w as r from h window w as (partition by aid order by done, ordinal))
+  select aid, ordinal, was as relocated_from from l where r > 1 and (was <> location or h <> had or h = '')""")
+def p38(spark, sf):
+    k = F.col("o_orderkey")
+    host = F.when(k % 10 == 0, "").otherwise(F.concat(F.when(k % 3 == 0, "H").otherwise("h"), k % 2, F.when(k % 4 == 0, ".lan").otherwise("")))
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return enrich.relocated(o.select(F.col("o_custkey").alias("aid"), k.alias("ordinal"), F.col("o_orderdate").alias("done"), F.col("o_orderpriority").alias("location"), host.alias("host")))
+
+
+@query("a25_replicas", """with c as (select o_custkey as aid, o_orderpriority as location, o_orderdate as done from orders where o_orderpriority <> '1-URGENT'), a as (select distinct o_custkey as aid from orders), l as (select aid, location, max(done) as latest from c group by 1, 2), n as (select aid, count(*) as copies, max(latest) as latest from l group by 1)
+  select a.aid, coalesce(copies, 0) as copies, latest, case when copies > 0 then 'replicated' else 'single' end as backup_status from a left join n on a.aid = n.aid""")
+def a25(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return enrich.replicas(o.select(F.col("o_custkey").alias("aid"), F.col("o_orderpriority").alias("location"), F.lit("1-URGENT").alias("own_location"), F.col("o_orderdate").alias("at")))
+
+
+@query("j7_board_entries", cte("entries") + " select e.k as row, m.k from entries e left join (select source, coalesce(revision, '') as r, min(k) as k from entries where k % 3 <> 0 group by all) m on e.source = m.source and coalesce(e.revision, '') = m.r")
+def j7(spark, sf):
+    e = view(spark, sf, "entries").withColumn("include", F.lit(None).cast("array<string>"))
+    return overlay.board_entries(e.withColumnRenamed("k", "row"), e.where("k % 3 <> 0"))
+
+
+@query("j20_resumable", cte("entries", "holdings") + """ select e.k as request, case count(h.o_orderkey) when 0 then 'none' when 1 then 'resume' else 'ambiguous' end as outcome from entries e left join (select * from holdings where part) h on e.source = h.source and (e.revision is null or e.revision = h.revision) group by e.k""")
+def j20(spark, sf):
+    partial = view(spark, sf, "holdings").where("part").select("source", "revision", F.lit("main").alias("ref"), F.col("o_orderkey").cast("string").alias("path"))
+    return overlay.resumable(view(spark, sf, "entries").select(F.col("k").alias("request"), "source", "revision"), partial).drop("paths")
+
+
+@query("j22_scope_fit", """select o_orderkey as request, case when o_orderkey % 4 = 0 then 'new' when o_orderkey % 3 = 0 then 'same' when o_orderkey % 2 = 0 and o_custkey % 2 = 0 then 'policy' else 'other selection' end as outcome from orders""")
+def j22(spark, sf):
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    none, star = F.array().cast("array<string>"), F.array(F.lit("b"), F.lit("a"))
+    wanted = F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).when(k % 2 == 0, none).otherwise(F.array(F.lit("z")))
+    pins = o.where("o_orderkey % 4 <> 0").select(k.alias("aid"), star.alias("include"), (F.col("o_custkey") % 2 == 0).alias("policy"))
+    return overlay.scope_fit(o.select(k.alias("request"), k.alias("aid"), wanted.alias("include")), pins)
+
+
+@query("j10_reusable", """with i as (select doc_id, source as aid, lang as src, sha256(text) as s, strlen(text) as size from documents), p as (select * from i where doc_id % 2 = 0), h as (select distinct src, s, aid from i where doc_id % 3 <> 0)
+  select aid, count(*) as files, cast(sum(size) as bigint) as bytes from (select distinct p.doc_id, p.aid, p.size from p join h on p.src = h.src and p.s = h.s and p.aid <> h.aid) group by aid""")
+def j10(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    i = d.select("doc_id", F.col("source").alias("aid"), F.col("lang").alias("source"), F.lit("t").alias("artifact_type"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("size"), F.col("doc_id").cast("string").alias("path"))
+    return overlay.reusable(i.where("doc_id % 2 = 0"), i.withColumn("verified", F.col("doc_id") % 3 != 0))
+
+
+@query("t7_top_variants", "select p_brand as parent, p_partkey as child, cast(p_size as bigint) as downloads from part qualify row_number() over (partition by p_brand order by p_size desc, p_partkey) <= 10")
+def t7(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("parent"), F.col("p_partkey").alias("child"), F.col("p_size").cast("long").alias("downloads"))
+    return overlay.top_variants(p).drop("n")
+
+
+@query("j9_base_identity", """with f as (select source as aid, lang as set, sha256(text) as s from documents), b as (select distinct sha256(text) as s from documents where doc_id % 10 <> 7)
+  select f.aid, 'indexed' as kind, f.set, bool_and(b.s is not null) as base_identical from f left join b on f.s = b.s group by f.aid, f.set""")
+def j9(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    s = F.sha2("text", 256).alias("sha256")
+    sets = d.select(F.col("source").alias("aid"), F.lit("indexed").alias("kind"), F.col("lang").alias("set"), F.lit("base").alias("base"), s)
+    return classify.base_identical(sets, d.where("doc_id % 10 <> 7").select(F.lit("base").alias("aid"), s))
+
+
+@query("a12_verdict_totals", """with v as (select p_brand as aid, cast(p_size as bigint) as bytes, case p_size % 4 when 0 then 'negative' when 1 then 'print' when 2 then 'unknown' else 'support' end as verdict, p_size % 4 = 1 and p_partkey % 2 = 0 as skip from part)
+  select aid, count(*) filter (verdict = 'negative') as negative_sets, count(*) filter (verdict = 'print') as print_sets, count(*) filter (verdict = 'unknown') as unknown_sets, count(*) filter (verdict = 'support') as support_sets,
+  cast(coalesce(sum(bytes) filter (verdict = 'negative'), 0) as bigint) as negative_bytes, cast(coalesce(sum(bytes) filter (verdict = 'print'), 0) as bigint) as print_bytes, cast(coalesce(sum(bytes) filter (verdict = 'unknown'), 0) as bigint) as unknown_bytes, cast(coalesce(sum(bytes) filter (verdict = 'support'), 0) as bigint) as support_bytes,
+  cast(coalesce(sum(bytes) filter (not skip), 0) as bigint) as kept_bytes, cast(coalesce(sum(bytes) filter (skip), 0) as bigint) as skipped_bytes from v group by aid""")
+def a12(spark, sf):
+    s = F.col("p_size")
+    verdict = F.when(s % 4 == 0, "negative").when(s % 4 == 1, "print").when(s % 4 == 2, "unknown").otherwise("support")
+    v = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("aid"), s.cast("long").alias("bytes"), verdict.alias("verdict"), ((s % 4 == 1) & (F.col("p_partkey") % 2 == 0)).alias("skip"))
+    return classify.verdict_totals(v)
+
+
+@query("k12_keep_list", """with f as (select source as aid, lang || doc_id || case when doc_id % 3 = 0 then '.bin' else '.md' end as path, doc_id % 3 = 0 and source <> 'src1' as skip from documents union all select source, 'extra.bin', false from documents where source in ('src2', 'src3') group by source),
+  g as (select aid, bool_or(skip) as has_skip, bool_or(not skip) as has_rest, max(case when path like '%.bin' and not skip then 1 else 0 end) as kept_bin from f group by aid)
+  select g.aid, case when not has_skip or not has_rest then '/*' when kept_bin = 0 then '*.md' else (select string_agg(distinct '/' || path, ',' order by '/' || path) from f where f.aid = g.aid and not f.skip) end as include from g""")
+def k12(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    bin_ = F.col("doc_id") % 3 == 0
+    f = d.select(F.col("source").alias("aid"), F.concat("lang", "doc_id", F.when(bin_, ".bin").otherwise(".md")).alias("path"), (bin_ & (F.col("source") != "src1")).alias("skip"))
+    extra = d.where("source in ('src2', 'src3')").select(F.col("source").alias("aid"), F.lit("extra.bin").alias("path"), F.lit(False).alias("skip")).distinct()
+    return classify.keep_list(f.union(extra)).select("aid", F.array_join("include", ",").alias("include"))
+
+
+@query("q4_hash_list", cte("inventory") + ", o as (select aid, doc_id, case when doc_id % 97 = 0 then sha256(sha256) else sha256 end as s, sha256, path from inventory) select aid, string_agg(sha256 || path, '' order by path) = string_agg(s || path, '' order by path) as agrees from o group by aid")
+def q4(spark, sf):
+    inventory = view(spark, sf, "inventory")
+    other = inventory.withColumn("sha256", F.when(F.col("doc_id") % 97 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    stored = integrity.artifact_hash(other).withColumnRenamed("artifact_sha256", "stored")
+    return integrity.artifact_hash(inventory).join(stored, "aid").select("aid", (F.col("artifact_sha256") == F.col("stored")).alias("agrees"))
+
+
+@query("st_live_rollup", STREAM + ", h as (select aid, (ts // 3600) * 3600 as start, moved, kind, ts from o), m as (select max(ts) as top from o) select aid, start, cast(sum(moved) as bigint) as bytes, count(*) as events, count(*) filter (kind = 'retry') as retries from h, m where start + 3600 <= top - 31 group by aid, start")
+def st_live(spark, sf):
+    """The hourly roll-up as a stream that is drained; windows that the watermark hasn't passed stay open."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    live = telemetry.rollup(telemetry.event_stream(spark, f"{sf}/events.parquet"), "1 hour")
+    out = telemetry.drained(live, f"{folder.rstrip('/')}/live-{uuid.uuid4().hex}")
+    return out.select("aid", F.unix_timestamp("start").alias("start"), "bytes", "events", "retries")

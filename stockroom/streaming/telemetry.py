@@ -162,7 +162,8 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream of the events table as transfer events."""
+    """A file stream of the events table, one file or a folder, as transfer events."""
+    path = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file, a plain path must be a folder
     raw = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(path)
     kind = F.create_map(*(F.lit(x) for kv in {"purchase": "network", "click": "local", "view": "hash", "error": "retry"}.items() for x in kv))
     return raw.select("event_id", F.col("user_id").alias("aid"), F.col("ts").alias("at"), F.coalesce(kind[F.col("event_type")], F.lit("online")).alias("kind"), F.round(F.col("value") * 1000).cast("long").alias("bytes"))
