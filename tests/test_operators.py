@@ -112,6 +112,13 @@ def test_docstrings_and_stages(spark):
     assert not {r for r, _ in found} & {"own/net-2", "own/net-9", "build", "scratch"}
 
 
+def test_front_matter(spark):
+    text = "---\ntitle: x\nmodels:\n  - own/a\n  - 'own/b'\ndatasets: [own/c, own/d]\ntags:\n  - own/no\n---\nmodels:\n- own/late"
+    rows = spark.createDataFrame([("t", "README.md", text), ("t", "x/README.md", "models:\n- own/z")], "tree string, path string, text string")
+    found = references.front_matter(references.prose_marks(references.lines_of(rows))).collect()
+    assert {r["ref"] for r in found} == {"own/a", "own/b", "datasets/own/c", "datasets/own/d"}
+
+
 def test_git_blob_and_upstream(spark):
     frame = spark.createDataFrame([(bytearray(b"hello\n"),)], "content binary")
     assert frame.select(integrity.git_blob_id(F.col("content"))).first()[0] == "ce013625030ba8dba906f756967f9e9ca394464a"
