@@ -175,3 +175,23 @@ def test_header_sources(spark):
     assert [(r["tensor"], r["dtype"], r["shape"]) for r in got if r["error"] is None] == [("t", "F16", [2, 3])] and sum(r["error"] is not None for r in got) == 1
     got = headers.key_values(spark, [str(root / "good.gguf"), str(root / "bad.gguf")]).collect()
     assert {r["key"]: r["value"] for r in got if r["error"] is None} == {"general.name": "own", "n": "7", "list": "array(5, 2)"} and sum(r["error"] is not None for r in got) == 1
+
+
+def test_records(spark):
+    from stockroom.operators import records
+
+    expected = spark.createDataFrame([("a", "p", 1), ("a", "q", 2), ("b", "p", 3)], "aid string, path string, size long")
+    states = spark.createDataFrame([("a", "p", "verified", "1", True), ("a", "q", "verified", "2", None), ("b", "p", "partial", None, None)], "aid string, path string, status string, sha256 string, upstream_ok boolean")
+    done, refused = records.completed_records(expected, states)
+    assert {(r["path"], r["verified_against_upstream"]) for r in done.collect()} == {("p", True), ("q", None)} and [r["aid"] for r in refused.collect()] == ["b"]
+    digest = records.estimate_digest(spark.createDataFrame([(1, 5, ["x", "", "x"])], "k long, total_bytes long, parents array<string>"), "k").first()["estimate"]
+    assert digest["total_bytes"] == 5 and digest["parents"] == ["x"] and digest["license"] is None and tuple(digest.asDict()) == records.ESTIMATE
+    identity = spark.createDataFrame([("a", "n", "f" * 40, "model", "h:o/n")], "aid string, bundle_name string, revision string, artifact_type string, canonical string")
+    hashes = spark.createDataFrame([("a", "h")], "aid string, artifact_sha256 string")
+    lineage_ = spark.createDataFrame([("a", "p", "merge", "card")], "child string, parent string, relation string, declared_by string")
+    flags = spark.createDataFrame([("b", "mit")], "aid string, license string")
+    state = spark.createDataFrame([("a", "complete")], "aid string, status string")
+    row = records.bundle_records(identity, done, hashes, lineage_, flags, state).first()
+    assert row["bundle_id"] == "n@" + "f" * 12 and row["inventory"]["total_bytes"] == 3 and row["licensing"] is None and row["validation"]["status"] == "complete" and row["parents"][0]["parent"] == "p"
+    items = spark.createDataFrame([("t", "hub", "b", "declared", False), ("t", "hub", "a", "declared", True), ("t", "hub", "c", "declared", None), ("t", "image", "d", "mentioned", None)], "tree string, kind string, ref string, tier string, resolved boolean")
+    assert [r["ref"] for r in items.orderBy(*records.reference_order()).collect()] == ["a", "c", "b", "d"]
