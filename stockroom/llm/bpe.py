@@ -4,7 +4,7 @@ A task cuts its texts into words at blanks, keeps the distinct ones it has not m
 an index maps each adjacent pair with a rank to all its positions, active ranks are applied in ascending order,
 and each merge updates the lists of the pairs beside it. Ids of a text are then joined from its words'.
 
-Scale: a narrow map over whole texts, no shuffle. A task holds about 16 MB of text and a cache of at most
+Scale: a narrow map over whole texts, no shuffle. A task holds about 8 MB of text and a cache of at most
 `CACHE_WORDS` words; nothing is broadcast but the tokenizer's path.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; special tokens that stand in a text
@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 
 from stockroom.llm import common
 
-CACHE_WORDS = 400_000
-PIECE_BYTES = 16 << 20
+CACHE_WORDS = 250_000
+PIECE_BYTES = 8 << 20
+#: Positions of a pair that are merged one by one and not as arrays.
+FEW = 16
 
 #: How this kind of vocabulary splits a text before merging. Fixed value.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -70,13 +72,14 @@ class PairIndexBpe:
         keys = self.pair[:, 0] << 32 | self.pair[:, 1]
         order = np.argsort(keys)
         self.keys, self.ranks = np.append(keys[order], -1), np.append(order, 0)
+        self.rank_by_key = dict(zip(keys.tolist(), range(len(keys))))
         self.cache: dict[str, bytes] = {}  # words after a blank
         self.firsts: dict[str, bytes] = {}  # words that a text starts with
         self.stops = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys[:-1], keys)
         return np.where(self.keys[at] == keys, self.ranks[at], -1)
 
@@ -84,24 +87,48 @@ class PairIndexBpe:
         """Each word's ids as little-endian 32-bit integers."""
         n = sum(map(len, words))
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        token = np.append(self.byte_id[np.frombuffer(b"".join(words), np.uint8)], -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        token = np.append(self.byte_id[np.frombuffer(b"".join(words), np.uint8)], -1).astype(np.int32)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[np.append(0, ends[:-1])] = n
         before[n] = after[n] = n
-        at = np.flatnonzero(after[:n] < n)
+        at = np.flatnonzero(after[:n] < n).astype(np.int32)
         rank = self.rank_of(token[at], token[at + 1])
         at, rank = at[rank >= 0], rank[rank >= 0]
         order = np.argsort(rank, kind="stable")
         at, rank = at[order], rank[order]
         cuts = np.flatnonzero(np.diff(rank, prepend=-1))
-        index = {r: [p] for r, p in zip(rank[cuts].tolist(), np.split(at, cuts[1:]))} if len(at) else {}
+        index: dict[int, list] = {r: [p] for r, p in zip(rank[cuts].tolist(), np.split(at, cuts[1:]))} if len(at) else {}
         heap = sorted(index)
+        tokens, afters, befores, rank_of = memoryview(token), memoryview(after), memoryview(before), self.rank_by_key.get
+
+        def listed(r: int, p) -> None:
+            if r in index:
+                index[r].append(p)
+            else:
+                index[r] = [p]
+                heapq.heappush(heap, r)
+
         while heap:
             r = heapq.heappop(heap)
             lists = index.pop(r)
-            at = np.concatenate(lists) if len(lists) > 1 else lists[0]
-            a, b = self.pair[r]
+            (a, b), merged = self.pair[r].tolist(), int(self.merged[r])
+            if sum(p.size if isinstance(p, np.ndarray) else 1 for p in lists) <= FEW:
+                places = [q for p in lists for q in (p.tolist() if isinstance(p, np.ndarray) else (p,))]
+                for p in sorted(places):  # from the left, so a run pairs up as it should
+                    gone = afters[p]
+                    if tokens[p] != a or gone == n or tokens[gone] != b:
+                        continue
+                    tokens[p], tokens[gone] = merged, -1
+                    afters[p] = beyond = afters[gone]
+                    befores[beyond] = p
+                    left = befores[p]
+                    if left < n and (k := rank_of(tokens[left] << 32 | merged)) is not None:
+                        listed(k, left)
+                    if beyond < n and (k := rank_of(merged << 32 | tokens[beyond])) is not None:
+                        listed(k, p)
+                continue
+            at = np.concatenate([p if isinstance(p, np.ndarray) else np.array([p], np.int32) for p in lists]) if len(lists) > 1 else lists[0]
             at = at[(token[at] == a) & (token[after[at]] == b)]
             if a == b and len(at) > 1:  # in a run, every second one from the left
                 at.sort()
@@ -111,31 +138,21 @@ class PairIndexBpe:
             if not len(at):
                 continue
             gone = after[at]
-            token[at], token[gone] = self.merged[r], -1
+            token[at], token[gone] = merged, -1
             after[at] = beyond = after[gone]
             before[beyond] = at
             left = before[at]
-            left = left[(left < n) & (token[left] != self.merged[r])]  # that pair is the other merge's own
+            left = left[(left < n) & (token[left] != merged)]  # that pair is the other merge's own
             pairs = np.concatenate([left, at[beyond < n]])
-            if not len(pairs):
-                continue
             rank = self.rank_of(token[pairs], token[after[pairs]])
             pairs, rank = pairs[rank >= 0], rank[rank >= 0]
             if not len(pairs):
                 continue
-            if len(pairs) > 1:
-                order = np.argsort(rank, kind="stable")
-                pairs, rank = pairs[order], rank[order]
-                cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-                found = zip(rank[np.append(0, cuts)].tolist(), np.split(pairs, cuts)) if len(cuts) else ((int(rank[0]), pairs),)
-            else:
-                found = ((int(rank[0]), pairs),)
-            for k, p in found:
-                if k in index:
-                    index[k].append(p)
-                else:
-                    index[k] = [p]
-                    heapq.heappush(heap, k)
+            order = np.argsort(rank, kind="stable")
+            pairs, rank = pairs[order], rank[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for k, p in zip(rank[np.append(0, cuts)].tolist(), np.split(pairs, cuts)):
+                listed(k, p)
         alive = token[:n] >= 0
         blob = token[:n][alive].astype("<u4").tobytes()
         stop = (4 * np.cumsum(alive)[ends - 1]).tolist()
@@ -152,26 +169,18 @@ class PairIndexBpe:
 
     def learn(self, words: Iterable[str], blank: str, cache: dict[str, bytes]) -> None:
         """Encodes words, each after `blank`, into the cache."""
-        index: dict[str, int] = {}
-        number = index.setdefault
         plain, closed, others = [], [], []
         for word in words:
-            if word.isalpha():
-                number(blank + word, len(index))
-                plain.append(word)
-            elif word[-1:] in CLOSING and word[:-1].isalpha():
-                closed.append((word, number(blank + word[:-1], len(index)), number(word[-1], len(index))))
-            else:
-                others.append((word, [number(p, len(index)) for p in SPLIT.findall(blank + word)]))
-        if not index:
-            return
-        ids = self.merge([p.encode() for p in index])
-        for word in plain:
-            cache[word] = ids[index[blank + word]]
-        for word, core, mark in closed:
-            cache[word] = ids[core] + ids[mark]
-        for word, parts in others:
-            cache[word] = b"".join([ids[p] for p in parts])
+            (plain if word.isalpha() else closed if word[-1:] in CLOSING and word[:-1].isalpha() else others).append(word)
+        plain += {w[:-1] for w in closed}.difference(cache, plain)
+        index: dict[str, int] = {m: k for k, m in enumerate(sorted(CLOSING))}
+        parts = [[index.setdefault(p, len(index)) for p in SPLIT.findall(blank + w)] for w in others]
+        ids = self.merge([p.encode() for p in index] + [(blank + w).encode() for w in plain])
+        cache.update(zip(plain, ids[len(index) :]))
+        for word in closed:
+            cache[word] = cache[word[:-1]] + ids[index[word[-1]]]
+        for word, found in zip(others, parts):
+            cache[word] = b"".join([ids[p] for p in found])
 
     def segments(self, text: str) -> list[str | int]:
         """Ordinary text and the ids of special tokens that stand in it, in order."""

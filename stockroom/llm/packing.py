@@ -163,7 +163,8 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
 def pack(items: DataFrame, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY) -> DataFrame:
     """`items` with sequence_id and offset. Lengths lie between 1 and `capacity`."""
     spark = items.sparkSession
-    items = common.cut(items)
+    with common.small_batches(spark):
+        items = common.cut(items)
     counts = {r["w"]: r["n"] for r in items.groupBy(F.col(length).alias("w")).agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = Plan(counts, capacity).rows
     plan = spark.createDataFrame(plan or [(0,) * 6], "__w long, __first long, __n long, __each long, __sequence long, __offset long")

@@ -74,7 +74,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp, component (the smallest fingerprint reachable), component_id (the smallest id there)."""
-    marked = common.cut(with_fingerprint(docs, text, (doc_id,)))
+    with common.small_batches(docs.sparkSession):
+        marked = common.cut(with_fingerprint(docs, text, (doc_id,)))
     ids = marked.groupBy("fp").agg(F.min(doc_id).alias("least"))
     joined = components(links(ids.select("fp")), "a", "b").withColumnRenamed("node", "fp")
     ids = ids.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
