@@ -42,6 +42,7 @@ PRIME = 11
 CYCLE = PRIME * PRIME + PRIME + 1
 NAMED = LENGTH - CYCLE + 1
 BLOCK_BYTES = 4 << 20
+ROUNDS = 4
 #: Input bytes for each suffix bucket.
 BUCKET_BYTES = 12 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -243,13 +244,13 @@ def widened(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def replay(block: pa.Table, replies: pa.Table, text: str, buckets: int) -> Block:
-    """The block after the rounds that have been answered."""
+def replay(block: pa.Table, replies: pa.Table, text: str, buckets: int, rounds: int) -> Block:
+    """The block after so many rounds; one in which it sent no name brought no reply."""
     state = Block(unpacked(block.column("data")[0].as_py()), text, buckets)
     turns: dict[int, list[tuple[int, bytes]]] = {}
     for turn, bucket, codes in zip(*(replies.column(c).to_pylist() for c in ("turn", "bucket", "codes"))):
         turns.setdefault(turn, []).append((bucket, codes))
-    for turn in range(1, 1 + max(turns, default=0)):
+    for turn in range(1, rounds + 1):
         codes = b"".join(zlib.decompress(c) for _, c in sorted(turns.get(turn, [])))
         state.hear(turn, np.frombuffer(codes, np.uint8))
     return state
@@ -293,23 +294,21 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 def resolved(docs: DataFrame, text: str, finish: Callable[[Block], pa.Table], schema: T.StructType) -> DataFrame:
     """`finish` of every block after all rounds."""
-    blocks = common.cut(blocks_of(docs))
-    n = blocks.count()
-    # a block's rows meet its replies in four more joins: dealt by block once, and kept so
-    blocks = common.cut(blocks.repartition(max(12, n // 4), "block"))
-    buckets = 1 + n * BLOCK_BYTES // BUCKET_BYTES
+    with common.small_batches(docs.sparkSession):
+        blocks = common.bucketed(blocks_of(docs), "block")  # blocks meet replies five times and are shuffled once
+    buckets = 1 + blocks.count() * BLOCK_BYTES // BUCKET_BYTES
     replies = docs.sparkSession.createDataFrame([], REPLY)
 
     def asking(turn: int):
         def work(block: pa.Table, heard: pa.Table) -> pa.Table:
-            return ask(replay(block, heard, text, buckets), turn, block.column("block")[0].as_py())
+            return ask(replay(block, heard, text, buckets, turn - 1), turn, block.column("block")[0].as_py())
 
         return work
 
     def finishing(block: pa.Table, heard: pa.Table) -> pa.Table:
-        return finish(replay(block, heard, text, buckets))
+        return finish(replay(block, heard, text, buckets, ROUNDS))
 
-    for turn in (1, 2, 3, 4):
+    for turn in range(1, ROUNDS + 1):
         names = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(asking(turn), NAMES)
         replies = replies.union(common.cut(names.groupBy("bucket").applyInArrow(sort_bucket(turn), REPLY)))
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finishing, schema)
