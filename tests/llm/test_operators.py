@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stockroom.llm import ann, bpe, graph, langid, packing, pseudo_lm, quality, registry, secret_scan, simhash, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -367,3 +368,58 @@ def test_lm_beats_unigrams_and_edges(spark, edge):
 def test_digest_of_nothing(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert bpe.PairIndexBpe(bpe.default_path()).encode([None, ""]) == [b"", b""] and len(empty) == 64
+
+
+# the pipeline's stages
+
+
+def plain_groups(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    least = list(range(len(texts)))
+
+    def root(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                least[max(x, y)] = min(x, y)
+    return [root(k) for k in range(len(texts))]
+
+
+def test_pipeline_links_near_copies_like_brute_force(spark):
+    rng = random.Random(21)
+    base = [words(rng, rng.randrange(60, 300), 3000) for _ in range(25)]
+    texts = [*base, None, "", "one two", "One  two", "one three"]
+    for t in base:
+        for rate in (0.005, 0.01, 0.02, 0.03, 0.05):
+            texts.append(re.sub(r"w\d+", lambda m: "z" + m[0] if rng.random() < rate else m[0], t))
+    want = sorted(set(plain_groups(texts)))
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect())
+    assert got == want and len(want) < len({(t or "").lower() for t in texts}) - 20
+
+
+def test_pipeline_large_group_of_near_copies(spark):
+    rng = random.Random(22)
+    base = words(rng, 120, 3000).split()
+    texts = [" ".join(base)]
+    for _ in range(150):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        w[0] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect()]
+    assert sorted(got) == sorted(set(plain_groups(texts)))
+
+
+def test_pipeline_near_dedup_edges(spark, edge):
+    kept = corpus_pipeline.near_dedup(spark, edge, "")
+    assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 1
+    assert corpus_pipeline.near_dedup(spark, edge.limit(0), "").count() == 0
