@@ -12,6 +12,11 @@ back. Blocks send each name once, so a string that a third of all texts hold mak
 3. samples without such a partner announce their name, and one member of each settled class asks whether it is wanted;
 4. only suffixes next to samples without a partner, and those of the members that are wanted, are sorted one by one.
 
+A `Shape` says what a position is (a byte or a word), how many make a window, and whether the first copy of a window stays.
+Where it does, the rows are put in order of their ids, so that blocks are in order; a class settles all its members but
+the first, which like samples without a partner has its windows sorted where another class has its name. So each window
+is known to be the first of its kind, or to have an earlier copy.
+
 Scale: the sample is 12 of 133 positions at 5 bytes each, the other rounds are a fraction of that. Bucket memory is
 bounded by the number of buckets, which grows with the input, and by the number of blocks for any one name.
 
@@ -25,6 +30,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -49,67 +55,115 @@ BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Windows of `length` bytes or words over the cover of a prime; with `first`, only later copies count as repeats."""
+
+    length: int = LENGTH
+    prime: int = PRIME
+    words: bool = False
+    first: bool = False
+
+    @property
+    def cycle(self) -> int:
+        return self.prime * self.prime + self.prime + 1
+
+    @property
+    def named(self) -> int:
+        return self.length - self.cycle + 1
+
+
+BYTES = Shape()
+#: Passages of over 50 words, whatever stands between the words; their first copy stays.
+PASSAGES = Shape(51, 5, words=True, first=True)
+
+
 @lru_cache
-def cover() -> np.ndarray:
-    """Residues whose pairwise differences give every residue once: the zeros of a linear recurrence over GF(PRIME)."""
-    for a, b, c in itertools.product(range(PRIME), repeat=3):
+def cover(prime: int = PRIME) -> np.ndarray:
+    """Residues whose pairwise differences give every residue once: the zeros of a linear recurrence over GF(prime)."""
+    cycle = prime * prime + prime + 1
+    for a, b, c in itertools.product(range(prime), repeat=3):
         s = [0, 0, 1]
-        while len(s) < CYCLE:
-            s.append((a * s[-1] + b * s[-2] + c * s[-3]) % PRIME)
+        while len(s) < cycle:
+            s.append((a * s[-1] + b * s[-2] + c * s[-3]) % prime)
         zeros = [k for k, x in enumerate(s) if x == 0]
-        if len(zeros) == PRIME + 1 and len({(x - y) % CYCLE for x in zeros for y in zeros}) == CYCLE:
+        if len(zeros) == prime + 1 and len({(x - y) % cycle for x in zeros for y in zeros}) == cycle:
             return np.array(zeros)
     raise AssertionError("there is a difference set for every prime")
 
 
 @lru_cache(maxsize=1)
 def tables() -> dict:
-    return {"byte": np.random.default_rng(11).integers(1, 2**63, 256, dtype=U64), "power": np.ones(1, U64), "inverse": np.ones(1, U64), "sample": np.zeros(0, np.int64)}
+    return {"byte": np.random.default_rng(11).integers(1, 2**63, 256, dtype=U64), "power": np.ones(1, U64), "inverse": np.ones(1, U64)}
 
 
 def upto(n: int) -> dict:
-    """Tables of powers and of sample positions for texts of up to n bytes."""
+    """Tables of powers for texts of up to n bytes."""
     t = tables()
     if len(t["power"]) <= n:
         m = 1 << n.bit_length()
         for key, base in (("power", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
             t[key] = np.cumprod(np.append(U64(1), np.full(m, base, U64)))
-        t["sample"] = (np.arange(0, m, CYCLE)[:, None] + cover()).ravel()
     return t
 
 
+@lru_cache(maxsize=2)
+def samples_upto(prime: int, m: int) -> np.ndarray:
+    return (np.arange(0, m, prime * prime + prime + 1)[:, None] + cover(prime)).ravel()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(31))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
     return x ^ (x >> U64(31))
 
 
+#: What bytes.split() takes as blank.
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word in bytes."""
+    inside = np.concatenate([[False], ~BLANK[np.frombuffer(data, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def prefix_sums(values: np.ndarray, power: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    return sums
+
+
 class Text:
     """Fingerprints of any stretch of one text, its cover samples, and what is known of them."""
 
-    def __init__(self, data: bytes):
-        self.n = len(data)
-        self.tables = t = upto(self.n)
-        self.sums = np.zeros(self.n + 1, U64)
-        np.cumsum(t["byte"][np.frombuffer(data, np.uint8)] * t["power"][: self.n], out=self.sums[1:])
-        sample = t["sample"]
-        self.at = sample[: np.searchsorted(sample, self.n - NAMED, side="right")] if self.n >= LENGTH else sample[:0]
-        self.windows = max(self.n - LENGTH + 1, 0)
+    def __init__(self, data: bytes, shape: Shape = BYTES):
+        self.shape, self.tables = shape, (t := upto(len(data)))
+        self.sums = prefix_sums(t["byte"][np.frombuffer(data, np.uint8)], t["power"])
+        self.n, self.bounds = len(data), None
+        if shape.words:
+            start, end = word_bounds(data)
+            self.n, self.bounds = len(start), np.append(start, len(data))
+            self.sums = prefix_sums(self.name(start, end), t["power"])
+        sample = samples_upto(shape.prime, 1 << self.n.bit_length())
+        self.at = sample[: np.searchsorted(sample, self.n - shape.named, side="right")] if self.n >= shape.length else sample[:0]
+        self.windows = max(self.n - shape.length + 1, 0)
 
     def name(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.tables["inverse"][start])
 
     def names(self) -> np.ndarray:
-        return self.name(self.at, self.at + NAMED) >> U64(24)
+        return self.name(self.at, self.at + self.shape.named) >> U64(24)
 
     def tile(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last window that each sample can stand for."""
-        return np.maximum(self.at - CYCLE + 1, 0), np.minimum(self.at, self.windows - 1)
+        return np.maximum(self.at - self.shape.cycle + 1, 0), np.minimum(self.at, self.windows - 1)
 
     def classes(self) -> np.ndarray:
         first, _ = self.tile()
-        end = np.minimum(self.at + LENGTH, self.n)
-        shape = ((self.at - first) * (2 * LENGTH) + (end - first)).astype(U64)
+        end = np.minimum(self.at + self.shape.length, self.n)
+        shape = ((self.at - first) * (2 * self.shape.length) + (end - first)).astype(U64)
         return mixed(self.name(first, end) + shape * U64(0xD6E8FEB86659FD93))
 
     def marked(self, which: np.ndarray) -> np.ndarray:
@@ -128,11 +182,11 @@ class Text:
 class Block:
     """The texts of a block, brought forward by the replies to its rounds."""
 
-    def __init__(self, table: pa.Table, text: str, buckets: int):
-        self.table, self.buckets = table, buckets
+    def __init__(self, table: pa.Table, text: str, buckets: int, shape: Shape = BYTES):
+        self.table, self.buckets, self.shape = table, buckets, shape
         column = table.column(text).combine_chunks().cast(pa.large_binary())
         self.data = [x.as_py() or b"" for x in column]
-        self.texts = [Text(d) if len(d) >= LENGTH else None for d in self.data]
+        self.texts = [Text(d, shape) if len(d) >= shape.length else None for d in self.data]
         self.live = [t for t in self.texts if t]
 
     def join(self, parts: list[np.ndarray], kind=U64) -> np.ndarray:
@@ -151,9 +205,9 @@ class Block:
             return names, np.ones(len(names), np.int64)
         if turn == 3:
             open_, lead = self.join([~s for s in self.settled], bool), self.join(self.leads, bool)
-            return self.join([t.names() for t in self.live])[open_ | lead], open_[open_ | lead].astype(np.int64)
+            return self.join([t.names() for t in self.live])[open_ | lead], (open_ | (lead & self.shape.first))[open_ | lead].astype(np.int64)
         emitted = [np.flatnonzero(w) for w in self.wanted]
-        names = self.join([t.name(w, w + LENGTH) for t, w in zip(self.live, emitted)])
+        names = self.join([t.name(w, w + self.shape.length) for t, w in zip(self.live, emitted)])
         return names, np.ones(len(names), np.int64)
 
     def sent(self, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,36 +221,45 @@ class Block:
 
     def hear(self, turn: int, reply: np.ndarray) -> None:
         """`reply`: for each distinct name sent, its total weight up to 2, and 4 more for the first block that sent it."""
-        code = reply[self.sent(turn)[2]]
+        place = self.sent(turn)[2]
+        code = reply[place]
         total, first = code & 3, code >= 4
+        later = total >= 2
+        if self.shape.first:
+            here = np.zeros(len(place), bool)
+            here[np.unique(place, return_index=True)[1]] = True
+            first &= here
+            later &= ~first
         sizes = [len(t.at) for t in self.live]
         if turn == 1:
             for t, which in zip(self.live, self.split(total >= 2, sizes)):
                 t.keep(which)
         elif turn == 2:
             self.settled = self.split(total >= 2, sizes)
+            self.later = self.split(later, sizes)
             self.leads = self.split((total >= 2) & first, sizes)
         elif turn == 3:
             contested = np.zeros(sum(sizes), bool)
             open_, lead = self.join([~s for s in self.settled], bool), self.join(self.leads, bool)
-            contested[open_ | lead] = total >= 1
-            self.repeated = [t.marked(s) for t, s in zip(self.live, self.settled)]
+            contested[open_ | lead] = total >= (2 if self.shape.first else 1)
+            self.repeated = [t.marked(s) for t, s in zip(self.live, self.later)]
             self.wanted = [t.marked(c) for t, c in zip(self.live, self.split(contested, sizes))]
         else:
-            for r, w, found in zip(self.repeated, self.wanted, self.split(total >= 2, [int(w.sum()) for w in self.wanted])):
+            for r, w, found in zip(self.repeated, self.wanted, self.split(later, [int(w.sum()) for w in self.wanted])):
                 r[np.flatnonzero(w)[found]] = True
 
     def covered(self) -> list[np.ndarray]:
         """For each text the maximal runs (start, end) of bytes that repeated windows cover."""
-        out, repeated = [], iter(self.repeated)
+        out, repeated, length = [], iter(self.repeated), self.shape.length
         for t in self.texts:
             if t is None:
                 out.append(np.zeros((0, 2), np.int64))
                 continue
             at = np.flatnonzero(next(repeated))
-            gaps = np.flatnonzero(np.diff(at) > LENGTH)
-            start, end = at[np.append(0, gaps + 1)] if len(at) else at, at[np.append(gaps, -1)] + LENGTH if len(at) else at
-            out.append(np.stack([start, end], axis=1))
+            gaps = np.flatnonzero(np.diff(at) > length)
+            start, end = at[np.append(0, gaps + 1)] if len(at) else at, at[np.append(gaps, -1)] + length if len(at) else at
+            runs = np.stack([start, end], axis=1)
+            out.append(runs if t.bounds is None else t.bounds[runs])  # a word goes with the blank behind it
         return out
 
 
@@ -244,9 +307,9 @@ def widened(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def replay(block: pa.Table, replies: pa.Table, text: str, buckets: int, rounds: int) -> Block:
+def replay(block: pa.Table, replies: pa.Table, text: str, buckets: int, rounds: int, shape: Shape = BYTES) -> Block:
     """The block after so many rounds; one in which it sent no name brought no reply."""
-    state = Block(unpacked(block.column("data")[0].as_py()), text, buckets)
+    state = Block(unpacked(block.column("data")[0].as_py()), text, buckets, shape)
     turns: dict[int, list[tuple[int, bytes]]] = {}
     for turn, bucket, codes in zip(*(replies.column(c).to_pylist() for c in ("turn", "bucket", "codes"))):
         turns.setdefault(turn, []).append((bucket, codes))
@@ -292,8 +355,16 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "block long, data binary")
 
 
-def resolved(docs: DataFrame, text: str, finish: Callable[[Block], pa.Table], schema: T.StructType) -> DataFrame:
+def in_order(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Rows by id, null ids last and rows of one id by their text, over all partitions."""
+    order = [F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text)]
+    return docs.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def resolved(docs: DataFrame, text: str, finish: Callable[[Block], pa.Table], schema: T.StructType, shape: Shape = BYTES, doc_id: str = "doc_id") -> DataFrame:
     """`finish` of every block after all rounds."""
+    if shape.first:
+        docs = in_order(docs, text, doc_id)
     with common.small_batches(docs.sparkSession):
         blocks = common.bucketed(blocks_of(docs), "block")  # blocks meet replies five times and are shuffled once
     buckets = 1 + blocks.count() * BLOCK_BYTES // BUCKET_BYTES
@@ -301,12 +372,12 @@ def resolved(docs: DataFrame, text: str, finish: Callable[[Block], pa.Table], sc
 
     def asking(turn: int):
         def work(block: pa.Table, heard: pa.Table) -> pa.Table:
-            return ask(replay(block, heard, text, buckets, turn - 1), turn, block.column("block")[0].as_py())
+            return ask(replay(block, heard, text, buckets, turn - 1, shape), turn, block.column("block")[0].as_py())
 
         return work
 
     def finishing(block: pa.Table, heard: pa.Table) -> pa.Table:
-        return finish(replay(block, heard, text, buckets, ROUNDS))
+        return finish(replay(block, heard, text, buckets, ROUNDS, shape))
 
     for turn in range(1, ROUNDS + 1):
         names = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(asking(turn), NAMES)
@@ -319,8 +390,8 @@ def kept_bytes(data: bytes, runs: np.ndarray) -> bytes:
     return b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2]))
 
 
-def removed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The same rows and columns with the repeated bytes taken off `text`; null texts stay null."""
+def removed(docs: DataFrame, text: str = "text", shape: Shape = BYTES, doc_id: str = "doc_id") -> DataFrame:
+    """The same rows and columns with what repeats taken off `text`; null texts stay null."""
 
     def finish(block: Block) -> pa.Table:
         at = block.table.schema.get_field_index(text)
@@ -328,7 +399,7 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
         texts = [None if none else kept_bytes(d, r).decode("utf-8", "ignore") for none, d, r in zip(null, block.data, block.covered())]
         return block.table.set_column(at, text, pa.array(texts, pa.string()))
 
-    return resolved(docs, text, finish, docs.schema)
+    return resolved(docs, text, finish, docs.schema, shape, doc_id)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -423,3 +423,44 @@ def test_pipeline_near_dedup_edges(spark, edge):
     kept = corpus_pipeline.near_dedup(spark, edge, "")
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 1
     assert corpus_pipeline.near_dedup(spark, edge.limit(0), "").count() == 0
+
+
+def plain_passages(texts, length=51):
+    """Texts without the words of windows that stand in an earlier place too."""
+    seen, out = set(), []
+    for t in texts:
+        parts = re.findall(r"[^ \t-\r]+[ \t-\r]*", t or "")
+        cut = [False] * len(parts)
+        w = [p.strip(" \t\n\r\x0b\x0c") for p in parts]
+        for k in range(len(w) - length + 1):
+            key = " ".join(w[k : k + length])
+            if key in seen:
+                cut[k : k + length] = [True] * length
+            seen.add(key)
+        lead = len(t) - len("".join(parts)) if t else 0
+        out.append(t and t[:lead] + "".join(p for p, c in zip(parts, cut) if not c))
+    return out
+
+
+def test_pipeline_cuts_later_passages_of_over_fifty_words(spark):
+    rng = random.Random(23)
+    short = [words(rng, n) for n in (50, 51, 52, 60, 80, 200)]
+    texts = []
+    for _ in range(60):
+        t = words(rng, rng.randrange(30), 5) + " "
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(short).split()
+            a = rng.randrange(8)
+            t += rng.choice([" ", "\n"]).join(w[a : len(w) - rng.randrange(8)]) + rng.choice(["  ", "\n"]) + words(rng, 3) + " "
+        texts.append(t)
+    texts += [texts[3], "é " * 300, "a b " * 200, " " + short[1], short[0], short[0], None, "", short[5] + " " + short[4], "x " + short[4] + " y " + short[5]]
+    rows = frame(spark, texts).orderBy(F.col("doc_id").desc())
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.passage_dedup(spark, rows.repartition(3), "").collect()}
+    assert [got[k] for k in range(len(texts))] == plain_passages(texts)
+    assert sum(map(len, plain_passages([short[1], short[1]]))) == len(short[1])
+
+
+def test_pipeline_passage_edges(spark, edge):
+    out = corpus_pipeline.passage_dedup(spark, edge, "")
+    assert out.columns == edge.columns and out.count() == len(EDGE)
+    assert corpus_pipeline.passage_dedup(spark, edge.limit(0), "").count() == 0
