@@ -464,3 +464,10 @@ def test_pipeline_passage_edges(spark, edge):
     out = corpus_pipeline.passage_dedup(spark, edge, "")
     assert out.columns == edge.columns and out.count() == len(EDGE)
     assert corpus_pipeline.passage_dedup(spark, edge.limit(0), "").count() == 0
+
+
+def test_lm_learns_from_every_position(spark):
+    _, network = pseudo_lm.learn(frame(spark, ["", "only"]).coalesce(1))
+    counts = np.zeros(pseudo_lm.VOCABULARY)
+    counts[0] = 1
+    assert not np.array_equal(network.flat(), pseudo_lm.WindowNetwork(counts).flat())
