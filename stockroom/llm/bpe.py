@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from stockroom.llm import common
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 PIECE_BYTES = 8 << 20
 #: Positions of a pair that are merged one by one and not as arrays.
 FEW = 16
@@ -37,8 +38,10 @@ FEW = 16
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A blank before another character always starts a new word. A blank before white space may stand inside a run.
 INSIDE_RUN, BEFORE_BLANK = re.compile(r" (?=\s)"), re.compile(r"(?= \S)")
-#: Marks that are a token of their own after letters.
-CLOSING = frozenset(".,!?;:|)")
+#: The same for a column of texts, with what counts as white space anywhere.
+ODD = r" [\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+#: Marks that after letters make a piece of their own, however many there are.
+CLOSING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_path() -> str:
@@ -83,11 +86,10 @@ class PairIndexBpe:
         at = np.searchsorted(self.keys[:-1], keys)
         return np.where(self.keys[at] == keys, self.ranks[at], -1)
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """Each word's ids as little-endian 32-bit integers."""
-        n = sum(map(len, words))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        token = np.append(self.byte_id[np.frombuffer(b"".join(words), np.uint8)], -1).astype(np.int32)
+    def merge(self, data: bytes, ends: np.ndarray) -> list[bytes]:
+        """The ids of each piece of `data` (none is empty) as little-endian 32-bit integers."""
+        n = len(data)
+        token = np.append(self.byte_id[np.frombuffer(data, np.uint8)], -1).astype(np.int32)
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[np.append(0, ends[:-1])] = n
@@ -167,20 +169,54 @@ class PairIndexBpe:
         first, *rest = text.split(" ")
         return first, rest
 
-    def learn(self, words: Iterable[str], blank: str, cache: dict[str, bytes]) -> None:
-        """Encodes words, each after `blank`, into the cache."""
-        plain, closed, others = [], [], []
-        for word in words:
-            (plain if word.isalpha() else closed if word[-1:] in CLOSING and word[:-1].isalpha() else others).append(word)
-        plain += {w[:-1] for w in closed}.difference(cache, plain)
-        index: dict[str, int] = {m: k for k, m in enumerate(sorted(CLOSING))}
-        parts = [[index.setdefault(p, len(index)) for p in SPLIT.findall(blank + w)] for w in others]
-        ids = self.merge([p.encode() for p in index] + [(blank + w).encode() for w in plain])
-        cache.update(zip(plain, ids[len(index) :]))
-        for word in closed:
-            cache[word] = cache[word[:-1]] + ids[index[word[-1]]]
-        for word, found in zip(others, parts):
-            cache[word] = b"".join([ids[p] for p in found])
+    def learn(self, words: Iterable[str], firsts: Iterable[str]) -> None:
+        """Encodes words after a blank into `cache` and words without one into `firsts`, all in one merge."""
+        index: dict[str, int] = {}
+        place = index.setdefault
+        kinds = {" ": ([], [], [], []), "": ([], [], [], [])}
+
+        def sort(words: Iterable[str], blank: str, cache: dict[str, bytes]) -> None:
+            plain, closed, lined, others = kinds[blank]
+            for word in words:
+                if word.isalpha():
+                    plain.append(word)
+                elif (head := word.rstrip(CLOSING)).isalpha():
+                    closed.append((word, head, place(word[len(head) :], len(index))))
+                elif "\n" in word and (parts := word.split("\n")) == word.split():
+                    lined.append((word, parts))
+                else:
+                    others.append((word, [place(p, len(index)) for p in SPLIT.findall(blank + word)]))
+
+        sort(words, " ", self.cache)
+        sort(firsts, "", self.firsts)
+        lined = [parts for k in kinds.values() for _, parts in k[2]]
+        if lined:  # a line break between two words is a piece of its own
+            after, inner = {parts[0] for _, parts in kinds[" "][2]}, {p for _, parts in kinds[" "][2] for p in parts[1:]}
+            inner.update(p for _, parts in kinds[""][2] for p in parts)
+            for blank, cache, more in ((" ", self.cache, after), ("", self.firsts, inner)):
+                sort(more.difference(cache, *([x[0] if isinstance(x, tuple) else x for x in k] for k in kinds[blank])), blank, cache)
+        line = place("\n", len(index))
+        for blank, cache in ((" ", self.cache), ("", self.firsts)):
+            plain, closed = kinds[blank][:2]
+            plain.extend({head for _, head, _ in closed}.difference(cache, plain))
+        after, bare = kinds[" "][0], kinds[""][0]
+        # plain words after a blank are one text in which each blank starts a piece
+        data = [*(p.encode() for p in index), *(w.encode() for w in bare)]
+        joined = "".join([" ", " ".join(after)]).encode() if after else b""
+        starts = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        sizes = np.append(np.fromiter(map(len, data), np.int64, len(data)), np.diff(np.append(starts, len(joined))) if after else [])
+        ids = self.merge(b"".join([*data, joined]), np.cumsum(sizes.astype(np.int64)))
+        self.firsts.update(zip(bare, ids[len(index) :]))
+        self.cache.update(zip(after, ids[len(data) :]))
+        for blank, cache in ((" ", self.cache), ("", self.firsts)):
+            _, closed, _, others = kinds[blank]
+            for word, found in others:
+                cache[word] = b"".join([ids[k] for k in found])
+            for word, head, k in closed:
+                cache[word] = cache[head] + ids[k]
+        for blank, cache in ((" ", self.cache), ("", self.firsts)):
+            for word, parts in kinds[blank][2]:
+                cache[word] = ids[line].join([cache[parts[0]], *map(self.firsts.__getitem__, parts[1:])])
 
     def segments(self, text: str) -> list[str | int]:
         """Ordinary text and the ids of special tokens that stand in it, in order."""
@@ -193,34 +229,63 @@ class PairIndexBpe:
             at = m.end()
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        texts = [self.segments(t) if t else [] for t in texts]
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers.
+
+        Texts that hold no special token and no run of white space with a blank in it are cut, and their words counted
+        once each, as one Arrow array; the others word by word."""
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
         if len(self.cache) + len(self.firsts) > CACHE_WORDS:
             self.cache, self.firsts = {}, {}
-        new: set[str] = set()
-        firsts: set[str] = set()
-        for parts in texts:
-            for part in parts:
-                if isinstance(part, str):
-                    first, rest = self.words(part)
-                    firsts.add(first)
-                    new.update(rest)
-        self.learn(new.difference(self.cache), " ", self.cache)
-        self.learn(firsts.difference(self.firsts), "", self.firsts)
+        odd = pc.match_substring_regex(column, ODD)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        even = np.flatnonzero(~odd)
+        slow = {int(k): self.segments(column[int(k)].as_py()) for k in np.flatnonzero(odd)}
+        lists = pc.split_pattern(column.take(pa.array(even)), " ")
+        starts = lists.offsets.to_numpy()
+        cut = lists.flatten().dictionary_encode()
+        # words hold no blank, so one joined text gives them all
+        known = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cut.dictionary)], pa.int32()), cut.dictionary), " ")[0].as_py().split(" ") if len(cut.dictionary) else []
+        place = cut.indices.to_numpy()
+        first = np.zeros(len(place), bool)
+        first[starts[:-1] - starts[0]] = True
+        openers, openers_at = np.unique(place[first], return_inverse=True)
+        inside = np.zeros(len(known), bool)
+        inside[place[~first]] = True
+        heads = [known[k] for k in openers.tolist()]
+        rest = [known[k] for k in np.flatnonzero(inside).tolist()]
         self.firsts.setdefault("", b"")
-        get = self.cache.__getitem__
-        out = []
-        for parts in texts:
+        new, firsts = [w for w in rest if w not in self.cache], [w for w in heads if w not in self.firsts]
+        if slow:
+            cuts = [self.words(part) for parts in slow.values() for part in parts if isinstance(part, str)]
+            new = {w for _, others in cuts for w in others if w not in self.cache}.union(new)
+            firsts = {opener for opener, _ in cuts if opener not in self.firsts}.union(firsts)
+        self.learn(new, firsts)
+        # one table of ids for the distinct words, and each text's ids gathered from it
+        row = np.cumsum(inside) - 1
+        blobs = [*map(self.cache.__getitem__, rest), *map(self.firsts.__getitem__, heads)]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        begin, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(blobs), "<u4")
+        which = np.where(first, 0, row[place])
+        which[first] = len(rest) + openers_at
+        n = sizes[which]
+        ends = np.append(0, np.cumsum(n))
+        flat = table[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])].tobytes() if len(which) else b""
+        bounds = (4 * ends[starts - starts[0]]).tolist() if len(even) else []
+        out: list[bytes] = [b""] * len(column)
+        for k, s, e in zip(even.tolist(), bounds, bounds[1:]):
+            out[k] = flat[s:e]
+        for k, parts in slow.items():
             ids = []
             for part in parts:
                 if isinstance(part, str):
-                    first, rest = self.words(part)
-                    ids.append(self.firsts[first])
-                    ids += map(get, rest)
+                    opener, others = self.words(part)
+                    ids += [self.firsts[opener], *map(self.cache.__getitem__, others)]
                 else:
                     ids.append(part.to_bytes(4, "little"))
-            out.append(b"".join(ids))
+            out[k] = b"".join(ids)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -241,7 +306,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "__text", PIECE_BYTES):
-            ids = codec(path).encode(batch.column("__text").to_pylist())
+            ids = codec(path).encode(batch.column("__text"))
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "ids"])
@@ -270,7 +335,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text", PIECE_BYTES):
             bpe = codec(path)
-            ids = bpe.encode(batch.column("text").to_pylist())
+            ids = bpe.encode(batch.column("text"))
             counts, digests = [len(x) // 4 for x in ids], [common.sha256(x) for x in ids]
             texts = [common.sha256(bpe.decode(x).encode()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
         for batch in common.pieces(batches, "__text", bpe.PIECE_BYTES):
             rows: list[tuple[int, int, int, int, int]] = []
             arrays: list[list[int]] = []
-            for k, ids in enumerate(bpe.codec(path).encode(batch.column("__text").to_pylist())):
+            for k, ids in enumerate(bpe.codec(path).encode(batch.column("__text"))):
                 ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
