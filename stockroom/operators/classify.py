@@ -1,7 +1,8 @@
 """Which weight files of an artifact must be kept, by rules over sets of files.
 
-Sets come first (indexed shards, loose files of a folder, level-named groups, legacy files, support), each with its
-evidence as columns; then the rules are one cascade in a fixed order. All artifacts are judged in one job.
+Sets come first (indexed shards, loose files of a folder, level-named groups, legacy files, support); then evidence as
+columns of a set; then the rules, one cascade in a fixed order; then patterns that select what is kept. All artifacts
+are judged in one job. A group-level file that an index claims stays in its group alone.
 """
 
 from __future__ import annotations
@@ -11,107 +12,191 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stockroom.operators.enrich import FULL_FIDELITY
-from stockroom.operators.files import file_role
+from stockroom.operators.files import basename, is_sidecar
+from stockroom.operators.rules import glob_column
 from stockroom.operators.weights import SHARD
 
-#: Header keys that claim a source. Fixed values.
-SOURCE_KEYS = ("general.source.url", "general.source.huggingface.repository", "general.base_model.0.repo_url")
+#: Suffixes of weights, and stored types by the names that configurations give them. Fixed values.
+WEIGHT = r"\.(safetensors|bin|gguf|pt|pth)$"
+STORED = {"float64": "F64", "float32": "F32", "float16": "F16", "bfloat16": "BF16"}
+#: Header keys that claim a source, and the prefix of those that tell of importance data. Fixed values.
+SOURCE_KEYS = ("general.source.url", "general.source.huggingface.repository")
+IMPORTANCE = "quantize.imatrix."
+#: Rules whose sets may be what a level-named group was made from.
+CANDIDATES = ("R2", "R3", "R4", "R6", "R12", "R13")
+NUMBERED = r"^(.+-)\d+(-of-\d+\.\w+)$"
+SET = ["aid", "kind", "set"]
 
 
 def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def joined(at: Column, name: Column) -> Column:
+    return F.when(at == "", name).otherwise(F.concat(at, F.lit("/"), name))
+
+
+def weight_map(text: Column) -> Column:
+    return F.from_json(F.get_json_object(text, "$.weight_map"), "map<string,string>")
+
+
 def index_members(indexes: DataFrame) -> DataFrame:
     """Files that each readable index (aid, path, text) claims, in its own folder; the first index by path wins."""
-    weight_map = F.from_json(F.get_json_object("text", "$.weight_map"), "map<string,string>")
-    x = indexes.select("aid", F.col("path").alias("index"), F.explode(F.array_distinct(F.map_values(weight_map))).alias("name"))
-    at = folder(F.col("index"))
-    claimed = F.when(at == "", F.col("name")).otherwise(F.concat(at, F.lit("/"), F.col("name")))
-    return x.select("aid", "index", claimed.alias("path")).groupBy("aid", "path").agg(F.min("index").alias("index"))
+    x = indexes.select("aid", F.col("path").alias("index"), F.explode(F.array_distinct(F.map_values(weight_map(F.col("text"))))).alias("name"))
+    return x.where(~F.contains("name", F.lit("/"))).select("aid", "index", joined(folder(F.col("index")), F.col("name")).alias("path")).groupBy("aid", "path").agg(F.min("index").alias("index"))
 
 
 def file_sets(files: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Files with the set they belong to: kind, and the set's name within the artifact."""
+    """Files with the set they belong to: kind, format, and the set's name within the artifact.
+
+    An unreadable index taints the loose tensor files of its own folder; a readable one that names tensor files makes
+    those of its folder that it doesn't claim orphans."""
     low, dir_ = F.lower("path"), folder(F.col("path"))
-    readable = F.from_json(F.get_json_object("text", "$.weight_map"), "map<string,string>").isNotNull()
-    state = indexes.select("aid", folder(F.col("path")).alias("dir"), readable.alias("ok")).groupBy("aid", "dir").agg(F.bool_and("ok").alias("all_ok"))
-    any_index = indexes.where(readable).select("aid").distinct().withColumn("indexed_artifact", F.lit(True))
-    x = files.withColumn("dir", dir_).withColumn("role", file_role(F.col("path"))).join(index_members(indexes), ["aid", "path"], "left")
-    x = x.join(state, ["aid", "dir"], "left").join(any_index, "aid", "left")
-    safetensors, gguf = low.endswith(".safetensors"), low.endswith(".gguf")
+    readable = weight_map(F.col("text")).isNotNull()
+    named = F.exists(F.map_values(weight_map(F.col("text"))), lambda n: F.lower(n).endswith(".safetensors"))
+    state = indexes.select("aid", folder(F.col("path")).alias("dir"), readable.alias("ok"), F.coalesce(named, F.lit(False)).alias("named"))
+    state = state.groupBy("aid", "dir").agg(F.bool_and("ok").alias("all_ok"), F.bool_or("named").alias("some_named"))
+    x = files.withColumn("dir", dir_).join(index_members(indexes), ["aid", "path"], "left").join(state, ["aid", "dir"], "left")
+    form = F.when(low.endswith(".safetensors"), "safetensors").when(low.endswith(".gguf"), "gguf").when(low.rlike(WEIGHT), "legacy").otherwise("support")
     kind = (
-        F.when(gguf, "gguf")
-        .when(F.col("role") != "weight", "support")
+        F.when(form.isin("gguf", "support"), form)
         .when(F.col("index").isNotNull(), "indexed")
-        .when(~safetensors, "legacy")
+        .when(form == "legacy", "legacy")
         .when(~F.col("all_ok"), "index_error")
-        .when(F.col("indexed_artifact"), "orphan")
+        .when(F.col("some_named"), "orphan")
         .otherwise("standalone")
     )
-    name = F.when(kind == "gguf", F.when(F.col("path").rlike(SHARD), F.regexp_extract("path", SHARD, 1)).otherwise(F.col("path"))).when(kind == "indexed", F.col("index")).when(kind == "support", "").otherwise(F.col("dir"))
-    return x.select(*files.columns, kind.alias("kind"), name.alias("set"))
+    group = F.when(F.col("path").rlike(SHARD), F.regexp_extract("path", SHARD, 1)).otherwise(F.col("path"))
+    name = F.when(kind == "gguf", group).when(kind == "indexed", F.col("index")).when(kind == "support", "").otherwise(F.col("dir"))
+    return x.select(*files.columns, form.alias("format"), kind.alias("kind"), name.alias("set"))
 
 
 def base_identical(sets: DataFrame, base: DataFrame) -> DataFrame:
     """Sets each of whose files has a digest that the base repository holds (sets: aid, set, base, sha256)."""
     b = base.select(F.col("aid").alias("base"), "sha256", F.lit(True).alias("held")).distinct()
     x = sets.join(b, ["base", "sha256"], "left")
-    return x.groupBy("aid", "kind", "set").agg((F.bool_and(F.col("sha256").isNotNull()) & F.bool_and(F.coalesce("held", F.lit(False)))).alias("base_identical"))
+    return x.groupBy(*SET).agg((F.bool_and(F.col("sha256").isNotNull()) & F.bool_and(F.coalesce("held", F.lit(False)))).alias("base_identical"))
+
+
+def header_facts(headers: DataFrame) -> DataFrame:
+    """What the header of each file (aid, path, key, value, error) tells: read, importance data, split numbers, claims."""
+    value = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    return headers.groupBy("aid", "path").agg(
+        F.bool_and(F.col("error").isNull()).alias("read"),
+        F.coalesce(F.bool_or(F.startswith("key", F.lit(IMPORTANCE))), F.lit(False)).alias("importance"),
+        value("split.count").cast("int").alias("split_count"),
+        value("split.no").cast("int").alias("split_no"),
+        F.collect_set(F.when(F.col("key").isin(*SOURCE_KEYS), F.lower("value"))).alias("claims"),
+    )
+
+
+def evidence(members: DataFrame, configs: DataFrame, types: DataFrame, headers: DataFrame, base: DataFrame, locators: DataFrame) -> DataFrame:
+    """One row for each set of `file_sets` with what the rules ask of it.
+
+    `configs`: aid, dir, text; `types`: aid, path, dtype, n from tensor headers; `headers`: as `header_facts` takes;
+    `base`: aid, sha256 of the files of the repository that an artifact names as its base; `locators`: aid, locator.
+    The stored type is that of most parameters in the headers, ties to the smaller name, else the configuration's."""
+    x = members.withColumn("dir", folder(F.col("path")))
+    text, method = F.col("text"), F.get_json_object("text", "$.quantization_config.quant_method")
+    quantized = F.get_json_object("text", "$.quantization_config").isNotNull()
+    stated = F.coalesce(F.get_json_object("text", "$.torch_dtype"), F.get_json_object("text", "$.dtype"))
+    known = F.create_map(*(F.lit(v) for kv in STORED.items() for v in kv))
+    settings = configs.select(
+        "aid",
+        "dir",
+        (F.try_parse_json(text).isNull() | ~F.trim(text).startswith("{")).alias("config_unreadable"),
+        F.when(quantized, F.coalesce(method, F.lit("unspecified"))).when(F.get_json_object("text", "$.quantization").startswith("{"), "mlx").alias("quant_method"),
+        F.coalesce(known[F.lower(stated)], F.upper(stated)).alias("stated"),
+    )
+    most = x.join(types, ["aid", "path"]).groupBy(*SET, "dtype").agg(F.sum("n").alias("n")).groupBy(*SET).agg(F.min(F.struct(-F.col("n"), "dtype")).dtype.alias("counted"))
+    facts, number, of = header_facts(headers), F.regexp_extract("path", SHARD, 2).cast("int"), F.regexp_extract("path", SHARD, 3).cast("int")
+    x = x.join(facts, ["aid", "path"], "left").join(locators, "aid", "left")
+    x = x.join(base.select("aid", "sha256", F.lit(True).alias("held")).distinct(), ["aid", "sha256"], "left")
+    foreign = F.exists("claims", lambda c: ~F.contains(c, F.lower("locator")))
+    numbers = F.sort_array(F.collect_list(F.coalesce(F.when(F.col("path").rlike(SHARD), number), F.lit(1))))
+    total = F.max(F.coalesce(F.when(F.col("path").rlike(SHARD), of), F.lit(1)))
+    rows = x.groupBy(*SET).agg(
+        F.min_by("format", "path").alias("format"),
+        F.min("dir").alias("dir"),
+        F.min("path").alias("first_path"),
+        F.count("*").alias("files"),
+        F.sum(F.coalesce("size", F.lit(0))).alias("bytes"),
+        F.when(F.count("sha256") == F.count("*"), F.sort_array(F.collect_list("sha256"))).alias("digests"),
+        (F.bool_and(F.col("sha256").isNotNull()) & F.bool_and(F.coalesce("held", F.lit(False)))).alias("base_identical"),
+        (numbers == F.sequence(F.lit(1), F.greatest(total, F.lit(1)))).alias("complete"),
+        F.bool_and(F.coalesce("read", F.lit(False))).alias("header_read"),
+        (F.bool_or(F.col("split_count").isNotNull()) & (F.count("*") > 1) & F.bool_or(F.col("split_count").isNotNull() & F.coalesce(F.col("split_no") != number - 1, F.lit(False)))).alias("misnumbered"),
+        (F.count("*") > 1).alias("several"),
+        F.min("split_count").alias("least_count"),
+        F.max("split_count").alias("most_count"),
+        F.bool_or(F.coalesce("importance", F.lit(False))).alias("imatrix"),
+        F.bool_or(F.coalesce(foreign, F.lit(False))).alias("foreign_source"),
+    )
+    miscounted = F.col("several") & ((F.col("least_count") != F.col("files")) | (F.col("most_count") != F.col("files")))
+    rows = rows.withColumn("headers_disagree", F.coalesce(miscounted, F.lit(False)) | F.col("misnumbered")).drop("misnumbered", "several", "least_count", "most_count")
+    rows = rows.join(settings, ["aid", "dir"], "left").join(most, SET, "left")
+    return rows.withColumn("dtype", F.coalesce("counted", "stated")).drop("counted", "stated")
 
 
 def with_twins(sets: DataFrame) -> DataFrame:
     """Sets with `twin_of`: the keeper of the exact twins they belong to, null for the keeper and for sets without one.
 
-    A set at the root is kept before others, then the least deep, ties by name; an unknown digest has no twin."""
-    known = F.when(~F.exists("digests", lambda d: d.isNull()) & (F.col("kind") != "support"), F.sha2(F.array_join(F.sort_array("digests"), ","), 256))
-    depth = F.when(~F.contains("first_path", F.lit("/")), -1).otherwise(F.length("first_path") - F.length(F.replace("first_path", F.lit("/"), F.lit(""))))
+    Only tensor and legacy sets have twins: a set whose digests aren't all known has none, and a level-named group is
+    never taken for a copy. A set at the root is kept before others, then the least deep, ties by folder, then file."""
+    twinned = ~F.col("kind").isin("support", "gguf") & F.col("digests").isNotNull() & ~F.exists("digests", lambda d: d.isNull())
+    known = F.when(twinned, F.sha2(F.array_join(F.sort_array("digests"), ","), 256))
+    dir_ = folder(F.col("first_path"))
+    depth = F.when(dir_ == "", -1).otherwise(F.length(dir_) - F.length(F.replace(dir_, F.lit("/"), F.lit(""))))
     # sets without known digests are each alone
     key = F.coalesce(known, F.concat_ws("|", "kind", "set"))
-    w = Window.partitionBy("aid", key).orderBy(depth, "first_path")
-    keeper = F.first("set").over(w)
-    return sets.withColumn("twin_of", F.when(known.isNotNull() & (F.row_number().over(w) > 1), keeper))
+    w = Window.partitionBy("aid", key).orderBy(depth, dir_, "first_path")
+    return sets.withColumn("twin_of", F.when(known.isNotNull() & (F.row_number().over(w) > 1), F.first("set").over(w)))
 
 
 def judged(sets: DataFrame) -> DataFrame:
-    """Sets with verdict and rule.
+    """Sets with verdict and rule: the first rule that applies, in a fixed order.
 
-    Evidence columns of a set: kind, base_identical, config_unreadable, dtype, quant_method, complete, header_read,
-    headers_disagree, imatrix, foreign_source, twin_of. Of level-named groups, candidates are those whose source
-    isn't claimed elsewhere; how many sources an artifact holds is counted beside each of its groups."""
+    Evidence columns of a set: kind, format, base_identical, config_unreadable, dtype, quant_method, complete,
+    header_read, headers_disagree, imatrix, foreign_source, twin_of. Tensor and legacy sets are judged first; how many
+    of an artifact may be a conversion source, and how many are unknown, then decides on its level-named groups."""
     w = Window.partitionBy("aid")
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    tensors, legacy, group = F.col("format") == "safetensors", F.col("format") == "legacy", F.col("kind") == "gguf"
     full = F.col("dtype").isin(*FULL_FIDELITY)
-    source = F.col("kind").isin("indexed", "standalone") & F.col("twin_of").isNull()
-    negative = source & full & F.col("quant_method").isNull() & ~F.coalesce("config_unreadable", F.lit(False))
-    established = F.sum(negative.cast("int")).over(w)
-    uncertain = F.sum((F.col("kind").isin("index_error", "orphan") | (source & F.col("dtype").isNull())).cast("int")).over(w)
-    beside = F.max(F.col("kind").isin("indexed", "standalone", "orphan", "index_error")).over(w)
-    k = lambda *kinds: F.col("kind").isin(*kinds)
-    unclear = k("index_error") | F.coalesce("config_unreadable", F.lit(False)) | ~F.coalesce("complete", F.lit(True)) | F.col("dtype").isNull()
-    tensors = k("indexed", "standalone", "orphan", "index_error")
-    group = k("gguf")
-    # the rule decides the verdict; the first that applies holds
-    rule = (
-        F.when(k("support"), "R1")
+    own = (
+        F.when(F.col("kind") == "support", "R1")
         .when(F.col("twin_of").isNotNull(), "R15")
-        .when(F.coalesce("base_identical", F.lit(False)), "R2")
-        .when(tensors & unclear, "R14")
+        .when(~group & flag("base_identical"), "R2")
+        .when(tensors & ((F.col("kind") == "index_error") | flag("config_unreadable")), "R14")
         .when(tensors & (F.col("quant_method").isNotNull() | ~full), "R5")
-        .when(k("orphan"), "R6")
-        .when(k("indexed"), "R3")
-        .when(k("standalone"), "R4")
-        .when(k("legacy") & beside, "R12")
-        .when(k("legacy"), "R13")
-        .when(group & (~F.coalesce("complete", F.lit(True)) | ~F.coalesce("header_read", F.lit(False)) | F.coalesce("headers_disagree", F.lit(False))), "R14")
-        .when(group & F.coalesce("imatrix", F.lit(False)), "R7")
-        .when(group & F.coalesce("foreign_source", F.lit(False)), "R8")
-        .when(group & ((F.col("uncertain") > 0) | (F.col("established") >= 2)), "R11")
-        .when(group & (F.col("established") == 0), "R10")
-        .otherwise("R9")
+        .when(tensors & F.col("dtype").isNull(), "R14")
+        .when(tensors & (F.col("kind") == "orphan"), "R6")
+        .when(tensors & (F.col("kind") == "indexed"), "R3")
+        .when(tensors, "R4")
+        .when(legacy & F.max(tensors).over(w), "R12")
+        .when(legacy, "R13")
+    )
+    counted = sets.withColumn("own", own)
+    counted = counted.withColumn("established", F.sum(F.col("own").isin(*CANDIDATES).cast("int")).over(w)).withColumn("uncertain", F.sum((F.col("own") == "R14").cast("int")).over(w))
+    rule = (
+        F.when(F.col("own").isNotNull(), F.col("own"))
+        .when(~flag("complete") | ~flag("header_read") | flag("headers_disagree"), "R14")
+        .when(flag("imatrix"), "R7")
+        .when(flag("foreign_source"), "R8")
+        .when(F.coalesce("uncertain", F.lit(0)) > 0, "R11")
+        .when(F.coalesce("established", F.lit(0)) == 0, "R10")
+        .when(F.col("established") == 1, "R9")
+        .otherwise("R11")
     )
     verdict = F.when(F.col("rule") == "R1", "support").when(F.col("rule").isin("R2", "R15"), "print").when(F.col("rule").isin("R3", "R4", "R5", "R7", "R10", "R13"), "negative").otherwise("unknown")
-    counted = sets.withColumn("established", established).withColumn("uncertain", uncertain)
-    return counted.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("skip", F.col("rule") == "R15").drop("established", "uncertain")
+    return counted.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("skip", F.col("rule") == "R15").drop("own", "established", "uncertain")
+
+
+def classified(files: DataFrame, indexes: DataFrame, configs: DataFrame, types: DataFrame, headers: DataFrame, base: DataFrame, locators: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with the kind, set, rule, verdict and skip of their set; the judged sets)."""
+    members = file_sets(files, indexes)
+    sets = judged(with_twins(evidence(members, configs, types, headers, base, locators)))
+    return members.join(sets.select(*SET, "rule", "verdict", "skip"), SET), sets
 
 
 def verdict_totals(sets: DataFrame) -> DataFrame:
@@ -126,20 +211,61 @@ def verdict_totals(sets: DataFrame) -> DataFrame:
     )
 
 
+def literal(path: Column) -> Column:
+    """A path as a pattern anchored to the root, its special characters in brackets."""
+    return F.concat(F.lit("/"), F.regexp_replace(path, r"([*?\[])", r"[$1]"))
+
+
+def set_patterns(files: DataFrame) -> DataFrame:
+    """(aid, pattern, wild) of each kept weight set: its one path, or the pattern of its numbered shards, else null."""
+    x = files.where("not skip and kind <> 'support'")
+    name = basename(F.col("path"))
+    shape = F.when(name.rlike(NUMBERED), joined(folder(F.col("path")), F.concat(F.regexp_extract(name, NUMBERED, 1), F.lit("*"), F.regexp_extract(name, NUMBERED, 2))))
+    rows = x.groupBy(*SET).agg(F.count("*").alias("n"), F.min("path").alias("path"), F.count(shape).alias("shaped"), F.min(shape).alias("least"), F.max(shape).alias("most"))
+    pattern = F.when(F.col("n") == 1, F.col("path")).when((F.col("shaped") == F.col("n")) & (F.col("least") == F.col("most")), F.col("least"))
+    return rows.select("aid", pattern.alias("pattern"), pattern.rlike(r"[*?\[]").alias("wild"))
+
+
 def keep_list(files: DataFrame) -> DataFrame:
-    """Patterns that select exactly the kept files (`skip` false) of each artifact: extension globs if they do, else
-    literal paths; everything, with a note, where nothing is skipped or nothing would be left."""
-    ext = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    x = files.withColumn("ext", ext)
-    mixed = Window.partitionBy("aid", "ext")
-    x = x.withColumn("pure", F.min("skip").over(mixed) == F.max("skip").over(mixed))
+    """Patterns that select exactly the kept files of each artifact (aid, path, kind, set, skip), found by replay.
+
+    Tried in turn: a pattern for each kept weight set, which also fits base names; the same anchored to the root; every
+    kept path. Support files that don't ride along anyway are listed in each. Where nothing is skipped `include` is
+    null; where nothing would be left, or no attempt selects just what is kept, it is null with a note.
+    Plain patterns meet files by equality; only patterns of shards are matched one by one within an artifact."""
+    weight, sidecar = F.col("kind") != "support", is_sidecar(F.col("path"))
+    patterns = set_patterns(files)
+    plain = patterns.where("not wild").select("aid", F.col("pattern").alias("path"), F.lit(True).alias("hit")).distinct()
+    wild = patterns.where("wild").select("aid", glob_column(F.col("pattern")).alias("regex")).distinct()
+    weights = files.where(weight).select("aid", "path").distinct()
+    found = lambda key: weights.withColumn("key", key).join(plain.withColumnRenamed("path", "key"), ["aid", "key"]).select("aid", "path")
+    shards = lambda key: weights.join(wild, "aid").where(F.rlike(key, F.col("regex"))).select("aid", "path")
+    whole, name = F.col("path"), basename(F.col("path"))
+    anchored = found(whole).union(shards(whole)).distinct().withColumn("anchored", F.lit(True))
+    loose = found(whole).union(shards(whole)).union(found(name)).union(shards(name)).distinct().withColumn("loose", F.lit(True))
+    x = files.join(anchored, ["aid", "path"], "left").join(loose, ["aid", "path"], "left")
+    replayed = lambda column: F.bool_and((~weight | sidecar | F.coalesce(F.col(column), F.lit(False))) == ~F.col("skip"))
+    listed = ~weight & ~sidecar
     out = x.groupBy("aid").agg(
         F.bool_or("skip").alias("some"),
-        F.bool_or(~F.col("skip")).alias("left"),
-        F.bool_and(F.col("pure") & (F.col("ext") != "")).alias("by_ext"),
-        F.sort_array(F.collect_set(F.when(~F.col("skip"), F.concat(F.lit("*"), F.col("ext"))))).alias("globs"),
-        F.sort_array(F.collect_set(F.when(~F.col("skip"), F.concat(F.lit("/"), F.col("path"))))).alias("paths"),
+        F.bool_or(~F.col("skip") & weight).alias("left"),
+        replayed("loose").alias("loose"),
+        replayed("anchored").alias("anchored"),
+        F.bool_and(~(F.col("skip") & sidecar)).alias("by_path"),
+        F.collect_set(F.when(listed, literal(whole))).alias("support"),
+        F.sort_array(F.collect_set(F.when(~F.col("skip"), literal(whole)))).alias("paths"),
+    )
+    every = patterns.groupBy("aid").agg(F.bool_and(F.col("pattern").isNotNull()).alias("all"), F.collect_set("pattern").alias("globs"))
+    out = out.join(every, "aid", "left")
+    all_ = F.coalesce("all", F.lit(False))
+    with_support = lambda globs: F.sort_array(F.array_union(globs, F.col("support")))
+    open_ = F.col("some") & F.col("left")
+    include = (
+        F.when(~open_, F.lit(None))
+        .when(all_ & F.col("loose"), with_support(F.col("globs")))
+        .when(all_ & F.col("anchored"), with_support(F.transform("globs", lambda g: F.concat(F.lit("/"), g))))
+        .when(F.col("by_path"), F.col("paths"))
     )
-    everything = ~F.col("some") | ~F.col("left")
-    patterns = F.when(everything, F.array(F.lit("/*"))).when(F.col("by_ext"), F.col("globs")).otherwise(F.col("paths"))
-    return out.select("aid", patterns.alias("include"), F.when(everything & F.col("some"), "nothing would be left").alias("note"))
+    note = F.when(F.col("some") & ~F.col("left"), "nothing would be left").when(open_ & include.isNull(), "no pattern selects just this")
+    by_path = F.when(include.isNotNull(), ~(all_ & (F.col("loose") | F.col("anchored"))))
+    return out.select("aid", include.alias("include"), by_path.alias("explicit_paths"), note.alias("note"))

@@ -195,3 +195,15 @@ def replicas(copies: DataFrame) -> DataFrame:
     latest = copies.where("location <> own_location").withColumn("n", F.row_number().over(w)).where("n = 1")
     out = latest.groupBy("aid").agg(F.count("*").alias("copies"), F.max("at").alias("latest"))
     return copies.select("aid").distinct().join(out, "aid", "left").select("aid", F.coalesce("copies", F.lit(0)).alias("copies"), "latest", F.when(F.col("copies") > 0, "replicated").otherwise("single").alias("backup_status"))
+
+
+def entry_fields(entries: DataFrame) -> DataFrame:
+    """Entries (k, source, estimate) with what the stored estimate says of precision and size, how the name reads, and
+    the address of closed work; one without an estimate has null there."""
+    from stockroom.functions import names
+    from stockroom.operators.overlay import closed_source
+
+    name = F.regexp_extract("source", r"([^/:]+)/*$", 1)
+    x = names.with_lineage(entries.withColumn("name", name))
+    stated = [F.col(f"estimate.{c}").alias(c) for c in ("precision", "bytes_per_param", "size_basis", "unknown_size_count")]
+    return x.select("k", "source", "lineage", *stated, closed_source(F.col("source")).alias("home"))

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Names of files that ride along with any selection, compared without case. Fixed values.
-SIDECARS = ("readme*", "license*", "notice*", "*.md", "config.json", "tokenizer*", "*.txt.index")
+SIDECARS = (
+    "README", "README.*", "LICENSE", "LICENSE.*", "LICENCE", "LICENCE.*", "COPYING", "COPYING.*", "license", "license.*",
+    "config.json", "generation_config.json", "*.index.json", "tokenizer.json", "tokenizer.model", "tokenizer_config.json", "vocab.json", "merges.txt",
+    "special_tokens_map.json", "added_tokens.json", "chat_template*", "preprocessor_config.json", "video_preprocessor_config.json", "spiece.model", "tiktoken.model",
+    "*.tiktoken", "*.py", "dataset_infos.json",
+)
 WEIGHTS = (".safetensors", ".gguf", ".bin", ".pt", ".pth", ".onnx", ".h5", ".msgpack")
 
 
@@ -55,7 +60,7 @@ def matches(path: Column, patterns: list[str]) -> Column:
 
 
 def is_sidecar(path: Column) -> Column:
-    every = "|".join(glob_regex(p.lower())[4:] for p in SIDECARS)
+    every = "|".join(dict.fromkeys(glob_regex(p.lower())[4:] for p in SIDECARS))
     return F.lower(basename(path)).rlike(f"(?s)({every})")
 
 

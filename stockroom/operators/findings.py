@@ -36,6 +36,33 @@ def from_diff(diff: DataFrame) -> DataFrame:
     return diff.select(finding_id(F.lit("payload"), path, F.lit(None)).alias("id"), F.lit("payload").alias("check_id"), severity.alias("severity"), path.alias("path"), F.col("verdict").alias("summary"))
 
 
+def from_manifests(rows: DataFrame) -> DataFrame:
+    """Standings of manifests (file, standing) as findings: unreadable and unsupported ones are critical, an older form
+    is a warning with an action."""
+    bad = rows.where("standing <> 'current'")
+    severity = F.when(F.col("standing") == "migrate", "warning").otherwise("critical")
+    return bad.select(finding_id(F.lit("manifest"), F.col("file"), F.lit(None)).alias("id"), F.lit("manifest").alias("check_id"), severity.alias("severity"), F.col("file").alias("path"), F.col("standing").alias("summary"))
+
+
+def from_paths(unsafe: DataFrame) -> DataFrame:
+    """Unsafe paths (aid, path) as findings."""
+    path = F.concat_ws("/", "aid", "path")
+    return unsafe.select(finding_id(F.lit("paths"), path, F.lit(None)).alias("id"), F.lit("paths").alias("check_id"), F.lit("critical").alias("severity"), path.alias("path"), F.lit("outside the payload").alias("summary"))
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """By check, then path."""
+    return findings.orderBy("check_id", "path", "id")
+
+
+def assembled(*checks: DataFrame, only: list[str] | None = None, skip: list[str] | None = None, least: str = "info") -> DataFrame:
+    """What several checks found as one table, selected; a finding that two checks report counts once."""
+    every = checks[0]
+    for more in checks[1:]:
+        every = every.unionByName(more)
+    return selected(every.dropDuplicates(["id"]), only, skip, least)
+
+
 def report(findings: DataFrame) -> DataFrame:
     """Counts by severity and the overall status."""
     out = findings.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES), F.count("*").alias("findings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,11 +51,28 @@ def descendants(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parent").agg(F.count("*").alias("children"), *(F.count_if(F.col("relation") == k).alias(k) for k in kinds))
 
 
-def ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """Every ancestor within `depth` steps and the fewest steps to it; cycles end there."""
-    hops = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    levels = [hops]
-    up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    for d in range(2, depth + 1):
-        levels.append(levels[-1].join(up, "ancestor").select("child", F.col("next").alias("ancestor"), F.lit(d).alias("depth")).where("child <> ancestor").distinct())
-    return reduce(DataFrame.union, levels).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+def graph_edges(metadata: DataFrame, forks: DataFrame, references: DataFrame) -> DataFrame:
+    """All edges as one table: declared parents, forks (child, parent) and the primary works of source trees (tree,
+    primary); a declared pair wins over a fork, and that over a reference."""
+    every = parents(metadata).withColumn("rank", F.lit(0))
+    fork = forks.select("child", "parent", F.lit("fork").alias("relation"), F.lit("provider").alias("declared_by"), F.lit(1).alias("rank"))
+    read = references.where("primary is not null").select(F.col("tree").alias("child"), F.col("primary").alias("parent"), F.lit("references").alias("relation"), F.lit("scan").alias("declared_by"), F.lit(2).alias("rank"))
+    first = F.min_by(F.struct("relation", "declared_by"), "rank").alias("e")
+    return every.unionByName(fork).unionByName(read).groupBy("child", "parent").agg(first).select("child", "parent", "e.relation", "e.declared_by")
+
+
+def ancestors(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every ancestor and the fewest steps to it, at any depth; cycles end there.
+
+    Each round doubles the steps: known ways meet known ways, so a chain of n takes about log2(n) rounds. A round ends in
+    `cut` (a checkpoint or a stored table), and the last is the one that adds or shortens nothing."""
+    known = cut(edges.where("child <> parent").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    state = None
+    while True:
+        further = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        ways = known.join(further, "ancestor").where("child <> next").select("child", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = cut(known.union(ways).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        now = tuple(known.agg(F.count("*"), F.sum("depth")).first())
+        if now == state:
+            return known
+        state = now

@@ -44,6 +44,16 @@ def canonical_source(ref: Column) -> Column:
     return F.when(hub != "", F.concat(F.lit("huggingface:"), hub)).when(code != "", F.concat(F.lit("github:"), code)).when(bare != "", F.concat(F.lit("huggingface:"), bare))
 
 
+def is_closed(ref: Column) -> Column:
+    """An address on a host that no provider serves: work that can't be fetched."""
+    return F.coalesce(F.trim(ref).rlike(r"^https?://") & canonical_source(ref).isNull(), F.lit(False))
+
+
+def closed_source(ref: Column) -> Column:
+    """The canonical form of closed work: its address without fragment and closing slashes."""
+    return F.when(is_closed(ref), F.regexp_replace(F.regexp_replace(F.trim(ref), r"#.*$", ""), r"/+$", ""))
+
+
 def publisher(source: Column) -> Column:
     """Who published a canonical source; null for addresses and single-segment names."""
     found = F.regexp_extract(source, r"^(?:[a-z]+:)?(?:datasets/)?([^/:]+)/[^/]+$", 1)
@@ -62,7 +72,7 @@ def overlay(entries: DataFrame, holdings: DataFrame) -> DataFrame:
     same = (F.col("e_include") == include_key(F.col("h_include"))) | ((F.size("e_include") == 0) & F.col("h_policy"))
     found = e.join(h, (F.col("e_source") == F.col("h_source")) & fits & same, "left")
     best = Window.partitionBy("k").orderBy(F.col("h_part").asc_nulls_last(), F.col("h_archived").desc_nulls_last(), "h_path")
-    closed = F.col("e_source").rlike("^https?://")
+    closed = is_closed(F.col("e_source"))
     status = F.when(closed, "closed").when(F.col("h_source").isNull(), "want").when(F.col("h_part"), "partial").otherwise("have")
     return found.withColumn("n", F.row_number().over(best)).where("n = 1").select("k", F.col("e_source").alias("source"), status.alias("status"), F.col("h_path").alias("held_at"), F.col("h_archived").alias("archived"))
 
@@ -101,6 +111,7 @@ def sort_keys(by: str) -> list[Column]:
         "size": [remaining.desc(), last],
         "name": [F.lower(F.substring_index("source", "/", -1)), last],
         "status": [rank, last],
+        "family": [F.lower("family").asc_nulls_last(), last] if by == "family" else [],
     }[by]
 
 
@@ -216,6 +227,11 @@ def priced(primary: DataFrame, inventory: DataFrame) -> DataFrame:
     return primary.join(totals, "primary", "left").select("tree", "primary", F.col("files").isNotNull().alias("held"), "files", "bytes", "unknown_sizes")
 
 
+def listed(rows: DataFrame, by: str = "next") -> DataFrame:
+    """Rows with their place in the listing of their own catalog."""
+    return rows.withColumn("listed", F.row_number().over(Window.partitionBy("catalog_id").orderBy(*sort_keys(by))))
+
+
 def top_variants(variants: DataFrame, most: int = 10) -> DataFrame:
     """Variants of each parent by downloads, ties by name."""
     w = Window.partitionBy("parent").orderBy(F.col("downloads").desc(), "child")

@@ -68,9 +68,25 @@ def changed_since(listing: DataFrame, moment: Column) -> DataFrame:
     return listing.groupBy("aid").agg(F.max("modified").alias("newest")).where(F.col("newest") >= moment)
 
 
+#: Rows that a dimension may have; a larger one is an error and not a silent broadcast.
+DIMENSION_ROWS = 10_000
+
+
+def listed(dimension: DataFrame, *columns: str) -> Column:
+    """A small table as one array column, its rows counted first; rows then meet all of it without a join."""
+    rows = dimension.toDF(*columns) if columns else dimension
+    got = rows.limit(DIMENSION_ROWS + 1).collect()
+    if len(got) > DIMENSION_ROWS:
+        raise ValueError(f"a dimension has over {DIMENSION_ROWS} rows")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    one = lambda r: [F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]
+    made = [F.struct(*one(r)) if len(kinds) > 1 else one(r)[0] for r in got]
+    return F.array(*made) if made else F.array().cast(f"array<{rows.schema.simpleString()}>" if len(kinds) > 1 else f"array<{rows.schema[0].dataType.simpleString()}>")
+
+
 def runnable(models: DataFrame, machines: DataFrame) -> DataFrame:
     """Each model on each machine of a small table: an error under its need of memory, a warning under 1.3 times."""
-    x = models.join(F.broadcast(machines))  # machines are a dimension
+    x = models.withColumn("m", F.explode(listed(machines.select("machine", "ram_bytes")))).select("aid", "need", "m.*")
     verdict = F.when(F.col("need").isNull(), "unknown").when(F.col("ram_bytes") < F.col("need"), "error").when(F.col("ram_bytes") < F.col("need") * 1.3, "warning").otherwise("ok")
     return x.select("aid", "machine", verdict.alias("verdict"))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stockroom.operators.ranks import Cut, running
+from stockroom.operators.rules import listed
+
 
 def transfer_plan(states: DataFrame) -> DataFrame:
     """Files and bytes by state; a partial file has what lies on disk, at most its size."""
@@ -91,24 +97,57 @@ def disk_verdict(need: Column, free: Column, floor: Column) -> Column:
     return F.when(usable >= need * 1.1, "ok").when(usable >= need, "tight").otherwise("insufficient")
 
 
-def lanes(files: DataFrame, n: int) -> DataFrame:
+def disk_verdicts(need: DataFrame, disks: DataFrame, floor: int) -> DataFrame:
+    """The verdict of each artifact (aid, need) on each disk of a small table (disk, free)."""
+    x = need.withColumn("d", F.explode(listed(disks.select("disk", "free")))).select("aid", "need", "d.*")
+    return x.select("aid", "disk", disk_verdict(F.col("need"), F.col("free"), F.lit(floor)).alias("verdict"))
+
+
+def lane_runs(sizes: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(size, first, files, lanes): from `first` on, so many files of a size go to these lanes in turn.
+
+    `sizes` are (size, files), largest first. A file goes to the lightest lane, ties to the fewer files, then the lower
+    number. Lanes within one file of the lightest take turns until they reach the next heavier one."""
+    load = [[0, 0, k] for k in range(n)]
+    for size, files in sizes:
+        first = 0
+        while first < files:
+            load.sort()
+            turn = [x for x in load if x[0] < load[0][0] + size] or load[:1]
+            above = load[len(turn)][0] if len(turn) < n else None
+            heaviest = turn[-1][0]
+            rounds = (files - first) // len(turn)
+            if size and above is not None:
+                rounds = min(rounds, max(-((heaviest - above) // size), 0))
+            if rounds and size:
+                took = len(turn) * rounds
+            else:  # sizes of zero go by the number of files, and what is left of a round one by one
+                turn, rounds, took = load[:1], 1, 1
+            yield size, first, took, [x[2] for x in turn]
+            for x in turn:
+                x[0] += size * rounds
+                x[1] += rounds
+            first += took
+
+
+def lanes(files: DataFrame, n: int, cut: Cut) -> DataFrame:
     """Files dealt to n lanes, largest first to the lightest lane, ties to the fewer files, then the lower number.
 
-    One artifact's listing (paths and sizes only) is one group, since each choice depends on those before it."""
+    The plan is made on how many files of each size an artifact has, and says which lanes take turns from which rank on;
+    files of equal size rank by path. An unknown size counts as zero; files of size zero take a row of the plan each."""
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        load = [[0, 0, k] for k in range(n)]
-        pdf = pdf.sort_values(["size", "path"], ascending=[False, True])
-        out = []
-        for size in pdf["size"]:
-            lightest = min(load)
-            lightest[0] += int(size)
-            lightest[1] += 1
-            out.append(lightest[2])
-        return pd.DataFrame({"aid": pdf["aid"], "path": pdf["path"], "size": pdf["size"], "lane": out})
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size", ascending=False)
+        out = [(pdf["aid"].iloc[0], *r) for r in lane_runs(list(zip(pdf["size"].tolist(), pdf["files"].tolist())), n)]
+        return pd.DataFrame(out, columns=["aid", "size", "first", "took", "turn"])
 
-    fields = {f.name: f.dataType.simpleString() for f in files.schema}
-    return files.select("aid", "path", F.coalesce("size", F.lit(0)).alias("size")).groupBy("aid").applyInPandas(deal, f"aid {fields['aid']}, path {fields['path']}, size long, lane long")
+    kind = {f.name: f.dataType.simpleString() for f in files.schema}
+    x = files.select("aid", "path", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    counts = x.groupBy("aid", "size").agg(F.count("*").alias("files"))
+    turns = counts.groupBy("aid").applyInPandas(plan, f"aid {kind['aid']}, size long, first long, took long, turn array<int>")
+    ranked = running(x, ["aid", "size"], ["path"], cut).withColumn("at", F.col("rank") - 1).drop("rank", "upto")
+    dealt = ranked.join(turns, ["aid", "size"]).where("at >= first and at < first + took")
+    return dealt.select("aid", "path", "size", F.get("turn", ((F.col("at") - F.col("first")) % F.size("turn")).cast("int")).cast("long").alias("lane"))
 
 
 def lane_stats(dealt: DataFrame, n: int) -> DataFrame:
@@ -118,19 +157,28 @@ def lane_stats(dealt: DataFrame, n: int) -> DataFrame:
     return by.withColumn("skewed", F.max("bytes").over(w) * n > F.sum("bytes").over(w) * 1.5)
 
 
-def scan_budget(files: DataFrame, each: int, total: int) -> DataFrame:
-    """Files to read within a budget, in order of priority: one that is too large is skipped, one that the rest of the
-    budget can't hold too, but later ones are still considered. A tree's listing is one group."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, left, out = pdf.sort_values(["priority", "path"]), total, []
-        for size in pdf["size"]:
-            outcome = "oversize" if size > each else "over budget" if size > left else "read"
-            left -= size if outcome == "read" else 0
-            out.append(outcome)
-        return pd.DataFrame({"aid": pdf["aid"], "path": pdf["path"], "outcome": out})
-
-    return files.groupBy("aid").applyInPandas(choose, f"aid {files.schema['aid'].dataType.simpleString()}, path string, outcome string")
+def scan_budget(files: DataFrame, each: int, total: int, cut: Cut, most: int | None = None) -> DataFrame:
+    """Files to read within a budget of bytes and a number of files, in order of priority, then path: one that is too
+    large is skipped, one that the rest of the budget can't hold too, but later ones are still considered.
+
+    In rounds: the files in order up to the first that doesn't fit are read; what is larger than the rest of the budget
+    is out for good; the others go on. Running sums are taken in parts, so a tree of any size is no single task."""
+    size = F.coalesce("size", F.lit(0)).cast("long")
+    x = files.select("aid", "path", "priority", size.alias("size"))
+    done = [x.where(F.col("size") > each).select("aid", "path", F.lit("oversize").alias("outcome"))]
+    rest = x.where(F.col("size") <= each).withColumns({"left": F.lit(total).cast("long"), "slots": F.lit(most or 2**62).cast("long")})
+    while True:
+        rest = cut(running(rest, ["aid"], ["priority", "path"], cut, "size"))
+        fits = (F.col("upto") <= F.col("left")) & (F.col("rank") <= F.col("slots"))
+        # sizes are no less than zero, so what fits is a prefix
+        spent = rest.where(fits).groupBy("aid").agg(F.max("upto").alias("spent"), F.max("rank").alias("took"))
+        state = rest.join(spent, "aid", "left").withColumns({"now": F.col("left") - F.coalesce("spent", F.lit(0)), "slots_now": F.col("slots") - F.coalesce("took", F.lit(0))})
+        out = (F.col("size") > F.col("now")) | (F.col("slots_now") <= 0)
+        done.append(state.where(fits | out).select("aid", "path", F.when(fits, "read").otherwise("over budget").alias("outcome")))
+        rest = state.where(~fits & ~out).select("aid", "path", "priority", "size", F.col("now").alias("left"), F.col("slots_now").alias("slots"))
+        rest = cut(rest)
+        if rest.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def latest(history: DataFrame, keep: int = 50) -> DataFrame:

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.functions import names
-from stockroom.operators import classify, enrich, files, findings, integrity, lineage, overlay, references, rules, transfers, weights
+from stockroom.operators import enrich, files, findings, integrity, lineage, overlay, rules, transfers, weights
+from stockroom.plans import registry
 from stockroom.plans.derive import cte, view
+from stockroom.plans.registry import query
 from stockroom.streaming import telemetry
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 PAIR = cte("inventory", "observed")
 DIFF = PAIR + """, diff as (select coalesce(e.aid, o.aid) as aid, coalesce(e.path, o.path) as path,
   case when o.path is null then 'missing' when e.path is null then 'extra' when e.sha256 is distinct from o.sha256 then 'mismatched' end as verdict
@@ -209,13 +194,16 @@ def t3(spark, sf):
     return overlay.next_entry(work(spark, sf)).select("k", "source", "status", "catalog_id", "desire")
 
 
-@query("t1_listing_order", WORK + """ select k, cast(row_number() over (order by case status when 'partial' then 0 when 'want' then 1 when 'have' then 2 when 'closed' then 3 else 4 end, desire desc nulls last, lower(source)) as int) as listed
-  from w where catalog_id = 'catalog0'""")
-def t1(spark, sf):
-    from pyspark.sql.window import Window
+RANK = "case status when 'partial' then 0 when 'want' then 1 when 'have' then 2 when 'closed' then 3 else 4 end"
+ORDERS = {"next": f"{RANK}, desire desc nulls last", "desire": "desire desc nulls last", "size": "coalesce(remaining, -1) desc", "name": "lower(split_part(source, '/', -1))", "status": RANK, "family": "lower(split_part(split_part(source, '/', 1), ':', -1)) nulls last"}
 
-    rows = work(spark, sf).where("catalog_id = 'catalog0'")  # the listing of one catalog
-    return rows.select("k", F.row_number().over(Window.orderBy(*overlay.sort_keys("next"))).alias("listed"))
+
+@query("t1_listing_order", WORK + ", " + ", ".join(f"o_{by} as (select k, '{by}' as sort, cast(row_number() over (partition by catalog_id order by {order}, lower(source)) as int) as listed from w)" for by, order in ORDERS.items()) + " " + " union all ".join(f"select * from o_{by}" for by in ORDERS))
+def t1(spark, sf):
+    """The place of every row in each of the six listings of its catalog."""
+    rows = work(spark, sf).withColumn("family", F.regexp_extract("source", ":([^/]+)/", 1))
+    out = [overlay.listed(rows, by).select("k", F.lit(by).alias("sort"), "listed") for by in ORDERS]
+    return reduce(DataFrame.union, out)
 
 
 @query("a30_idle_reason", WORK + """ select catalog_id, case when count(k) = 0 then 'empty' when count(*) filter (status in ('want', 'partial')) > 0 then 'not idle'
@@ -427,28 +415,36 @@ def w1(spark, sf):
     return transfers.disk_fit(view(spark, sf, "inventory"), F.lit(100000))
 
 
-@query("f20_disk_verdict", cte("inventory") + """, n as (select aid, cast(sum(size) as bigint) as need from inventory group by aid), d as (select s_suppkey as disk, cast(s_suppkey * 20000 as bigint) as free from supplier where s_suppkey <= 20)
+@query("f20_disk_verdict", cte("inventory") + """, n as (select aid, cast(sum(size) as bigint) as need from inventory group by aid), d as (select n_nationkey as disk, cast(n_nationkey * 20000 as bigint) as free from nation)
   select aid, disk, case when free - 10000 >= need * 1.1 then 'ok' when free - 10000 >= need then 'tight' else 'insufficient' end as verdict from n, d""")
 def f20(spark, sf):
     need = view(spark, sf, "inventory").groupBy("aid").agg(F.sum("size").alias("need"))
-    disks = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("disk"), (F.col("s_suppkey") * 20000).alias("free"))
-    return need.join(F.broadcast(disks)).select("aid", "disk", transfers.disk_verdict(F.col("need"), F.col("free"), F.lit(10000)).alias("verdict"))  # 20 disks at most
+    disks = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("disk"), (F.col("n_nationkey") * 20000).alias("free"))
+    return transfers.disk_verdicts(need, disks, 10000)
+
 
+LANES = cte("inventory").replace("with ", "with recursive ", 1) + """, r as (select aid, path, size, row_number() over (partition by aid order by size desc, path) as i from inventory),
+  s(aid, i, loads, lane) as (select distinct aid, cast(0 as bigint), [{'l': cast(0 as bigint), 'c': cast(0 as bigint), 'k': cast(0 as bigint)}, {'l': 0, 'c': 0, 'k': 1}, {'l': 0, 'c': 0, 'k': 2}, {'l': 0, 'c': 0, 'k': 3}], cast(null as bigint) from r
+    union all select s.aid, r.i, list_sort(list_prepend({'l': loads[1].l + r.size, 'c': loads[1].c + 1, 'k': loads[1].k}, loads[2:])), loads[1].k from s join r on r.aid = s.aid and r.i = s.i + 1),
+  lanes as (select r.aid, r.path, r.size, s.lane from r join s on r.aid = s.aid and r.i = s.i)"""
 
-@query("w3_lanes")
+
+@query("w3_lanes", LANES + " select * from lanes")
 def w3(spark, sf):
-    return transfers.lanes(view(spark, sf, "inventory"), 4)
+    return transfers.lanes(view(spark, sf, "inventory"), 4, registry.cut)
 
 
-@query("a27_lane_stats")
+@query("a27_lane_stats", LANES + ", b as (select aid, lane, count(*) as files, cast(sum(size) as bigint) as bytes from lanes group by aid, lane) select *, max(bytes) over (partition by aid) * 4 > sum(bytes) over (partition by aid) * 1.5 as skewed from b")
 def a27(spark, sf):
-    return transfers.lane_stats(transfers.lanes(view(spark, sf, "inventory"), 4), 4)
+    return transfers.lane_stats(transfers.lanes(view(spark, sf, "inventory"), 4, registry.cut), 4)
 
 
-@query("w2_scan_budget")
+@query("w2_scan_budget", cte("inventory").replace("with ", "with recursive ", 1) + """, c as (select aid, path, size, length(path) % 3 as priority from inventory), r as (select *, row_number() over (partition by aid order by priority, path) as i from c where size <= 2048),
+  s(aid, i, budget, taken) as (select distinct aid, cast(0 as bigint), cast(20000 as bigint), false from r union all select s.aid, r.i, case when r.size <= s.budget then s.budget - r.size else s.budget end, r.size <= s.budget from s join r on r.aid = s.aid and r.i = s.i + 1)
+  select r.aid, r.path, case when s.taken then 'read' else 'over budget' end as outcome from r join s on r.aid = s.aid and r.i = s.i union all select aid, path, 'oversize' from c where size > 2048""")
 def w2(spark, sf):
     listing = view(spark, sf, "inventory").select("aid", "path", "size", (F.length("path") % 3).alias("priority"))
-    return transfers.scan_budget(listing, each=8192, total=60000)
+    return transfers.scan_budget(listing, 2048, 20000, registry.cut)
 
 
 HISTORY = "with h as (select o_custkey as aid, o_orderkey as ordinal, o_orderdate as done, case when o_orderstatus = 'F' then 'fail' else 'pass' end as status from orders)"
@@ -524,10 +520,10 @@ def a24(spark, sf):
     return lineage.descendants(view(spark, sf, "edges"))
 
 
-@query("g3_ancestor_closure", cte("edges").replace("with ", "with recursive ", 1) + """, up(child, ancestor, depth) as (select child, parent, 1 from edges union all select up.child, e.parent, up.depth + 1 from up join edges e on up.ancestor = e.child where up.depth < 12)
+@query("g3_ancestor_closure", cte("edges").replace("with ", "with recursive ", 1) + """, up(child, ancestor, depth) as (select child, parent, 1 from edges union all select up.child, e.parent, up.depth + 1 from up join edges e on up.ancestor = e.child)
   select child, ancestor, cast(min(depth) as int) as depth from up group by all""")
 def g3(spark, sf):
-    return lineage.ancestors(view(spark, sf, "edges"), 12)
+    return lineage.ancestors(view(spark, sf, "edges"), registry.cut)
 
 
 @query("p21_declared_parents", """with m as (select c_custkey as c, 'work' || c_custkey as child from customer), e as (select child, 'base/b' || (c % 50) as parent, case when c % 4 = 0 then 'finetune' end as relation, 'card' as declared_by from m where c % 2 = 0
@@ -547,53 +543,6 @@ def p21(spark, sf):
     return lineage.parents(m)
 
 
-# references in texts
-
-
-def trees(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as files of source trees, each with a first line that refers to something."""
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    k, at = F.col("doc_id").cast("string"), F.col("doc_id") % 5
-    name = F.when(at == 0, ".env.sample").when(at == 1, "compose.yaml").when(at == 2, "Dockerfile").when(at == 3, "run.py").otherwise("README.md")
-    line = (
-        F.when(at == 0, F.concat(F.lit("MODEL=own"), F.col("doc_id") % 7, F.lit("/net-"), F.col("doc_id") % 11))
-        .when(at == 1, F.concat(F.lit("    image: reg.example/own:v"), F.col("doc_id") % 9))
-        .when(at == 2, F.concat(F.lit("FROM own/img:"), F.col("doc_id") % 9))
-        .when(at == 3, F.concat(F.lit('NAME = "own'), F.col("doc_id") % 7, F.lit("/net-"), F.col("doc_id") % 11, F.lit('"')))
-        .otherwise(F.concat(F.lit("see https://huggingface.co/own"), F.col("doc_id") % 7, F.lit("/net-"), F.col("doc_id") % 11))
-    )
-    return d.select(F.col("source").alias("tree"), F.concat(k, F.lit("/"), name).alias("path"), F.concat(line, F.lit("\n"), F.lower("text")).alias("text"))
-
-
-@query("x2_line_counts", "with l as (select source as tree, regexp_split_to_array(lower(text), '\\r\\n|[\\n\\r]') as a from documents) select tree, cast(sum(len(a) + 1) as bigint) as lines from l group by tree")
-def x2(spark, sf):
-    return references.lines_of(trees(spark, sf)).groupBy("tree").agg(F.count("*").alias("lines"))
-
-
-@query("x4_declared", """select source as tree, case doc_id % 5 when 0 then 'own' || (doc_id % 7) || '/net-' || (doc_id % 11) when 1 then 'reg.example/own:v' || (doc_id % 9) else 'own/img:' || (doc_id % 9) end as value, count(*) as n from documents where doc_id % 5 < 3 group by all""")
-def x4(spark, sf):
-    mine = F.col("value").rlike(r"^(own|reg\.example/)")  # planted lines; a text's own may start alike
-    return references.declared(references.lines_of(trees(spark, sf))).where(mine).groupBy("tree", "value").agg(F.count("*").alias("n"))
-
-
-FOLDED = """with h as (select source as tree, case when doc_id % 5 in (1, 2) then 'image' else 'hub' end as kind, case doc_id % 5 when 1 then 'reg.example/own:v' || (doc_id % 9) when 2 then 'own/img:' || (doc_id % 9) else 'own' || (doc_id % 7) || '/net-' || (doc_id % 11) end as ref,
-  case when doc_id % 5 < 3 then 1 when doc_id % 5 = 3 then 2 else 3 end as rank from documents), f as (select tree, kind, ref, min(rank) as rank, count(*) as occurrences from h group by all)"""
-
-
-@query("a18_reference_items", FOLDED + " select tree, kind, ref, case rank when 1 then 'declared' when 2 then 'evidence' else 'mentioned' end as tier, occurrences from f")
-def a18(spark, sf):
-    mine = F.col("ref").rlike(r"^(own|reg\.example/)")  # planted lines; prose in the texts may look like a reference too
-    return references.folded(references.hits(trees(spark, sf)).where(mine)).select("tree", "kind", "ref", "tier", "occurrences")
-
-
-@query("j17_a19_primary_work", FOLDED + """, q as (select *, kind = 'hub' and rank < 3 as asked from f), r as (select *, asked and row_number() over (partition by tree, asked order by rank, ref) <= 20 and ref like '%1' as resolved from q)
-  select tree, case when count(*) filter (resolved) = 1 then max(ref) filter (resolved) end as primary, case count(*) filter (resolved) when 1 then 'one' when 0 then 'none resolves' else 'several resolve' end as reason from r group by tree""")
-def a19(spark, sf):
-    items = references.folded(references.hits(trees(spark, sf)).where(F.col("ref").rlike(r"^(own|reg\.example/)")))
-    known = items.where("ref like '%1'").select("ref")
-    return references.primary(references.resolved(items, known))
-
-
 # findings
 
 FOUND = DIFF + """, f as (select 'payload:' || left(sha256('payload' || chr(0) || aid || '/' || path), 10) as id, case when verdict = 'extra' then 'warning' else 'critical' end as severity, aid || '/' || path as path, verdict as summary from diff where verdict is not null)"""
@@ -668,9 +617,10 @@ def st10(spark, sf):
     return telemetry.batch_budget_alerts(view(spark, sf, "stream"), 50000)
 
 
-@query("st3_smoothed_rate")
+@query("st3_smoothed_rate", STREAM + """, c as (select *, sum(moved) over (partition by aid order by ts, event_id rows unbounded preceding) as s from o), r as (select event_id, aid, ts, max(ts) over w - min(ts) over w as span, max(s) over w - min(s) over w as m from c window w as (partition by aid order by ts range between 36000 preceding and current row))
+  select aid, cast(floor(list_reduce(list(cast(m // span as double) order by ts, event_id), lambda a, b: 0.35::double * b + 0.65::double * a)) as bigint) as ema from r where span > 0 group by aid""")
 def st3(spark, sf):
-    return telemetry.batch_ema(view(spark, sf, "stream"), seconds=36000)
+    return telemetry.batch_ema(view(spark, sf, "stream"), seconds=36000).select("aid", F.floor("ema").alias("ema"))
 
 
 @query("st4_rollup", STREAM + ", h as (select aid, (ts // 3600) * 3600 as start, moved, kind from o) select aid, start, cast(sum(moved) as bigint) as bytes, count(*) as events, count(*) filter (kind = 'retry') as retries from h group by aid, start")
@@ -711,10 +661,10 @@ def f13(spark, sf):
     return rules.declarations(rows, rule_table(spark)).drop("paths")
 
 
-@query("f10_lfs_routing", cte("inventory") + """, a as (select source as aid, lang as dir, '*' || (doc_id % 10) || '.txt' as pattern from documents where doc_id % 50 = 0) select distinct i.aid, i.path from inventory i join a on i.aid = a.aid and i.path like a.dir || '/%' and i.path like replace('%' || a.pattern, '*', '%')""")
+@query("f10_lfs_routing", cte("inventory") + """, a as (select distinct source as aid, lang as dir, '*' || (n_chars % 10) || '.txt' as pattern from documents) select distinct i.aid, i.path from inventory i join a on i.aid = a.aid and i.path like a.dir || '/%' and i.path like replace('%' || a.pattern, '*', '%')""")
 def f10(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 50 = 0")
-    lines = d.select(F.col("source").alias("aid"), F.col("lang").alias("dir"), F.concat(F.lit("*"), F.col("doc_id") % 10, F.lit(".txt")).alias("pattern"))
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    lines = d.select(F.col("source").alias("aid"), F.col("lang").alias("dir"), F.concat(F.lit("*"), F.col("n_chars") % 10, F.lit(".txt")).alias("pattern"))
     return rules.lfs_routed(view(spark, sf, "inventory").select("aid", "path"), lines)
 
 
@@ -744,10 +694,10 @@ def p6(spark, sf):
     return p.select("p_partkey", F.round(weights.bytes_per_parameter(F.col("p_size"), F.col("p_partkey") % 5) * 1000).cast("long").alias("milli"))
 
 
-@query("p8_context_price", """select p_partkey, s_suppkey * 1000 as tokens, cast(((p_size % 5) * s_suppkey * 1000 + (p_size % 3) * least(s_suppkey * 1000, 4096)) * 8 * 128 * 2 * 2 as bigint) as bytes from part, supplier where s_suppkey <= 4""")
+@query("p8_context_price", """select p_partkey, (r_regionkey + 1) * 1000 as tokens, cast(((p_size % 5) * (r_regionkey + 1) * 1000 + (p_size % 3) * least((r_regionkey + 1) * 1000, 4096)) * 8 * 128 * 2 * 2 as bigint) as bytes from part, region""")
 def p8(spark, sf):
-    contexts = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey <= 4").select((F.col("s_suppkey") * 1000).alias("tokens"))
-    p = spark.read.parquet(f"{sf}/part.parquet").join(F.broadcast(contexts))  # four contexts at most
+    contexts = rules.listed(spark.read.parquet(f"{sf}/region.parquet").select((F.col("r_regionkey") + 1) * 1000), "tokens")
+    p = spark.read.parquet(f"{sf}/part.parquet").withColumn("tokens", F.explode(contexts))
     price = weights.context_bytes(F.col("p_size") % 5, F.col("p_size") % 3, F.lit(4096), F.lit(8), F.lit(128), F.lit(2), F.lit(2), F.col("tokens"))
     return p.select("p_partkey", "tokens", price.cast("long").alias("bytes"))
 
@@ -841,37 +791,6 @@ def t7(spark, sf):
     return overlay.top_variants(p).drop("n")
 
 
-@query("j9_base_identity", """with f as (select source as aid, lang as set, sha256(text) as s from documents), b as (select distinct sha256(text) as s from documents where doc_id % 10 <> 7)
-  select f.aid, 'indexed' as kind, f.set, bool_and(b.s is not null) as base_identical from f left join b on f.s = b.s group by f.aid, f.set""")
-def j9(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    s = F.sha2("text", 256).alias("sha256")
-    sets = d.select(F.col("source").alias("aid"), F.lit("indexed").alias("kind"), F.col("lang").alias("set"), F.lit("base").alias("base"), s)
-    return classify.base_identical(sets, d.where("doc_id % 10 <> 7").select(F.lit("base").alias("aid"), s))
-
-
-@query("a12_verdict_totals", """with v as (select p_brand as aid, cast(p_size as bigint) as bytes, case p_size % 4 when 0 then 'negative' when 1 then 'print' when 2 then 'unknown' else 'support' end as verdict, p_size % 4 = 1 and p_partkey % 2 = 0 as skip from part)
-  select aid, count(*) filter (verdict = 'negative') as negative_sets, count(*) filter (verdict = 'print') as print_sets, count(*) filter (verdict = 'unknown') as unknown_sets, count(*) filter (verdict = 'support') as support_sets,
-  cast(coalesce(sum(bytes) filter (verdict = 'negative'), 0) as bigint) as negative_bytes, cast(coalesce(sum(bytes) filter (verdict = 'print'), 0) as bigint) as print_bytes, cast(coalesce(sum(bytes) filter (verdict = 'unknown'), 0) as bigint) as unknown_bytes, cast(coalesce(sum(bytes) filter (verdict = 'support'), 0) as bigint) as support_bytes,
-  cast(coalesce(sum(bytes) filter (not skip), 0) as bigint) as kept_bytes, cast(coalesce(sum(bytes) filter (skip), 0) as bigint) as skipped_bytes from v group by aid""")
-def a12(spark, sf):
-    s = F.col("p_size")
-    verdict = F.when(s % 4 == 0, "negative").when(s % 4 == 1, "print").when(s % 4 == 2, "unknown").otherwise("support")
-    v = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("aid"), s.cast("long").alias("bytes"), verdict.alias("verdict"), ((s % 4 == 1) & (F.col("p_partkey") % 2 == 0)).alias("skip"))
-    return classify.verdict_totals(v)
-
-
-@query("k12_keep_list", """with f as (select source as aid, lang || doc_id || case when doc_id % 3 = 0 then '.bin' else '.md' end as path, doc_id % 3 = 0 and source <> 'src1' as skip from documents union all select source, 'extra.bin', false from documents where source in ('src2', 'src3') group by source),
-  g as (select aid, bool_or(skip) as has_skip, bool_or(not skip) as has_rest, max(case when path like '%.bin' and not skip then 1 else 0 end) as kept_bin from f group by aid)
-  select g.aid, case when not has_skip or not has_rest then '/*' when kept_bin = 0 then '*.md' else (select string_agg(distinct '/' || path, ',' order by '/' || path) from f where f.aid = g.aid and not f.skip) end as include from g""")
-def k12(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    bin_ = F.col("doc_id") % 3 == 0
-    f = d.select(F.col("source").alias("aid"), F.concat("lang", "doc_id", F.when(bin_, ".bin").otherwise(".md")).alias("path"), (bin_ & (F.col("source") != "src1")).alias("skip"))
-    extra = d.where("source in ('src2', 'src3')").select(F.col("source").alias("aid"), F.lit("extra.bin").alias("path"), F.lit(False).alias("skip")).distinct()
-    return classify.keep_list(f.union(extra)).select("aid", F.array_join("include", ",").alias("include"))
-
-
 @query("q4_hash_list", cte("inventory") + ", o as (select aid, doc_id, case when doc_id % 97 = 0 then sha256(sha256) else sha256 end as s, sha256, path from inventory) select aid, string_agg(sha256 || path, '' order by path) = string_agg(s || path, '' order by path) as agrees from o group by aid")
 def q4(spark, sf):
     inventory = view(spark, sf, "inventory")
@@ -883,7 +802,6 @@ def q4(spark, sf):
 @query("st_live_rollup", STREAM + ", h as (select aid, (ts // 3600) * 3600 as start, moved, kind, ts from o), m as (select max(ts) as top from o) select aid, start, cast(sum(moved) as bigint) as bytes, count(*) as events, count(*) filter (kind = 'retry') as retries from h, m where start + 3600 <= top - 31 group by aid, start")
 def st_live(spark, sf):
     """The hourly roll-up as a stream that is drained; windows that the watermark hasn't passed stay open."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     live = telemetry.rollup(telemetry.event_stream(spark, f"{sf}/events.parquet"), "1 hour")
-    out = telemetry.drained(live, f"{folder.rstrip('/')}/live-{uuid.uuid4().hex}")
+    out = telemetry.drained(live, registry.shared_path(spark, "live"))
     return out.select("aid", F.unix_timestamp("start").alias("start"), "bytes", "events", "retries")

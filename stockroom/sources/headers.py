@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: A header that claims more than this is malformed.
@@ -99,19 +102,25 @@ class Cursor:
         return str(self.number(SCALARS[kind]))
 
 
+def pairs(file) -> Iterator[tuple]:
+    """(key, type, value) of a key-value header."""
+    at = Cursor(file)
+    if at.take(4) != b"GGUF":
+        raise ValueError("no such header")
+    at.number("I")
+    at.number("Q")
+    for _ in range(at.number("Q")):
+        key, kind = at.text(), at.number("I")
+        yield key, kind, at.value(kind)
+
+
 class KeyValueReader(HeaderReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
             try:
                 with open(path, "rb") as file:
-                    at = Cursor(file)
-                    if at.take(4) != b"GGUF":
-                        raise ValueError("no such header")
-                    at.number("I")
-                    at.number("Q")
-                    for _ in range(at.number("Q")):
-                        key, kind = at.text(), at.number("I")
-                        yield path, key, kind, at.value(kind), None
+                    for pair in pairs(file):
+                        yield path, *pair, None
             except (OSError, ValueError, struct.error) as error:
                 yield path, None, None, None, str(error) or type(error).__name__
 
@@ -138,3 +147,37 @@ def tensors(spark: SparkSession, paths: list[str]) -> DataFrame:
 def key_values(spark: SparkSession, paths: list[str]) -> DataFrame:
     spark.dataSource.register(KeyValueHeaders)
     return spark.read.format("key_value_headers").option("paths", "\n".join(paths)).load()
+
+
+def tensors_of(rows: DataFrame) -> DataFrame:
+    """The same from bytes that a table holds (path, content), in any store that Spark reads."""
+    digits = F.hex(F.substring("content", 1, 8))
+    size = F.conv(F.concat(*(F.substring(digits, 2 * k - 1, 2) for k in range(8, 0, -1))), 16, 10).cast("decimal(20,0)")
+    whole = F.length("content") >= size + 8
+    head = F.decode(F.expr("substring(content, 9, int(least(__size, 2147483639)))"), "utf-8")
+    parsed = F.from_json(head, "map<string,struct<dtype:string,shape:array<bigint>>>")
+    error = F.when(F.length("content") < 8, "truncated").when(F.col("__size") > TENSOR_HEADER_BYTES, "header too long").when(~whole, "truncated").when(parsed.isNull(), "no JSON")
+    x = rows.withColumn("__size", size).withColumn("error", error)
+    good = x.where("error is null").select("path", F.explode(parsed).alias("tensor", "t")).where("tensor <> '__metadata__'")
+    good = good.select("path", "tensor", "t.dtype", "t.shape", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(x.where("error is not null").select("path", "error"), allowMissingColumns=True)
+
+
+def key_values_of(rows: DataFrame) -> DataFrame:
+    """The same for key-value headers; pairs before an error are kept."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    for pair in pairs(io.BytesIO(content.as_py() or b"")):
+                        out.append((path, *pair, None))
+                except (ValueError, struct.error) as error:
+                    out.append((path, None, None, None, str(error) or type(error).__name__))
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "key", "type", "value", "error"), r)) for r in out], FIELDS)
+
+    return rows.select("path", "content").mapInArrow(work, "path string, key string, type int, value string, error string")
+
+
+FIELDS = pa.schema([("path", pa.string()), ("key", pa.string()), ("type", pa.int32()), ("value", pa.string()), ("error", pa.string())])

@@ -13,17 +13,32 @@ CATALOG = "schema_version string, id string, title string, curator string, updat
 SNAPSHOT = "source string, revision string, files array<struct<path:string,size:long,blob_id:string,lfs:struct<sha256:string,size:long>>>"
 
 
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of every file of a tree of records."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
+def parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """One row for each JSON text (file, text); what can't be read is in `_corrupt`."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return rows.select("file", F.from_json("text", schema, options).alias("r")).select("r.*", "file")
+
+
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row for each JSON file, with its path; what can't be read is in `_corrupt`."""
-    return spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    """The same over the files of a tree."""
+    return parsed(texts(spark, path), schema)
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
+    return standing(documents(spark, path, MANIFEST))
+
+
+def standing(rows: DataFrame) -> DataFrame:
     """Manifests with a standing: unreadable, older (migrate), current or newer (unsupported); reserved folders are left out."""
     major = F.try_to_number(F.substring_index("schema_version", ".", 1), F.lit("999")).cast("int")
-    rows = documents(spark, path, MANIFEST).where(F.col("file").endswith("/manifest.json") & ~F.col("file").rlike(r"/(\.[^/]+|_[^/]+)/"))
-    standing = F.when(F.col("_corrupt").isNotNull() | F.col("schema_version").isNull(), "unreadable").when(major < 2, "migrate").when(major > 2, "unsupported").otherwise("current")
-    return rows.withColumn("standing", standing)
+    rows = rows.where(F.col("file").endswith("/manifest.json") & ~F.col("file").rlike(r"/(\.[^/]+|_[^/]+)/"))
+    found = F.when(F.col("_corrupt").isNotNull() | major.isNull(), "unreadable").when(major < 2, "migrate").when(major > 2, "unsupported").otherwise("current")
+    return rows.withColumn("standing", found)
 
 
 def inventory(manifest_rows: DataFrame) -> DataFrame:
@@ -84,8 +99,13 @@ def payload_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lfs_pointers(spark: SparkSession, path: str) -> DataFrame:
-    """Pointer files: object id and size of what they stand for. The size limit is pushed to the listing."""
-    small = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length <= 1024")
+    """Pointer files of a tree. The size limit is pushed to the listing."""
+    return pointers(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def pointers(rows: DataFrame) -> DataFrame:
+    """Object id and size of what pointer files (path, length, content) of at most 1024 bytes stand for."""
+    small = rows.where("length <= 1024")
     text = F.decode("content", "utf-8")
     found = small.where(text.startswith("version https://git-lfs.github.com/spec/v1"))
     return found.select("path", F.regexp_extract(text, r"oid sha256:([0-9a-f]{64})", 1).alias("oid"), F.regexp_extract(text, r"size (\d+)", 1).cast("long").alias("size"))
@@ -107,16 +127,21 @@ def catalog_json(entries: DataFrame) -> DataFrame:
     return out.select("catalog_id", F.to_json(F.struct(F.lit("3.0.0").alias("schema_version"), F.col("catalog_id").alias("id"), F.transform("entries", lambda e: e.dropFields("k")).alias("entries"))).alias("value"))
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Sessions, events or runs, by day; batch and stream read the same files."""
-    rows.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path)
+def append_history(rows: DataFrame, path: str, every: str = "day") -> None:
+    """Sessions, events or runs, by day or another period; batch and stream read the same files."""
+    rows.withColumn(every, F.date_format(F.date_trunc(every, "at"), "yyyy-MM-dd")).hint("rebalance", every).write.mode("append").partitionBy(every).parquet(path)
 
 
 def run_history(spark: SparkSession, path: str) -> DataFrame:
-    """Check runs, latest first; an unreadable report is incomplete."""
-    rows = documents(spark, path, "run_id string, created string, command string, status string, _corrupt string")
+    """Check runs of a tree, latest first."""
+    return runs(texts(spark, path)).orderBy(F.col("run_id").desc())
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """Check runs by their reports (file, text); an unreadable report is incomplete, and its folder names the run."""
+    rows = parsed(rows, "run_id string, created string, command string, status string, _corrupt string")
     bad = F.col("_corrupt").isNotNull() | F.col("status").isNull()
-    return rows.select(F.coalesce("run_id", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)).alias("run_id"), "created", "command", F.when(bad, "incomplete").otherwise(F.col("status")).alias("status")).orderBy(F.col("run_id").desc())
+    return rows.select(F.coalesce("run_id", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)).alias("run_id"), "created", "command", F.when(bad, "incomplete").otherwise(F.col("status")).alias("status"))
 
 
 def row_counts(spark: SparkSession, paths: str) -> DataFrame:
@@ -124,7 +149,24 @@ def row_counts(spark: SparkSession, paths: str) -> DataFrame:
     return spark.read.parquet(paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
 
 
-def latest_of(rows: DataFrame, keep: int = 50) -> DataFrame:
+def measured_rows(counts: DataFrame, heads: DataFrame) -> DataFrame:
+    """Row counts of an artifact's data files and how much of it was measured.
+
+    `heads` (aid, path, verdict) are all data files with their structural verdict, `counts` (path, rows) those that could
+    be read: measured if all were, partial if some, skipped if none; errors name the first ten others."""
+    x = heads.join(counts, "path", "left")
+    read = F.col("rows").isNotNull()
+    out = x.groupBy("aid").agg(
+        F.sum("rows").alias("rows"),
+        F.count_if(read).alias("files"),
+        F.slice(F.sort_array(F.collect_set(F.when(~read, F.concat_ws(": ", "path", F.coalesce("verdict", F.lit("unread")))))), 1, 10).alias("errors"),
+        F.bool_and(read).alias("all"),
+        F.bool_or(read).alias("any"),
+    )
+    return out.select("aid", "rows", "files", "errors", F.when(F.col("all"), "measured").when(F.col("any"), "partial").otherwise("skipped").alias("status"))
+
+
+def latest_of(rows: DataFrame, keep: int = 50, *ties: str) -> DataFrame:
     """The view that history readers take: the last rows of each artifact."""
-    w = Window.partitionBy("aid").orderBy(F.col("at").desc())
+    w = Window.partitionBy("aid").orderBy(F.col("at").desc(), *(F.col(c).desc() for c in ties))
     return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).drop("n")

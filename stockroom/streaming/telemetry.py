@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 WATERMARK = "30 seconds"
 RATE_SECONDS = 8
 EMA = 0.35
+#: 0.65 to this power is under 2**-150.
+FOLDED = 256
 STALL_SECONDS = 15
 HEARTBEAT_SECONDS = 300
 MOVING = ("network", "local")
@@ -70,9 +72,63 @@ def batch_budget_alerts(events: DataFrame, cap: int) -> DataFrame:
     return events.withColumn("used", used).where(F.col("used") >= cap).groupBy("aid").agg(F.min(F.struct("ts", "event_id", "used")).alias("first")).select("aid", "first.ts", "first.event_id", "first.used")
 
 
+def batch_alerts(events: DataFrame, cap: int, deadline: int, floor: int) -> DataFrame:
+    """The first event of each artifact at which network bytes reach the cap, the deadline has come, or what is free on
+    its disk (`free` at the start, less what has moved) falls under the floor; each reason fires once."""
+    upto = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    used = F.sum(F.when(F.col("kind") == "network", F.col("bytes")).otherwise(0)).over(upto)
+    moved = F.sum(F.when(F.col("kind").isin(*MOVING), F.col("bytes")).otherwise(0)).over(upto)
+    x = events.withColumns({"cap": used >= cap, "deadline": F.col("ts") >= deadline, "free": F.col("free") - moved < floor})
+    fired = x.select("aid", "ts", "event_id", F.explode(F.array_compact(F.array(*(F.when(F.col(r), F.lit(r)) for r in ("cap", "deadline", "free"))))).alias("reason"))
+    return fired.groupBy("aid", "reason").agg(F.min(F.struct("ts", "event_id")).alias("first")).select("aid", "reason", "first.ts", "first.event_id")
+
+
+def batch_hash_rate(events: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
+    """Hashed bytes a second over the last `seconds` at each hash event; unknown while anything else moves."""
+    w = Window.partitionBy("aid").orderBy("ts").rangeBetween(-seconds, 0)
+    others = F.count_if(F.col("kind").isin(*MOVING)).over(w)
+    rates = batch_rate(events, seconds, ("hash",)).select("event_id", "rate")
+    alone = events.withColumn("others", others).where("kind = 'hash'").select("event_id", "aid", "others")
+    return alone.join(rates, "event_id").select("event_id", "aid", F.when(F.col("others") == 0, F.col("rate")).alias("rate"))
+
+
+def batch_eta(points: DataFrame, most: int = 60, least_span: int = 30) -> DataFrame:
+    """Seconds to go at each point (aid, ts, done, total, rate, quiet, stalled) of an artifact.
+
+    The pace is that of the last `most` points where they span `least_span` seconds or more, else `rate`. Nothing is left
+    to do: 0; stalled, or no pace: null; while quiet, what was last told holds."""
+    w = Window.partitionBy("aid").orderBy("ts")
+    seen = w.rowsBetween(-(most - 1), 0)
+    span, gained = F.col("ts") - F.min("ts").over(seen), F.col("done") - F.first("done").over(seen)
+    pace = F.when(span >= least_span, gained / span).otherwise(F.col("rate"))
+    fresh = F.when(F.col("done") >= F.col("total"), 0.0).when(~F.col("stalled") & (pace > 0), (F.col("total") - F.col("done")) / pace)
+    x = points.withColumn("fresh", fresh).withColumn("told", F.when(~F.col("quiet") | (F.col("done") >= F.col("total")), F.struct("fresh")))
+    held = F.last("told", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).getField("fresh")
+    return x.select("aid", "ts", F.when(F.col("stalled"), F.lit(None)).otherwise(held).alias("eta"))
+
+
+def due(reports: DataFrame, every: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """Reports (aid, ts, phase, percent) to send: a change of phase or percent, or `every` seconds since the last sent.
+
+    Between two changes a report is sent when it is the first in its stretch of `every` seconds since the change; the
+    live meter counts from the last report sent instead, which differs where reports come rarely."""
+    key = F.concat_ws(" ", "phase", "percent")
+    w = Window.partitionBy("aid").orderBy("ts")
+    changed = ~key.eqNullSafe(F.lag(key).over(w))
+    x = reports.withColumn("changed", changed).withColumn("island", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("aid", "island").orderBy("ts")
+    stretch = F.floor((F.col("ts") - F.first("ts").over(own)) / every)
+    x = x.withColumn("stretch", stretch)
+    return x.withColumn("before", F.lag("stretch").over(own)).where("before is null or before <> stretch").select("aid", "ts", "phase", "percent")
+
+
 def batch_ema(events: DataFrame, share: float = EMA, seconds: int = RATE_SECONDS) -> DataFrame:
-    """The smoothed rate after all of an artifact's events: each new rate counts `share`."""
+    """The smoothed rate after all of an artifact's events: each new rate counts `share`.
+
+    Only the last FOLDED rates are folded: those before them weigh less than a double resolves."""
     rates = batch_rate(events, seconds).join(events.select("event_id", "ts"), "event_id").where("rate is not null")
+    last = Window.partitionBy("aid").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    rates = rates.withColumn("n", F.row_number().over(last)).where(F.col("n") <= FOLDED)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "rate"))), lambda x: x.rate.cast("double"))
     fold = F.aggregate(F.slice(F.col("r"), 2, F.greatest(F.size("r"), F.lit(1))), F.get(F.col("r"), 0), lambda old, new: share * new + (1 - share) * old)
     return rates.groupBy("aid").agg(in_order.alias("r")).select("aid", fold.alias("ema"))

@@ -1,10 +1,13 @@
 """Hand-written cases: null handling, ties, globs, revisions, names and greedy kernels."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from stockroom.functions.names import read_name
-from stockroom.operators import files, findings, integrity, lineage, overlay, references, transfers, weights
+from stockroom.operators import files, findings, integrity, lineage, overlay, ranks, references, transfers, weights
+from stockroom.plans.registry import cut
 
 
 def one(spark, column, **values):
@@ -73,16 +76,50 @@ def test_names(case):
     assert tuple(read_name(case[0]).values()) == case[1:]
 
 
+def greedy(sizes, n):
+    """Lanes of files in order, by the rule itself."""
+    load, out = [[0, 0, k] for k in range(n)], []
+    for size in sizes:
+        lightest = min(load)
+        lightest[0] += size
+        lightest[1] += 1
+        out.append(lightest[2])
+    return out
+
+
 def test_lanes_are_greedy(spark):
     rows = spark.createDataFrame([("a", f"p{k}", s) for k, s in enumerate([5, 4, 3, 3, None])], "aid string, path string, size long")
-    got = {r["path"]: r["lane"] for r in transfers.lanes(rows, 2).collect()}
+    got = {r["path"]: r["lane"] for r in transfers.lanes(rows, 2, cut).collect()}
     assert got == {"p0": 0, "p1": 1, "p2": 1, "p3": 0, "p4": 1}
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_lane_runs_equal_the_rule(seed):
+    rng = random.Random(seed)
+    n = rng.randint(1, 6)
+    sizes = sorted(((rng.choice([0, 1, 2, 3, 7, 50, 400]), rng.randint(1, 40)) for _ in range(rng.randint(1, 6))), reverse=True)
+    sizes = [(s, sum(m for t, m in sizes if t == s)) for s in dict.fromkeys(s for s, _ in sizes)]
+    want, at = greedy([s for s, m in sizes for _ in range(m)], n), 0
+    got = []
+    for _, _, took, turn in transfers.lane_runs(sizes, n):
+        got += [turn[k % len(turn)] for k in range(took)]
+        at += took
+    assert got == want
+
+
 def test_budget_skips_but_goes_on(spark):
-    rows = spark.createDataFrame([("t", "a", 50, 0), ("t", "b", 60, 1), ("t", "c", 40, 2), ("t", "d", 500, 0)], "aid string, path string, size long, priority int")
-    got = {r["path"]: r["outcome"] for r in transfers.scan_budget(rows, 100, 100).collect()}
-    assert got == {"a": "read", "b": "over budget", "c": "read", "d": "oversize"}
+    rows = spark.createDataFrame([("t", "a", 50, 0), ("t", "b", 60, 1), ("t", "c", 40, 2), ("t", "d", 500, 0), ("t", "e", None, 3)], "aid string, path string, size long, priority int")
+    got = {r["path"]: r["outcome"] for r in transfers.scan_budget(rows, 100, 100, cut).collect()}
+    assert got == {"a": "read", "b": "over budget", "c": "read", "d": "oversize", "e": "read"}
+    got = {r["path"]: r["outcome"] for r in transfers.scan_budget(rows, 100, 100, cut, 2).collect()}
+    assert got == {"a": "read", "b": "over budget", "c": "read", "d": "oversize", "e": "over budget"}
+    assert transfers.scan_budget(rows.limit(0), 100, 100, cut).count() == 0
+
+
+def test_running_sums_over_parts(spark):
+    rows = spark.range(500).select((F.col("id") % 2).alias("g"), F.col("id").alias("o"), F.lit(2).alias("v")).repartition(7)
+    out = ranks.running(rows, ["g"], ["o"], cut, "v").collect()
+    assert all(r["rank"] == r["o"] // 2 + 1 and r["upto"] == 2 * r["rank"] for r in out) and len(out) == 500
 
 
 def test_shard_groups_and_unknown_sizes(spark):
@@ -109,7 +146,8 @@ def test_docstrings_and_stages(spark):
     )
     found = {(r["ref"], r["tier"]) for r in references.folded(references.hits(texts)).collect()}
     assert {("own/net-1", "evidence"), ("own/net-3", "evidence"), ("own/base:1", "declared"), ("own/run:2", "declared"), ("own/net-4", "evidence"), ("own/net-5", "declared")} <= found
-    assert not {r for r, _ in found} & {"own/net-2", "own/net-9", "build", "scratch"}
+    assert ("own/net-2", "mentioned") in found  # inside a docstring
+    assert not {r for r, _ in found} & {"own/net-9", "build", "scratch"}
 
 
 def test_front_matter(spark):
@@ -127,10 +165,39 @@ def test_git_blob_and_upstream(spark):
 
 def test_ancestors_end_in_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string")
-    got = {(r["child"], r["ancestor"]): r["depth"] for r in lineage.ancestors(edges, 6).collect()}
+    got = {(r["child"], r["ancestor"]): r["depth"] for r in lineage.ancestors(edges, cut).collect()}
     assert got[("a", "c")] == 2 and ("a", "a") not in got
 
 
+def test_ancestors_at_any_depth(spark):
+    edges = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(40)], "child string, parent string")
+    got = lineage.ancestors(edges, cut).where("child = 'w0'")
+    assert got.count() == 40 and got.agg(F.max("depth")).first()[0] == 40
+    assert lineage.ancestors(edges.limit(0), cut).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("path", "line", "refs"),
+    [
+        ("a.py", "x = 'own/net'", {"own/net"}),
+        ("a.py", "a = input/output", set()),
+        ("a.py", "x = own/net-2", {"own/net-2"}),
+        ("a.md", "bf16/fp32 and NVFP4/FP8", set()),
+        ("a.md", "see Own/net-2.", {"Own/net-2"}),
+        ("a.py", "open('src/net-2'), 'own/net.json', '12/34'", set()),
+        ("a.py", "docker run team/img:v1@sha256:" + "0" * 64, {"team/img:v1@sha256:" + "0" * 64}),
+        ("a.md", "https://github.com/sponsors/x https://github.com/own/r.git", {"own/r"}),
+        ("a.md", "https://hf.co/own/m, https://huggingface.co/datasets/own/d.", {"own/m", "datasets/own/d"}),
+        ("a.py", "user@own/net-1 ./own/net-1 $own/net-1", set()),
+        ("b.sql", "-- Own/net-9 or own/net9", {"Own/net-9"}),
+        (".github/x.png", "own/net-1", set()),
+    ],
+)
+def test_lines(spark, path, line, refs):
+    rows = spark.createDataFrame([("t", path, line)], "tree string, path string, text string")
+    assert {r["ref"] for r in references.hits(rows).collect()} == refs
+
+
 def test_finding_ids_and_redaction(spark):
     assert one(spark, findings.finding_id(F.col("c"), F.col("p"), F.lit(None)), c="q", p="x").startswith("q:")
     assert one(spark, findings.redacted(F.col("t")), t="api_key: abc, b") == "api_key: [redacted], b"

@@ -48,12 +48,13 @@ def test_runnable_bands(spark):
     assert [got[("a", m)] for m in "sml"] == ["error", "warning", "ok"] and got[("b", "s")] == "unknown"
 
 
-EVIDENCE = "aid string, kind string, set string, first_path string, digests array<string>, bytes long, base_identical boolean, config_unreadable boolean, dtype string, quant_method string, complete boolean, header_read boolean, headers_disagree boolean, imatrix boolean, foreign_source boolean"
+EVIDENCE = "aid string, kind string, set string, format string, first_path string, digests array<string>, bytes long, base_identical boolean, config_unreadable boolean, dtype string, quant_method string, complete boolean, header_read boolean, headers_disagree boolean, imatrix boolean, foreign_source boolean"
 
 
 def evidence(aid, kind, name, digest, **more):
     row = dict(base_identical=None, config_unreadable=None, dtype=None, quant_method=None, complete=None, header_read=None, headers_disagree=None, imatrix=None, foreign_source=None) | more
-    return (aid, kind, name, f"{name}/f", [digest], 1, *row.values())
+    form = kind if kind in ("gguf", "legacy", "support") else "safetensors"
+    return (aid, kind, name, form, f"{name}/f", [digest], 1, *row.values())
 
 
 def test_rule_cascade(spark):
@@ -66,37 +67,74 @@ def test_rule_cascade(spark):
         evidence("a", "gguf", "g", "2", **read),
         evidence("a", "gguf", "im", "3", imatrix=True, **read),
         evidence("a", "gguf", "no", "4", complete=True, header_read=False),
-        evidence("a", "legacy", "l", "5"),
+        evidence("a", "gguf", "same", "2", **read),
         evidence("b", "gguf", "g", "1", **read),
-        evidence("b", "legacy", "l", "2"),
+        evidence("b", "gguf", "cut", "5", complete=False, header_read=True),
+        evidence("b", "gguf", "odd", "6", headers_disagree=True, **read),
         evidence("c", "standalone", "s", "1", **bf),
         evidence("c", "standalone", "t", "2", **bf),
         evidence("c", "gguf", "g", "3", **read),
         evidence("c", "gguf", "f", "4", foreign_source=True, **read),
-        evidence("d", "indexed", "q", "1", quant_method="awq", **bf),
+        evidence("c", "legacy", "l", "5"),
+        evidence("d", "indexed", "q", "1", quant_method="awq"),
         evidence("d", "indexed", "n", "2", complete=True),
         evidence("d", "orphan", "o", "3", **bf),
         evidence("d", "indexed", "base", "4", base_identical=True, **bf),
+        evidence("d", "standalone", "c", "6", config_unreadable=True, quant_method="awq"),
+        evidence("d", "index_error", "e", "7", **bf),
+        evidence("d", "standalone", "i8", "8", dtype="I8"),
+        evidence("d", "gguf", "base", "9", base_identical=True, **read),
+        evidence("e", "legacy", "l", "1"),
+        evidence("e", "gguf", "g", "2", **read),
+        evidence("f", "orphan", "o", "1", **bf),
+        evidence("f", "gguf", "g", "2", **read),
     ]
-    got = {(r["aid"], r["set"]): (r["rule"], r["verdict"]) for r in classify.judged(classify.with_twins(spark.createDataFrame(rows, EVIDENCE))).collect()}
+    sets = classify.judged(classify.with_twins(spark.createDataFrame(rows, EVIDENCE))).collect()
+    got = {(r["aid"], r["set"], r["kind"]): (r["rule"], r["verdict"]) for r in sets}
     assert got == {
-        ("a", ""): ("R1", "support"), ("a", "i"): ("R3", "negative"), ("a", "copy/of"): ("R15", "print"), ("a", "g"): ("R9", "unknown"), ("a", "im"): ("R7", "negative"), ("a", "no"): ("R14", "unknown"), ("a", "l"): ("R12", "unknown"),
-        ("b", "g"): ("R10", "negative"), ("b", "l"): ("R13", "negative"),
-        ("c", "s"): ("R4", "negative"), ("c", "t"): ("R4", "negative"), ("c", "g"): ("R11", "unknown"), ("c", "f"): ("R8", "unknown"),
-        ("d", "q"): ("R5", "negative"), ("d", "n"): ("R14", "unknown"), ("d", "o"): ("R6", "unknown"), ("d", "base"): ("R2", "print"),
+        ("a", "", "support"): ("R1", "support"), ("a", "i", "indexed"): ("R3", "negative"), ("a", "copy/of", "standalone"): ("R15", "print"), ("a", "g", "gguf"): ("R9", "unknown"), ("a", "im", "gguf"): ("R7", "negative"), ("a", "no", "gguf"): ("R14", "unknown"), ("a", "same", "gguf"): ("R9", "unknown"),
+        ("b", "g", "gguf"): ("R10", "negative"), ("b", "cut", "gguf"): ("R14", "unknown"), ("b", "odd", "gguf"): ("R14", "unknown"),
+        ("c", "s", "standalone"): ("R4", "negative"), ("c", "t", "standalone"): ("R4", "negative"), ("c", "g", "gguf"): ("R11", "unknown"), ("c", "f", "gguf"): ("R8", "unknown"), ("c", "l", "legacy"): ("R12", "unknown"),
+        ("d", "q", "indexed"): ("R5", "negative"), ("d", "n", "indexed"): ("R14", "unknown"), ("d", "o", "orphan"): ("R6", "unknown"), ("d", "base", "indexed"): ("R2", "print"), ("d", "c", "standalone"): ("R14", "unknown"), ("d", "e", "index_error"): ("R14", "unknown"), ("d", "i8", "standalone"): ("R5", "negative"), ("d", "base", "gguf"): ("R11", "unknown"),
+        ("e", "l", "legacy"): ("R13", "negative"), ("e", "g", "gguf"): ("R9", "unknown"),
+        ("f", "o", "orphan"): ("R6", "unknown"), ("f", "g", "gguf"): ("R9", "unknown"),
     }
     totals = {r["aid"]: r for r in classify.verdict_totals(classify.judged(classify.with_twins(spark.createDataFrame(rows, EVIDENCE)))).collect()}
     assert totals["a"]["skipped_bytes"] == 1 and totals["a"]["kept_bytes"] == 6
 
 
-def test_sets_and_keep_lists(spark):
-    files = spark.createDataFrame([("a", p) for p in ("m/w1.safetensors", "m/w2.safetensors", "x.safetensors", "old.bin", "q-00001-of-00002.gguf", "README.md")], "aid string, path string")
-    indexes = spark.createDataFrame([("a", "m/model.index.json", json.dumps({"weight_map": {"t": "w1.safetensors"}}))], "aid string, path string, text string")
-    got = {r["path"]: (r["kind"], r["set"]) for r in classify.file_sets(files, indexes).collect()}
-    assert got["m/w1.safetensors"] == ("indexed", "m/model.index.json") and got["m/w2.safetensors"][0] == "orphan" and got["x.safetensors"][0] == "orphan"
-    assert got["old.bin"][0] == "legacy" and got["q-00001-of-00002.gguf"] == ("gguf", "q") and got["README.md"][0] == "support"
-    kept = spark.createDataFrame([("a", "x.bin", True), ("a", "y.md", False), ("b", "x.bin", True), ("b", "y.bin", False), ("c", "x", False), ("d", "x", True)], "aid string, path string, skip boolean")
-    assert {r["aid"]: (r["include"], r["note"]) for r in classify.keep_list(kept).collect()} == {"a": (["*.md"], None), "b": (["/y.bin"], None), "c": (["/*"], None), "d": (["/*"], "nothing would be left")}
+def test_twins_at_the_root_and_by_folder(spark):
+    rows = [evidence("a", "standalone", name, "1", dtype="BF16") for name in ("a-b", "a", "z/y")]
+    got = {r["set"]: r["twin_of"] for r in classify.with_twins(spark.createDataFrame(rows, EVIDENCE)).collect()}
+    assert got == {"a": None, "a-b": "a", "z/y": "a"}
+
+
+def test_sets_of_files(spark):
+    files = spark.createDataFrame([("a", p) for p in ("m/w1.safetensors", "m/w2.safetensors", "x.safetensors", "old.bin", "q-00001-of-00002.gguf", "README.md", "e/w.safetensors", "m/p.bin")], "aid string, path string")
+    text = json.dumps({"weight_map": {"t": "w1.safetensors", "u": "sub/w9.safetensors", "p": "p.bin"}})
+    indexes = spark.createDataFrame([("a", "m/model.index.json", text), ("a", "e/model.index.json", "{cut")], "aid string, path string, text string")
+    got = {r["path"]: (r["kind"], r["format"], r["set"]) for r in classify.file_sets(files, indexes).collect()}
+    assert got["m/w1.safetensors"] == ("indexed", "safetensors", "m/model.index.json") and got["m/w2.safetensors"][0] == "orphan" and got["e/w.safetensors"][0] == "index_error"
+    assert got["x.safetensors"][0] == "standalone"  # an index speaks of its own folder only
+    assert got["m/p.bin"][:2] == ("indexed", "legacy")
+    assert got["old.bin"][0] == "legacy" and got["q-00001-of-00002.gguf"][2] == "q" and got["README.md"][0] == "support"
+
+
+def test_keep_lists(spark):
+    w = lambda aid, path, skip=False, name=None, kind="standalone": (aid, path, kind, name or path, skip)
+    rows = [
+        w("a", "m-00001-of-00002.safetensors", name="m"), w("a", "m-00002-of-00002.safetensors", name="m"), w("a", "copy/x.safetensors", True), w("a", "notes.txt", kind="support", name=""), w("a", "README.md", kind="support", name=""),
+        w("b", "x.safetensors"), w("b", "copy/x.safetensors", True),
+        w("c", "p.bin", name="l", kind="legacy"), w("c", "q.bin", name="l", kind="legacy"), w("c", "copy/q.bin", True, kind="legacy"),
+        w("d", "x.safetensors"), w("e", "x.safetensors", True), w("e", "README.md", kind="support", name=""),
+        w("f", "odd[1].safetensors"), w("f", "copy/y.safetensors", True),
+    ]
+    got = {r["aid"]: (r["include"], r["explicit_paths"], r["note"]) for r in classify.keep_list(spark.createDataFrame(rows, "aid string, path string, kind string, set string, skip boolean")).collect()}
+    assert got["a"] == (["/notes.txt", "m-*-of-00002.safetensors"], False, None)
+    assert got["b"] == (["/x.safetensors"], False, None)  # unanchored, the name would fit the copy too
+    assert got["c"] == (["/p.bin", "/q.bin"], True, None)
+    assert got["d"] == (None, None, None) and got["e"] == (None, None, "nothing would be left")
+    assert got["f"] == (["/odd[[]1].safetensors"], True, None)  # as a pattern, the name doesn't fit itself
 
 
 @pytest.mark.parametrize(
