@@ -183,7 +183,7 @@ def test_ancestors_at_any_depth(spark):
         ("a.py", "a = input/output", set()),
         ("a.py", "x = own/net-2", {"own/net-2"}),
         ("a.md", "bf16/fp32 and NVFP4/FP8", set()),
-        ("a.md", "see Own/net-2.", {"Own/net-2"}),
+        ("a.md", "see Own/net-2, not own/net-3.", {"Own/net-2"}),
         ("a.py", "open('src/net-2'), 'own/net.json', '12/34'", set()),
         ("a.py", "docker run team/img:v1@sha256:" + "0" * 64, {"team/img:v1@sha256:" + "0" * 64}),
         ("a.md", "https://github.com/sponsors/x https://github.com/own/r.git", {"own/r"}),
