@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stockroom.llm import ann, bpe, graph, langid, packing, pseudo_lm, quality, registry, secret_scan, simhash, suffix_dedup, topk
+from stockroom.llm import ann, bpe, common, graph, langid, packing, pseudo_lm, quality, registry, secret_scan, simhash, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -252,6 +253,7 @@ def test_packed_sequences(spark, edge):
 
 
 def vectors_frame(spark, rows):
+    rows = [r if len(r) == 3 else (*r, 0) for r in rows]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
@@ -301,6 +303,30 @@ def test_ann_recall(spark, some_vectors):
     assert ann.search(vectors_frame(spark, [])).count() == 0
 
 
+def test_ann_recall_beyond_calibration_and_ties(spark):
+    """Recall of queries that took no part in the calibration, among clusters, copies and repeated rows."""
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(40, 16))
+    rows = (centers[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 0.6).astype(np.float32)
+    rows[200:500] = rows[199]  # copies of one vector
+    frame_ = vectors_frame(spark, [*((i, [float(x) for x in v]) for i, v in enumerate(rows)), (7, [float(x) for x in rows[7]])])
+    some = {r["vec_id"] for r in common.first_by_hash(frame_.where("vec_id % 20 = 0").select("vec_id").distinct(), ["vec_id"], 30).collect()}
+    got = {}
+    for r in ann.search(frame_, calibration=30).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hits = total = 0
+    for q in range(0, 6000, 20):
+        assert [k for k, _ in sorted(got[q])] == list(range(1, 21))
+        if q in some:
+            continue
+        score = ann.exact(rows[q].astype(float), rows.astype(float))
+        score[q] = -np.inf
+        want = np.lexsort((np.arange(6000), -score))[:20]
+        hits += len(set(want.tolist()) & {v for _, v in got[q]})
+        total += 20
+    assert total > 5000 and hits / total >= 0.9
+
+
 # models
 
 
@@ -346,23 +372,85 @@ def test_quality_accuracy_and_edges(spark, edge):
     sf = "/root/testdata/sf0.01"
     got = registry.QUERIES["op9_quality_rules"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     assert got.where("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
-    model = quality.learn(edge, spark.createDataFrame([], "doc_id long, quality int"))
-    scores = quality.scored(edge.drop("score"), model).select("score").collect()
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.learn(edge, labels)
+    scores = quality.scored(edge, model).select("score").collect()  # in place of the column of that name
     assert len(scores) == len(EDGE) and {r[0] for r in scores} == {0.5}
+    assert quality.scored(edge.limit(0), quality.learn(edge.limit(0), labels)).count() == 0
+    assert quality.keep_good(edge, model).columns == edge.columns
 
 
-def test_lm_beats_unigrams_and_edges(spark, edge):
+def test_lm_gradient():
+    rng = np.random.default_rng(3)
+    counts = np.zeros((pseudo_lm.CONTEXTS, pseudo_lm.VOCABULARY))
+    counts[rng.integers(0, pseudo_lm.CONTEXTS, 400), rng.integers(0, 300, 400)] += rng.integers(1, 5, 400)
+    counts /= counts.sum()
+    network = pseudo_lm.WindowNetwork(counts.sum(axis=0), kind=np.float64)
+    for w, g in zip(network.weights(), network.gradient(counts)):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, step = w[at], 1e-4
+        w[at] = old + step
+        up = network.loss(counts)
+        w[at] = old - step
+        down = network.loss(counts)
+        w[at] = old
+        assert abs((up - down) / (2 * step) - g[at]) < 1e-6 + 1e-3 * abs(g[at])
+
+
+def test_lm_beats_unigrams(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    vocabulary, network = pseudo_lm.learn(docs)
-    total = pseudo_lm.scored(docs, vocabulary, network).agg(F.sum("log_probability"), F.sum("n_tokens")).first()
-    ids = np.concatenate([vocabulary.encode(r["text"]) for r in docs.select("text").collect()])
-    share = np.bincount(ids, minlength=pseudo_lm.VOCABULARY) / len(ids)
-    assert total[1] == len(ids) and total[0] > np.log(share[ids]).sum()
-    p = network.log_probabilities(np.arange(pseudo_lm.VOCABULARY), np.full((2 * pseudo_lm.SIDE, pseudo_lm.VOCABULARY), 5))
-    assert abs(np.exp(p).sum() - 1) < 1e-3  # every token together
-    none = {r["doc_id"]: (r["n_tokens"], r["log_probability"], r["mean_log_probability"]) for r in pseudo_lm.scored(edge, vocabulary, network).collect()}
-    assert none[0] == none[1] == none[3] == (0, 0.0, None)
-    assert pseudo_lm.scored(edge.limit(0), *pseudo_lm.learn(edge.limit(0))).count() == 0
+    total = pseudo_lm.scored(docs, pseudo_lm.learn(docs)).agg(F.sum("log_probability"), F.sum("n_tokens")).first()
+    counts = Counter(w for r in docs.select("text").collect() for w in (r["text"] or "").split())
+    n = sum(counts.values())
+    assert total[1] == n and total[0] > sum(c * np.log(c / n) for c in counts.values())
+
+
+def test_lm_equals_brute_force(spark):
+    """Word by word from the model's own parts: kinds of the neighbours, class, member, and the share of a bucket."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "a"]) if rng.random() < 0.4 else f"w{rng.randrange(6000)}" for _ in range(rng.randint(0, 200))) for _ in range(300)]
+    docs = frame(spark, texts).repartition(3)
+    corpus = pseudo_lm.learn(docs)
+    counts = Counter(w for t in texts for w in t.split())
+    code = {w: xxhash.xxh64_intdigest(w) for w in counts}
+    rank = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], code[w]))[: pseudo_lm.WORDS])}
+    assert [int(h) for h in corpus.words] == [code[w] for w in rank] and len(counts) > pseudo_lm.WORDS
+    ident = lambda w: rank.get(w, pseudo_lm.WORDS + code[w] % pseudo_lm.BUCKETS)
+    bucket = Counter()
+    distinct = Counter()
+    for w, n in counts.items():
+        if w not in rank:
+            bucket[ident(w)] += n
+            distinct[ident(w)] += 1
+    near, far = pseudo_lm.kinds()
+    got = {r["doc_id"]: r for r in pseudo_lm.scored(docs, corpus).collect()}
+    for k, t in enumerate(texts):
+        ids = [pseudo_lm.VOCABULARY] * 2 + [ident(w) for w in t.split()] + [pseudo_lm.VOCABULARY] * 2
+        want = 0.0
+        for at, w in enumerate(t.split(), 2):
+            c = ((far[ids[at - 2]] * pseudo_lm.NEAR + near[ids[at - 1]]) * pseudo_lm.NEAR + near[ids[at + 1]]) * pseudo_lm.FAR + far[ids[at + 2]]
+            want += corpus.table[c, ids[at]]
+            if w not in rank:
+                want += np.log((counts[w] + 0.5) / (bucket[ids[at]] + 0.5 * distinct[ids[at]] + 0.5))
+        assert got[k]["n_tokens"] == len(t.split()) and abs(got[k]["log_probability"] - want) < 1e-6 * max(1, abs(want))
+    assert np.abs(np.exp(corpus.table.astype(float)).sum(axis=1) - 1).max() < 1e-4  # every token together
+
+
+def test_lm_does_not_depend_on_the_layout(spark):
+    rng = random.Random(4)
+    texts = [words(rng, rng.randint(1, 80), 900) for _ in range(200)]
+    runs = []
+    for docs in (frame(spark, texts).coalesce(1), frame(spark, texts).repartition(7, "n_chars")):
+        runs.append({r["doc_id"]: r["log_probability"] for r in pseudo_lm.scored(docs, pseudo_lm.learn(docs)).collect()})
+    assert runs[0] == runs[1]
+
+
+def test_lm_edges(spark, edge):
+    corpus = pseudo_lm.learn(edge)
+    rows = {r["doc_id"]: (r["n_tokens"], r["log_probability"], r["mean_log_probability"]) for r in pseudo_lm.scored(edge, corpus).collect()}
+    assert rows[0] == rows[1] == rows[3] == (0, 0.0, None) and len(rows) == len(EDGE) - 1
+    assert pseudo_lm.scored(frame(spark, ["a new word"]), corpus).first()["log_probability"] < 0
+    assert pseudo_lm.scored(edge.limit(0), pseudo_lm.learn(edge.limit(0))).count() == 0
 
 
 def test_digest_of_nothing(spark):
@@ -466,8 +554,44 @@ def test_pipeline_passage_edges(spark, edge):
     assert corpus_pipeline.passage_dedup(spark, edge.limit(0), "").count() == 0
 
 
-def test_lm_learns_from_every_position(spark):
-    _, network = pseudo_lm.learn(frame(spark, ["", "only"]).coalesce(1))
-    counts = np.zeros(pseudo_lm.VOCABULARY)
-    counts[0] = 1
-    assert not np.array_equal(network.flat(), pseudo_lm.WindowNetwork(counts).flat())
+def test_empty_tables(spark, edge):
+    none = edge.limit(0)
+    assert langid.tagged(none, langid.learn(none)).count() == 0
+    assert secret_scan.redact(none).count() == 0
+    assert bpe.encode(none).count() == 0 and bpe.decode(bpe.encode(none)).count() == 0
+    assert suffix_dedup.repeated_spans(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_added_columns_take_the_place_of_their_name(spark, edge):
+    rows = suffix_dedup.repeated_spans(edge).collect()
+    assert len(rows) == len(EDGE) and all(isinstance(r["spans"], list) for r in rows)
+    assert simhash.keep_one(edge).columns == edge.columns
+
+
+def test_pipeline_equals_brute_force(spark, small):
+    """All five stages on whole tables: quality by the model, then near copies, passages and lengths by plain code."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    good = sorted(corpus_pipeline.good_quality(spark, docs, small).collect(), key=lambda r: r["doc_id"])
+    kept = sorted(set(plain_groups([r["text"] for r in good])))
+    good = [good[k] for k in kept]
+    texts = plain_passages([r["text"] for r in good])
+    redacted = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame(spark, texts, [r["doc_id"] for r in good])).collect()}
+    library = Tokenizer.from_file(bpe.default_path())
+    library.no_truncation()
+    library.no_padding()
+    want = {k: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in redacted.items()}
+    got, places = Counter(), {}
+    rows = corpus_pipeline.run(spark, small).collect()
+    for r in rows:
+        got[r["doc_id"]] += r["length"]
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert 0 < len(want) < docs.count() and got == want
+    for place in places.values():
+        at = 0
+        for offset, length in sorted(place):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_dedup", "suffix_dedup", "secret_scan", "best_fit_packing"]
