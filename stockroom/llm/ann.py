@@ -7,7 +7,7 @@ force over all rows, and visits widen until the share of them that lies in visit
 
 Scale: leaves are grouped into branches of about `BRANCH_ROWS` rows, so a query's vector is sent once to each branch
 it visits, not to each leaf; a branch with more rows, copies of one vector above all, is dealt into chunks of bounded
-size. The tree's size is bounded by the sample's. Scores are taken exactly, in doubles, on the original vectors.
+size, and a row is sent once for each `QUERY_ROWS` queries that visit its branch, not for each block of all queries. The tree's size is bounded by the sample's. Scores are taken exactly, in doubles, on the original vectors.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and null ids, take no part;
 only vectors of the most frequent length in the sample are indexed by the tree, others are searched exactly among
@@ -145,10 +145,9 @@ def best_of(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
 FOUND = "query_id long, vec_id long, score double, leaf int"
 
 
-def calibrated(tree: KMeansTree, dim: int, rows: DataFrame, queries: DataFrame, k: int, target: float) -> int:
+def calibrated(tree: KMeansTree, dim: int, rows: DataFrame, queries: DataFrame, k: int, target: float, most: int = CALIBRATION_QUERIES) -> int:
     """Leaf visits at which the calibration queries meet `target` of their true neighbours."""
-    some = queries.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION_QUERIES)
-    some = common.cut(some)
+    some = common.cut(common.first_by_hash(queries.where(F.col("dim") == dim), ["vec_id"], most))
     found = vectors.block_pairs(rows, some, lambda c, q: best_of(c, q, k), FOUND)
     true = vectors.ranked(found, k).join(rows.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()  # bounded
     asked = {r["vec_id"]: tree.visits(np.array(r["vector"]), tree.leaves) for r in some.select("vec_id", "vector").collect()}
@@ -160,11 +159,11 @@ def calibrated(tree: KMeansTree, dim: int, rows: DataFrame, queries: DataFrame,
     return visits if len(at) else tree.leaves
 
 
-def search(table: DataFrame, k: int = K, target: float = TARGET_RECALL, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(table: DataFrame, k: int = K, target: float = TARGET_RECALL, vec_id: str = "vec_id", embedding: str = "embedding", calibration: int = CALIBRATION_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) for every stated query against all rows of the index."""
     rows = common.cut(vectors.usable(table, vec_id, embedding, zero=False))
     queries = common.cut(vectors.stated_queries(rows))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE_ROWS).select("dim", "vector").collect()  # bounded
+    sample = common.first_by_hash(rows, ["vec_id", "vector"], SAMPLE_ROWS).select("dim", "vector").collect()  # bounded
     lengths = [r["dim"] for r in sample]
     dim = max(sorted(set(lengths)), key=lengths.count, default=0)
     tree = KMeansTree(np.array([r["vector"] for r in sample if r["dim"] == dim])) if dim else KMeansTree(np.zeros((1, 1)))
@@ -188,25 +187,27 @@ def search(table: DataFrame, k: int = K, target: float = TARGET_RECALL, vec_id:
         held += n
         chunks[-1] = 1 + held // BRANCH_ROWS
         branch.append(len(chunks) - 1)
-    visits = calibrated(tree, dim, rows, queries, k, target)
+    visits = calibrated(tree, dim, rows, queries, k, target, calibration)
 
     def routes(batches):
         for batch in batches:
             out = []
-            for query, vector, d, block in zip(batch["vec_id"], batch["vector"], batch["dim"], batch["block"]):
+            for query, vector, d in zip(batch["vec_id"], batch["vector"], batch["dim"]):
                 by: dict[int, list[int]] = {}
                 for leaf in tree.visits(np.asarray(vector), visits) if d == dim else [-1]:
                     by.setdefault(branch[leaf + 1], []).append(leaf)
-                out += [(query, vector, d, block, b, chunks[b], x) for b, x in by.items()]
-            yield pd.DataFrame(out, columns=["vec_id", "vector", "dim", "block", "branch", "chunks", "leaves"])
-
-    blocks = 1 + queries.count() // vectors.QUERY_ROWS
-    dealt = queries.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
-    dealt = dealt.mapInPandas(routes, "vec_id long, vector array<double>, dim int, block long, branch int, chunks int, leaves array<int>")
-    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    held = rows.withColumn("branch", F.get(F.lit(branch), F.col("leaf") + 1))
-    held = held.withColumn("chunk", F.pmod(F.monotonically_increasing_id(), F.get(F.lit(chunks), F.col("branch"))).cast("int"))
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+                out += [(query, d, b, x) for b, x in by.items()]
+            yield pd.DataFrame(out, columns=["vec_id", "dim", "branch", "leaves"])
+
+    ways = common.cut(queries.mapInPandas(routes, "vec_id long, dim int, branch int, leaves array<int>"))
+    asked = {r["branch"]: r["count"] for r in ways.groupBy("branch").count().collect()}  # as many as there are branches
+    # a branch is sent once for each QUERY_ROWS queries that visit it, whatever the number of all queries
+    blocks = [1 + asked.get(b, 0) // vectors.QUERY_ROWS if b in asked else 0 for b in range(len(chunks))]
+    of = lambda values: F.get(F.lit(values), F.col("branch"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
+    dealt = ways.join(queries, ["vec_id", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), of(blocks))).withColumn("chunk", upto(of(chunks)))
+    held = rows.withColumn("branch", F.get(F.lit(branch), F.col("leaf") + 1)).where(of(blocks) > 0)
+    held = held.withColumn("chunk", F.pmod(F.monotonically_increasing_id(), of(chunks)).cast("long")).withColumn("block", upto(of(blocks)))
     keys = ["dim", "branch", "chunk", "block"]
     fresh = dealt.select(*(F.col(c).alias(c) for c in dealt.columns))
     found = held.groupBy(*keys).cogroup(fresh.groupBy(*keys)).applyInPandas(lambda c, q: best_of(c, q, k), FOUND)

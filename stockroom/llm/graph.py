@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from stockroom.llm.common import cut
 
 
+#: Tasks that the links of one node are dealt to.
+SALTS = 8
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
     Alternating large-star and small-star rounds over links that point from the larger to the smaller node. Each
     round halves the depth of the forest, ends when nothing changes, and cuts lineage. Minima are combined before
-    the shuffle, so a node with a third of all links is no hot group; the joins back are left to AQE's skew handling.
+    the shuffle, and the join back to the links of a node is salted, so a node with a third of all links is no hot group.
     """
     x, y = F.col(a), F.col(b)
     edges = cut(links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
@@ -22,7 +26,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         # large star: every neighbour larger than u is linked to the smallest node around u
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = edges.select(F.col("u").alias("big"), F.col("v").alias("u")).join(least, "u").select(F.col("big").alias("u"), F.col("m").alias("v"))
+        salted = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = edges.select(F.col("u").alias("big"), F.col("v").alias("u"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int").alias("s"))
+        large = dealt.join(salted, ["u", "s"]).select(F.col("big").alias("u"), F.col("m").alias("v"))
         large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         # small star: u and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))

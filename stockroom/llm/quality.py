@@ -139,7 +139,7 @@ class RuleEnsemble:
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> RuleEnsemble:
     """Rules learned from labelled documents whose id isn't held out."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__y")).where(F.col("__y").isNotNull() & ~common.held_out(F.col("__id")))
-    known = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS)
+    known = common.first_by_hash(known.groupBy("__id").agg(F.max("__y").alias("__y")), ["__id"], SAMPLE_ROWS)
     rows, stats = statistics(docs.join(F.broadcast(known), F.col(doc_id) == F.col("__id")), text)
     rows = rows.select(F.col("__y").cast("double").alias("y"), *(c.cast("double").alias(n) for n, c in stats.items()))
     got = np.array(sorted(tuple(r) for r in rows.orderBy(F.xxhash64(*stats), *stats).limit(SAMPLE_ROWS).collect()), float).reshape(-1, len(stats) + 1)
@@ -147,7 +147,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, text: str = "text", score: str = "score") -> DataFrame:
-    """`docs` with the score; statistics are projected once and dropped."""
+    """`docs` with the score, in place of a column of that name; statistics are projected once and dropped."""
+    docs = common.without(docs, score)
     rows, stats = statistics(docs, text)
     wide = rows.select("*", *(c.cast("double").alias(f"__{n}") for n, c in stats.items()))
     return wide.select(*(F.col(f"`{c}`") for c in docs.columns), model.column({n: F.col(f"__{n}") for n in stats}).alias(score))

@@ -76,25 +76,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """doc_id, fp, component (the smallest fingerprint reachable), component_id (the smallest id there)."""
     with common.small_batches(docs.sparkSession):
         marked = common.cut(with_fingerprint(docs, text, (doc_id,)))
+    return grouped(marked, doc_id)
+
+
+def grouped(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The same from rows that have their fingerprint already.
+
+    What is known of each fingerprint is stored before it meets the rows again, so that both sides of that join are plain
+    shuffles and the rows of a fingerprint that a third of them share can be split over tasks."""
     ids = marked.groupBy("fp").agg(F.min(doc_id).alias("least"))
     joined = components(links(ids.select("fp")), "a", "b").withColumnRenamed("node", "fp")
     ids = ids.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     whole = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(ids.drop("least").join(whole, "component"), "fp")
+    return marked.join(common.cut(ids.drop("least").join(whole, "component")), "fp")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each group: the one with the smallest id, null ids last; of rows that share it, the smallest text.
 
-    Columns and their order stay. Fingerprints are taken beside the whole rows; what is shuffled with a text is
+    Columns and their order stay. Whole rows are stored once, with their fingerprint; what is shuffled with a text is
     a kept row only, since those that go are dropped by the join on the fingerprint before rows of one id meet.
     """
-    near = near_duplicates(docs, text, doc_id)
+    names = docs.columns
+    with common.small_batches(docs.sparkSession):
+        rows = common.stored(with_fingerprint(docs, text, tuple(names), "__fp"))
+    near = grouped(rows.select(doc_id, F.col("__fp").alias("fp")), doc_id)
     keys = near.groupBy("fp", "component").agg(F.min(doc_id).alias("id"))
     best = keys.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("best"))
     best = best.select(F.col("best.id").alias("__id"), F.col("best.fp").alias("__best"))
-    names = docs.columns
-    rows = with_fingerprint(docs, text, tuple(names), "__fp")
     kept = rows.join(best, (rows["__fp"] == best["__best"]) & rows[doc_id].eqNullSafe(best["__id"]))
     order = Window.partitionBy("__fp").orderBy(F.col(text), F.to_json(F.struct(*names)))
     return kept.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*names)

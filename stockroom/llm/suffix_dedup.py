@@ -403,7 +403,9 @@ def removed(docs: DataFrame, text: str = "text", shape: Shape = BYTES, doc_id: s
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns and `spans`: array of (start, end) in bytes, end exclusive, of what `removed` takes off."""
+    """All columns and `spans` (in place of one of that name): array of (start, end) in bytes, end exclusive, of what
+    `removed` takes off."""
+    docs = common.without(docs, "spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(block: Block) -> pa.Table:
