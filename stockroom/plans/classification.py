@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.operators import classify, weights
-from stockroom.plans.registry import query
+from stockroom.plans.registry import cut, query
 
 LISTING = """select l_orderkey as aid, n, l_partkey % 8 as k, l_suppkey as s, l_partkey as p, cast(round(l_extendedprice * 100) as bigint) as size, l_quantity as quantity from
   (select l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_quantity, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as n from lineitem) as numbered"""
@@ -137,4 +137,4 @@ def a12(spark, sf):
   case when part and not rest then 'nothing would be left' end as note, case when part and rest then not (every and (fits_name or fits_path)) end as explicit_paths from q left join l1 using (aid) left join l2 using (aid) left join l3 using (aid)""")
 def k12(spark, sf):
     files, _ = classify.classified(**facts(spark, sf))
-    return classify.keep_list(files).select("aid", F.array_join("include", ",").alias("include"), "note", "explicit_paths")
+    return classify.keep_list(cut(files)).select("aid", F.array_join("include", ",").alias("include"), "note", "explicit_paths")
