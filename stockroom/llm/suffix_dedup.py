@@ -1,4 +1,4 @@
-"""Operator 3, removal of repeated byte strings by blockwise construction of suffix order over a difference cover.
+"""Operator 3, removal of repeated byte strings by blockwise sorting of suffixes sifted by a difference cover.
 
 Only one question is put to the order of suffixes: which suffixes agree with another in their first `LENGTH` bytes.
 Suffixes at positions of a difference cover are the sample. For any two positions there is a shift under `CYCLE` that
@@ -17,8 +17,17 @@ Where it does, the rows are put in order of their ids, so that blocks are in ord
 the first, which like samples without a partner has its windows sorted where another class has its name. So each window
 is known to be the first of its kind, or to have an earlier copy.
 
-Scale: the sample is 12 of 133 positions at 5 bytes each, the other rounds are a fraction of that. Bucket memory is
-bounded by the number of buckets, which grows with the input, and by the number of blocks for any one name.
+Names may collide, so for windows of bytes they only sift (no repeat is missed by them), and bytes decide:
+
+5. each window taken for repeated has an anchor, the GRAM bytes in it whose name is least; windows that have theirs at one
+   place go together, as a context of bytes, to the bucket of these bytes. There the suffixes that start at the anchors
+   are sorted, and what stands before them, read backwards. Two windows agree if both parts agree in these orders, and
+   a window stays repeated only if another one agrees with it byte for byte.
+
+Scale: the sample is 12 of 133 positions at 5 bytes each, the other rounds are a fraction of that; after the first round
+bits of the samples that are left stand for its replies. Only bytes of windows that were found repeated are ever sent,
+and a block sends equal contexts once. Bucket memory is bounded by the number of buckets, which grows with the input,
+and by the number of blocks for any one name. A text holds less than 2**28 bytes.
 
 Edge cases: null texts count as empty; texts under `LENGTH` bytes lose nothing; repeated rows are copies of one
 another; all columns pass through, null ids too; an empty table gives an empty result. Where removal cuts a character
@@ -53,6 +62,11 @@ ROUNDS = 4
 BUCKET_BYTES = 12 << 20
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
+#: Bytes of an anchor, and the low bits of its name that give way to its place. Texts are shorter than 2**28 bytes.
+GRAM = 32
+PLACE_BITS, MASK = U64(28), U64((1 << 28) - 1)
+#: Bucket of the rows that hold what is left of the cover samples.
+SURVIVORS = -1
 
 
 @dataclass(frozen=True)
@@ -179,6 +193,59 @@ class Text:
         return self.at
 
 
+def least_places(names: np.ndarray, length: int) -> np.ndarray:
+    """The place of the least name in each stretch of `length`, the first of those whose leading bits tie.
+
+    Minima of stretches from running minima to both sides of every `length`-th place."""
+    n = len(names)
+    keys = (names >> PLACE_BITS << PLACE_BITS) | (np.arange(n, dtype=U64) & MASK)
+    grid = np.full(-(-n // length) * length, ~U64(0))
+    grid[:n] = keys
+    grid = grid.reshape(-1, length)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    starts = np.arange(n - length + 1)
+    return (np.minimum(behind[starts], ahead[starts + length - 1]) & MASK).astype(np.int64)
+
+
+def confirmed(parts: list[tuple[bytes, int]], weights: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each context (bytes, place of its anchor) and each of its windows: whether the windows of that place and these
+    bytes have a weight of two or more.
+
+    Contexts meet at their anchors. They are put in the order of the suffixes that start there, and in that of what
+    stands before, read backwards; two windows agree if both parts do, and in a sorted order those whose neighbours have
+    no less in common lie together."""
+    n = len(parts)
+    after, before = [d[p : p + length] for d, p in parts], [d[:p][::-1] for d, p in parts]
+
+    def ordered(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        order = sorted(range(n), key=strings.__getitem__)
+        wide = np.zeros((n, length + 1), np.int16)  # a place behind the end agrees with nothing but an end
+        for row, k in enumerate(order):
+            x = np.frombuffer(strings[k], np.uint8)
+            wide[row, : len(x)] = x.astype(np.int16) + 1
+        same = wide[1:] == wide[:-1]
+        common_ = np.where(same.all(axis=1), length + 1, np.argmin(same, axis=1))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        return rank, np.append(0, common_)
+
+    (rank_a, common_a), (rank_b, common_b) = ordered(after), ordered(before)
+    high = np.array([p for _, p in parts])
+    windows = np.array([len(d) - length + 1 for d, _ in parts])
+    low = high - windows + 1
+    base = np.cumsum(windows) - windows
+    out = np.zeros(int(windows.sum()), bool)
+    for shift in range(int(low.min()), int(high.max()) + 1):
+        mine = np.flatnonzero((low <= shift) & (shift <= high))
+        if len(mine):
+            right = np.cumsum(common_a < length - shift)[rank_a[mine]]
+            left = np.cumsum(common_b < shift)[rank_b[mine]]
+            _, group = np.unique(right * (n + 1) + left, return_inverse=True)
+            out[base[mine] + high[mine] - shift] = np.bincount(group, weights[mine])[group] >= 2
+    return np.split(out, base[1:])
+
+
 class Block:
     """The texts of a block, brought forward by the replies to its rounds."""
 
@@ -188,6 +255,7 @@ class Block:
         self.data = [x.as_py() or b"" for x in column]
         self.texts = [Text(d, shape) if len(d) >= shape.length else None for d in self.data]
         self.live = [t for t in self.texts if t]
+        self.every = [t.at for t in self.live]
 
     def join(self, parts: list[np.ndarray], kind=U64) -> np.ndarray:
         return np.concatenate(parts) if parts else np.zeros(0, kind)
@@ -219,6 +287,53 @@ class Block:
         rank[order] = np.arange(len(names))
         return names[order], np.minimum(np.bincount(place, weight, len(names)).astype(np.int64), 2)[order], rank[place]
 
+    def survivors(self) -> bytes:
+        """Which of all cover samples are left after the first round, as bits."""
+        return zlib.compress(np.packbits(self.join([np.isin(a, t.at, assume_unique=True) for a, t in zip(self.every, self.live)], bool)).tobytes(), 1)
+
+    def survive(self, bits: bytes) -> None:
+        """The state after the first round, from the bits of its survivors."""
+        left = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8)).astype(bool)
+        for t, which in zip(self.live, self.split(left[: sum(len(t.at) for t in self.live)], [len(t.at) for t in self.live])):
+            t.keep(which)
+
+    def records(self) -> list[tuple[int, int, int, int, int]]:
+        """(text, first window, last window, anchor, bucket of the anchor's bytes) of the windows taken for repeated: those of
+        a text that have their anchor, the GRAM of least name in a window, at one place."""
+        out = []
+        for k, (t, flagged) in enumerate(zip(self.live, self.repeated)):
+            at = np.flatnonzero(flagged)
+            if not len(at):
+                continue
+            names = t.name(np.arange(t.n - GRAM + 1), np.arange(GRAM, t.n + 1))
+            anchor = least_places(names, self.shape.length - GRAM + 1)[at]
+            cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(anchor) != 0))
+            first, last = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
+            place = anchor[np.append(0, cut + 1)]
+            bucket = (names[place] >> PLACE_BITS) % U64(self.buckets)
+            out += zip([k] * len(first), first.tolist(), last.tolist(), place.tolist(), bucket.tolist())
+        return out
+
+    def contexts(self) -> tuple[dict[tuple[int, bytes, int], list[int]], list[tuple[int, int, int, int, int]]]:
+        """Distinct (bucket, bytes, place of the anchor in them) by bucket with the numbers of the records that have them."""
+        found: dict[tuple[int, bytes, int], list[int]] = {}
+        live = [d for d, t in zip(self.data, self.texts) if t]
+        records = self.records()
+        for n, (k, first, last, place, bucket) in enumerate(records):
+            found.setdefault((bucket, live[k][first : last + self.shape.length], place - first), []).append(n)
+        return dict(sorted(found.items(), key=lambda x: x[0][0])), records
+
+    def verify(self, bits: np.ndarray) -> None:
+        """`bits`: for each distinct context sent, whether each of its windows stands elsewhere too, byte for byte."""
+        found, records = self.contexts()
+        at = 0
+        for (_, data, _), numbers in found.items():
+            n = len(data) - self.shape.length + 1
+            for k in numbers:
+                text, first, last, _, _ = records[k]
+                self.repeated[text][first : last + 1] &= bits[at : at + n]
+            at += n
+
     def hear(self, turn: int, reply: np.ndarray) -> None:
         """`reply`: for each distinct name sent, its total weight up to 2, and 4 more for the first block that sent it."""
         place = self.sent(turn)[2]
@@ -307,15 +422,29 @@ def widened(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def replay(block: pa.Table, replies: pa.Table, text: str, buckets: int, rounds: int, shape: Shape = BYTES) -> Block:
-    """The block after so many rounds; one in which it sent no name brought no reply."""
+def opened(block: pa.Table, replies: pa.Table, text: str, buckets: int, shape: Shape) -> tuple[Block, dict[int, list[tuple[int, bytes]]]]:
     state = Block(unpacked(block.column("data")[0].as_py()), text, buckets, shape)
     turns: dict[int, list[tuple[int, bytes]]] = {}
     for turn, bucket, codes in zip(*(replies.column(c).to_pylist() for c in ("turn", "bucket", "codes"))):
         turns.setdefault(turn, []).append((bucket, codes))
-    for turn in range(1, rounds + 1):
-        codes = b"".join(zlib.decompress(c) for _, c in sorted(turns.get(turn, [])))
-        state.hear(turn, np.frombuffer(codes, np.uint8))
+    return state, turns
+
+
+def joined(codes: list[tuple[int, bytes]]) -> np.ndarray:
+    return np.frombuffer(b"".join(zlib.decompress(c) for _, c in sorted(codes)), np.uint8)
+
+
+def replay(block: pa.Table, replies: pa.Table, text: str, buckets: int, rounds: int, shape: Shape = BYTES) -> Block:
+    """The block after so many rounds; one in which it sent no name brought no reply."""
+    state, turns = opened(block, replies, text, buckets, shape)
+    for turn in range(1, min(rounds, ROUNDS) + 1):
+        codes = turns.get(turn, [])
+        if turn == 1 and codes and codes[0][0] == SURVIVORS:
+            state.survive(codes[0][1])
+        else:
+            state.hear(turn, joined(codes))
+    if rounds > ROUNDS:
+        state.verify(joined(turns.get(rounds, [])).astype(bool))
     return state
 
 
@@ -324,11 +453,48 @@ def ask(state: Block, turn: int, block: int) -> pa.Table:
     bucket, width = names % U64(state.buckets), 5 if turn in (1, 3) else 8
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     rows = [(int(b[0]), narrowed(n, width), w.astype(np.uint8).tobytes()) for b, n, w in zip(np.split(bucket, cuts), np.split(names, cuts), np.split(weights, cuts)) if len(b)]
+    if turn == 2:
+        rows.append((SURVIVORS, state.survivors(), b""))
+    return asked(rows, block)
+
+
+def asked(rows: list[tuple[int, bytes, bytes]], block: int) -> pa.Table:
     types = (pa.int64(), pa.binary(), pa.binary())
     b, n, w = (pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), types))
     return pa.table({"bucket": b, "block": pa.array([block] * len(rows), pa.int64()), "names": n, "weights": w})
 
 
+def show(state: Block, block: int) -> pa.Table:
+    """The distinct contexts of the block, by bucket: their bytes behind one another, and sizes, anchors and weights."""
+    rows = []
+    for bucket, part in itertools.groupby(state.contexts()[0].items(), key=lambda x: x[0][0]):
+        part = list(part)
+        shape = np.array([(len(data), place, min(len(numbers), 2)) for (_, data, place), numbers in part], "<i4")
+        rows.append((bucket, bytes(pa.compress(b"".join(data for (_, data, _), _ in part), codec="zstd", asbytes=True)), shape.tobytes()))
+    return asked(rows, block)
+
+
+def compare_bucket(length: int, turn: int) -> Callable[[pa.Table], pa.Table]:
+    def work(rows: pa.Table) -> pa.Table:
+        """Compares the contexts of a bucket byte by byte and tells each block which windows stand elsewhere too."""
+        rows = rows.sort_by("block")
+        parts, weights, counts = [], [], []
+        for names, shape in zip(rows.column("names").to_pylist(), rows.column("weights").to_pylist()):
+            shape = np.frombuffer(shape, "<i4").reshape(-1, 3)
+            data = pa.decompress(names, decompressed_size=int(shape[:, 0].sum()), codec="zstd", asbytes=True)
+            ends = np.cumsum(shape[:, 0]).tolist()
+            parts += [(data[s:e], p) for s, e, p in zip([0, *ends], ends, shape[:, 1].tolist())]
+            weights.append(shape[:, 2])
+            counts.append(len(shape))
+        found = confirmed(parts, np.concatenate(weights), length)
+        cuts = np.cumsum([0, *counts])
+        codes = [zlib.compress(np.concatenate(found[s:e]).astype(np.uint8).tobytes(), 1) for s, e in zip(cuts, cuts[1:])]
+        n = len(rows)
+        return pa.table({"block": rows.column("block"), "turn": pa.array([turn] * n, pa.int32()), "bucket": rows.column("bucket"), "codes": pa.array(codes, pa.binary())})
+
+    return work
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """(block, data): whole rows in compressed blocks of about BLOCK_BYTES."""
 
@@ -376,12 +542,27 @@ def resolved(docs: DataFrame, text: str, finish: Callable[[Block], pa.Table], sc
 
         return work
 
-    def finishing(block: pa.Table, heard: pa.Table) -> pa.Table:
-        return finish(replay(block, heard, text, buckets, ROUNDS, shape))
-
     for turn in range(1, ROUNDS + 1):
         names = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(asking(turn), NAMES)
+        if turn == 2:  # from here on, bits of what the first round left stand for its replies
+            names = common.stored(names)
+            left = F.col("bucket") == SURVIVORS
+            replies = names.where(left).select("block", F.lit(1).alias("turn"), "bucket", F.col("names").alias("codes"))
+            names = names.where(~left)
         replies = replies.union(common.cut(names.groupBy("bucket").applyInArrow(sort_bucket(turn), REPLY)))
+    rounds = ROUNDS
+    if not shape.words:  # what the names say is held against the bytes
+
+        def showing(block: pa.Table, heard: pa.Table) -> pa.Table:
+            return show(replay(block, heard, text, buckets, ROUNDS, shape), block.column("block")[0].as_py())
+
+        shown = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(showing, NAMES)
+        rounds = ROUNDS + 1
+        replies = replies.union(common.cut(shown.groupBy("bucket").applyInArrow(compare_bucket(shape.length, rounds), REPLY)))
+
+    def finishing(block: pa.Table, heard: pa.Table) -> pa.Table:
+        return finish(replay(block, heard, text, buckets, rounds, shape))
+
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finishing, schema)
 
 

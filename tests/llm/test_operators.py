@@ -157,6 +157,53 @@ def test_repeats_equal_brute_force(spark):
     assert kept[len(texts) - 2] is None and kept[0] == np.frombuffer(data[0], np.uint8)[~cover[0]].tobytes().decode()
 
 
+def test_bytes_decide_where_all_names_collide():
+    """With every window taken for repeated, as if all names were equal, what is left is what repeats byte for byte."""
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    passage = [words(rng, 150) for _ in range(3)]
+    parts = [[words(rng, rng.randrange(1, 60)) + rng.choice(passage)[rng.randrange(300) :] + words(rng, 50) + rng.choice([*passage, ""]) for _ in range(8)] for _ in range(4)]
+    parts[0] += ["ab" * 450, None, "", "x" * 900, parts[1][0], passage[0][:399]]
+    parts[3] += [parts[1][0], "x" * 401, "é" * 420]
+    blocks = [suffix_dedup.Block(pa.table({"text": pa.array(p, pa.string())}), "text", 5) for p in parts]
+    asked = []
+    for k, b in enumerate(blocks):
+        b.repeated = [np.ones(t.windows, bool) for t in b.live]
+        asked.append(suffix_dedup.show(b, k))
+    every = pa.concat_tables(asked)
+    work = suffix_dedup.compare_bucket(400, 5)
+    replies = [work(every.filter(pa.compute.equal(every.column("bucket"), n))) for n in sorted(set(every.column("bucket").to_pylist()))]
+    heard = {}
+    for r in replies:
+        for row in r.to_pylist():
+            heard.setdefault(row["block"], []).append((row["bucket"], row["codes"]))
+    data = [(t or "").encode() for p in parts for t in p]
+    cover, at = plain_removed(data, 400), 0
+    for k, b in enumerate(blocks):
+        b.verify(suffix_dedup.joined(heard.get(k, [])).astype(bool))
+        for runs, want in zip(b.covered(), cover[at : at + len(parts[k])]):
+            got = np.zeros(len(want), bool)
+            for s, e in runs.tolist():
+                got[s:e] = True
+            assert np.array_equal(got, want)
+        at += len(parts[k])
+    assert any(c.any() for c in cover) and not all(c.all() for c in cover if len(c) >= 400)
+
+
+def test_repeats_over_blocks_and_partitions(spark, monkeypatch):
+    rng = random.Random(15)
+    passage = [words(rng, 120) for _ in range(5)]
+    texts = [words(rng, rng.randrange(1, 90)) + rng.choice(["", rng.choice(passage)]) + words(rng, 40) for _ in range(120)]
+    texts += texts[:10] + [texts[3] + "tail", None, ""]
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4096)
+    cover = plain_removed([(t or "").encode() for t in texts], 400)
+    rows = suffix_dedup.repeated_spans(frame(spark, texts).repartition(5)).collect()
+    got = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["spans"]) for r in rows}
+    assert got == {k: int(c.sum()) for k, c in enumerate(cover)} and sum(got.values())
+
+
 def test_cover_meets_every_shift():
     d = suffix_dedup.cover()
     assert {int(x - y) % suffix_dedup.CYCLE for x in d for y in d} == set(range(suffix_dedup.CYCLE))
