@@ -6,13 +6,8 @@ take a stream (or a table) with an event-time column `at`. Late rows beyond the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 WATERMARK = "30 seconds"
@@ -161,55 +156,6 @@ def verified_as_landed(observed: DataFrame, expected: DataFrame) -> DataFrame:
     return observed.join(want, ["aid", "path"], "left").select("aid", "path", verdict.alias("verdict"))
 
 
-METER = "aid long, at timestamp, done long, ema double, retries long, state string, percent long, eta double"
-KEPT = "done long, ema double, retries long, last_at double, last_byte_at double, sent string, sent_at double, total long, state string"
-
-
-def meter_step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One artifact's meter: folds its events in order of time, reports a change or a heartbeat, and a stall on time-out."""
-    done, ema, retries, last, byte_at, sent, sent_at, total, phase = state.get if state.exists else (0, None, 0, None, None, "", 0.0, 0, "starting")
-    rows = []
-
-    def report(now: float) -> None:
-        nonlocal sent, sent_at
-        percent = min(100, done * 100 // total) if total else 0
-        if f"{phase} {percent}" != sent or now - sent_at >= HEARTBEAT_SECONDS:
-            sent, sent_at = f"{phase} {percent}", now
-            eta = 0.0 if total and done >= total else (total - done) / ema if ema and phase == "downloading" else None
-            rows.append((key[0], pd.Timestamp(now, unit="s"), done, ema, retries, phase, percent, eta))
-
-    if state.hasTimedOut:
-        if total and done < total and phase != "stalled":
-            phase = "stalled"
-            report((byte_at or last or 0.0) + STALL_SECONDS)
-    else:
-        for e in pd.concat(list(batches)).sort_values(["at", "event_id"]).itertuples():
-            now, total = e.at.timestamp(), int(e.total)
-            if byte_at is not None and now - byte_at >= STALL_SECONDS and done < total and phase == "downloading":
-                phase = "stalled"
-                report(byte_at + STALL_SECONDS)
-            if e.kind in MOVING:
-                if byte_at is not None and now > byte_at:
-                    rate = e.bytes / (now - byte_at)
-                    ema = rate if ema is None else EMA * rate + (1 - EMA) * ema
-                done, retries, byte_at, phase = min(total, done + int(e.bytes)), 0, now, "downloading"
-            elif e.kind == "hash":
-                phase = "verifying"
-            elif e.kind in ("retry", "offline"):
-                retries, phase = retries + (e.kind == "retry"), "retrying" if e.kind == "retry" else "offline"
-            last = now
-            report(now)
-        at = max(int((last + STALL_SECONDS) * 1000), state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(at)
-    state.update((done, ema, retries, last, byte_at, sent, sent_at, total, phase))
-    yield pd.DataFrame(rows, columns=["aid", "at", "done", "ema", "retries", "state", "percent", "eta"])
-
-
-def meter(events: DataFrame) -> DataFrame:
-    """Live state of every artifact of a stream whose rows carry its `total`."""
-    return events.withWatermark("at", WATERMARK).groupBy("aid").applyInPandasWithState(meter_step, METER, KEPT, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now into Parquet under `path`, and reads it back."""
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
@@ -217,9 +163,13 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def transfer_events(raw: DataFrame) -> DataFrame:
+    """Rows of the events table as transfer events."""
+    kind = F.create_map(*(F.lit(x) for kv in {"purchase": "network", "click": "local", "view": "hash", "error": "retry"}.items() for x in kv))
+    return raw.select("event_id", F.col("user_id").alias("aid"), F.col("ts").alias("at"), F.coalesce(kind[F.col("event_type")], F.lit("online")).alias("kind"), F.round(F.col("value") * 1000).cast("long").alias("bytes"))
+
+
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream of the events table, one file or a folder, as transfer events."""
     path = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file, a plain path must be a folder
-    raw = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(path)
-    kind = F.create_map(*(F.lit(x) for kv in {"purchase": "network", "click": "local", "view": "hash", "error": "retry"}.items() for x in kv))
-    return raw.select("event_id", F.col("user_id").alias("aid"), F.col("ts").alias("at"), F.coalesce(kind[F.col("event_type")], F.lit("online")).alias("kind"), F.round(F.col("value") * 1000).cast("long").alias("bytes"))
+    return transfer_events(spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(path))

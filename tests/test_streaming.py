@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 import tempfile
 
 from pyspark.sql import functions as F
 
-from stockroom.streaming import telemetry
+from stockroom.streaming import appends, meter, telemetry
 
 START = dt.datetime(2024, 1, 1)
 
@@ -27,14 +28,69 @@ def test_rollup_stream_equals_batch(spark):
     assert got <= want and len(got) >= 2  # the last window stays open
 
 
-def test_meter_reports_stall_and_completion(spark):
-    frame = events(spark, [(0, "network", 10), (2, "network", 20), (30, "retry", 0), (31, "network", 70)])
-    stream, folder = as_stream(spark, frame)
-    rows = telemetry.drained(telemetry.meter(stream), folder).orderBy("at").collect()
-    states = [r["state"] for r in rows]
-    assert "stalled" in states and "retrying" in states
-    last = rows[-1]
-    assert last["done"] == 100 and last["percent"] == 100 and last["eta"] == 0 and last["retries"] == 0
+def metered(spark, frames, **settings):
+    """The live meter over frames that come one after another, the stream being started anew for each."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    with meter.stores(spark):
+        for frame in frames:
+            frame.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(frame.schema).parquet(f"{folder}/in")
+            out = telemetry.drained(meter.meter(stream, meter.Settings(**settings)), folder)
+    return [r.asDict() | {"s": (r["at"] - START).total_seconds()} for r in out.orderBy("at", "what").collect()]
+
+
+def test_meter_reports_stalls_outages_and_completion(spark):
+    log = [(0, "network", 10), (2, "network", 20), (30, "offline", 0), (31, "offline", 0), (33, "network", 0), (34, "retry", 0), (36, "network", 30), (40, "local", 40), (50, "hash", 7), (400, "online", 0), (500, "online", 0)]
+    rows = metered(spark, [events(spark, log)], cap=40, floor=0, free=50)
+    reports = [(r["s"], r["phase"], r["percent"]) for r in rows if r["what"] == "report"]
+    assert reports == [(0, "starting", 10), (2, "downloading", 30), (17, "stalled", 30), (30, "offline", 30), (36, "downloading", 60), (40, "downloading", 100), (50, "verifying", 100)]
+    assert [(r["s"], r["seconds"], r["attempts"]) for r in rows if r["what"] == "outage"] == [(36, 6.0, 2)]
+    assert [(r["s"], r["reason"]) for r in rows if r["what"] == "alert"] == [(36, "cap"), (36, "free")]
+    samples = {r["s"]: r for r in rows if r["what"] == "sample"}
+    assert samples[2]["rate"] == 10 and samples[36]["retries"] == 0 and samples[34]["retries"] == 1 and 500 not in samples
+    assert next(r for r in rows if r["s"] == 40 and r["what"] == "report")["eta"] == 0
+
+
+def test_heartbeats_go_on_without_events_until_the_artifact_is_idle(spark):
+    rows = metered(spark, [events(spark, [(0, "network", 10), (1000, "online", 0), (1100, "online", 0)]), events(spark, [(5000, "network", 1), (9000, "online", 0)])], idle=1_500_000)
+    reports = [(r["s"], r["phase"]) for r in rows if r["what"] == "report"]
+    assert reports[:5] == [(0, "starting"), (15, "stalled"), (315, "stalled"), (615, "stalled"), (915, "stalled")]
+    assert (2415, "stalled") in reports and not any(2600 < s < 5000 for s, _ in reports)  # 1500 s after the last event
+    assert (5000, "starting") in reports  # begun afresh
+
+
+def test_meter_restarted_from_its_checkpoint_tells_the_same(spark):
+    rng = random.Random(6)
+    log, t = [], 0.0
+    for _ in range(150):
+        t += rng.choice([0.3, 0.5, 1, 2, 6, 16, 40])
+        log.append((t, rng.choice(["network", "network", "local", "hash", "retry", "offline", "online"]), rng.randrange(3)))
+    whole = events(spark, log)
+    parts = [whole.where(F.col("event_id").between(*k)) for k in ((0, 39), (40, 41), (42, 110), (111, 149))]
+    assert metered(spark, [whole], cap=20) == metered(spark, parts, cap=20)
+
+
+def test_eta_and_rates_follow_the_last_minutes():
+    fold, s, now = meter.Meter(), meter.Settings(), 0
+    for k in range(200):  # 100 a second, then 50
+        now = k * 1000
+        list(fold.event(now, "network", 100 if k < 100 else 50, 100_000, s))
+    assert len(fold.points) <= 60 and len(fold.rates) == 24 and abs(fold.ema - 50) < 1
+    (t0, b0), (t1, b1) = fold.points[0], fold.points[-1]
+    phase, eta = fold.state(now, s)
+    assert phase == "downloading" and eta == fold.remaining() / ((b1 - b0) / ((t1 - t0) / 1000))
+    assert fold.state(now + 5_000, s) == ("downloading", eta)  # held while quiet
+    assert fold.state(now + 15_000, s) == ("stalled", None)
+
+
+def test_replayed_batch_adds_nothing(spark, tmp_path):
+    append = appends.once(str(tmp_path / "log"))
+    append(spark.range(5), 0)
+    append(spark.range(5), 0)
+    spark.range(3).write.parquet(str(tmp_path / "log/batch=1"))
+    (tmp_path / "log/batch=1/_SUCCESS").unlink()  # broke off
+    append(spark.range(7), 1)
+    assert spark.read.parquet(str(tmp_path / "log")).groupBy("batch").count().orderBy("batch").collect() == [(0, 5), (1, 7)]
 
 
 def test_stream_meets_record(spark):
