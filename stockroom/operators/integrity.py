@@ -5,8 +5,14 @@ Joins are on (artifact, path), which spreads an artifact of any size; counts com
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FILE = ["aid", "path"]
 
@@ -37,9 +43,55 @@ def verification_summary(expected: DataFrame, diff: DataFrame) -> DataFrame:
 
 def artifact_hash(inventory: DataFrame) -> DataFrame:
     """SHA-256 of the lines `digest, two blanks, path` in order of the path, each closed by a newline."""
-    line = F.concat(F.col("sha256"), F.lit("  "), F.col("path"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x.line)
-    return inventory.groupBy("aid").agg(F.sha2(F.concat(F.array_join(lines, "\n"), F.lit("\n")), 256).alias("artifact_sha256"))
+    return ordered_digest(inventory, ["path"], F.concat("sha256", F.lit("  "), "path"), "artifact_sha256", end="\n")
+
+
+def ordered_digest(rows: DataFrame, order: list[str], line: Column, name: str, end: str = "") -> DataFrame:
+    """SHA-256 of an artifact's lines in an order, joined by newlines, with `end` after the last; null lines are left out.
+
+    The rows of an artifact meet sorted in one task, which digests them batch by batch as they come: the sort spills, and
+    neither the text nor a list of lines is ever held. A digest is a chain, so more tasks couldn't share one artifact."""
+    dealt = rows.select("aid", *order, F.concat(line, F.lit("\n")).alias("__line")).repartition("aid").sortWithinPartitions("aid", *order, "__line").select("aid", "__line")
+    schema = T.StructType([dealt.schema["aid"], T.StructField(name, T.StringType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aid = sha = kind = None
+        empty = True
+        done: list[tuple] = []
+
+        def rows_done() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], kind), pa.array([x for _, x in done], pa.string())], schema.names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            ids, lines = batch.column("aid"), batch.column("__line").fill_null("")
+            kind = ids.type
+            _, places, data = lines.buffers()
+            at = np.frombuffer(places, np.int64 if pa.types.is_large_string(lines.type) else np.int32)[lines.offset :].tolist()
+            text = memoryview(data) if data is not None else b""
+            codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            names = ids.take(pa.array(edges[:-1])).to_pylist() if batch.num_rows else []
+            for a, b, name in zip(edges, edges[1:], names):
+                if sha is None or name != aid:
+                    if sha is not None:
+                        sha.update(end.encode())
+                        done.append((aid, sha.hexdigest()))
+                    aid, sha, empty = name, hashlib.sha256(), True
+                if at[a] < at[b]:
+                    if not empty:
+                        sha.update(b"\n")
+                    sha.update(text[at[a] : at[b] - 1])
+                    empty = False
+            if done:
+                yield rows_done()
+        if sha is not None:
+            sha.update(end.encode())
+            done.append((aid, sha.hexdigest()))
+            yield rows_done()
+
+    return dealt.mapInArrow(work, schema)
 
 
 def status_fold(result: Column, prior: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stockroom.operators import integrity
 from stockroom.operators.ranks import Cut, running
 from stockroom.operators.rules import listed
 
@@ -77,7 +78,7 @@ def handoff_eligible(source: DataFrame, destination: DataFrame) -> DataFrame:
 def scope_signature(expected: DataFrame) -> DataFrame:
     """A digest of an artifact's whole expectation: transfers with the same one can be combined."""
     line = F.concat_ws("\t", F.col("path"), F.coalesce(F.col("size").cast("string"), F.lit("?")))
-    return expected.groupBy("aid").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("signature"))
+    return integrity.ordered_digest(expected, [], line, "signature")
 
 
 def combinable(expected: DataFrame) -> DataFrame:

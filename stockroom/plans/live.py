@@ -66,16 +66,11 @@ def live_meter(spark, sf):
 @query("st_late_and_replayed", """with e as (select *, event_id % 10 = 0 as second from events), w as (select epoch_us(max(ts)) // 1000 * 1000 - 30000000 as mark from e where not second),
   k as (select e.*, second and epoch_us(ts) <= mark as late from e, w) select user_id as aid, count(*) filter (not late) as events, cast(sum(case when not late then round(value * 1000) else 0 end) as bigint) as bytes, (select count(*) from k where late) as late from k group by user_id having count(*) filter (not late) > 0""")
 def late_and_replayed(spark, sf):
-    """The events as a log: a tenth of them comes in a second batch, whose rows behind the watermark are dropped and counted; each
-    batch is handed over twice."""
+    """The events as a log: a tenth of them comes after the stream was stopped and started again, and of these the rows behind
+    the watermark are dropped and counted; each batch is handed over twice."""
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    came = registry.shared_path(spark, "came")
-    for second in (False, True):
-        events.where((F.col("event_id") % 10 == 0) == second).coalesce(1).write.mode("append").parquet(came)
-    stream = telemetry.transfer_events(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(came))
-    stream = stream.withWatermark("at", telemetry.WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
-    log, late = registry.shared_path(spark, "log"), appends.LateRows()
-    append = appends.once(log)
+    came, log, state = (registry.shared_path(spark, kind) for kind in ("came", "log", "state"))
+    late, append = appends.LateRows(), appends.once(log)
 
     def twice(batch: DataFrame, number: int) -> None:
         append(batch, number)
@@ -83,9 +78,13 @@ def late_and_replayed(spark, sf):
 
     spark.streams.addListener(late)
     try:
-        q = stream.writeStream.foreachBatch(twice).option("checkpointLocation", registry.shared_path(spark, "state")).trigger(availableNow=True).start()
-        q.awaitTermination()
-        dropped = late.total(str(q.id))
+        for second in (False, True):
+            events.where((F.col("event_id") % 10 == 0) == second).write.mode("append").parquet(came)
+            stream = telemetry.transfer_events(spark.readStream.schema(events.schema).parquet(came))
+            stream = stream.withWatermark("at", telemetry.WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+            q = stream.writeStream.foreachBatch(twice).option("checkpointLocation", state).trigger(availableNow=True).start()
+            q.awaitTermination()
+            dropped = late.total(str(q.id))
     finally:
         spark.streams.removeListener(late)
     return spark.read.parquet(log).groupBy("aid").agg(F.count("*").alias("events"), F.sum("bytes").alias("bytes")).withColumn("late", F.lit(dropped).cast("long"))

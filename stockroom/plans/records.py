@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockroom.operators import findings, integrity, records
 from stockroom.plans.derive import cte, view
 from stockroom.plans.registry import query, shared_path
-from stockroom.sources import headers, scans
+from stockroom.sources import headers, ranged, scans
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -200,6 +200,85 @@ def s7(spark, sf):
     return headers.key_values_of(rows).drop("type")
 
 
+# files that Spark writes from the tables and reads back in ranges
+
+
+@query("s4_digests", """select source || '/' || (doc_id // 20) || '.txt' as path, cast(strlen(string_agg(text, chr(10) order by doc_id)) as bigint) as size, sha256(string_agg(text, chr(10) order by doc_id)) as sha256,
+  sha1('blob ' || strlen(string_agg(text, chr(10) order by doc_id)) || chr(0) || string_agg(text, chr(10) order by doc_id)) as git_sha1 from documents where (doc_id // 20) % 7 <> 3 group by source, doc_id // 20""")
+def s4_digests(spark, sf):
+    """Texts written as files, and digests of a tree that holds them, with those that a filter leaves out never opened."""
+    group = F.floor(F.col("doc_id") / 20)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x.text), "\n")
+    rows = table(spark, sf, "documents").groupBy("source", group.alias("g")).agg(text.alias("text"))
+    name = F.concat(F.when(F.col("g") % 7 == 3, "skipped/").otherwise(""), "source", F.lit("/"), "g", F.lit(".txt"))
+    at = shared_path(spark, "payload")
+    ranged.write_files(rows.select(name.alias("path"), F.encode("text", "utf-8").alias("content")), at)
+    return ranged.digests(spark, at).where(~F.col("path").startswith("skipped/") & (F.col("size") > 0)).select("path", "size", "sha256", "git_sha1")
+
+
+@query("f22_s4_listed_digests", """select 'p' || p_partkey as path, cast(p_size % 5 as bigint) as size, case when p_partkey % 4 = 0 then null else sha256(repeat('x', p_size % 5)) end as sha256, p_partkey % 4 = 0 as unread from part where p_partkey % 3 > 0""")
+def f22_s4(spark, sf):
+    """The files that still need a digest are read, and no others; one in four has another size than was listed."""
+    k, n = F.col("p_partkey"), (F.col("p_size") % 5).cast("long")
+    rows = table(spark, sf, "part").select(F.lit("a").alias("aid"), F.concat(F.lit("p"), k).alias("path"), n.alias("size"), k.alias("k"))
+    at = shared_path(spark, "payload")
+    content = F.concat(F.repeat(F.lit("x"), F.col("size").cast("int")), F.when(F.col("k") % 4 == 0, "more").otherwise(""))
+    ranged.write_files(rows.select("path", F.encode(content, "utf-8").alias("content")), at)
+    need = integrity.files_to_hash(rows, rows, rows.where("k % 3 = 0")).join(rows.select("path", "size"), "path")
+    return ranged.listed_digests(need.select("path", "size"), at).select("path", "size", "sha256", F.col("error").isNotNull().alias("unread"))
+
+
+@query("s6_tensor_files", """select p_brand || '/' || p_type || '.safetensors' as path, 't' || p_partkey as tensor, case when p_size % 2 = 0 then 'F16' else 'BF16' end as dtype, p_size || ',3' as shape, cast(null as varchar) as error from part where length(p_type) % 3 > 0
+  union all select distinct p_brand || '/' || p_type || '.safetensors', null, null, null, 'truncated' from part where length(p_type) % 3 = 0""")
+def s6_files(spark, sf):
+    """Headers of weight files, one for each brand and type, of which some are cut."""
+    one = F.struct(F.when(F.col("p_size") % 2 == 0, "F16").otherwise("BF16").alias("dtype"), F.array(F.col("p_size"), F.lit(3)).alias("shape"))
+    tensors = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("t"), "p_partkey"), one)))
+    text = F.encode(F.to_json(tensors), "utf-8")
+    size = F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.length(text)), 16, "0"), k, 2) for k in range(15, 0, -2))))
+    content = F.concat(size, text, F.unhex(F.lit("00" * 64)))
+    cut = F.length("p_type") % 3 == 0
+    rows = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.when(F.first(cut), F.substring(content, 1, 20)).otherwise(content).alias("content"))
+    at = shared_path(spark, "weights")
+    ranged.write_files(rows.select(F.concat_ws("/", "p_brand", F.concat("p_type", F.lit(".safetensors"))).alias("path"), "content"), at)
+    return headers.tensors(spark, at).select("path", "tensor", "dtype", F.array_join("shape", ",").alias("shape"), "error")
+
+
+@query("s7_key_value_files", """with f as (select p_brand, count(*) as n, max(p_size) as most, sum(p_size) as total from part group by p_brand), g as (select p_brand || '.gguf' as path, right(p_brand, 1) as d, n, most, total from f)
+  select path, 'general.name' as key, path as value, cast(null as varchar) as error from g where d <> '1' union all select path, 'scores', 'array(6, ' || n || ')', null from g where d not in ('1', '2') union all select path, 'words', 'array(8, ' || n || ')', null from g where d not in ('1', '2')
+  union all select path, 'most', cast(most as varchar), null from g where d not in ('1', '2') union all select path, null, null, case d when '1' then 'no such header' else 'truncated' end from g where d in ('1', '2')""")
+def s7_files(spark, sf):
+    """Key-value headers, one file for each brand, with arrays over which the source seeks; some are cut, some no such files."""
+    number = lambda n, size: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(n), 2 * size, "0"), k, 2) for k in range(2 * size - 1, 0, -2))))
+    text = lambda x: F.concat(number(F.octet_length(x), 8), F.encode(x, "utf-8"))
+    pair = lambda name, kind, *more: F.concat(text(F.lit(name)), number(F.lit(kind), 4), *more)
+    path, n = F.concat("p_brand", F.lit(".gguf")), F.col("n")
+    rows = table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_size").alias("most"), F.array_join(F.collect_list(F.hex(text(F.col("p_type")))), "").alias("words"))
+    d = F.right("p_brand", F.lit(1))
+    start = F.concat(F.encode(F.when(d == "1", "nope").otherwise("GGUF"), "utf-8"), number(F.lit(3), 4), number(F.lit(0), 8), number(F.lit(4), 8), pair("general.name", 8, text(path)))
+    scores = pair("scores", 9, number(F.lit(6), 4), number(n, 8), F.unhex(F.repeat(F.lit("0000803f"), n.cast("int"))))
+    whole = F.concat(start, scores, pair("words", 9, number(F.lit(8), 4), number(n, 8), F.unhex("words")), pair("most", 4, number(F.col("most"), 4)))
+    at = shared_path(spark, "weights")
+    ranged.write_files(rows.select(path.alias("path"), F.when(d == "2", start).otherwise(whole).alias("content")), at)
+    return headers.key_values(spark, at).select("path", "key", "value", "error")
+
+
+@query("a17_payload_rows", """with o as (select o_custkey % 24 as a, o_orderkey from orders), b as (select * from (values (3, 'no footer'), (5, 'too small')) v(a, why))
+  select 'a=' || o.a as aid, cast(case when o.a % 8 <> 7 then count(*) end as bigint) as rows, case when o.a % 8 = 7 then 'skipped' when b.a is null then 'measured' else 'partial' end as status,
+    case when o.a % 8 = 7 then 'a=' || o.a || '/b.parquet: no footer' when b.a is null then '' else 'a=' || o.a || '/b.parquet: ' || b.why end as errors from o left join b on o.a % 8 = b.a group by o.a, b.a, b.why""")
+def a17_payload(spark, sf):
+    """Rows of payloads from their footers: Parquet written by Spark, with broken files beside it or alone."""
+    o = table(spark, sf, "orders").withColumn("a", F.col("o_custkey") % 24)
+    at = shared_path(spark, "payload")
+    o.where("a % 8 <> 7").select("a", "o_orderkey").write.partitionBy("a").parquet(at)
+    why = F.col("a") % 8
+    bad = o.where(why.isin(3, 5, 7)).select("a").distinct().select(F.concat(F.lit("a="), "a", F.lit("/b.parquet")).alias("path"), F.encode(F.when(why == 5, "PAR1").otherwise("PAR1 and no more PAR1"), "utf-8").alias("content"))
+    ranged.write_files(bad, at)
+    found = headers.footers(spark, at).withColumn("aid", F.regexp_extract("path", "^([^/]+)/", 1))
+    out = scans.measured_rows(found.where("error is null").select("path", "rows"), found.select("aid", "path", F.col("error").alias("verdict")))
+    return out.select("aid", "rows", "status", F.array_join("errors", ",").alias("errors"))
+
+
 @query("p25_lfs_pointers", """select 'p' || p_partkey as path, sha256(cast(p_partkey as varchar)) as oid, cast(p_size * 1000 as bigint) as size from part where p_partkey % 3 <> 0 and p_partkey % 7 <> 0""")
 def p25(spark, sf):
     k = F.col("p_partkey")

@@ -93,7 +93,7 @@ def payload_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def payload_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Paths, sizes and SHA-256 of a tree of files that fit a row (2 GiB); larger ones are read in ranges by `headers`."""
+    """Paths, sizes and SHA-256 of a tree of files that fit a row (2 GiB); `ranged.digests` reads files of any size."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").rlike(r"/\.cache/"))
     return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
@@ -144,11 +144,6 @@ def runs(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("run_id", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)).alias("run_id"), "created", "command", F.when(bad, "incomplete").otherwise(F.col("status")).alias("status"))
 
 
-def row_counts(spark: SparkSession, paths: str) -> DataFrame:
-    """Rows of each Parquet file, from footers where the count alone is asked for."""
-    return spark.read.parquet(paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
-
-
 def measured_rows(counts: DataFrame, heads: DataFrame) -> DataFrame:
     """Row counts of an artifact's data files and how much of it was measured.
 

@@ -201,3 +201,25 @@ def test_lines(spark, path, line, refs):
 def test_finding_ids_and_redaction(spark):
     assert one(spark, findings.finding_id(F.col("c"), F.col("p"), F.lit(None)), c="q", p="x").startswith("q:")
     assert one(spark, findings.redacted(F.col("t")), t="api_key: abc, b") == "api_key: [redacted], b"
+
+
+def test_digest_of_a_hot_artifact_is_folded_over_batches(spark):
+    import hashlib
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        rows = spark.range(200).select(F.when(F.col("id") < 150, "hot").when(F.col("id") < 190, F.concat(F.lit("a"), F.col("id") % 13)).alias("aid"), F.concat(F.lit("p"), F.col("id") * 37 % 200).alias("path"), F.when(F.col("id") % 11 > 0, F.sha2(F.col("id").cast("string"), 256)).alias("sha256"), F.col("id").alias("size"))
+        got = {r["aid"]: r["artifact_sha256"] for r in integrity.artifact_hash(rows.repartition(5)).collect()}
+        signed = {r["aid"]: r["signature"] for r in transfers.scope_signature(rows.repartition(5)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    want, sizes = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["path"]):
+        want.setdefault(r["aid"], []).extend([f"{r['sha256']}  {r['path']}"] if r["sha256"] else [])
+        sizes.setdefault(r["aid"], []).append(f"{r['path']}\t{r['size']}")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {a: sha("\n".join(lines) + "\n") for a, lines in want.items()}
+    assert signed == {a: sha("\n".join(sorted(lines))) for a, lines in sizes.items()}
+    assert integrity.artifact_hash(rows.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 """Rule tables, classification, configuration facts and sources on small hand-written frames."""
 
 import datetime as dt
+import hashlib
 import json
 import struct
 import tempfile
@@ -209,9 +210,9 @@ def test_header_sources(spark):
     pairs = [text("general.name") + struct.pack("<I", 8) + text("own"), text("n") + struct.pack("<I", 4) + struct.pack("<I", 7), text("list") + struct.pack("<IIQ", 9, 5, 2) + struct.pack("<ii", 1, 2)]
     (root / "good.gguf").write_bytes(b"GGUF" + struct.pack("<IQQ", 3, 0, len(pairs)) + b"".join(pairs))
     (root / "bad.gguf").write_bytes(b"nope")
-    got = headers.tensors(spark, [str(root / "good.safetensors"), str(root / "cut.safetensors")]).collect()
+    got = headers.tensors(spark, str(root)).collect()
     assert [(r["tensor"], r["dtype"], r["shape"]) for r in got if r["error"] is None] == [("t", "F16", [2, 3])] and sum(r["error"] is not None for r in got) == 1
-    got = headers.key_values(spark, [str(root / "good.gguf"), str(root / "bad.gguf")]).collect()
+    got = headers.key_values(spark, str(root)).collect()
     assert {r["key"]: r["value"] for r in got if r["error"] is None} == {"general.name": "own", "n": "7", "list": "array(5, 2)"} and sum(r["error"] is not None for r in got) == 1
 
 
@@ -233,3 +234,52 @@ def test_records(spark):
     assert row["bundle_id"] == "n@" + "f" * 12 and row["inventory"]["total_bytes"] == 3 and row["licensing"] is None and row["validation"]["status"] == "complete" and row["parents"][0]["parent"] == "p"
     items = spark.createDataFrame([("t", "hub", "b", "declared", False), ("t", "hub", "a", "declared", True), ("t", "hub", "c", "declared", None), ("t", "image", "d", "mentioned", None)], "tree string, kind string, ref string, tier string, resolved boolean")
     assert [r["ref"] for r in items.orderBy(*records.reference_order()).collect()] == ["a", "c", "b", "d"]
+
+
+def test_ranged_sources_prune_the_listing_and_keep_failures(spark):
+    from stockroom.sources import ranged
+
+    root = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    for name, data in (("a/x.bin", b"one"), ("a/y.bin", b""), ("b/z.bin", b"three"), (".cache/n.bin", b"no")):
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_bytes(data)
+    rows = ranged.digests(spark, str(root), partitionBytes=1)
+    assert rows.rdd.getNumPartitions() == 4  # three files and none
+    want = {n: (hashlib.sha256(d).hexdigest(), hashlib.sha1(b"blob %d\0" % len(d) + d).hexdigest()) for n, d in (("a/x.bin", b"one"), ("a/y.bin", b""), ("b/z.bin", b"three"))}
+    assert {r["path"]: (r["sha256"], r["git_sha1"]) for r in rows.collect()} == want
+    few = rows.where(F.col("path").startswith("a/") & (F.col("size") > 0))
+    assert few.rdd.getNumPartitions() == 2 and [r["path"] for r in few.collect()] == ["a/x.bin"]
+    assert ranged.digests(spark, str(root / "b/z.bin")).first()["sha256"] == want["b/z.bin"][0]
+    listed = spark.createDataFrame([("a/x.bin", 3), ("a/x.bin", 4), ("gone", 1)], "path string, size long")
+    got = sorted((r["size"], r["sha256"], r["error"] is None) for r in ranged.listed_digests(listed, str(root)).collect() if r["size"] > 1)
+    assert got == [(3, want["a/x.bin"][0], True), (4, None, False)]
+
+
+def test_digest_of_a_file_over_two_gib(spark):
+    from stockroom.sources import ranged
+
+    root = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    size = (2 << 30) + 12_345
+    with (root / "large.bin").open("wb") as f:  # sparse
+        f.truncate(size)
+    sha, zeros = hashlib.sha256(), bytes(1 << 20)
+    for n in [1 << 20] * (size >> 20) + [size & (1 << 20) - 1]:
+        sha.update(zeros[:n])
+    row = ranged.digests(spark, str(root)).first()
+    assert (row["size"], row["sha256"], row["error"]) == (size, sha.hexdigest(), None)
+
+
+def test_key_values_seek_over_arrays_and_count_what_they_read():
+    import io
+
+    text = lambda s: struct.pack("<Q", len(s)) + s.encode()
+    large = text("scores") + struct.pack("<IIQ", 9, 6, 50_000) + bytes(200_000)
+    rest = text("n") + struct.pack("<II", 4, 7)
+    file = b"GGUF" + struct.pack("<IQQ", 3, 0, 2) + large + rest
+    assert list(headers.pairs(io.BytesIO(file), len(file), cap=200)) == [("scores", 9, "array(6, 50000)"), ("n", 4, "7")]
+    with pytest.raises(ValueError, match="read cap"):
+        list(headers.pairs(io.BytesIO(file), len(file), cap=60))
+    with pytest.raises(ValueError, match="truncated"):
+        list(headers.pairs(io.BytesIO(file[:5_000]), 5_000))
+    with pytest.raises(ValueError, match="old version"):
+        list(headers.pairs(io.BytesIO(b"GGUF" + struct.pack("<IQQ", 1, 0, 0)), 24))
