@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,3 +28,10 @@ def running(rows: DataFrame, keys: list[str], order: list[str], cut: Cut, value:
     upto = F.sum(value or F.lit(0)).over(own.rowsBetween(Window.unboundedPreceding, 0))
     x = placed.withColumns({"__rank": F.row_number().over(own), "__upto": upto}).join(parts, ["__part", *keys])
     return x.select(*rows.columns, (F.col("__rank") + F.col("__n")).alias("rank"), (F.col("__upto") + F.col("__total")).alias("upto"))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
+    """The first `n` rows of each group by `order`. The limit is a part of the plan before the shuffle as well, so a task
+    sends `n` rows of a group at most, however many it has."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")

@@ -99,16 +99,25 @@ def x1_counts(spark, sf):
     return chosen(spark, sf)[1]
 
 
-SHAPES = ("use bf16/fp32 now", "use Org/net-x now", 'use "and/or" now', "use in/out now", "run team/img:v1 now", "see https://github.com/own/r.git and https://huggingface.co/datasets/own/d", "in docs/net-x or https://github.com/topics/x", "a/b-1, c/d_2")
-
-
-@query("x6_line_shapes", """with d as (select source as tree, doc_id % 2 = 0 as prose, doc_id % 8 as slot from documents), r as (select tree, prose, unnest(case slot when 0 then case when prose then [] else [{'kind': 'hub', 'ref': 'bf16/fp32'}] end when 1 then [{'kind': 'hub', 'ref': 'Org/net-x'}] when 2 then [{'kind': 'hub', 'ref': 'and/or'}] when 4 then [{'kind': 'image', 'ref': 'team/img:v1'}]
-  when 5 then [{'kind': 'code', 'ref': 'own/r'}, {'kind': 'hub', 'ref': 'datasets/own/d'}] when 7 then [{'kind': 'hub', 'ref': 'a/b-1'}, {'kind': 'hub', 'ref': 'c/d_2'}] else [] end) as h from d)
+#: Lines with a number in them; what each refers to is stated in the SQL.
+SHAPES = (
+    "use bf16/fp32 now", "use Org/net-x# now", 'use "and/or" now', "use in/out now", "run team/img:v# now", "see https://github.com/own/r#.git and https://huggingface.co/datasets/own/d",
+    "in docs/net-x or https://github.com/topics/x", "a/b-#, c/d_2", "run team/img:v#. Then", "M=${A:-${B:-own/n-#}} ${C:-https://hf.co/own/m#?$x} ${D:-a$b}", "pull reg.example:5000/a/b#:1.2-x, or a/b:latest)",
+    "at http://www.github.com/o#/r.x. and https://hf.co:443/o/m, 'own/q#' \"own/p#'", "lone/img#@sha256:" + "0" * 64 + " and a/b:c/d:e, $own/net-1, x@own/net-1",
+)
+
+
+@query("x6_line_shapes", """with d as (select source as tree, doc_id % 2 = 0 as prose, doc_id % 13 as slot, cast(doc_id % 40 as varchar) as k from documents), r as (select tree, prose, unnest(case slot when 0 then case when prose then [] else [{'kind': 'hub', 'ref': 'bf16/fp32'}] end when 1 then [{'kind': 'hub', 'ref': 'Org/net-x' || k}] when 2 then [{'kind': 'hub', 'ref': 'and/or'}] when 4 then [{'kind': 'image', 'ref': 'team/img:v' || k}]
+  when 5 then [{'kind': 'code', 'ref': 'own/r' || k}, {'kind': 'hub', 'ref': 'datasets/own/d'}] when 7 then [{'kind': 'hub', 'ref': 'a/b-' || k}, {'kind': 'hub', 'ref': 'c/d_2'}] when 8 then [{'kind': 'image', 'ref': 'team/img:v' || k}]
+  when 9 then case when prose then [{'kind': 'hub', 'ref': 'own/m' || k}] else [{'kind': 'hub', 'ref': 'own/m' || k}, {'kind': 'hub', 'ref': 'own/m' || k}, {'kind': 'hub', 'ref': 'own/n-' || k}] end when 10 then [{'kind': 'image', 'ref': 'reg.example:5000/a/b' || k || ':1.2-x'}, {'kind': 'image', 'ref': 'a/b:latest'}]
+  when 11 then [{'kind': 'code', 'ref': 'o' || k || '/r.x'}, {'kind': 'hub', 'ref': 'own/q' || k}] || case when prose then [] else [{'kind': 'hub', 'ref': 'own/p' || k}] end else [] end) as h from d)
   select tree, h.kind as kind, h.ref as ref, case when prose then 'mentioned' else 'evidence' end as tier, count(*) as n from r group by all""")
 def x6(spark, sf):
-    """Half of the shapes stand in prose and half in code, by the number of the document."""
+    """Half of the shapes stand in prose and half in code, by the number of the document, beneath the document's own text."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    text = F.get(F.array(*map(F.lit, SHAPES)), (F.col("doc_id") % 8).cast("int"))
+    k = (F.col("doc_id") % 40).cast("string")
+    line = F.replace(F.get(F.array(*map(F.lit, SHAPES)), (F.col("doc_id") % len(SHAPES)).cast("int")), F.lit("#"), k)
+    text = F.concat_ws("\n", F.replace(F.col("text"), F.lit("/"), F.lit(" ")), line)
     files = d.select(F.col("source").alias("tree"), F.concat("doc_id", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".js")).alias("path"), text.alias("text"))
     return references.hits(files).groupBy("tree", "kind", "ref", "tier").agg(F.count("*").alias("n"))
 

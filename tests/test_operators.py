@@ -191,6 +191,14 @@ def test_ancestors_at_any_depth(spark):
         ("a.py", "user@own/net-1 ./own/net-1 $own/net-1", set()),
         ("b.sql", "-- Own/net-9 or own/net9", {"Own/net-9"}),
         (".github/x.png", "own/net-1", set()),
+        ("a.md", "Run team/img:v1. Then team/img:v2, (team/img:v3)", {"team/img:v1", "team/img:v2", "team/img:v3"}),
+        ("a.py", "f(reg.io:5000/a/b:1) x/y:1/z:2 Team/img:v1 a:1", {"reg.io:5000/a/b:1"}),
+        ("a.py", "${A:-own/a-1} ${B:-x ${C:-img:2} } ${D:-https://hf.co/own/m?$x} ${E:-${F}}", {"own/a-1", "img:2", "own/m"}),
+        ("a.md", "https://hf.co/own./m.:https://hf.co/datasets/d https://hf.co/own https://hf.com/a/b", {"own/m", "datasets/d"}),
+        ("a.py", '"own/net" \'own/word" `own/kept`', {"own/net", "own/kept"}),
+        ("Dockerfile", "FROM img@sha256:" + "0" * 64, {"img@sha256:" + "0" * 64}),
+        ("compose.yaml", "  image: host:5000/img", set()),
+        (".env", "M='https://huggingface.co/own/m/tree/main'", {"own/m"}),
     ],
 )
 def test_lines(spark, path, line, refs):
