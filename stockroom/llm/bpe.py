@@ -8,7 +8,8 @@ Scale: a narrow map over whole texts, no shuffle. A task holds about 8 MB of tex
 `CACHE_WORDS` words; nothing is broadcast but the tokenizer's path.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; special tokens that stand in a text
-are encoded as themselves; null ids and repeated rows pass through; an empty table gives an empty result.
+are encoded as themselves; null ids and repeated rows pass through; an empty table gives an empty result; a
+column that bears the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -301,6 +302,7 @@ def codec(path: str) -> PairIndexBpe:
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """`keep` and `ids`, the array of token ids of each whole text."""
+    keep = common.kept(keep, "ids")
     path = path or default_path()
     slim = docs.select(*keep, F.col(text).alias("__text"))
 
@@ -316,6 +318,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 def decode(rows: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """`keep` and `text`, from an array of token ids; null ids give a null text."""
+    keep = common.kept(keep, "text")
     path = path or default_path()
     slim = rows.select(*keep, F.col(ids).cast("array<int>").alias("__ids"))
 

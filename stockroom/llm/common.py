@@ -93,6 +93,12 @@ def without(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
 
 
+def kept(keep: Iterable[str], *added: str) -> tuple[str, ...]:
+    """Columns to keep, without those whose names an operator gives to its results."""
+    taken = {c.lower() for c in added}
+    return tuple(c for c in keep if c.lower() not in taken)
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

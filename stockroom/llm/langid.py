@@ -8,7 +8,9 @@ stepped through side by side. Learning takes windows of at most `DOCS_PER_LANG`
 ids are few and are broadcast. The network has a few thousand weights.
 
 Edge cases: a text that is null or holds no letter is `und` with score 0; null ids count as held out; null
-languages are not learned; with no labelled document at all every text is `und`; with one language it is that one.
+languages are not learned; with no labelled document at all every text is `und`; with one language it is that one. Of
+equal probabilities the label that sorts first is told. Of rows that share an id and a language one is learned from; each row
+is tagged on its own. Extra columns are left alone, one that bears the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -179,7 +181,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     known = known.select("__id", "__lang").distinct()
     rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(known), (F.col(doc_id) == F.col("__id")) & (F.col(lang) == F.col("__lang")))
     spread = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(F.col(text), 1 + F.floor(F.greatest(F.char_length(text) - STEPS, F.lit(0)) * k / (WINDOWS - 1)).cast("int"), F.lit(STEPS)))
-    got = sorted({(r["lang"], w) for r in rows.select(F.col("__lang").alias("lang"), F.array_distinct(spread).alias("w")).collect() for w in r["w"] if any(map(str.isalpha, w))})
+    rows = rows.groupBy("__id", F.col("__lang").alias("lang")).agg(F.min(F.struct(F.xxhash64(text), F.array_distinct(spread).alias("w"))).alias("one"))  # of rows that share both, one
+    got = sorted({(r["lang"], w) for r in rows.select("lang", "one.w").collect() for w in r["w"] if any(map(str.isalpha, w))})
     if not got:
         return None
     labels = sorted({lang for lang, _ in got})
@@ -190,6 +193,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 def tagged(docs: DataFrame, model: ByteTagger | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, lang_pred, score and the probability of each label."""
+    keep = common.kept(keep, "lang_pred", "score", "probabilities")
     slim = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"), F.col(text).alias("__text"))
     labels = model.labels if model else []
 

@@ -10,7 +10,8 @@ Scale: encoding is a narrow map; counting combines before its shuffle; ranks wit
 groups, so that a length that a third of all pieces share is no hot group; the plan's size depends on `capacity` alone.
 
 Edge cases: a null or empty text is the end token alone; null ids and repeated rows are packed like any other;
-an empty table gives an empty result.
+an empty table gives an empty result; texts are never cut but at the edge of a sequence, however long; extra columns
+of pieces are left alone, one that bears the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -163,22 +164,24 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
 def pack(items: DataFrame, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY) -> DataFrame:
     """`items` with sequence_id and offset. Lengths lie between 1 and `capacity`."""
     spark = items.sparkSession
+    items = common.without(items, "sequence_id", "offset")
     with common.small_batches(spark):
         items = common.cut(items)
+    columns, items = items.columns, items.withColumn("__row", F.monotonically_increasing_id())  # tells repeated rows apart
     counts = {r["w"]: r["n"] for r in items.groupBy(F.col(length).alias("w")).agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = Plan(counts, capacity).rows
     plan = spark.createDataFrame(plan or [(0,) * 6], "__w long, __first long, __n long, __each long, __sequence long, __offset long")
     salts = 1 + sum(counts.values()) // GROUP_ROWS
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = items.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)))
     before = Window.partitionBy("__l").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     groups = salted.groupBy(F.col(length).alias("__l"), F.col("__salt").alias("__s")).agg(F.count("*").alias("__k"))
     groups = groups.select("__l", "__s", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__before"))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(length, "__salt").orderBy(*order)) - 1)
+    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(length, "__salt").orderBy(*order, "__row")) - 1)
     ranked = ranked.join(groups, (ranked[length] == groups["__l"]) & (ranked["__salt"] == groups["__s"])).withColumn("__rank", F.col("__rank") + F.col("__before"))
     at = F.col("__rank") - F.col("__first")
     placed = ranked.join(F.broadcast(plan), (ranked[length] == plan["__w"]) & at.between(0, F.col("__n") - 1))
     return placed.select(
-        *items.columns,
+        *columns,
         (F.col("__sequence") + F.floor(at / F.col("__each")).cast("long")).alias("sequence_id"),
         (F.col("__offset") + F.pmod(at, F.col("__each")) * F.col(length)).cast("long").alias("offset"),
     )

@@ -114,6 +114,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and `spans`: array of (kind, start, end), code points with end exclusive."""
+    keep = common.kept(keep, "spans")
     slim = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType(slim.drop("__text").schema.fields + [T.StructField("spans", SPANS)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -62,9 +62,9 @@ ROUNDS = 4
 BUCKET_BYTES = 12 << 20
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
-#: Bytes of an anchor, and the low bits of its name that give way to its place. Texts are shorter than 2**28 bytes.
+#: Bytes of an anchor, and the low bits of its name that give way to its place. A text of Spark has less than 2**31 bytes.
 GRAM = 32
-PLACE_BITS, MASK = U64(28), U64((1 << 28) - 1)
+PLACE_BITS, MASK = U64(31), U64((1 << 31) - 1)
 #: Bucket of the rows that hold what is left of the cover samples.
 SURVIVORS = -1
 

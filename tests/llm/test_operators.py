@@ -69,6 +69,28 @@ def test_redaction(spark, edge):
     assert secret_scan.redact(edge).count() == len(EDGE) and secret_scan.redact(edge).columns == edge.columns
 
 
+def test_columns_named_like_results_give_way(spark):
+    names = ("spans", "lang_pred", "SCORE", "probabilities", "n_tokens", "ids", "sequence_id", "offset")
+    docs = frame(spark, ["password=hunter22 abc", None, "same", "same"], [1, 2, None, None]).withColumns({c: F.lit("clash") for c in names})
+    keep = ("doc_id", *names)
+    outs = [secret_scan.secret_spans(docs, keep=keep), langid.tagged(docs, langid.learn(docs), keep=keep), bpe.encode(docs, keep=keep), pseudo_lm.scored(docs, pseudo_lm.learn(docs), keep=keep)]
+    outs += [bpe.decode(outs[2].withColumn("text", F.lit("clash")), keep=("doc_id", "text")), packing.pack(packing.pieces(docs).withColumns({"offset": F.lit("clash"), "sequence_id": F.lit("clash")}))]
+    for out in outs:
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and len(out.collect()) == 4
+        assert {"spans": "array<struct<kind:string,start:int,end:int>>", "ids": "array<int>", "offset": "bigint"}.get(out.columns[-1]) in (None, dict(out.dtypes)[out.columns[-1]])
+
+
+def test_repeated_pieces_spread_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 10)
+    items = spark.range(95).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(700).cast("long").alias("length"))
+    rows = packing.pack(items).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 95 and len({r.sequence_id for r in rows}) == 48
+
+
+def test_anchors_lie_in_their_windows_up_to_the_longest_text():
+    assert int(suffix_dedup.MASK) + 1 == 1 << int(suffix_dedup.PLACE_BITS) == 1 << 31  # Spark's texts have fewer bytes
+
+
 # near duplicates
 
 
