@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from stockroom.operators.enrich import FULL_FIDELITY
 from stockroom.operators.files import basename, is_sidecar
-from stockroom.operators.rules import glob_column
+from stockroom.operators.globs import glob_column
 from stockroom.operators.weights import SHARD
 
 #: Suffixes of weights, and stored types by the names that configurations give them. Fixed values.

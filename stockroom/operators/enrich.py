@@ -5,10 +5,13 @@ JSON texts are parsed with fixed partial schemas; what is absent or unreadable i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stockroom.operators.ranks import first_rows
 from stockroom.operators.weights import gguf_level
 
 CONFIG = (
@@ -132,6 +135,18 @@ def dataset_infos(infos: DataFrame, card: DataFrame) -> DataFrame:
     return best.groupBy("aid", "config").agg(F.sort_array(F.collect_set("split")).alias("splits"), F.sum("examples").alias("examples"))
 
 
+def is_table(head: Column, whole: Column) -> Column:
+    """Whether a text reads as rows of one dialect: some delimiter stands equally often, and at least once, in every line
+    outside quotes, or none stands anywhere, which is one column. The last line counts only if the head is the `whole` file."""
+    bare = F.regexp_replace(head, r'"[^"]*(?:""[^"]*)*"', "q")
+    lines = F.split(bare, r"\r?\n")
+    lines = F.filter(F.when(whole | (F.size(lines) < 2), lines).otherwise(F.slice(lines, F.lit(1), F.size(lines) - 1)), lambda line: F.trim(line) != "")
+    count = lambda d: lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(d), F.lit("")))
+    each = [F.transform(lines, count(d)) for d in (",", ";", "\t", "|")]
+    same = [(F.array_min(n) == F.array_max(n)) & (F.array_min(n) > 0) for n in each]
+    return reduce(lambda a, b: a | b, same) | reduce(lambda a, b: a & b, [F.array_max(n) == 0 for n in each])
+
+
 def structure(head: Column, tail: Column, path: Column, size: Column) -> Column:
     """Whether a data file looks like what its name says, from its first and last bytes: ok, empty, malformed, or null for other kinds."""
     low = F.lower(path)
@@ -139,7 +154,7 @@ def structure(head: Column, tail: Column, path: Column, size: Column) -> Column:
     parquet = (F.substring(head, 1, 4) == mark) & (F.substring(tail, -4, 4) == mark)
     first = F.substring_index(F.decode(head, "utf-8"), "\n", 1)
     json = F.try_parse_json(first).isNotNull()
-    table = F.size(F.split(first, "[,;\t|]")) > 1
+    table = F.coalesce(is_table(F.decode(head, "utf-8"), F.length(head) >= size), F.lit(False))
     verdict = lambda ok: F.when(size == 0, "empty").when(ok, "ok").otherwise("malformed")
     return F.when(low.endswith(".parquet"), verdict(parquet)).when(low.endswith(".jsonl"), verdict(json)).when(low.rlike(r"\.(csv|tsv)$"), verdict(table))
 
@@ -151,10 +166,11 @@ def phase(offline: Column, retrying: Column, verifying: Column, stalled: Column,
 
 def progress_report(rows: DataFrame) -> DataFrame:
     """aid, percent, the last 24 rates and the largest file in flight."""
-    rate = F.array_sort(F.collect_list(F.struct("ts", "rate")))
-    x = rows.groupBy("aid").agg(F.max("done").alias("done"), F.max("total").alias("total"), rate.alias("r"), F.max_by("path", F.struct("size", "path")).alias("largest"))
+    x = rows.groupBy("aid").agg(F.max("done").alias("done"), F.max("total").alias("total"), F.max_by("path", F.struct("size", "path")).alias("largest"))
+    last = first_rows(rows.select("aid", "ts", "rate"), ["aid"], [F.col("ts").desc(), F.col("rate").desc()], 24)
+    last = last.groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("ts", "rate"))).alias("r"))
     percent = F.when(F.col("total") > 0, F.least(F.lit(100), F.floor(F.col("done") * 100 / F.col("total")))).otherwise(0)
-    return x.select("aid", percent.cast("long").alias("percent"), F.transform(F.slice("r", F.greatest(F.size("r") - 23, F.lit(1)), 24), lambda x: x.rate).alias("rates"), "largest")
+    return x.join(last, "aid").select("aid", percent.cast("long").alias("percent"), F.transform("r", lambda x: x.rate).alias("rates"), "largest")
 
 
 def relocated(history: DataFrame) -> DataFrame:

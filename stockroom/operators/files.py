@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stockroom.operators.ranks import Cut, running
+
 #: Names of files that ride along with any selection, compared without case. Fixed values.
 SIDECARS = (
     "README", "README.*", "LICENSE", "LICENSE.*", "LICENCE", "LICENCE.*", "COPYING", "COPYING.*", "license", "license.*",
@@ -152,7 +154,7 @@ def loose_license_files(inventory: DataFrame) -> DataFrame:
     return inventory.where(F.col("path").rlike(r"(?i)^(licen[cs]e|copying|notice)[^/]*$")).select("aid", "path")
 
 
-def size_order(inventory: DataFrame) -> DataFrame:
+def size_order(inventory: DataFrame, cut: Cut) -> DataFrame:
     """Smallest first, an unknown size as zero, ties by path."""
-    w = Window.partitionBy("aid").orderBy(F.coalesce("size", F.lit(0)), "path")
-    return inventory.select("aid", "path", "size", F.row_number().over(w).alias("position"))
+    x = inventory.select("aid", "path", "size", F.coalesce("size", F.lit(0)).alias("__size"))
+    return running(x, ["aid"], ["__size", "path"], cut).select("aid", "path", "size", F.col("rank").alias("position"))

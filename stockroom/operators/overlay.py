@@ -1,6 +1,7 @@
 """Want-lists laid over what is held.
 
-An entry and a holding meet on the canonical source (an equi-join); revision and selection are residual conditions.
+An entry and a holding meet on the canonical source and on a key of the revision (an equi-join); the rest of the revision and
+the selection are residual conditions.
 """
 
 from __future__ import annotations
@@ -29,6 +30,19 @@ def revision_fits(want: Column, got: Column, ref: Column) -> Column:
     return F.when(want.isNull(), True).when(loose, (want == got) | F.coalesce(want == ref, F.lit(False))).otherwise(revisions_match(got, want))
 
 
+def entry_meets(want: Column) -> Column:
+    """What an entry's revision must share with a holding's: nothing, all of it, or its first 12 digits."""
+    loose = (F.length(want) < 12) | ~want.rlike("^[0-9a-fA-F]+$")
+    return F.when(want.isNull(), "any").when(loose, F.concat(F.lit("is "), want)).otherwise(F.concat(F.lit("starts "), F.left(want, F.lit(12))))
+
+
+def holding_keys(got: Column, ref: Column) -> Column:
+    """Every key under which an entry may ask for a holding, so that a source with very many revisions is no theta join."""
+    digits = (F.length(got) >= 12) & got.rlike("^[0-9a-fA-F]+$")
+    keys = F.array(F.lit("any"), F.concat(F.lit("is "), got), F.concat(F.lit("is "), ref), F.when(digits, F.concat(F.lit("starts "), F.left(got, F.lit(12)))))
+    return F.array_distinct(F.array_compact(keys))
+
+
 def include_key(include: Column) -> Column:
     """Patterns as an ordered set; `/*` alone selects everything and so equals no selection."""
     key = F.array_sort(F.array_distinct(F.coalesce(include, F.array().cast("array<string>"))))
@@ -70,7 +84,8 @@ def overlay(entries: DataFrame, holdings: DataFrame) -> DataFrame:
     h = holdings.select(*(F.col(c).alias(f"h_{c}") for c in holdings.columns))
     fits = revision_fits(F.col("e_revision"), F.col("h_revision"), F.col("h_ref"))
     same = (F.col("e_include") == include_key(F.col("h_include"))) | ((F.size("e_include") == 0) & F.col("h_policy"))
-    found = e.join(h, (F.col("e_source") == F.col("h_source")) & fits & same, "left")
+    e, h = e.withColumn("e_meet", entry_meets(F.col("e_revision"))), h.withColumn("h_meet", F.explode(holding_keys(F.col("h_revision"), F.col("h_ref"))))
+    found = e.join(h, (F.col("e_source") == F.col("h_source")) & (F.col("e_meet") == F.col("h_meet")) & fits & same, "left")
     best = Window.partitionBy("k").orderBy(F.col("h_part").asc_nulls_last(), F.col("h_archived").desc_nulls_last(), "h_path")
     closed = is_closed(F.col("e_source"))
     status = F.when(closed, "closed").when(F.col("h_source").isNull(), "want").when(F.col("h_part"), "partial").otherwise("have")

@@ -30,8 +30,8 @@ def running(rows: DataFrame, keys: list[str], order: list[str], cut: Cut, value:
     return x.select(*rows.columns, (F.col("__rank") + F.col("__n")).alias("rank"), (F.col("__upto") + F.col("__total")).alias("upto"))
 
 
-def first_rows(rows: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
-    """The first `n` rows of each group by `order`. The limit is a part of the plan before the shuffle as well, so a task
+def first_rows(rows: DataFrame, keys: list[str], order: list[str | Column], n: int, ties: bool = False) -> DataFrame:
+    """The first `n` rows of each group by `order`; with `ties`, all rows that have the first `n` values. The limit is a part of the plan before the shuffle as well, so a task
     sends `n` rows of a group at most, however many it has."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    place = (F.dense_rank() if ties else F.row_number()).over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")

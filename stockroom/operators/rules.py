@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockroom.operators.globs import fitting
+from stockroom.operators.ranks import first_rows
 
-def glob_column(pattern: Column) -> Column:
-    """A column of globs as anchored regular expressions; `*` and `?` cross `/` and are literal inside brackets."""
-    x = F.regexp_replace(pattern, r"([.+^${}()|\\])", r"\\$1")
-    for glob, regex in ((r"\*(?![^\[]*\])", ".*"), (r"\?(?![^\[]*\])", "."), (r"\[!", "[^")):
-        x = F.regexp_replace(x, glob, regex)
-    return F.concat(F.lit("(?s)^"), x, F.lit("$"))
+
+#: Rows that a dimension may have; a larger one is an error and not a silent broadcast.
+DIMENSION_ROWS = 10_000
+
+
+def checked(dimension: DataFrame) -> DataFrame:
+    """A rule table that is counted before it is broadcast."""
+    if dimension.limit(DIMENSION_ROWS + 1).count() > DIMENSION_ROWS:
+        raise ValueError(f"a dimension has over {DIMENSION_ROWS} rows")
+    return F.broadcast(dimension)
 
 
 def rule_hits(inventory: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that each rule (artifact_type, label, glob, required) names, within its artifact type.
 
-    A rule with a slash matches the path, else the basename. Each file meets the few rules of its own type; the rule
-    table is a dimension of tens of rows."""
-    r = rules.withColumn("whole", F.contains("glob", F.lit("/"))).withColumn("regex", glob_column(F.regexp_replace("glob", "^/", "")))
-    name = F.when(F.col("whole"), F.col("path")).otherwise(F.substring_index("path", "/", -1))
-    return inventory.join(F.broadcast(r), "artifact_type").where(F.rlike(name, F.col("regex")))
+    A rule with a slash matches the path, else the basename."""
+    checked(rules)
+    whole = F.contains("glob", F.lit("/"))
+    r = rules.withColumn("__glob", F.regexp_replace("glob", "^/", ""))
+    on = ["artifact_type"]
+    by_path = fitting(inventory, r.where(whole), on, F.col("path"), "__glob", small=True)
+    by_name = fitting(inventory, r.where(~whole), on, F.substring_index("path", "/", -1), "__glob", small=True)
+    return by_path.unionByName(by_name).drop("__glob")
 
 
 def completeness(inventory: DataFrame, rules: DataFrame) -> DataFrame:
@@ -29,8 +38,9 @@ def completeness(inventory: DataFrame, rules: DataFrame) -> DataFrame:
 
     A label that nothing matches is there as false; an artifact type without rules has status unknown."""
     artifacts = inventory.select("aid", "artifact_type").distinct()
-    wanted = artifacts.join(F.broadcast(rules.select("artifact_type", "label", "required").distinct()), "artifact_type", "left")
-    hit = rule_hits(inventory, rules).groupBy("aid", "label").agg(F.slice(F.sort_array(F.collect_set("path")), 1, 10).alias("files"))
+    wanted = artifacts.join(checked(rules.select("artifact_type", "label", "required").distinct()), "artifact_type", "left")
+    hit = first_rows(rule_hits(inventory, rules).select("aid", "label", "path"), ["aid", "label"], ["path"], 10, ties=True)
+    hit = hit.groupBy("aid", "label").agg(F.sort_array(F.collect_set("path")).alias("files"))
     out = wanted.join(hit, ["aid", "label"], "left").withColumn("present", F.col("files").isNotNull())
     state = out.groupBy("aid").agg(F.when(F.bool_and(F.col("label").isNull()), "unknown").when(F.bool_or(F.col("required") & ~F.col("present")), "incomplete").otherwise("complete").alias("status"))
     return out.join(state, "aid").select("aid", "label", "required", "present", "files", "status")
@@ -40,27 +50,31 @@ def engines(inventory: DataFrame, rules: DataFrame) -> DataFrame:
     """Engines (label) all of whose required globs and, where it lists others, any of those match, in the order of the registry."""
     hits = rule_hits(inventory, rules).select("aid", "label", "glob").distinct()
     need = rules.groupBy("label").agg(F.count_if("required").alias("all_of"), F.count_if(~F.col("required")).alias("any_of"), F.min("ordinal").alias("ordinal"))
-    got = hits.join(F.broadcast(rules.select("label", "glob", "required").distinct()), ["label", "glob"]).groupBy("aid", "label").agg(F.count_if("required").alias("has_all"), F.count_if(~F.col("required")).alias("has_any"))
+    got = hits.join(checked(rules.select("label", "glob", "required").distinct()), ["label", "glob"]).groupBy("aid", "label").agg(F.count_if("required").alias("has_all"), F.count_if(~F.col("required")).alias("has_any"))
     ok = (F.col("has_all") == F.col("all_of")) & ((F.col("any_of") == 0) | (F.col("has_any") > 0))
-    named = got.join(F.broadcast(need), "label").where(ok).groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("ordinal", "label"))).alias("e"))
+    named = got.join(checked(need), "label").where(ok).groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("ordinal", "label"))).alias("e"))
     return named.select("aid", F.transform("e", lambda x: x.label).alias("engines"))
 
 
 def declarations(inventory: DataFrame, rules: DataFrame, most: int = 20) -> DataFrame:
     """Build files by label: how many there are, and the first `most`."""
-    out = rule_hits(inventory, rules).groupBy("aid", "label").agg(F.count_distinct("path").alias("files"), F.sort_array(F.collect_set("path")).alias("p"))
-    return out.select("aid", "label", "files", F.slice("p", 1, most).alias("paths"))
+    each = rule_hits(inventory, rules).select("aid", "label", "path").distinct()
+    count = each.groupBy("aid", "label").agg(F.count("path").alias("files"))
+    first = first_rows(each, ["aid", "label"], ["path"], most).groupBy("aid", "label").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return count.join(first, ["aid", "label"])
 
 
 def lfs_routed(inventory: DataFrame, attributes: DataFrame) -> DataFrame:
     """Files that attribute lines (aid, dir, pattern) route to large-file storage: a pattern reaches what lies under its
     folder; with a slash it is anchored there, else it names a basename."""
-    a = attributes.select("aid", "dir", F.contains("pattern", F.lit("/")).alias("anchored"), glob_column(F.regexp_replace("pattern", "^/", "")).alias("regex")).distinct()
-    x = inventory.join(a, "aid")
+    anchored = F.contains("pattern", F.lit("/"))
+    a = attributes.select("aid", "dir", anchored.alias("__anchored"), F.regexp_replace("pattern", "^/", "").alias("__glob")).distinct()
+    folders = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    above = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(folders)), lambda n: F.array_join(F.slice(folders, 1, n), "/"))))
+    x = inventory.select("aid", "path", F.explode(above).alias("dir")).join(a.select("aid", "dir").distinct(), ["aid", "dir"], "left_semi")
     below = F.when(F.col("dir") == "", F.col("path")).otherwise(F.expr("substring(path, length(dir) + 2)"))
-    under = (F.col("dir") == "") | F.col("path").startswith(F.concat("dir", F.lit("/")))
-    target = F.when(F.col("anchored"), below).otherwise(F.substring_index("path", "/", -1))
-    return x.where(under & F.rlike(target, F.col("regex"))).select("aid", "path").distinct()
+    whole = fitting(x, a.where("__anchored"), ["aid", "dir"], below, "__glob")
+    return whole.unionByName(fitting(x, a.where("not __anchored"), ["aid", "dir"], F.substring_index("path", "/", -1), "__glob")).select("aid", "path").distinct()
 
 
 def changed_since(listing: DataFrame, moment: Column) -> DataFrame:
@@ -68,10 +82,6 @@ def changed_since(listing: DataFrame, moment: Column) -> DataFrame:
     return listing.groupBy("aid").agg(F.max("modified").alias("newest")).where(F.col("newest") >= moment)
 
 
-#: Rows that a dimension may have; a larger one is an error and not a silent broadcast.
-DIMENSION_ROWS = 10_000
-
-
 def listed(dimension: DataFrame, *columns: str) -> Column:
     """A small table as one array column, its rows counted first; rows then meet all of it without a join."""
     rows = dimension.toDF(*columns) if columns else dimension

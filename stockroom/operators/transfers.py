@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stockroom.operators import integrity
@@ -86,10 +87,9 @@ def combinable(expected: DataFrame) -> DataFrame:
     return scope_signature(expected).groupBy("signature").agg(F.min("aid").alias("first"), F.count("*").alias("members")).where("members > 1")
 
 
-def disk_fit(files: DataFrame, budget: Column) -> DataFrame:
+def disk_fit(files: DataFrame, budget: Column, cut: Cut) -> DataFrame:
     """How many files fit a budget, smallest first, up to the first that doesn't. Sizes ascend, so that is a prefix."""
-    w = Window.partitionBy("aid").orderBy("size", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = files.withColumn("upto", F.sum("size").over(w)).withColumn("fits", F.col("upto") <= budget)
+    x = running(files, ["aid"], ["size", "path"], cut, "size").withColumn("fits", F.col("upto") <= budget)
     return x.groupBy("aid").agg(F.count_if("fits").alias("fit_files"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("fit_bytes"), F.count_if(~F.col("fits")).alias("left_files"))
 
 
@@ -108,21 +108,35 @@ def lane_runs(sizes: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int,
     """(size, first, files, lanes): from `first` on, so many files of a size go to these lanes in turn.
 
     `sizes` are (size, files), largest first. A file goes to the lightest lane, ties to the fewer files, then the lower
-    number. Lanes within one file of the lightest take turns until they reach the next heavier one."""
+    number. Lanes within one file of the lightest take turns until they reach the next heavier one. Files of size zero leave
+    the loads as they are: of the lightest lanes those with the fewest files take turns until they have as many as the next."""
     load = [[0, 0, k] for k in range(n)]
     for size, files in sizes:
         first = 0
         while first < files:
             load.sort()
+            if not size:
+                lightest = [x for x in load if x[0] == load[0][0]]
+                turn = [x for x in lightest if x[1] == lightest[0][1]]
+                rounds = (files - first) // len(turn)
+                if len(turn) < len(lightest):
+                    rounds = min(rounds, lightest[len(turn)][1] - turn[0][1])
+                if not rounds:
+                    turn, rounds = turn[: files - first], 1
+                yield size, first, rounds * len(turn), [x[2] for x in turn]
+                for x in turn:
+                    x[1] += rounds
+                first += rounds * len(turn)
+                continue
             turn = [x for x in load if x[0] < load[0][0] + size] or load[:1]
             above = load[len(turn)][0] if len(turn) < n else None
             heaviest = turn[-1][0]
             rounds = (files - first) // len(turn)
-            if size and above is not None:
+            if above is not None:
                 rounds = min(rounds, max(-((heaviest - above) // size), 0))
-            if rounds and size:
+            if rounds:
                 took = len(turn) * rounds
-            else:  # sizes of zero go by the number of files, and what is left of a round one by one
+            else:  # what is left of a round goes one by one
                 turn, rounds, took = load[:1], 1, 1
             yield size, first, took, [x[2] for x in turn]
             for x in turn:
@@ -135,7 +149,8 @@ def lanes(files: DataFrame, n: int, cut: Cut) -> DataFrame:
     """Files dealt to n lanes, largest first to the lightest lane, ties to the fewer files, then the lower number.
 
     The plan is made on how many files of each size an artifact has, and says which lanes take turns from which rank on;
-    files of equal size rank by path. An unknown size counts as zero; files of size zero take a row of the plan each."""
+    files of equal size rank by path. An unknown size counts as zero. A size takes a few rows of the plan for each lane, however
+    many files have it."""
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ascending=False)
@@ -158,28 +173,34 @@ def lane_stats(dealt: DataFrame, n: int) -> DataFrame:
     return by.withColumn("skewed", F.max("bytes").over(w) * n > F.sum("bytes").over(w) * 1.5)
 
 
-def scan_budget(files: DataFrame, each: int, total: int, cut: Cut, most: int | None = None) -> DataFrame:
+def scan_budget(files: DataFrame, each: int, total: int, most: int | None = None) -> DataFrame:
     """Files to read within a budget of bytes and a number of files, in order of priority, then path: one that is too
     large is skipped, one that the rest of the budget can't hold too, but later ones are still considered.
 
-    In rounds: the files in order up to the first that doesn't fit are read; what is larger than the rest of the budget
-    is out for good; the others go on. Running sums are taken in parts, so a tree of any size is no single task."""
+    Each choice stands on those before it. So a tree's files pass sorted through one task, which keeps two numbers and
+    neither the files nor a round for each of them; the sort spills."""
     size = F.coalesce("size", F.lit(0)).cast("long")
-    x = files.select("aid", "path", "priority", size.alias("size"))
-    done = [x.where(F.col("size") > each).select("aid", "path", F.lit("oversize").alias("outcome"))]
-    rest = x.where(F.col("size") <= each).withColumns({"left": F.lit(total).cast("long"), "slots": F.lit(most or 2**62).cast("long")})
-    while True:
-        rest = cut(running(rest, ["aid"], ["priority", "path"], cut, "size"))
-        fits = (F.col("upto") <= F.col("left")) & (F.col("rank") <= F.col("slots"))
-        # sizes are no less than zero, so what fits is a prefix
-        spent = rest.where(fits).groupBy("aid").agg(F.max("upto").alias("spent"), F.max("rank").alias("took"))
-        state = rest.join(spent, "aid", "left").withColumns({"now": F.col("left") - F.coalesce("spent", F.lit(0)), "slots_now": F.col("slots") - F.coalesce("took", F.lit(0))})
-        out = (F.col("size") > F.col("now")) | (F.col("slots_now") <= 0)
-        done.append(state.where(fits | out).select("aid", "path", F.when(fits, "read").otherwise("over budget").alias("outcome")))
-        rest = state.where(~fits & ~out).select("aid", "path", "priority", "size", F.col("now").alias("left"), F.col("slots_now").alias("slots"))
-        rest = cut(rest)
-        if rest.isEmpty():
-            return reduce(DataFrame.union, done)
+    dealt = files.select("aid", "path", "priority", size.alias("size")).repartition("aid").sortWithinPartitions("aid", "priority", "path").select("aid", "path", "size")
+    schema = T.StructType([*dealt.schema.fields[:2], T.StructField("outcome", T.StringType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, slots = None, 0, 0
+        begun = False
+        for batch in batches:
+            out = []
+            for aid, size in zip(batch.column("aid").to_pylist(), batch.column("size").to_pylist()):
+                if not begun or aid != now:
+                    begun, now, left, slots = True, aid, total, most or 2**62
+                if size > each:
+                    out.append("oversize")
+                elif slots and size <= left:
+                    out.append("read")
+                    left, slots = left - size, slots - 1
+                else:
+                    out.append("over budget")
+            yield pa.RecordBatch.from_arrays([batch.column("aid"), batch.column("path"), pa.array(out, pa.string())], schema.names)
+
+    return dealt.mapInArrow(work, schema)
 
 
 def latest(history: DataFrame, keep: int = 50) -> DataFrame:

@@ -120,7 +120,9 @@ def p24(spark, sf):
     return x.select("k", "p.total", "p.dominant")
 
 
-@query("p26_structure", """select doc_id, case doc_id % 5 when 0 then 'ok' when 1 then 'malformed' when 2 then 'ok' when 3 then case when regexp_matches(split_part(text, chr(10), 1), '[,;\\t|]') then 'ok' else 'malformed' end end as verdict from documents where text <> ''""")
+@query("p26_structure", """with d as (select doc_id, list_filter(string_split_regex(regexp_replace(text, '"[^"]*(?:""[^"]*)*"', 'q', 'g'), '\\r?\\n'), lambda l: trim(l, ' ') <> '') as lines from documents where text <> ''),
+  c as (select doc_id, list_transform([',', ';', chr(9), '|'], lambda d: list_transform(lines, lambda l: len(l) - len(replace(l, d, '')))) as n from d)
+  select doc_id, case doc_id % 5 when 0 then 'ok' when 1 then 'malformed' when 2 then 'ok' when 3 then case when len(list_filter(n, lambda k: list_min(k) = list_max(k) and list_min(k) > 0)) > 0 or len(list_filter(n, lambda k: list_max(k) = 0)) = 4 then 'ok' else 'malformed' end end as verdict from c""")
 def p26(spark, sf):
     at, text = F.col("doc_id") % 5, F.encode("text", "utf-8")
     mark, brace = F.encode(F.lit("PAR1"), "utf-8"), F.encode(F.lit('{"a": 1}\n'), "utf-8")

@@ -152,7 +152,7 @@ def a11(spark, sf):
 
 @query("w4_size_order", cte("inventory") + " select aid, path, size, cast(row_number() over (partition by aid order by size, path) as int) as position from inventory")
 def w4(spark, sf):
-    return files.size_order(view(spark, sf, "inventory"))
+    return files.size_order(view(spark, sf, "inventory"), registry.cut).withColumn("position", F.col("position").cast("int"))
 
 
 # want-lists
@@ -412,7 +412,7 @@ def j14(spark, sf):
 @query("w1_disk_fit", cte("inventory") + """, r as (select aid, size, sum(size) over (partition by aid order by size, path rows unbounded preceding) <= 100000 as fits from inventory)
   select aid, count(*) filter (fits) as fit_files, cast(coalesce(sum(size) filter (fits), 0) as bigint) as fit_bytes, count(*) filter (not fits) as left_files from r group by aid""")
 def w1(spark, sf):
-    return transfers.disk_fit(view(spark, sf, "inventory"), F.lit(100000))
+    return transfers.disk_fit(view(spark, sf, "inventory"), F.lit(100000), registry.cut)
 
 
 @query("f20_disk_verdict", cte("inventory") + """, n as (select aid, cast(sum(size) as bigint) as need from inventory group by aid), d as (select n_nationkey as disk, cast(n_nationkey * 20000 as bigint) as free from nation)
@@ -444,7 +444,7 @@ def a27(spark, sf):
   select r.aid, r.path, case when s.taken then 'read' else 'over budget' end as outcome from r join s on r.aid = s.aid and r.i = s.i union all select aid, path, 'oversize' from c where size > 2048""")
 def w2(spark, sf):
     listing = view(spark, sf, "inventory").select("aid", "path", "size", (F.length("path") % 3).alias("priority"))
-    return transfers.scan_budget(listing, 2048, 20000, registry.cut)
+    return transfers.scan_budget(listing, 2048, 20000)
 
 
 HISTORY = "with h as (select o_custkey as aid, o_orderkey as ordinal, o_orderdate as done, case when o_orderstatus = 'F' then 'fail' else 'pass' end as status from orders)"

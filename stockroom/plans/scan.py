@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockroom.operators import overlay, references
 from stockroom.plans.derive import cte, view
-from stockroom.plans.registry import cut, query
+from stockroom.plans.registry import query
 
 
 def trees(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +86,7 @@ CHOSEN = cte("inventory").replace("with ", "with recursive ", 1) + f""", c as (s
 
 
 def chosen(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return references.scan_selection(view(spark, sf, "inventory").select("aid", F.expr(PATH).alias("path"), "size"), 4096, 15000, 12, cut)
+    return references.scan_selection(view(spark, sf, "inventory").select("aid", F.expr(PATH).alias("path"), "size"), 4096, 15000, 12)
 
 
 @query("x1_scan_selection", CHOSEN + " select * from o")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stockroom.operators.ranks import first_rows
+
 FILE = "struct<path:string,size:long,sha256:string,upstream_lfs_sha256:string,upstream_git_sha1:string,verified_against_upstream:boolean>"
 MANIFEST = f"schema_version string, bundle_id string, artifact_type string, source struct<canonical:string,revision:string>, inventory struct<files:array<{FILE}>>, _corrupt string"
 LEDGER = "version long, source struct<canonical:string,revision:string>, expected array<struct<path:string,size:long,sha256:string>>, files map<string,struct<status:string,partial:long>>, _corrupt string"
@@ -151,14 +153,11 @@ def measured_rows(counts: DataFrame, heads: DataFrame) -> DataFrame:
     be read: measured if all were, partial if some, skipped if none; errors name the first ten others."""
     x = heads.join(counts, "path", "left")
     read = F.col("rows").isNotNull()
-    out = x.groupBy("aid").agg(
-        F.sum("rows").alias("rows"),
-        F.count_if(read).alias("files"),
-        F.slice(F.sort_array(F.collect_set(F.when(~read, F.concat_ws(": ", "path", F.coalesce("verdict", F.lit("unread")))))), 1, 10).alias("errors"),
-        F.bool_and(read).alias("all"),
-        F.bool_or(read).alias("any"),
-    )
-    return out.select("aid", "rows", "files", "errors", F.when(F.col("all"), "measured").when(F.col("any"), "partial").otherwise("skipped").alias("status"))
+    out = x.groupBy("aid").agg(F.sum("rows").alias("rows"), F.count_if(read).alias("files"), F.bool_and(read).alias("all"), F.bool_or(read).alias("any"))
+    unread = x.where(~read).select("aid", F.concat_ws(": ", "path", F.coalesce("verdict", F.lit("unread"))).alias("error")).distinct()
+    ten = first_rows(unread, ["aid"], ["error"], 10).groupBy("aid").agg(F.sort_array(F.collect_list("error")).alias("errors"))
+    status = F.when(F.col("all"), "measured").when(F.col("any"), "partial").otherwise("skipped").alias("status")
+    return out.join(ten, "aid", "left").select("aid", "rows", "files", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), status)
 
 
 def latest_of(rows: DataFrame, keep: int = 50, *ties: str) -> DataFrame:

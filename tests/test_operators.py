@@ -109,11 +109,11 @@ def test_lane_runs_equal_the_rule(seed):
 
 def test_budget_skips_but_goes_on(spark):
     rows = spark.createDataFrame([("t", "a", 50, 0), ("t", "b", 60, 1), ("t", "c", 40, 2), ("t", "d", 500, 0), ("t", "e", None, 3)], "aid string, path string, size long, priority int")
-    got = {r["path"]: r["outcome"] for r in transfers.scan_budget(rows, 100, 100, cut).collect()}
+    got = {r["path"]: r["outcome"] for r in transfers.scan_budget(rows, 100, 100).collect()}
     assert got == {"a": "read", "b": "over budget", "c": "read", "d": "oversize", "e": "read"}
-    got = {r["path"]: r["outcome"] for r in transfers.scan_budget(rows, 100, 100, cut, 2).collect()}
+    got = {r["path"]: r["outcome"] for r in transfers.scan_budget(rows, 100, 100, 2).collect()}
     assert got == {"a": "read", "b": "over budget", "c": "read", "d": "oversize", "e": "over budget"}
-    assert transfers.scan_budget(rows.limit(0), 100, 100, cut).count() == 0
+    assert transfers.scan_budget(rows.limit(0), 100, 100).count() == 0
 
 
 def test_running_sums_over_parts(spark):
@@ -231,3 +231,20 @@ def test_digest_of_a_hot_artifact_is_folded_over_batches(spark):
     assert got == {a: sha("\n".join(lines) + "\n") for a, lines in want.items()}
     assert signed == {a: sha("\n".join(sorted(lines))) for a, lines in sizes.items()}
     assert integrity.artifact_hash(rows.limit(0)).count() == 0
+
+
+def test_lanes_of_unknown_sizes_take_few_turns():
+    rng = random.Random(9)
+    for _ in range(300):
+        n = rng.randrange(1, 6)
+        sizes = sorted(((rng.choice([0, 0, 1, 2, 5, 9]), rng.randrange(1, 40)) for _ in range(rng.randrange(1, 4))), reverse=True)
+        sizes = list(dict(sizes).items())
+        load, want = [[0, 0, k] for k in range(n)], []
+        for size, files_ in sizes:
+            for _ in range(files_):
+                x = min(load)
+                want.append((size, x[2]))
+                x[0], x[1] = x[0] + size, x[1] + 1
+        runs = list(transfers.lane_runs(sizes, n))
+        assert [(size, turn[i % len(turn)]) for size, _, took, turn in runs for i in range(took)] == want
+    assert len(list(transfers.lane_runs([(7, 10), (0, 10_000_000)], 8))) < 100

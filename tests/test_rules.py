@@ -244,11 +244,11 @@ def test_ranged_sources_prune_the_listing_and_keep_failures(spark):
         (root / name).parent.mkdir(exist_ok=True)
         (root / name).write_bytes(data)
     rows = ranged.digests(spark, str(root), partitionBytes=1)
-    assert rows.rdd.getNumPartitions() == 4  # three files and none
+    assert rows.rdd.getNumPartitions() == 3
     want = {n: (hashlib.sha256(d).hexdigest(), hashlib.sha1(b"blob %d\0" % len(d) + d).hexdigest()) for n, d in (("a/x.bin", b"one"), ("a/y.bin", b""), ("b/z.bin", b"three"))}
     assert {r["path"]: (r["sha256"], r["git_sha1"]) for r in rows.collect()} == want
     few = rows.where(F.col("path").startswith("a/") & (F.col("size") > 0))
-    assert few.rdd.getNumPartitions() == 2 and [r["path"] for r in few.collect()] == ["a/x.bin"]
+    assert few.rdd.getNumPartitions() == 1 and [r["path"] for r in few.collect()] == ["a/x.bin"]
     assert ranged.digests(spark, str(root / "b/z.bin")).first()["sha256"] == want["b/z.bin"][0]
     listed = spark.createDataFrame([("a/x.bin", 3), ("a/x.bin", 4), ("gone", 1)], "path string, size long")
     got = sorted((r["size"], r["sha256"], r["error"] is None) for r in ranged.listed_digests(listed, str(root)).collect() if r["size"] > 1)
@@ -283,3 +283,40 @@ def test_key_values_seek_over_arrays_and_count_what_they_read():
         list(headers.pairs(io.BytesIO(file[:5_000]), 5_000))
     with pytest.raises(ValueError, match="old version"):
         list(headers.pairs(io.BytesIO(b"GGUF" + struct.pack("<IQQ", 1, 0, 0)), 24))
+
+
+def test_a_thousand_globs_fit_as_one_by_one(spark):
+    import fnmatch
+    import random
+
+    from stockroom.operators import globs
+
+    rng = random.Random(3)
+    part = lambda: "".join(rng.choice("ab.") for _ in range(rng.randrange(1, 4)))
+    shapes = ("{0}", "*{0}", "{0}*", "*", "{0}*{1}", "*{0}*", "?{0}", "[ab]{0}", "[!a]*", "**{0}")
+    table = [(rng.choice("xy"), k, rng.choice(shapes).format(part(), part())) for k in range(1000)]
+    paths = [(rng.choice("xyz"), "".join(rng.choice(["a", "b", ".", "a.b"]) for _ in range(rng.randrange(6)))) for _ in range(60)]
+    rows, patterns = spark.createDataFrame(paths, "g string, path string").distinct(), spark.createDataFrame(table, "g string, k long, glob string")
+    got = sorted((r["g"], r["path"], r["k"]) for r in globs.fitting(rows, patterns, ["g"], F.col("path")).collect())
+    assert got == sorted((g, p, k) for g, p in set(paths) for h, k, glob in table if g == h and fnmatch.fnmatchcase(p, glob))
+    assert globs.fitting(rows, patterns.limit(0), ["g"], F.col("path")).count() == 0
+
+
+def test_tables_of_one_dialect(spark):
+    heads = {"a,b\n1,2\n": True, "one\ntwo\n": True, 'a;"x;\n;y"\nb;c': True, "so, it is\nsaid, and, done": False, "a\tb\n\nc\td\n": True, "a,b\n1": False, 'q,"a ""b"", c"\nr,s\n': True}
+    rows = spark.createDataFrame([(h, h.encode()) for h in heads], "t string, head binary")
+    got = {r["t"]: r["v"] for r in rows.select("t", enrich.structure(F.col("head"), F.col("head"), F.lit("x.csv"), F.length("head")).alias("v")).collect()}
+    assert {t: v == "ok" for t, v in got.items()} == heads
+    cut = rows.where(F.col("t") == "a,b\n1").select(enrich.structure(F.col("head"), F.col("head"), F.lit("x.csv"), F.lit(1000)).alias("v"))
+    assert cut.first()["v"] == "ok"  # the last line isn't whole
+
+
+def test_revisions_meet_by_key(spark):
+    long = [f"{k:040x}" for k in range(3, 6)]
+    entries = spark.createDataFrame([(1, "s", None), (2, "s", long[0][:20]), (3, "s", "main"), (4, "s", "v1.0-release-x"), (5, "s", long[1] + "ff"), (6, "s", long[2].upper()), (7, "t", None)], "k long, source string, revision string").withColumn("include", F.lit(None).cast("array<string>"))
+    holdings = spark.createDataFrame([("s", long[0], "main"), ("s", long[1], None), ("s", "v1.0-release-x", "v1.0-release-x")], "source string, revision string, ref string")
+    holdings = holdings.withColumns({"include": F.lit(None).cast("array<string>"), "policy": F.lit(False), "part": F.lit(False), "archived": F.lit("2024"), "path": F.col("revision")})
+    out = overlay.overlay(entries, holdings)
+    assert {r["k"]: r["held_at"] for r in out.collect()} == {1: long[0], 2: long[0], 3: long[0], 4: "v1.0-release-x", 5: long[1], 6: None, 7: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "e_meet" in plan and "h_meet" in plan
