@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stockroom.operators.ranks import first_rows
+from stockroom.operators.rules import checked
 from stockroom.operators.weights import gguf_level
 
 CONFIG = (
@@ -19,7 +20,10 @@ CONFIG = (
     " num_key_value_heads long, head_dim long, kv_lora_rank long, qk_rope_head_dim long, sliding_window long, use_sliding_window boolean, layer_types array<string>, sliding_window_pattern long,"
     " vocab_size long, quantization_config struct<quant_method:string,bits:int,load_in_4bit:boolean,load_in_8bit:boolean>"
 )
-TOKENIZER = "tokenizer_class string, chat_template string, bos_token string, eos_token string, pad_token string, unk_token string"
+TOKENIZER = "tokenizer_class string, chat_template string, bos_token string, eos_token string, pad_token string, unk_token string, sep_token string, cls_token string, mask_token string"
+SPECIAL_TOKENS = ("bos", "eos", "pad", "unk", "sep", "cls", "mask")
+#: Defaults of generation that a record keeps. Fixed values.
+GENERATION = ("temperature", "top_p", "top_k", "do_sample", "repetition_penalty", "max_new_tokens")
 FORMAT_TAGS = ("safetensors", "gguf", "onnx", "mlx", "awq", "gptq")
 FULL_FIDELITY = ("F64", "F32", "F16", "BF16")
 PHASES = ("offline", "retrying", "verifying", "stalled", "starting", "downloading")
@@ -75,11 +79,15 @@ def attention_shape(c: Column) -> Column:
 
 
 def model_record(files: DataFrame) -> DataFrame:
-    """One record for each artifact from its configuration and tokenizer texts (aid, name, text)."""
+    """One record for each artifact from its configuration and tokenizer texts (aid, name, text) and, named `card`, what its
+    card states as JSON. Languages are a list, also where the card states one as a word."""
     text = lambda name: F.max(F.when(F.col("name") == name, F.col("text")))
-    x = files.groupBy("aid").agg(text("config.json").alias("c"), text("tokenizer_config.json").alias("t"), text("generation_config.json").alias("g"))
+    x = files.groupBy("aid").agg(text("config.json").alias("c"), text("tokenizer_config.json").alias("t"), text("generation_config.json").alias("g"), text("card").alias("card"), F.bool_or(F.col("name").startswith("chat_template.")).alias("template"))
     x = x.withColumn("c", config(F.col("c"))).withColumn("t", F.from_json("t", TOKENIZER))
-    tokens = F.array_compact(F.array(*(F.when(F.col(f"t.{k}_token").isNotNull(), F.lit(k)) for k in ("bos", "eos", "pad", "unk"))))
+    tokens = F.array_compact(F.array(*(F.when(F.col(f"t.{k}_token").isNotNull(), F.lit(k)) for k in SPECIAL_TOKENS)))
+    spoken = F.get_json_object("card", "$.language")
+    languages = F.when(spoken.startswith("["), F.from_json(spoken, "array<string>")).when(spoken != "", F.array(spoken))
+    kept = F.array_compact(F.array(*(F.when(F.get_json_object("g", f"$.{k}").isNotNull(), F.lit(k)) for k in GENERATION)))
     return x.select(
         "aid",
         F.get("c.architectures", 0).alias("architecture"),
@@ -88,8 +96,10 @@ def model_record(files: DataFrame) -> DataFrame:
         F.col("c.num_attention_heads").alias("heads"),
         F.col("t.tokenizer_class").alias("tokenizer"),
         tokens.alias("special_tokens"),
-        F.col("t.chat_template").isNotNull().alias("chat_template"),
+        (F.col("template") | (F.coalesce("t.chat_template", F.lit("")) != "")).alias("chat_template"),
         F.col("g").isNotNull().alias("generation_defaults"),
+        F.when(F.size(kept) > 0, kept).alias("generation_keys"),
+        languages.alias("languages"),
     )
 
 
@@ -115,12 +125,22 @@ def parameters(by_dtype: Column, total: Column, gguf_total: Column) -> Column:
 
 def licensing(rows: DataFrame, flags: DataFrame) -> DataFrame:
     """Rights by licence id (flags: license, commercial, derivatives, note); an unknown id or gated access wants review."""
-    x = rows.join(F.broadcast(flags.withColumn("known", F.lit(True))), "license", "left")
+    x = rows.join(checked(flags.withColumn("known", F.lit(True))), "license", "left")
     review = F.col("known").isNull() | F.coalesce(F.col("gated"), F.lit(False))
     gated = F.when(F.col("gated"), "access is gated")
     return x.select(*rows.columns, "commercial", "derivatives", F.concat_ws(" ", "note", gated).alias("notes"), review.alias("needs_manual_review"))
 
 
+def licence_records(rows: DataFrame, licences: DataFrame) -> DataFrame:
+    """`rows` (license, gated, license_files, ...) with all that the table of licences states of an id, why a review is due, and
+    whether it is. Nothing is stated of an unknown id, and gated access wants a review whatever the licence."""
+    flags = [c for c in licences.columns if c != "license"]
+    x = rows.join(checked(licences.withColumn("__known", F.lit(True))), "license", "left")
+    gated, unknown = F.coalesce(F.col("gated"), F.lit(False)), F.col("__known").isNull()
+    notes = F.array_compact(F.array(F.when(F.coalesce(F.size("license_files"), F.lit(0)) == 0, "no licence text is shipped"), F.when(unknown & F.col("license").isNotNull(), "the licence id is not in the table"), F.when(gated, "access is gated")))
+    return x.select(*rows.columns, *flags, notes.alias("notes"), (unknown | gated).alias("needs_manual_review"))
+
+
 def access(gated: Column) -> Column:
     """Access mode of a stated `gated`, which may be a boolean or a word."""
     low = F.lower(gated)

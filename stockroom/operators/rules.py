@@ -23,14 +23,15 @@ def checked(dimension: DataFrame) -> DataFrame:
 def rule_hits(inventory: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that each rule (artifact_type, label, glob, required) names, within its artifact type.
 
-    A rule with a slash matches the path, else the basename."""
+    A rule with a slash matches the path, else the basename. Where the table says so (`root`), only files at the root count."""
     checked(rules)
     whole = F.contains("glob", F.lit("/"))
     r = rules.withColumn("__glob", F.regexp_replace("glob", "^/", ""))
     on = ["artifact_type"]
     by_path = fitting(inventory, r.where(whole), on, F.col("path"), "__glob", small=True)
     by_name = fitting(inventory, r.where(~whole), on, F.substring_index("path", "/", -1), "__glob", small=True)
-    return by_path.unionByName(by_name).drop("__glob")
+    hits = by_path.unionByName(by_name).drop("__glob")
+    return hits.where(~F.col("root") | ~F.contains("path", F.lit("/"))) if "root" in rules.columns else hits
 
 
 def completeness(inventory: DataFrame, rules: DataFrame) -> DataFrame:
@@ -101,6 +102,19 @@ def runnable(models: DataFrame, machines: DataFrame) -> DataFrame:
     return x.select("aid", "machine", verdict.alias("verdict"))
 
 
+def preflight(models: DataFrame, machines: DataFrame, architectures: DataFrame) -> DataFrame:
+    """Issues (level, code), in this order, of running each model (aid, engine, architecture, need) on each machine (machine,
+    ram_bytes) of a small table: an architecture with none of the engine's endings is an error, an unknown one a warning; memory
+    under the need is an error, under 1.3 times a warning. Engines that take any architecture ask for none."""
+    ends = F.expr("exists(endings, e -> endswith(architecture, e))")
+    x = models.join(checked(architectures), "engine", "left").withColumn("m", F.explode(listed(machines.select("machine", "ram_bytes"))))
+    x = x.select("aid", "engine", "architecture", "need", "endings", "m.*")
+    issue = lambda level, code: F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))
+    shape = F.when(F.col("endings").isNull() | ends, F.lit(None)).when(F.col("architecture").isNull(), issue("warning", "unknown-architecture")).otherwise(issue("error", "unsupported-architecture"))
+    memory = F.when(F.col("ram_bytes") < F.col("need"), issue("error", "insufficient-ram")).when(F.col("ram_bytes") < F.col("need") * 1.3, issue("warning", "tight-ram"))
+    return x.select("aid", "engine", "machine", F.array_compact(F.array(shape, memory)).alias("issues"))
+
+
 def weights_choice(groups: DataFrame) -> DataFrame:
     """The one runnable weight file of each artifact: refused while any group is incomplete, ambiguous with several."""
     ok = F.col("complete") & ~F.col("projector")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockroom.functions import tables
 from stockroom.operators import enrich, files, lineage, overlay, rules, weights
 from stockroom.plans.derive import cte, view
-from stockroom.plans.registry import query, shared_path
+from stockroom.plans.registry import cut, query, shared_path
 from stockroom.streaming import telemetry
 
 
@@ -185,13 +186,13 @@ STREAM = cte("stream") + ", o as (select *, case when kind in ('network', 'local
   f as (select aid, ts, event_id, 'cap' as reason from u where used >= 50000 union all select aid, ts, event_id, 'deadline' from u where ts >= 1705276800 union all select aid, ts, event_id, 'free' from u where free < 20000)
   select aid, reason, ts, event_id from f qualify row_number() over (partition by aid, reason order by ts, event_id) = 1""")
 def st10(spark, sf):
-    return telemetry.batch_alerts(view(spark, sf, "stream").withColumn("free", F.lit(200000)), 50000, 1705276800, 20000)
+    return telemetry.batch_alerts(view(spark, sf, "stream").withColumn("free", F.lit(200000)), 50000, 1705276800, 20000, cut)
 
 
 @query("st13_hash_rate", STREAM + """, c as (select *, sum(case when kind = 'hash' then bytes else 0 end) over (partition by aid order by ts, event_id rows unbounded preceding) as s from o), r as (select event_id, aid, kind, max(ts) over w - min(ts) over w as span, max(s) over w - min(s) over w as m, count(*) filter (kind in ('network', 'local')) over w as others from c window w as (partition by aid order by ts range between 36000 preceding and current row))
   select event_id, aid, case when others = 0 and span > 0 then cast(m // span as bigint) end as rate from r where kind = 'hash'""")
 def st13(spark, sf):
-    return telemetry.batch_hash_rate(view(spark, sf, "stream"), 36000)
+    return telemetry.batch_hash_rate(view(spark, sf, "stream"), cut, 36000)
 
 
 POINTS = STREAM + """, p as (select aid, (ts // 21600) * 21600 as ts, sum(moved) as got, bool_or(kind = 'retry') as quiet, count(*) filter (kind in ('network', 'local')) = 0 and bool_and(kind = 'online') as stalled from o group by aid, (ts // 21600) * 21600),
@@ -238,3 +239,80 @@ def st12(spark, sf):
     seen.write.parquet(at)
     stream = spark.readStream.schema(seen.schema).parquet(at)
     return telemetry.drained(telemetry.verified_as_landed(stream, view(spark, sf, "inventory")), shared_path(spark, "verdicts"))
+
+
+# the tables that come with the engine
+
+NAMES = (
+    "model/config.json", "model/a.safetensors", "model/sub/b.gguf", "model/tokenizer.json", "model/README-x.md", "model/license.txt", "model/generation_config.json", "data/t.parquet", "data/x/README.md",
+    "code/readme", "Dockerfile", "x/Makefile", "Makefile", "run.sh", "x/run.sh", "requirements/dev.txt", "x/docker-compose.dev.yml", "package.json", "model/w.npz", "model/tokenizer_config.json", "x/api.Dockerfile", ".env.sample",
+)
+TYPES = ("model", "dataset", "code")
+
+
+def payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files with names that the shipped tables speak of; what an artifact holds depends on its documents."""
+    k = F.col("doc_id")
+    kind = pick(TYPES, k % 3)
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.concat_ws("/", kind, "source", F.col("n_chars") % 29).alias("aid"), kind.alias("artifact_type"), pick(NAMES, F.floor(k / 3) % len(NAMES)).alias("path"))
+
+
+def sql_rows(rows: list[tuple]) -> str:
+    """Rules as SQL values, their globs as LIKE patterns in which a backslash goes before what is no wildcard."""
+    like = lambda g: g.replace("_", r"\_").replace("*", "%")
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in (*r[:2], like(r[2]), r[2], *r[3:])) + ")" for r in rows)
+
+
+PAYLOADS = "with p as (select ['" + "', '".join(TYPES) + "'][doc_id % 3 + 1] as artifact_type, ['" + "', '".join(NAMES) + f"'][(doc_id // 3) % {len(NAMES)} + 1] as path, source || '/' || (n_chars % 29) as rest from documents), f as (select artifact_type || '/' || rest as aid, artifact_type, path from p)"
+
+
+@query("f11_shipped_rules", PAYLOADS + f""", r(artifact_type, label, pat, raw, required, ordinal) as (values {sql_rows(tables.completeness_rows())}), w as (select distinct f.aid, r.label, r.required from f join r using (artifact_type)),
+  h as (select aid, label, list_sort(list(distinct path))[:10] as files from f join r on f.artifact_type = r.artifact_type and f.path like r.pat escape '\\' group by aid, label), o as (select w.*, h.files is not null as present, array_to_string(h.files, ',') as files from w left join h using (aid, label))
+  select aid, label, required, present, files, case when bool_or(required and not present) over (partition by aid) then 'incomplete' else 'complete' end as status from o""")
+def f11_shipped(spark, sf):
+    return rules.completeness(payloads(spark, sf), tables.completeness_rules(spark)).withColumn("files", F.array_join("files", ","))
+
+
+@query("f12_shipped_engines", PAYLOADS + f""", r(artifact_type, label, pat, raw, required, ordinal) as (values {sql_rows(tables.engine_rows())}), h as (select distinct f.aid, r.label, r.raw, r.required from f join r on f.artifact_type = r.artifact_type and f.path like r.pat escape '\\'),
+  n as (select label, count(*) filter (required) as every, count(*) filter (not required) as any_n, min(ordinal) as ordinal from r group by label), g as (select aid, label, count(*) filter (required) as has, count(*) filter (not required) as any_of from h group by aid, label)
+  select aid, string_agg(label, ',' order by ordinal) as engines from g join n using (label) where has = every and (any_n = 0 or any_of > 0) group by aid""")
+def f12_shipped(spark, sf):
+    return rules.engines(payloads(spark, sf), tables.engine_rules(spark)).withColumn("engines", F.array_join("engines", ","))
+
+
+@query("f13_shipped_builds", PAYLOADS + f""", r(artifact_type, label, pat, raw, required, ordinal, root) as (values {sql_rows(tables.build_rows())}), h as (select distinct f.aid, r.label, f.path from f join r on f.artifact_type = r.artifact_type
+    and case when contains(r.raw, '/') then f.path else split_part(f.path, '/', -1) end like r.pat escape '\\' and not (r.root and contains(f.path, '/')))
+  select aid, label, count(*) as files, array_to_string(list_sort(list(path))[:20], ',') as paths from h group by aid, label""")
+def f13_shipped(spark, sf):
+    return rules.declarations(payloads(spark, sf), tables.build_files(spark)).withColumn("paths", F.array_join("paths", ","))
+
+
+@query("p13_licence_records", """with l(license, name, commercial_use, patent_grant, trademark_terms) as (values """ + ", ".join("(" + ", ".join("null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in tables.LICENCES) + """),
+  a as (select p_partkey as aid, case when p_size % 15 < 12 then (select list(license) from l)[p_size % 15 + 1] when p_size % 15 < 14 then 'own-' || p_size end as license, p_partkey % 4 = 0 as gated, p_partkey % 3 > 0 as text from part)
+  select aid, a.license, l.name, commercial_use, l.license is not null as redistribution, patent_grant, trademark_terms, concat_ws('; ', case when not text then 'no licence text is shipped' end, case when l.license is null and a.license is not null then 'the licence id is not in the table' end, case when gated then 'access is gated' end) as notes, l.license is null or gated as needs_manual_review
+  from a left join l on a.license = l.license""")
+def p13_records(spark, sf):
+    k, at = F.col("p_partkey"), F.col("p_size") % 15
+    key = F.when(at < 12, pick(tuple(r[0] for r in tables.LICENCES), at)).when(at < 14, F.concat(F.lit("own-"), "p_size"))
+    rows = part(spark, sf).select(k.alias("aid"), key.alias("license"), (k % 4 == 0).alias("gated"), F.when(k % 3 > 0, F.array(F.lit("LICENSE"))).alias("license_files"))
+    out = enrich.licence_records(rows, tables.licences(spark)).withColumns({"notes": F.array_join("notes", "; "), "redistribution": F.coalesce("redistribution", F.lit(False))})
+    return out.select("aid", "license", "name", "commercial_use", "redistribution", "patent_grant", "trademark_terms", "notes", "needs_manual_review")
+
+
+@query("f19_preflight", """with m as (select p_partkey as aid, ['transformers', 'llama-cpp', 'mlx'][p_partkey % 3 + 1] as engine, case p_size % 4 when 0 then 'LlamaForCausalLM' when 1 then 'BertModel' when 2 then 'GPT2LMHeadModel' end as architecture, p_size * 1000 as need from part), c as (select 'm' || n_nationkey as machine, n_nationkey * 2500 as ram_bytes from nation)
+  select aid, engine, machine, concat_ws(',', case when engine <> 'llama-cpp' then case when architecture is null then 'warning unknown-architecture' when architecture = 'BertModel' then 'error unsupported-architecture' end end, case when ram_bytes < need then 'error insufficient-ram' when ram_bytes < need * 1.3 then 'warning tight-ram' end) as issues from m, c""")
+def f19_preflight(spark, sf):
+    k = F.col("p_partkey")
+    models = part(spark, sf).select(k.alias("aid"), pick(("transformers", "llama-cpp", "mlx"), k % 3).alias("engine"), pick(("LlamaForCausalLM", "BertModel", "GPT2LMHeadModel", None), F.col("p_size") % 4).alias("architecture"), (F.col("p_size") * 1000).alias("need"))
+    machines = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("m"), "n_nationkey").alias("machine"), (F.col("n_nationkey") * 2500).alias("ram_bytes"))
+    out = rules.preflight(models, machines, tables.engine_architectures(spark))
+    return out.withColumn("issues", F.array_join(F.transform("issues", lambda i: F.concat_ws(" ", i.level, i.code)), ","))
+
+
+@query("p31_languages", """select p_partkey as aid, case p_size % 3 when 0 then 'en' when 1 then 'de,fr-' || p_size end as languages, case when p_partkey % 2 = 0 then 'top_p,max_new_tokens' end as generation_keys, p_partkey % 5 = 0 or p_partkey % 7 = 0 as chat_template, case when p_partkey % 7 = 0 then 'bos,cls,mask' else '' end as special_tokens from part""")
+def p31_languages(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    card = F.when(size % 3 == 0, F.lit('{"language": "en"}')).when(size % 3 == 1, F.concat(F.lit('{"language": ["de", "fr-'), size, F.lit('"], "license": "mit"}'))).otherwise('{"tags": []}')
+    made = {"config.json": F.lit("{}"), "card": card, "generation_config.json": F.when(k % 2 == 0, '{"max_new_tokens": 5, "top_p": 0.5, "other": 1}').otherwise("{}"), "chat_template.jinja": F.when(k % 5 == 0, "x"), "tokenizer_config.json": F.when(k % 7 == 0, '{"bos_token": "a", "cls_token": "b", "mask_token": "c", "chat_template": "t"}')}
+    files = part(spark, sf).select(k.alias("aid"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in made.items()))).alias("f")).select("aid", "f.*").where("text is not null")
+    return enrich.model_record(files).select("aid", F.array_join("languages", ",").alias("languages"), F.array_join("generation_keys", ",").alias("generation_keys"), "chat_template", F.array_join("special_tokens", ",").alias("special_tokens"))

@@ -587,24 +587,24 @@ STREAM = cte("stream") + ", o as (select *, case when kind in ('network', 'local
 @query("st1_done_bytes", STREAM + ", d as (select event_id, aid, sum(moved) over (partition by aid order by ts, event_id rows unbounded preceding) as s from o) select event_id, aid, cast(least(s, 1000000) as bigint) as done from d")
 def st1(spark, sf):
     e = view(spark, sf, "stream")
-    return telemetry.batch_done(e, e.select("aid").distinct().withColumn("total", F.lit(1000000)))
+    return telemetry.batch_done(e, e.select("aid").distinct().withColumn("total", F.lit(1000000)), registry.cut)
 
 
 @query("st2_window_rate", STREAM + """, c as (select *, sum(moved) over (partition by aid order by ts, event_id rows unbounded preceding) as s from o), r as (select event_id, aid, max(ts) over w - min(ts) over w as span, max(s) over w - min(s) over w as m from c window w as (partition by aid order by ts range between 36000 preceding and current row))
   select event_id, aid, case when span > 0 then cast(m // span as bigint) end as rate from r""")
 def st2(spark, sf):
-    return telemetry.batch_rate(view(spark, sf, "stream"), 36000)
+    return telemetry.batch_rate(view(spark, sf, "stream"), registry.cut, 36000)
 
 
 @query("st7_retries", STREAM + ", i as (select *, sum(case when kind in ('network', 'local') then 1 else 0 end) over (partition by aid order by ts, event_id rows unbounded preceding) as island from o) select event_id, aid, cast(sum(case when kind = 'retry' then 1 else 0 end) over (partition by aid, island order by ts, event_id rows unbounded preceding) as bigint) as retries from i")
 def st7(spark, sf):
-    return telemetry.batch_retries(view(spark, sf, "stream"))
+    return telemetry.batch_retries(view(spark, sf, "stream"), registry.cut)
 
 
 @query("st8_outages", STREAM + """, x as (select *, case when kind = 'retry' then 0 else 1 end as m from o where kind in ('retry', 'network', 'local')), i as (select *, coalesce(sum(m) over (partition by aid order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as island from x)
   select aid, min(ts) filter (m = 0) as started, max(ts) filter (m = 1) as ended, max(ts) filter (m = 1) - min(ts) filter (m = 0) as seconds, count(*) filter (m = 0) as attempts from i group by aid, island having count(*) filter (m = 0) > 0""")
 def st8(spark, sf):
-    return telemetry.batch_outages(view(spark, sf, "stream"))
+    return telemetry.batch_outages(view(spark, sf, "stream"), registry.cut)
 
 
 @query("st6_stalls", STREAM + ", l as (select aid, ts, lag(ts) over (partition by aid order by ts, event_id) as before from o where kind in ('network', 'local')) select aid, before as quiet_from, ts as quiet_to from l where ts - before >= 86400")
@@ -614,13 +614,13 @@ def st6(spark, sf):
 
 @query("st10_budget_alerts", STREAM + ", u as (select aid, ts, event_id, cast(sum(case when kind = 'network' then bytes else 0 end) over (partition by aid order by ts, event_id rows unbounded preceding) as bigint) as used from o) select aid, ts, event_id, used from u where used >= 50000 qualify row_number() over (partition by aid order by ts, event_id) = 1")
 def st10(spark, sf):
-    return telemetry.batch_budget_alerts(view(spark, sf, "stream"), 50000)
+    return telemetry.batch_budget_alerts(view(spark, sf, "stream"), 50000, registry.cut)
 
 
 @query("st3_smoothed_rate", STREAM + """, c as (select *, sum(moved) over (partition by aid order by ts, event_id rows unbounded preceding) as s from o), r as (select event_id, aid, ts, max(ts) over w - min(ts) over w as span, max(s) over w - min(s) over w as m from c window w as (partition by aid order by ts range between 36000 preceding and current row))
   select aid, cast(floor(list_reduce(list(cast(m // span as double) order by ts, event_id), lambda a, b: 0.35::double * b + 0.65::double * a)) as bigint) as ema from r where span > 0 group by aid""")
 def st3(spark, sf):
-    return telemetry.batch_ema(view(spark, sf, "stream"), seconds=36000).select("aid", F.floor("ema").alias("ema"))
+    return telemetry.batch_ema(view(spark, sf, "stream"), registry.cut, seconds=36000).select("aid", F.floor("ema").alias("ema"))
 
 
 @query("st4_rollup", STREAM + ", h as (select aid, (ts // 3600) * 3600 as start, moved, kind from o) select aid, start, cast(sum(moved) as bigint) as bytes, count(*) as events, count(*) filter (kind = 'retry') as retries from h group by aid, start")

@@ -6,9 +6,11 @@ take a stream (or a table) with an event-time column `at`. Late rows beyond the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+from stockroom.operators.ranks import Cut, first_rows, running
 
 WATERMARK = "30 seconds"
 RATE_SECONDS = 8
@@ -24,33 +26,48 @@ def by_time(*more: str):
     return Window.partitionBy("aid").orderBy("ts", "event_id", *more)
 
 
-def batch_done(events: DataFrame, totals: DataFrame) -> DataFrame:
+def summed(events: DataFrame, value: Column, name: str, cut: Cut) -> DataFrame:
+    """`events` with the sum of `value` up to and with each, taken in parts, so that a busy artifact is no single task."""
+    x = running(events.withColumn("__value", value), ["aid"], ["ts", "event_id"], cut, "__value")
+    return x.select(*events.columns, F.col("upto").alias(name))
+
+
+def moved_bytes(kinds: tuple[str, ...] = MOVING) -> Column:
+    return F.when(F.col("kind").isin(*kinds), F.col("bytes")).otherwise(0)
+
+
+def recent(events: DataFrame, seconds: int) -> tuple[DataFrame, WindowSpec]:
+    """Rows in stretches of `seconds` (`own`) and again as those before the next stretch (not `own`), and the window of the
+    last `seconds` of a row, which lies within its stretch."""
+    at = F.floor(F.col("ts") / seconds)
+    x = events.withColumn("s", F.explode(F.array(F.struct(at.alias("stretch"), F.lit(True).alias("own")), F.struct((at + 1).alias("stretch"), F.lit(False).alias("own"))))).select(*events.columns, "s.*")
+    return x, Window.partitionBy("aid", "stretch").orderBy("ts").rangeBetween(-seconds, 0)
+
+
+def batch_done(events: DataFrame, totals: DataFrame, cut: Cut) -> DataFrame:
     """Bytes done after each event, clamped at the artifact's total."""
-    moved = F.when(F.col("kind").isin(*MOVING), F.col("bytes")).otherwise(0)
-    done = F.sum(moved).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("sum", done).join(totals, "aid").select("event_id", "aid", F.least("sum", "total").alias("done"))
+    return summed(events, moved_bytes(), "sum", cut).join(totals, "aid").select("event_id", "aid", F.least("sum", "total").alias("done"))
 
 
-def batch_rate(events: DataFrame, seconds: int = RATE_SECONDS, kinds: tuple[str, ...] = MOVING) -> DataFrame:
+def batch_rate(events: DataFrame, cut: Cut, seconds: int = RATE_SECONDS, kinds: tuple[str, ...] = MOVING) -> DataFrame:
     """Bytes a second over the last `seconds` at each event; unknown with one sample or no span, never negative."""
-    x = events.withColumn("sum", F.sum(F.when(F.col("kind").isin(*kinds), F.col("bytes")).otherwise(0)).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("aid").orderBy("ts").rangeBetween(-seconds, 0)
+    x, w = recent(summed(events, moved_bytes(kinds), "sum", cut), seconds)
     span, moved = F.max("ts").over(w) - F.min("ts").over(w), F.max("sum").over(w) - F.min("sum").over(w)
-    return x.select("event_id", "aid", F.when(span > 0, F.floor(F.greatest(moved, F.lit(0)) / span).cast("long")).alias("rate"))
+    rate = F.when(span > 0, F.floor(F.greatest(moved, F.lit(0)) / span).cast("long"))
+    return x.withColumn("rate", rate).where("own").select("event_id", "aid", "rate")
 
 
-def batch_retries(events: DataFrame) -> DataFrame:
+def batch_retries(events: DataFrame, cut: Cut) -> DataFrame:
     """Attempts since the last byte, at each event."""
-    island = F.sum(F.when(F.col("kind").isin(*MOVING), 1).otherwise(0)).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    x = events.withColumn("island", island)
+    x = summed(events, F.col("kind").isin(*MOVING).cast("long"), "island", cut)
     w = Window.partitionBy("aid", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return x.select("event_id", "aid", F.sum(F.when(F.col("kind") == "retry", 1).otherwise(0)).over(w).alias("retries"))
 
 
-def batch_outages(events: DataFrame) -> DataFrame:
+def batch_outages(events: DataFrame, cut: Cut) -> DataFrame:
     """Outages: from the first failed attempt to the first byte after it, with attempts and seconds; open ones have no end."""
     x = events.where(F.col("kind").isin("retry", *MOVING)).withColumn("moved", F.col("kind").isin(*MOVING).cast("int"))
-    x = x.withColumn("island", F.coalesce(F.sum("moved").over(by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = summed(x, F.col("moved"), "upto", cut).withColumn("island", F.col("upto") - F.col("moved"))
     out = x.groupBy("aid", "island").agg(F.min(F.when(F.col("moved") == 0, F.col("ts"))).alias("started"), F.max(F.when(F.col("moved") == 1, F.col("ts"))).alias("ended"), F.count_if(F.col("moved") == 0).alias("attempts"))
     return out.where("attempts > 0").select("aid", "started", "ended", (F.col("ended") - F.col("started")).alias("seconds"), "attempts")
 
@@ -61,29 +78,25 @@ def batch_stalls(events: DataFrame, seconds: int = STALL_SECONDS) -> DataFrame:
     return moving.withColumn("before", F.lag("ts").over(by_time())).where(F.col("ts") - F.col("before") >= seconds).select("aid", F.col("before").alias("quiet_from"), F.col("ts").alias("quiet_to"))
 
 
-def batch_budget_alerts(events: DataFrame, cap: int) -> DataFrame:
+def batch_budget_alerts(events: DataFrame, cap: int, cut: Cut) -> DataFrame:
     """The first event of each artifact at which network bytes reach the cap."""
-    used = F.sum(F.when(F.col("kind") == "network", F.col("bytes")).otherwise(0)).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("used", used).where(F.col("used") >= cap).groupBy("aid").agg(F.min(F.struct("ts", "event_id", "used")).alias("first")).select("aid", "first.ts", "first.event_id", "first.used")
+    return summed(events, moved_bytes(("network",)), "used", cut).where(F.col("used") >= cap).groupBy("aid").agg(F.min(F.struct("ts", "event_id", "used")).alias("first")).select("aid", "first.ts", "first.event_id", "first.used")
 
 
-def batch_alerts(events: DataFrame, cap: int, deadline: int, floor: int) -> DataFrame:
+def batch_alerts(events: DataFrame, cap: int, deadline: int, floor: int, cut: Cut) -> DataFrame:
     """The first event of each artifact at which network bytes reach the cap, the deadline has come, or what is free on
     its disk (`free` at the start, less what has moved) falls under the floor; each reason fires once."""
-    upto = by_time().rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.when(F.col("kind") == "network", F.col("bytes")).otherwise(0)).over(upto)
-    moved = F.sum(F.when(F.col("kind").isin(*MOVING), F.col("bytes")).otherwise(0)).over(upto)
-    x = events.withColumns({"cap": used >= cap, "deadline": F.col("ts") >= deadline, "free": F.col("free") - moved < floor})
+    x = summed(summed(events, moved_bytes(("network",)), "used", cut), moved_bytes(), "moved", cut)
+    x = x.withColumns({"cap": F.col("used") >= cap, "deadline": F.col("ts") >= deadline, "free": F.col("free") - F.col("moved") < floor})
     fired = x.select("aid", "ts", "event_id", F.explode(F.array_compact(F.array(*(F.when(F.col(r), F.lit(r)) for r in ("cap", "deadline", "free"))))).alias("reason"))
     return fired.groupBy("aid", "reason").agg(F.min(F.struct("ts", "event_id")).alias("first")).select("aid", "reason", "first.ts", "first.event_id")
 
 
-def batch_hash_rate(events: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
+def batch_hash_rate(events: DataFrame, cut: Cut, seconds: int = RATE_SECONDS) -> DataFrame:
     """Hashed bytes a second over the last `seconds` at each hash event; unknown while anything else moves."""
-    w = Window.partitionBy("aid").orderBy("ts").rangeBetween(-seconds, 0)
-    others = F.count_if(F.col("kind").isin(*MOVING)).over(w)
-    rates = batch_rate(events, seconds, ("hash",)).select("event_id", "rate")
-    alone = events.withColumn("others", others).where("kind = 'hash'").select("event_id", "aid", "others")
+    x, w = recent(events, seconds)
+    rates = batch_rate(events, cut, seconds, ("hash",)).select("event_id", "rate")
+    alone = x.withColumn("others", F.count_if(F.col("kind").isin(*MOVING)).over(w)).where("own and kind = 'hash'").select("event_id", "aid", "others")
     return alone.join(rates, "event_id").select("event_id", "aid", F.when(F.col("others") == 0, F.col("rate")).alias("rate"))
 
 
@@ -117,13 +130,12 @@ def due(reports: DataFrame, every: int = HEARTBEAT_SECONDS) -> DataFrame:
     return x.withColumn("before", F.lag("stretch").over(own)).where("before is null or before <> stretch").select("aid", "ts", "phase", "percent")
 
 
-def batch_ema(events: DataFrame, share: float = EMA, seconds: int = RATE_SECONDS) -> DataFrame:
+def batch_ema(events: DataFrame, cut: Cut, share: float = EMA, seconds: int = RATE_SECONDS) -> DataFrame:
     """The smoothed rate after all of an artifact's events: each new rate counts `share`.
 
     Only the last FOLDED rates are folded: those before them weigh less than a double resolves."""
-    rates = batch_rate(events, seconds).join(events.select("event_id", "ts"), "event_id").where("rate is not null")
-    last = Window.partitionBy("aid").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    rates = rates.withColumn("n", F.row_number().over(last)).where(F.col("n") <= FOLDED)
+    rates = batch_rate(events, cut, seconds).join(events.select("event_id", "ts"), "event_id").where("rate is not null")
+    rates = first_rows(rates, ["aid"], [F.col("ts").desc(), F.col("event_id").desc()], FOLDED)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "rate"))), lambda x: x.rate.cast("double"))
     fold = F.aggregate(F.slice(F.col("r"), 2, F.greatest(F.size("r"), F.lit(1))), F.get(F.col("r"), 0), lambda old, new: share * new + (1 - share) * old)
     return rates.groupBy("aid").agg(in_order.alias("r")).select("aid", fold.alias("ema"))
@@ -138,12 +150,6 @@ def rollup(events: DataFrame, every: str = "5 seconds") -> DataFrame:
     return out.select("aid", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "bytes", "events", "retries")
 
 
-def sliding_rate(events: DataFrame) -> DataFrame:
-    """Bytes a second over the rate window, each second; with kind = hash in the events, the hash throughput."""
-    w = F.window("at", f"{RATE_SECONDS} seconds", "1 second").alias("w")
-    return events.withWatermark("at", WATERMARK).groupBy("aid", w).agg((F.sum("bytes") / RATE_SECONDS).alias("rate")).select("aid", F.col("w.end").alias("end"), "rate")
-
-
 def disk_short(progress: DataFrame, disks: DataFrame) -> DataFrame:
     """Progress rows with whether their disk can't take what remains above its floor (a stream meets a table)."""
     return progress.join(disks, "disk", "left").withColumn("short", F.col("remaining") > F.col("free") - F.col("floor"))

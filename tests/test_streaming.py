@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from stockroom.plans.registry import cut
 from stockroom.streaming import appends, meter, telemetry
 
 START = dt.datetime(2024, 1, 1)
@@ -103,7 +104,7 @@ def test_stream_meets_record(spark):
 
 def test_outages_and_alerts(spark):
     log = events(spark, [(0, "network", 5), (3, "retry", 0), (9, "retry", 0), (12, "local", 1), (20, "retry", 0)]).withColumn("ts", F.unix_timestamp("at"))
-    out = sorted((r["seconds"], r["attempts"]) for r in telemetry.batch_outages(log).collect() if r["seconds"] is not None)
+    out = sorted((r["seconds"], r["attempts"]) for r in telemetry.batch_outages(log, cut).collect() if r["seconds"] is not None)
     assert out == [(9, 2)]
-    assert telemetry.batch_outages(log).where("ended is null").count() == 1
-    assert telemetry.batch_budget_alerts(log, 5).count() == 1 and telemetry.batch_budget_alerts(log, 6).count() == 0
+    assert telemetry.batch_outages(log, cut).where("ended is null").count() == 1
+    assert telemetry.batch_budget_alerts(log, 5, cut).count() == 1 and telemetry.batch_budget_alerts(log, 6, cut).count() == 0
