@@ -213,14 +213,15 @@ def st5(spark, sf):
     return telemetry.batch_eta(d, 8, 86400).select("aid", "ts", F.floor("eta").alias("eta"))
 
 
-@query("st9_due_reports", STREAM + """, r as (select aid, ts, case when kind in ('network', 'local') then 'downloading' when kind = 'hash' then 'verifying' else kind end as phase, cast(min(bytes % 3) as bigint) as percent from o group by all), u as (select aid, ts, min(phase) as phase, min(percent) as percent from r group by aid, ts),
-  c as (select *, (phase || ' ' || percent) is distinct from lag(phase || ' ' || percent) over (partition by aid order by ts) as changed from u), i as (select *, sum(changed::int) over (partition by aid order by ts rows unbounded preceding) as island from c), s as (select *, (ts - first(ts) over (partition by aid, island order by ts)) // 300 as stretch from i),
-  l as (select *, lag(stretch) over (partition by aid, island order by ts) as before from s) select aid, ts, phase, percent from l where before is null or before <> stretch""")
+@query("st9_due_reports", STREAM.replace("with ", "with recursive ", 1) + """, r as (select aid, ts, case when kind in ('network', 'local') then 'downloading' when kind = 'hash' then 'verifying' else kind end as phase, cast(min(bytes % 2) as bigint) as percent from o group by all), u as (select aid, ts, min(phase) as phase, min(percent) as percent from r group by aid, ts),
+  c as (select *, (phase || ' ' || percent) is distinct from lag(phase || ' ' || percent) over (partition by aid order by ts) as changed from u), i as (select *, sum(changed::int) over (partition by aid order by ts rows unbounded preceding) as island from c),
+  n as (select a.aid, a.island, a.ts, min(b.ts) as after from i a join i b on a.aid = b.aid and a.island = b.island and b.ts >= a.ts + 40000 group by all), s(aid, island, ts) as (select aid, island, min(ts) from i group by aid, island union all select s.aid, s.island, n.after from s join n on s.aid = n.aid and s.island = n.island and s.ts = n.ts)
+  select i.aid, i.ts, i.phase, i.percent from i join s on i.aid = s.aid and i.island = s.island and i.ts = s.ts""")
 def st9(spark, sf):
     e = view(spark, sf, "stream")
     phase = F.when(F.col("kind").isin("network", "local"), "downloading").when(F.col("kind") == "hash", "verifying").otherwise(F.col("kind"))
-    r = e.select("aid", "ts", phase.alias("phase"), (F.col("bytes") % 3).alias("percent")).groupBy("aid", "ts").agg(F.min("phase").alias("phase"), F.min("percent").alias("percent"))
-    return telemetry.due(r)
+    r = e.select("aid", "ts", phase.alias("phase"), (F.col("bytes") % 2).alias("percent")).groupBy("aid", "ts").agg(F.min("phase").alias("phase"), F.min("percent").alias("percent"))
+    return telemetry.due(r, 40_000)
 
 
 @query("st11_disk_short", STREAM + """, d as (select aid, 'd' || (aid % 25) as disk, cast(1000000 - sum(moved) as bigint) as remaining from o group by aid) select d.aid, d.disk, d.remaining, d.remaining > n_nationkey * 60000 - 20000 as short from d left join nation on 'd' || n_nationkey = d.disk""")

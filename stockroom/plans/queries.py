@@ -607,9 +607,10 @@ def st8(spark, sf):
     return telemetry.batch_outages(view(spark, sf, "stream"), registry.cut)
 
 
-@query("st6_stalls", STREAM + ", l as (select aid, ts, lag(ts) over (partition by aid order by ts, event_id) as before from o where kind in ('network', 'local')) select aid, before as quiet_from, ts as quiet_to from l where ts - before >= 86400")
+@query("st6_stalls", STREAM + """, l as (select aid, kind, ts, lead(ts) over (partition by aid order by ts, event_id) as after, sum(moved) over (partition by aid order by ts, event_id rows unbounded preceding) as done from o where kind in ('network', 'local', 'hash'))
+  select aid, ts as quiet_from, after as quiet_to from l where kind <> 'hash' and done < 1200000 and after - ts >= 86400""")
 def st6(spark, sf):
-    return telemetry.batch_stalls(view(spark, sf, "stream"), 86400)
+    return telemetry.batch_stalls(view(spark, sf, "stream").withColumn("total", F.lit(1_200_000)), registry.cut, 86400)
 
 
 @query("st10_budget_alerts", STREAM + ", u as (select aid, ts, event_id, cast(sum(case when kind = 'network' then bytes else 0 end) over (partition by aid order by ts, event_id rows unbounded preceding) as bigint) as used from o) select aid, ts, event_id, used from u where used >= 50000 qualify row_number() over (partition by aid order by ts, event_id) = 1")

@@ -6,6 +6,9 @@ take a stream (or a table) with an event-time column `at`. Late rows beyond the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -72,10 +75,14 @@ def batch_outages(events: DataFrame, cut: Cut) -> DataFrame:
     return out.where("attempts > 0").select("aid", "started", "ended", (F.col("ended") - F.col("started")).alias("seconds"), "attempts")
 
 
-def batch_stalls(events: DataFrame, seconds: int = STALL_SECONDS) -> DataFrame:
-    """Gaps of `seconds` or more between two moments at which bytes moved."""
-    moving = events.where(F.col("kind").isin(*MOVING))
-    return moving.withColumn("before", F.lag("ts").over(by_time())).where(F.col("ts") - F.col("before") >= seconds).select("aid", F.col("before").alias("quiet_from"), F.col("ts").alias("quiet_to"))
+def batch_stalls(events: DataFrame, cut: Cut, seconds: int = STALL_SECONDS) -> DataFrame:
+    """Gaps of `seconds` or more after a moment at which bytes moved, while bytes of the artifact's `total` remain. A digest ends a
+    gap as bytes do: while digests are all that goes on, nothing is stalled."""
+    busy = events.where(F.col("kind").isin(*MOVING, "hash")).withColumn("__moved", moved_bytes())
+    x = running(busy, ["aid"], ["ts", "event_id"], cut, "__moved")
+    after = x.select("aid", (F.col("rank") - 1).alias("rank"), F.col("ts").alias("quiet_to"))
+    x = x.where((F.col("kind") != "hash") & (F.col("upto") < F.col("total"))).join(after, ["aid", "rank"])
+    return x.where(F.col("quiet_to") - F.col("ts") >= seconds).select("aid", F.col("ts").alias("quiet_from"), "quiet_to")
 
 
 def batch_budget_alerts(events: DataFrame, cap: int, cut: Cut) -> DataFrame:
@@ -116,18 +123,23 @@ def batch_eta(points: DataFrame, most: int = 60, least_span: int = 30) -> DataFr
 
 
 def due(reports: DataFrame, every: int = HEARTBEAT_SECONDS) -> DataFrame:
-    """Reports (aid, ts, phase, percent) to send: a change of phase or percent, or `every` seconds since the last sent.
-
-    Between two changes a report is sent when it is the first in its stretch of `every` seconds since the change; the
-    live meter counts from the last report sent instead, which differs where reports come rarely."""
-    key = F.concat_ws(" ", "phase", "percent")
-    w = Window.partitionBy("aid").orderBy("ts")
-    changed = ~key.eqNullSafe(F.lag(key).over(w))
-    x = reports.withColumn("changed", changed).withColumn("island", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("aid", "island").orderBy("ts")
-    stretch = F.floor((F.col("ts") - F.first("ts").over(own)) / every)
-    x = x.withColumn("stretch", stretch)
-    return x.withColumn("before", F.lag("stretch").over(own)).where("before is null or before <> stretch").select("aid", "ts", "phase", "percent")
+    """Reports (aid, ts, phase, percent) to send: a change of phase or percent, or `every` seconds since the last one sent.
+
+    Each choice stands on the one before it. So an artifact's reports pass sorted through one task, which keeps the last one sent."""
+    dealt = reports.select("aid", "ts", "phase", "percent").repartition("aid").sortWithinPartitions("aid", "ts")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = ()
+        for batch in batches:
+            sent = []
+            for aid, ts, *key in zip(*(c.to_pylist() for c in batch.columns)):
+                send = not last or (aid, key) != last[:2] or ts - last[2] >= every
+                sent.append(send)
+                if send:
+                    last = (aid, key, ts)
+            yield batch.filter(pa.array(sent, pa.bool_()))
+
+    return dealt.mapInArrow(work, dealt.schema)
 
 
 def batch_ema(events: DataFrame, cut: Cut, share: float = EMA, seconds: int = RATE_SECONDS) -> DataFrame:

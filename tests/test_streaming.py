@@ -108,3 +108,16 @@ def test_outages_and_alerts(spark):
     assert out == [(9, 2)]
     assert telemetry.batch_outages(log, cut).where("ended is null").count() == 1
     assert telemetry.batch_budget_alerts(log, 5, cut).count() == 1 and telemetry.batch_budget_alerts(log, 6, cut).count() == 0
+
+
+def test_stalls_need_remaining_bytes_and_no_digest(spark):
+    log = events(spark, [(0, "network", 5), (20, "hash", 1), (50, "network", 5), (60, "hash", 1), (90, "network", 85), (120, "network", 5), (200, "online", 0), (300, "local", 5)]).withColumn("ts", F.unix_timestamp("at"))
+    start = int(START.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = sorted((r["quiet_from"] - start, r["quiet_to"] - start) for r in telemetry.batch_stalls(log, cut).collect())
+    assert got == [(0, 20), (90, 120)]  # after 120 s all has come
+
+
+def test_heartbeats_count_from_the_last_report_sent(spark):
+    rows = [("a", t, "downloading", 1) for t in (0, 200, 400, 590, 700, 1000)] + [("a", 1001, "stalled", 1), ("b", 5, "stalled", 1)]
+    out = telemetry.due(spark.createDataFrame(rows, "aid string, ts long, phase string, percent int")).collect()
+    assert sorted((r["aid"], r["ts"]) for r in out) == [("a", 0), ("a", 400), ("a", 700), ("a", 1000), ("a", 1001), ("b", 5)]
