@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.functions import tables
-from stockroom.operators import enrich, files, lineage, overlay, rules, weights
+from stockroom.operators import enrich, files, lineage, migrate, overlay, rules, weights
 from stockroom.plans.derive import cte, view
 from stockroom.plans.registry import cut, query, shared_path
 from stockroom.streaming import telemetry
@@ -317,3 +317,23 @@ def p31_languages(spark, sf):
     made = {"config.json": F.lit("{}"), "card": card, "generation_config.json": F.when(k % 2 == 0, '{"max_new_tokens": 5, "top_p": 0.5, "other": 1}').otherwise("{}"), "chat_template.jinja": F.when(k % 5 == 0, "x"), "tokenizer_config.json": F.when(k % 7 == 0, '{"bos_token": "a", "cls_token": "b", "mask_token": "c", "chat_template": "t"}')}
     files = part(spark, sf).select(k.alias("aid"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in made.items()))).alias("f")).select("aid", "f.*").where("text is not null")
     return enrich.model_record(files).select("aid", F.array_join("languages", ",").alias("languages"), F.array_join("generation_keys", ",").alias("generation_keys"), "chat_template", F.array_join("special_tokens", ",").alias("special_tokens"))
+
+
+@query("p14_migrated", """with r as (select p_partkey as k, ['1.8.0', '2.1.0', '1.2', '3.0.0', 'odd'][p_partkey % 5 + 1] as version, case p_size % 3 when 0 then 'dataset' when 1 then 'model' end as type, case when p_partkey % 4 > 0 then 'hub' end as origin, p_size as z from part),
+  s as (select *, case when version = 'odd' then 'unreadable' when version like '1%' then 'older' when version like '3%' then 'newer' else 'current' end as standing, coalesce(type, 'model') as kind from r)
+  select k as aid, standing, case when standing = 'older' then '2.1.0' else version end as schema_version, case when standing = 'older' then kind else type end as artifact_type, case when standing = 'older' then origin end as provider,
+    case when standing = 'older' then origin || ':' || case when kind = 'dataset' then 'datasets/' else '' end || 'own/Net' || z || '-7B' end as address,
+    case when standing = 'older' then case when kind = 'dataset' then coalesce(origin, 'huggingface') || ':datasets/raw/d' || z || ' derived card' else concat_ws(',', coalesce(origin, 'huggingface') || ':base/a ' || case when z % 2 = 0 then 'quantized' else 'finetune' end || ' tag',
+      coalesce(origin, 'huggingface') || ':base/b ' || case when z % 2 = 0 then 'finetune ' else '' end || 'card', coalesce(origin, 'huggingface') || ':datasets/web/c trained_on card') end end as parents,
+    case when standing = 'older' and z % 4 = 0 then 'negatives' when z % 4 = 0 then 'masters' end as policy, case when standing = 'older' then 'negative,skip' else 'master,skip' end as verdicts, case when standing = 'older' then case when z % 5 = 0 then 'own/' when kind = 'dataset' then 'data/' else 'model/' end when z % 5 = 0 then 'own/' end as payload_root,
+    case when standing = 'older' then concat_ws(',', 'schema_version', 'identity', 'lineage', case when origin is not null then 'address' end, 'classification', case when z % 5 <> 0 then 'layout' end) else '' end as changes, case when standing = 'older' then 'Net' end as family, case when standing = 'older' then 7000000000 end as size from s""")
+def p14_migrated(spark, sf):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    rows = part(spark, sf).select(
+        k.alias("aid"), pick(("1.8.0", "2.1.0", "1.2", "3.0.0", "odd"), k % 5).alias("schema_version"), F.when(z % 3 == 0, "dataset").when(z % 3 == 1, "model").alias("artifact_type"), F.when(k % 4 > 0, "hub").alias("origin"), F.lit(None).cast("string").alias("provider"),
+        F.concat(F.lit("own/Net"), z, F.lit("-7B")).alias("repo_id"), F.lit(None).cast("string").alias("address"), F.array(F.lit("base/a"), F.lit("base/b")).alias("base_models"), F.lit("finetune").alias("base_model_relation"), F.array(F.lit("web/c"), F.lit(" ")).alias("training_datasets"), F.array(F.concat(F.lit("raw/d"), z)).alias("source_datasets"),
+        F.array(F.lit("x"), F.lit("base_model:base/a"), F.when(z % 2 == 0, "base_model:quantized:base/a").otherwise("base_model:finetune:base/a")).alias("tags"), F.when(z % 4 == 0, "masters").alias("policy"), F.array(F.lit("master"), F.lit("skip")).alias("verdicts"), F.when(z % 5 == 0, "own/").alias("payload_root"),
+    )
+    out = migrate.migrated(rows)
+    edges = F.array_join(F.transform("parents", lambda e: F.concat_ws(" ", e.source, e.relation, e.declared_by)), ",")
+    return out.select("aid", "standing", "schema_version", "artifact_type", "provider", "address", edges.alias("parents"), "policy", F.array_join("verdicts", ",").alias("verdicts"), "payload_root", F.array_join("changes", ",").alias("changes"), F.regexp_extract("identity.family", "^([A-Za-z]+)", 1).alias("family"), F.col("identity.size_total").alias("size"))
