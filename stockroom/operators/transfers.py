@@ -209,10 +209,11 @@ def latest(history: DataFrame, keep: int = 50) -> DataFrame:
     return history.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).drop("n")
 
 
-def drift(history: DataFrame) -> DataFrame:
+def drift(history: DataFrame, cut: Cut) -> DataFrame:
     """Changes of result between consecutive runs of an artifact."""
-    w = Window.partitionBy("aid").orderBy("done", "ordinal")
-    return history.withColumn("before", F.lag("status").over(w)).where("before is not null and before <> status").select("aid", "ordinal", "before", F.col("status").alias("after"))
+    x = running(history.select("aid", "done", "ordinal", "status"), ["aid"], ["done", "ordinal"], cut)
+    last = x.select("aid", (F.col("rank") + 1).alias("rank"), F.col("status").alias("before"))
+    return x.join(last, ["aid", "rank"]).where("before <> status").select("aid", "ordinal", "before", F.col("status").alias("after"))
 
 
 def assembled(states: DataFrame) -> DataFrame:

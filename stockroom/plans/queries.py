@@ -109,6 +109,19 @@ def f3(spark, sf):
     return files.selected(view(spark, sf, "inventory"), ["/de/*", "0000[0-4]?.txt"]).select("aid", "path", "size")
 
 
+RIDING = ("README.md", "ReadMe", "x/LICENSE-MIT", "x/licence.txt", "config.json", "my-config.json", "w.index.json", "tokenizer_config.json", "a.tiktoken", "chat_template.jinja", "run.PY", "weights.bin", "w-1.safetensors", "readme-x.md")
+
+
+@query("f2_sidecars", "with f as (select source || '/' || (n_chars % 17) as aid, ['" + "', '".join(RIDING) + f"'][doc_id % {len(RIDING)} + 1] as path, doc_id from documents), s as (select *, split_part(lower(path), '/', -1) as name from f), k as (select *, " + " or ".join("name like '" + g.lower().replace("_", r"\_").replace("*", "%") + r"' escape '\'" for g in dict.fromkeys(files.SIDECARS)) + """ as rides, path = 'weights.bin' as named from s)
+  select aid, path, doc_id from k where (rides or named) and aid in (select aid from k where named)""")
+def f2(spark, sf):
+    """What rides along with a selection, by names of every kind; an artifact without a selected file selects nothing."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    path = F.get(F.array(*map(F.lit, RIDING)), (F.col("doc_id") % len(RIDING)).cast("int"))
+    rows = d.select(F.concat_ws("/", "source", F.col("n_chars") % 17).alias("aid"), path.alias("path"), "doc_id")
+    return files.selected(rows, ["weights.bin"])
+
+
 @query("f3_empty_selection", cte("inventory") + " select distinct aid from inventory where aid not in (select aid from inventory where path similar to '.*/00000[0-9].txt')")
 def f3_empty(spark, sf):
     return files.empty_selections(view(spark, sf, "inventory"), ["00000?.txt"])
@@ -462,7 +475,7 @@ def w7(spark, sf):
 
 @query("w8_verification_drift", HISTORY + ", d as (select aid, ordinal, lag(status) over (partition by aid order by done, ordinal) as before, status as after from h) select * from d where before <> after")
 def w8(spark, sf):
-    return transfers.drift(history(spark, sf))
+    return transfers.drift(history(spark, sf), registry.cut)
 
 
 @query("a31_latest_run", HISTORY + " select aid, status, done, ordinal from h qualify row_number() over (partition by aid, status order by done desc, ordinal desc) = 1")
