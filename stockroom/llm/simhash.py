@@ -7,7 +7,8 @@ fingerprint. Within a variant the fingerprints lie at most 2 bits apart and numb
 order (a lag) keeps the components without emitting all pairs of a group. Colliding pairs are verified.
 
 Edge cases: a null or empty text has the fingerprint zero and links like any other; null ids link and pass
-through but name no component unless a component has no other id; repeated rows come back as often as they came.
+through but name no component unless a component has no other id; repeated rows come back as often as they came; texts are
+taken whole, however long; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
