@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -227,7 +228,7 @@ def write_files(rows: DataFrame, root: str) -> int:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 to = posixpath.join(base, path)
                 system.create_dir(posixpath.dirname(to), recursive=True)
-                part = f"{posixpath.dirname(to)}/.{posixpath.basename(to)}.{hashlib.sha256(str(id(batch)).encode()).hexdigest()[:8]}"
+                part = f"{posixpath.dirname(to)}/.{posixpath.basename(to)}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(content.as_buffer() or b"")
                 system.move(part, to)

@@ -204,11 +204,12 @@ class MeterProcessor(StatefulProcessor):
         self.fired = handle.getMapState("fired", "reason string", "at long")
 
     def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for rows_of in rows for r in rows_of[["ms", "event_id", "kind", "bytes", "total"]].itertuples(index=False)]
-        for row in new:
-            self.waiting.appendValue((int(row[0]), int(row[1]), row[2], int(row[3]), int(row[4])))
+        new = [(int(ms), int(event), kind, int(n), int(total)) for part in rows for ms, event, kind, n, total in part[["ms", "event_id", "kind", "bytes", "total"]].itertuples(index=False)]
+        if not new:
+            return
+        self.waiting.appendList(new)
         timers = list(self.handle.listTimers())
-        first = min(int(r[0]) for r in new)
+        first = min(r[0] for r in new)
         if not timers or first < min(timers):
             for t in timers:
                 self.handle.deleteTimer(t)
@@ -236,7 +237,7 @@ class MeterProcessor(StatefulProcessor):
             self.handle.registerTimer(max(min(moments), upto + 1))
         if out:
             frame = pd.DataFrame({c: pd.Series([row.get(c) for row in out], dtype=object) for c in COLUMNS})
-            yield frame.assign(aid=key[0], at=pd.to_datetime([row["ms"] for row in out], unit="ms"))
+            yield frame.assign(aid=pd.Series([key[0]] * len(out), dtype=object), at=pd.to_datetime([row["ms"] for row in out], unit="ms"))
 
     def load(self) -> Meter:
         if not self.plain.exists():
@@ -264,10 +265,12 @@ class MeterProcessor(StatefulProcessor):
 
 
 def meter(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The live meter of a stream. Copies of an event count once; rows later than the watermark are dropped."""
-    once = events.withWatermark("at", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
-    once = once.select("aid", "at", "event_id", F.unix_millis("at").alias("ms"), "kind", "bytes", "total")
-    return once.groupBy("aid").transformWithStateInPandas(MeterProcessor(settings), OUT, "Append", "EventTime")
+    """The live meter of a stream. Copies of an event count once; rows later than the watermark are dropped, and those without a
+    time or an id. Bytes that aren't stated are none, and an artifact without a total has no percent and never stalls."""
+    once = events.where("at is not null and event_id is not null").withWatermark("at", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    once = once.select("aid", "at", "event_id", F.unix_millis("at").alias("ms"), F.coalesce("kind", F.lit("")).alias("kind"), zero("bytes"), zero("total"))
+    return once.groupBy("aid").transformWithStateInPandas(MeterProcessor(settings), OUT.replace("aid long", f"aid {events.schema['aid'].dataType.simpleString()}"), "Append", "EventTime")
 
 
 @contextmanager

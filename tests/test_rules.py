@@ -320,3 +320,38 @@ def test_revisions_meet_by_key(spark):
     assert {r["k"]: r["held_at"] for r in out.collect()} == {1: long[0], 2: long[0], 3: long[0], 4: "v1.0-release-x", 5: long[1], 6: None, 7: None}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "e_meet" in plan and "h_meet" in plan
+
+
+def test_shipped_licences_and_preflight(spark):
+    from stockroom.functions import tables
+
+    rows = spark.createDataFrame([("a", "mit", False, ["LICENSE"]), ("b", "odd", None, []), ("c", None, True, None), ("d", "llama2", True, ["x"])], "aid string, license string, gated boolean, license_files array<string>")
+    got = {r["aid"]: r for r in enrich.licence_records(rows, tables.licences(spark)).collect()}
+    assert got["a"]["attribution_required"] and got["a"]["patent_grant"] is False and got["a"]["notes"] == [] and not got["a"]["needs_manual_review"]
+    assert got["b"]["commercial_use"] is None and len(got["b"]["notes"]) == 2 and got["b"]["needs_manual_review"]
+    assert len(got["c"]["notes"]) == 2 and got["d"]["needs_manual_review"] and "Meta" in got["d"]["trademark_terms"]
+    models = spark.createDataFrame([("m", "mlx", "TForCausalLM", 10), ("n", "mlx", None, None), ("o", "transformers", "Encoder", 100), ("p", "llama-cpp", None, 9), ("q", "unheard", "X", 9)], "aid string, engine string, architecture string, need long")
+    issues = {r["aid"]: [tuple(i) for i in r["issues"]] for r in rules.preflight(models, spark.createDataFrame([("h", 12)], "machine string, ram_bytes long"), tables.engine_architectures(spark)).collect()}
+    assert issues == {"m": [("warning", "tight-ram")], "n": [("warning", "unknown-architecture")], "o": [("error", "unsupported-architecture"), ("error", "insufficient-ram")], "p": [], "q": []}
+
+
+def test_shipped_build_files_count_at_the_root_only_where_they_say_so(spark):
+    from stockroom.functions import tables
+
+    files = spark.createDataFrame([("t", "code", p) for p in ("run.sh", "x/run.sh", "x/Dockerfile.gpu", "requirements/a/b.txt", "x/requirements/a.txt", ".env.sample", "deep/Makefile")], "aid string, artifact_type string, path string")
+    got = {r["label"]: r["paths"] for r in rules.declarations(files, tables.build_files(spark)).collect()}
+    assert got == {"shell": ["run.sh"], "container": ["x/Dockerfile.gpu"], "python": ["requirements/a/b.txt"], "env_template": [".env.sample"]}
+
+
+def test_migration_leaves_other_majors_alone(spark):
+    from stockroom.operators import migrate
+
+    schema = "aid string, schema_version string, artifact_type string, origin string, provider string, repo_id string, address string, base_models array<string>, base_model_relation string, training_datasets array<string>, source_datasets array<string>, tags array<string>, policy string, verdicts array<string>, payload_root string"
+    none = (None,) * 13
+    rows = [("new", "2.0.0", "model", "hub", None, "o/n", None, ["a/b"], None, None, None, None, "masters", None, None), ("next", "3.1", *none), ("odd", "x", *none), ("null", None, *none), ("old", "1.4.0", None, "hub", None, "o/Net-7B", None, ["a/b"], "merge", None, None, ["base_model:merge:c/d"], "masters", ["keep"], None)]
+    got = {r["aid"]: r for r in migrate.migrated(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: r["standing"] for k, r in got.items()} == {"new": "current", "next": "newer", "odd": "unreadable", "null": "unreadable", "old": "older"}
+    assert got["new"]["policy"] == "masters" and got["new"]["changes"] == [] and got["new"]["identity"] is None
+    old = got["old"]
+    assert (old["address"], old["provider"], old["payload_root"], old["policy"], old["identity"]["size_total"]) == ("hub:o/Net-7B", "hub", "model/", "negatives", 7_000_000_000)
+    assert [tuple(e) for e in old["parents"]] == [("hub:a/b", None, "card")]  # the recorded relation is what the tags agree on
