@@ -22,7 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: those linked by 0.8 of all five-word shingles in common."""
+    """One document of each group of near copies stays: those that operator 2 links by their fingerprints, and those that
+    have 0.8 of all five-word shingles in common."""
     return minhash.keep_one(docs)
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stockroom.llm import ann, bpe, common, graph, langid, packing, pseudo_lm, quality, registry, secret_scan, simhash, suffix_dedup, topk
+from stockroom.llm import ann, bpe, common, graph, langid, minhash, packing, pseudo_lm, quality, registry, secret_scan, simhash, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -576,6 +576,34 @@ def test_pipeline_large_group_of_near_copies(spark):
     assert sorted(got) == sorted(set(plain_groups(texts)))
 
 
+def test_pipeline_links_what_operator_2_links(spark):
+    """Texts of 80 words that differ in three places have fewer than 0.8 of their shingles in common."""
+    rng = random.Random(31)
+    texts, pairs = [], 0
+    while pairs < 6:
+        a = words(rng, 80, 3000).split()
+        b = [w if k not in (10, 35, 60) else f"z{rng.randrange(10**6)}" for k, w in enumerate(a)]
+        two = [" ".join(a), " ".join(b)]
+        x, y = simhash.fingerprint_of(two)
+        if (int(x) ^ int(y)).bit_count() <= 2:
+            texts, pairs = [*texts, *two], pairs + 1
+    assert len(set(plain_groups(texts))) == len(texts)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect())
+    assert got == list(range(0, len(texts), 2))
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_near_copies_in_blocks_are_all_compared(spark, monkeypatch, block):
+    """No leader: every pair of a bucket is left to the blocks; members are as often linked as not."""
+    monkeypatch.setattr(minhash, "LEADERS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(32)
+    base = words(rng, 150, 3000).split()
+    texts = [" ".join(w if rng.random() > 0.03 else f"z{rng.randrange(10**6)}" for w in base) for _ in range(120)]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect())
+    assert got == sorted(set(plain_groups(texts))) and 1 < len(got) < len(texts)
+
+
 def test_pipeline_near_dedup_edges(spark, edge):
     kept = corpus_pipeline.near_dedup(spark, edge, "")
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 1
