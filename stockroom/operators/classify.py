@@ -3,11 +3,14 @@
 Sets come first (indexed shards, loose files of a folder, level-named groups, legacy files, support); then evidence as
 columns of a set; then the rules, one cascade in a fixed order; then patterns that select what is kept. All artifacts
 are judged in one job. A group-level file that an index claims stays in its group alone.
+
+Scale: whatever is joined, grouped or ordered here is so within an artifact. With `by_artifact` tables that lie by artifact once
+stay so: joins on artifact and path, folder or digest, the groups and the windows need no further shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +31,11 @@ NUMBERED = r"^(.+-)\d+(-of-\d+\.\w+)$"
 SET = ["aid", "kind", "set"]
 
 
+def by_artifact(spark: SparkSession) -> None:
+    """Lets joins of this session take tables that are dealt by some of the join's columns; Spark else deals them again by all."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

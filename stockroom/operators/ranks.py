@@ -35,3 +35,13 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str | Column], n: i
     sends `n` rows of a group at most, however many it has."""
     place = (F.dense_rank() if ties else F.row_number()).over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+
+
+def by_size(rows: DataFrame, *keys: str, each: int = 500_000) -> DataFrame:
+    """Rows dealt by their keys to as many tasks as about `each` rows for one ask for, so that what a task holds doesn't grow."""
+    return rows.repartition(parts(rows, each), *keys)
+
+
+def parts(rows: DataFrame, each: int = 500_000) -> int:
+    """Tasks that `each` rows for one ask for, and no fewer than a shuffle has anyway."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // each)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.operators import classify, weights
+from stockroom.operators.ranks import by_size
 from stockroom.plans.registry import cut, query
 
 LISTING = """select l_orderkey as aid, n, l_partkey % 8 as k, l_suppkey as s, l_partkey as p, cast(round(l_extendedprice * 100) as bigint) as size, l_quantity as quantity from
@@ -18,15 +19,17 @@ PATH = """case k when 0 then concat('w', n, '.safetensors') when 1 then concat('
 
 
 def listing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql(LISTING.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    lines = by_size(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", each=200_000)  # a task's part, in all steps up to the end
+    rows = spark.sql(LISTING.replace("from lineitem", "from {lineitem}"), lineitem=lines)
     digest = F.when(F.col("quantity") != 7, F.sha2((F.col("s") % 4).cast("string"), 256))
     return rows.withColumn("path", F.expr(PATH)).withColumn("sha256", digest)
 
 
 def facts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """What `classify.classified` takes."""
+    classify.by_artifact(spark)
     rows = listing(spark, sf)
-    aids = rows.select("aid").distinct()
+    aids = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("aid")).distinct()
     aid, s, gguf = F.col("aid"), F.col("s"), F.col("k").isin(2, 3)
     index = F.when(aid % 4 == 0, '{"metadata": {}, "weight_map": {"a": "w1.safetensors", "b": "w3.safetensors", "c": "sub/w2.safetensors"}}').when(aid % 4 == 1, "{broken")
     root = F.when(aid % 3 == 0, '{"torch_dtype": "bfloat16"}').when(aid % 3 == 1, '{"quantization_config": {"quant_method": "awq"}}')

@@ -248,3 +248,25 @@ def test_lanes_of_unknown_sizes_take_few_turns():
         runs = list(transfers.lane_runs(sizes, n))
         assert [(size, turn[i % len(turn)]) for size, _, took, turn in runs for i in range(took)] == want
     assert len(list(transfers.lane_runs([(7, 10), (0, 10_000_000)], 8))) < 100
+
+
+def exchanges(frame) -> int:
+    """Shuffles that a plan asks for before it runs."""
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_classification_stays_by_artifact(spark, small):
+    """Files are dealt by artifact once; no join, group or window behind that deals whole sets or files again."""
+    from stockroom.operators import classify
+    from stockroom.plans import classification
+
+    _, sets = classify.classified(**classification.facts(spark, small))
+    assert exchanges(sets) < 13  # 15 before
+
+
+def test_parts_grow_with_the_rows(spark):
+    from stockroom.operators import ranks
+
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranks.parts(spark.range(10), 5) == few and ranks.parts(spark.range(1000), 10) == 101
+    assert ranks.by_size(spark.range(1000), "id", each=10).rdd.getNumPartitions() == 101
