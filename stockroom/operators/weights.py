@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from stockroom.operators.ranks import by_size
 
 SHARD = r"^(.*)-(\d{5})-of-(\d{5})\.gguf$"
 #: Bytes for each element of a stored type. Fixed values.
@@ -87,10 +90,12 @@ def expected_bytes(dtypes: DataFrame) -> DataFrame:
 
 def parameter_counts(tensors: DataFrame) -> DataFrame:
     """Parameters, tensors and files by stored type; one unreadable header makes the artifact unknown (no rows)."""
-    bad = tensors.where("error is not null").select("aid").distinct()
     n = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
-    good = tensors.join(bad, "aid", "left_anti")
-    return good.groupBy("aid", "dtype").agg(F.sum(n).alias("parameters"), F.count("*").alias("tensors"), F.count_distinct("path").alias("files"))
+    x = tensors.select("aid", "dtype", "path", n.alias("n"), F.col("error").isNotNull().alias("bad"))
+    x = by_size(x, "aid").groupBy("aid", "dtype", "path").agg(F.sum("n").alias("n"), F.count("*").alias("tensors"), F.bool_or("bad").alias("bad"))
+    x = x.groupBy("aid", "dtype").agg(F.sum("n").alias("parameters"), F.sum("tensors").alias("tensors"), F.count("path").alias("files"), F.bool_or("bad").alias("bad"))
+    unknown = F.bool_or("bad").over(Window.partitionBy("aid"))
+    return x.withColumn("bad", unknown).where("not bad").drop("bad")
 
 
 def imatrix_marks(variants: DataFrame, headers: DataFrame) -> DataFrame:
