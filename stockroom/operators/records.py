@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockroom.operators.ranks import parts
+
 #: Fields of an estimate that a want-list keeps, in order.
 ESTIMATE = ("as_of", "revision", "total_bytes", "files", "unknown_sizes", "dominant_format", "parameters", "precision", "license", "gated", "hints", "parents")
 TIERS = ("declared", "evidence", "mentioned")
@@ -13,7 +15,9 @@ TIERS = ("declared", "evidence", "mentioned")
 def completed_records(expected: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, refused): inventory records of artifacts all of whose expected files are verified, and the others with
     how many files stand in the way."""
-    x = expected.join(states.select("aid", "path", "status", F.col("sha256").alias("got"), F.col("upstream_ok").alias("verified_against_upstream")), ["aid", "path"], "left")
+    n, key = parts(expected), ["aid", "path"]
+    told = states.select(*key, "status", F.col("sha256").alias("got"), F.col("upstream_ok").alias("verified_against_upstream"))
+    x = expected.repartition(n, *key).join(told.repartition(n, *key), key, "left")
     open_ = x.groupBy("aid").agg(F.count_if(F.coalesce(F.col("status") != "verified", F.lit(True))).alias("unverified"))
     done = x.join(open_.where("unverified = 0").select("aid"), "aid", "left_semi")
     return done.select("aid", "path", "size", F.col("got").alias("sha256"), "verified_against_upstream"), open_.where("unverified > 0")
