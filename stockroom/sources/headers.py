@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from stockroom.operators.ranks import by_size
 from stockroom.sources.ranged import RangedReader, columns, load
 
 #: A header that claims more is malformed, as is a string or a count beyond its bound.
@@ -221,17 +222,24 @@ def footers(spark: SparkSession, path: str, **options: Any) -> DataFrame:
 
 
 def tensors_of(rows: DataFrame) -> DataFrame:
-    """Tensors from (path, content), in any store that Spark reads."""
+    """Tensors from (path, content), in any store that Spark reads.
+
+    Contents are dealt out by path first, since few files of a table may hold very many of them; each is parsed once."""
+    rows = by_size(rows.select("path", "content"), "path", each=50_000)
     digits = F.hex(F.substring("content", 1, 8))
     size = F.conv(F.concat(*(F.substring(digits, 2 * k - 1, 2) for k in range(8, 0, -1))), 16, 10).cast("decimal(20,0)")
     whole = F.length("content") >= size + 8
     head = F.decode(F.expr("substring(content, 9, int(least(__size, 2147483639)))"), "utf-8")
     parsed = F.from_json(head, "map<string,struct<dtype:string,shape:array<bigint>>>")
-    error = F.when(F.length("content") < 8, "truncated").when(F.col("__size") > TENSOR_HEADER_BYTES, "header too long").when(~whole, "truncated").when(parsed.isNull(), "no JSON")
+    error = F.when(F.length("content") < 8, "truncated").when(F.col("__size") > TENSOR_HEADER_BYTES, "header too long").when(~whole, "truncated")
+    row = lambda tensor, dtype, shape, error: F.struct(tensor.alias("tensor"), dtype.alias("dtype"), shape.alias("shape"), error.alias("error"))
+    none = lambda kind: F.lit(None).cast(kind)
+    failed = lambda error: F.array(row(none("string"), none("string"), none("array<bigint>"), error))
+    entries = lambda m: F.transform(F.filter(F.map_entries(m), lambda e: e.key != "__metadata__"), lambda e: row(e.key, e.value.dtype, e.value.shape, none("string")))
+    read = F.flatten(F.transform(F.array(parsed), lambda m: F.when(m.isNull(), failed(F.lit("no JSON"))).otherwise(entries(m))))  # parsed once
+    found = F.when(F.col("error").isNotNull(), failed(F.col("error"))).otherwise(read)
     x = rows.withColumn("__size", size).withColumn("error", error)
-    good = x.where("error is null").select("path", F.explode(parsed).alias("tensor", "t")).where("tensor <> '__metadata__'")
-    good = good.select("path", "tensor", "t.dtype", "t.shape", F.lit(None).cast("string").alias("error"))
-    return good.unionByName(x.where("error is not null").select("path", "error"), allowMissingColumns=True)
+    return x.select("path", F.explode(found).alias("t")).select("path", "t.*")
 
 
 def key_values_of(rows: DataFrame) -> DataFrame:
