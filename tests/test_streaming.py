@@ -1,7 +1,10 @@
 import datetime as dt
 import random
 import tempfile
+from types import SimpleNamespace
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from stockroom.plans.registry import cut
@@ -60,6 +63,68 @@ def test_heartbeats_go_on_without_events_until_the_artifact_is_idle(spark):
     assert (5000, "starting") in reports  # begun afresh
 
 
+class Held:
+    """A state variable that counts the rows written to it."""
+
+    def __init__(self):
+        self.rows, self.written = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows, self.written = list(rows), self.written + len(rows)
+
+    def appendList(self, rows):
+        self.put([*self.rows, *rows])
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def clear(self):
+        self.rows = []
+
+
+class Value(Held):
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+    def update(self, row):
+        self.put([row])
+
+    keys, updateValue = (lambda self: iter(())), (lambda self, *row: self.put([row]))
+
+
+class Handle:
+    def __init__(self):
+        self.kept, self.timers = [], []
+
+    def made(self, kind):
+        self.kept.append(kind())
+        return self.kept[-1]
+
+    getValueState = getMapState = lambda self, *_: self.made(Value)
+    getListState = lambda self, *_: self.made(Held)
+    listTimers = lambda self: iter(self.timers)
+    registerTimer = lambda self, t: self.timers.append(t)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+
+
+@pytest.mark.parametrize("n", [10, 300])
+def test_meter_writes_few_rows_of_state_whatever_the_events(n):
+    """Each row of state is packed by itself, so an artifact's events aren't a row each."""
+    handle, processor = Handle(), meter.MeterProcessor(meter.Settings(idle=10**9))
+    processor.init(handle)
+    rows = pd.DataFrame({"ms": range(0, n * 1000, 1000), "event_id": range(n), "kind": "network", "bytes": 5, "total": 10**6})
+    assert list(processor.handleInputRows((1,), iter([rows]), None)) == [] and handle.timers == [0]
+    told = pd.concat(processor.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: n * 1000 - 1500), None))
+    assert (told["what"] == "sample").sum() == n - 1 and told["done"].max() == 5 * (n - 1)
+    assert sum(x.written for x in handle.kept) <= 6
+
+
 def test_meter_restarted_from_its_checkpoint_tells_the_same(spark):
     rng = random.Random(6)
     log, t = [], 0.0
