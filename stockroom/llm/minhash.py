@@ -228,6 +228,21 @@ def fingerprinted(marked: DataFrame) -> DataFrame:
     return common.stored(found.join(least, "c").where("own != least").select("own", "least").distinct())
 
 
+def leaders(open_: DataFrame, kinds: DataFrame, turn: int) -> DataFrame:
+    """(bucket, other, theirs): the leader of each bucket and its label.
+
+    In even turns whoever shares most buckets with most others leads: what copies were made from is nearer to each than they
+    are. In odd turns chance decides, and nothing needs to be known of the buckets. A set has at most BANDS rows, so its weight
+    is a sum over a window and no row meets another for it."""
+    led, weight = open_, F.lit(0)
+    if turn % 2 == 0:
+        led = open_.join(kinds.select("bucket", "n"), "bucket").withColumn("weight", F.sum("n").over(Window.partitionBy("own")))
+        weight = -F.col("weight")
+    order = F.struct(weight.alias("w"), F.xxhash64("own", F.lit(turn)).alias("h"), "own", "label")
+    other = led.groupBy("bucket").agg(F.min(order).alias("l"))
+    return other.select("bucket", F.col("l.own").alias("other"), F.col("l.label").alias("theirs"))
+
+
 def linked(rows: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """`similar` over `keyed` rows; (key, id, own, bands) of each. Shingle sets are kept for one row of each set that
     shares a bucket with another."""
@@ -256,12 +271,7 @@ def linked(rows: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFram
             if last:
                 pairs = in_blocks(open_, kinds, sets)
             else:
-                # whoever shares most buckets with most others leads: what copies were made from is nearer to each than they are
-                weight = open_.join(kinds, "bucket").groupBy("own").agg(F.sum(F.col("n")).alias("weight"))
-                led = open_.join(weight, "own")
-                order = F.struct((-F.col("weight")).alias("w") if turn % 2 == 0 else F.lit(0).alias("w"), F.xxhash64("own", F.lit(turn)).alias("h"), "own", "label")
-                other = led.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", "l.own", "l.label")
-                other = other.select("bucket", F.col("own").alias("other"), F.col("label").alias("theirs"))
+                other = leaders(open_, kinds, turn)
                 pairs = open_.join(other, "bucket").where("label != theirs")
             pairs = pairs.select(F.col("own").alias("a"), F.col("other").alias("b"), F.col("label").alias("label_a"), F.col("theirs").alias("label_b"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).dropDuplicates(["lo", "hi"])
             pairs = pairs if known is None else pairs.join(known, ["lo", "hi"], "left_anti")

@@ -604,6 +604,28 @@ def test_near_copies_in_blocks_are_all_compared(spark, monkeypatch, block):
     assert got == sorted(set(plain_groups(texts))) and 1 < len(got) < len(texts)
 
 
+@pytest.mark.parametrize("turn", [0, 1])
+def test_leaders_of_buckets_need_no_join_by_set(spark, turn):
+    """Each turn would add all rows that are left to what such a join makes."""
+    rng = random.Random(33)
+    places = [(own, rng.randrange(12), own % 7) for own in range(60) for _ in range(4)]
+    places = sorted(set(places))
+    n = Counter(bucket for _, bucket, _ in places)
+    weight = Counter()
+    for own, bucket, _ in places:
+        weight[own] += n[bucket]
+    open_ = spark.createDataFrame(places, "own long, bucket long, label long")
+    kinds = spark.createDataFrame([(b, c, 0) for b, c in n.items()], "bucket long, n long, same long")
+    found = minhash.leaders(open_, kinds, turn)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 - turn
+    chance = {r["own"]: r["h"] for r in open_.select("own", F.xxhash64("own", F.lit(turn)).alias("h")).collect()}
+    best = {}
+    for own, bucket, label in places:
+        key = (-weight[own] if turn == 0 else 0, chance[own], own, label)
+        best[bucket] = min(best.get(bucket, key), key)
+    assert {r["bucket"]: (r["other"], r["theirs"]) for r in found.collect()} == {b: k[2:] for b, k in best.items()}
+
+
 def test_pipeline_near_dedup_edges(spark, edge):
     kept = corpus_pipeline.near_dedup(spark, edge, "")
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 1
