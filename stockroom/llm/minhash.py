@@ -34,6 +34,8 @@ SHINGLE, JACCARD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Rounds of leaders at most; and pairs for each place in a bucket under which all that are left are compared.
 LEADERS, FEW = 6, 4
+#: Rows in the buckets for each link that a turn must find for another turn to follow; otherwise all that are left are compared.
+PAYS = 64
 #: Words of 64 bits of a sketch; and rows of a block of a bucket.
 SKETCH, BLOCK = 16, 4096
 #: Groups in which the pairs of one leader meet it, at most.
@@ -258,7 +260,7 @@ def linked(rows: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFram
     texts = rows.select("__key", F.col(text).alias("__t")).join(common.cut(one), "__key", "left_semi").groupBy("__key").agg(F.first("__t").alias("__t"))
     with common.small_batches(spark, 64):
         sets = common.bucketed(mapped(texts, "__t", {}, with_sets, SETS), "own")
-        edges, known = seeds.select(F.col("own").alias("a"), F.col("least").alias("b")), None
+        edges, known, pays = seeds.select(F.col("own").alias("a"), F.col("least").alias("b")), None, True
         for turn in range(LEADERS + 1):
             kinds = state.groupBy("bucket", "label").agg(F.count("*").alias("n"))
             kinds = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same")
@@ -267,7 +269,7 @@ def linked(rows: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFram
             if size[0] is None:
                 break
             open_ = state.join(kinds.select("bucket"), "bucket", "left_semi")
-            last = turn == LEADERS or size[0] <= FEW * size[1]
+            last = turn == LEADERS or not pays or size[0] <= FEW * size[1]
             if last:
                 pairs = in_blocks(open_, kinds, sets)
             else:
@@ -281,6 +283,7 @@ def linked(rows: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFram
             edges = edges.union(new.select("a", "b"))
             if last:
                 break
+            pays = PAYS * new.count() >= size[1]
             least = F.least("label_a", "label_b").alias("smaller")
             moved = new.select(F.col("label_a").alias("label"), least).union(new.select(F.col("label_b").alias("label"), least)).groupBy("label").agg(F.min("smaller").alias("smaller"))
             state = common.stored(state.join(common.cut(moved), "label", "left").select("own", "bucket", F.coalesce("smaller", "label").alias("label")))

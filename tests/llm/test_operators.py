@@ -626,6 +626,19 @@ def test_leaders_of_buckets_need_no_join_by_set(spark, turn):
     assert {r["bucket"]: (r["other"], r["theirs"]) for r in found.collect()} == {b: k[2:] for b, k in best.items()}
 
 
+def test_leaders_that_link_few_give_way_to_blocks(spark, monkeypatch):
+    """Members share buckets but are mostly under 0.8 alike, so that no turn of leaders decides much; what is kept stays the same."""
+    turns, leaders = [], minhash.leaders
+    monkeypatch.setattr(minhash, "leaders", lambda *args: turns.append(args[2]) or leaders(*args))
+    rng = random.Random(34)
+    base = words(rng, 150, 3000).split()
+    docs = frame(spark, [" ".join(w if rng.random() > 0.045 else f"z{rng.randrange(10**6)}" for w in base) for _ in range(160)])
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    got, few = kept(), len(turns)
+    monkeypatch.setattr(minhash, "PAYS", 10**9)
+    assert got == kept() and 0 < few < len(turns) - few
+
+
 def test_pipeline_near_dedup_edges(spark, edge):
     kept = corpus_pipeline.near_dedup(spark, edge, "")
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 1
