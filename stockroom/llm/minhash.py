@@ -6,7 +6,7 @@ by similarity, so nothing that either finds is lost. Candidates for the second s
 
 Scale: texts with one shingle set collapse before anything is paired. Within a band's bucket all are compared with one
 leader, in turn the one that shares buckets with most others and one by chance, and those that are linked by now are compared no more; so a large group of
-near copies costs as many pairs as it has rows. What is left in the buckets after that is compared in blocks of at most about
+near copies costs as many pairs as it has rows. Only buckets of more than FEW pairs a row take a leader; the many small ones are read once, at the end. What is left in the buckets after that is compared in blocks of at most about
 BLOCK rows, each with each: a task holds two blocks of short sketches and sends only pairs that may be linked, so pairs are never
 rows of a join, and no candidate pair goes untested. A sketch holds the parity of a set's shingles in each of 64 * SKETCH cells;
 two sketches never differ in more bits than the sets in members, so what they rule out is certain.
@@ -32,9 +32,9 @@ from stockroom.llm.graph import components
 
 SHINGLE, JACCARD = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Rounds of leaders at most; and pairs for each place in a bucket under which all that are left are compared.
+#: Rounds of leaders at most; and pairs for each place in a bucket under which it takes no leader, since all are compared at the end.
 LEADERS, FEW = 6, 4
-#: Rows in the buckets for each link that a turn must find for another turn to follow; otherwise all that are left are compared.
+#: Rows in the buckets that took leaders for each link that a turn must find for another turn to follow; otherwise all that are left are compared.
 PAYS = 64
 #: Words of 64 bits of a sketch; and rows of a block of a bucket.
 SKETCH, BLOCK = 16, 4096
@@ -265,15 +265,18 @@ def linked(rows: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFram
             kinds = state.groupBy("bucket", "label").agg(F.count("*").alias("n"))
             kinds = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same")
             kinds = common.cut(kinds)
-            size = kinds.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+            apart = (F.col("n") * F.col("n") - F.col("same")) / 2
+            crowded = apart > FEW * F.col("n")
+            size = kinds.agg(F.sum(apart), F.sum("n"), F.sum(F.when(crowded, F.col("n")))).first()
             if size[0] is None:
                 break
-            open_ = state.join(kinds.select("bucket"), "bucket", "left_semi")
             last = turn == LEADERS or not pays or size[0] <= FEW * size[1]
             if last:
-                pairs = in_blocks(open_, kinds, sets)
+                pairs = in_blocks(state, kinds, sets)
             else:
-                other = leaders(open_, kinds, turn)
+                large = kinds.where(crowded)
+                open_ = common.stored(state.join(large.select("bucket"), "bucket", "left_semi"))
+                other = leaders(open_, large, turn)
                 pairs = open_.join(other, "bucket").where("label != theirs")
             pairs = pairs.select(F.col("own").alias("a"), F.col("other").alias("b"), F.col("label").alias("label_a"), F.col("theirs").alias("label_b"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).dropDuplicates(["lo", "hi"])
             pairs = pairs if known is None else pairs.join(known, ["lo", "hi"], "left_anti")
@@ -283,7 +286,7 @@ def linked(rows: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFram
             edges = edges.union(new.select("a", "b"))
             if last:
                 break
-            pays = PAYS * new.count() >= size[1]
+            pays = PAYS * new.count() >= size[2]
             least = F.least("label_a", "label_b").alias("smaller")
             moved = new.select(F.col("label_a").alias("label"), least).union(new.select(F.col("label_b").alias("label"), least)).groupBy("label").agg(F.min("smaller").alias("smaller"))
             state = common.stored(state.join(common.cut(moved), "label", "left").select("own", "bucket", F.coalesce("smaller", "label").alias("label")))

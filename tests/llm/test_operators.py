@@ -639,6 +639,32 @@ def test_leaders_that_link_few_give_way_to_blocks(spark, monkeypatch):
     assert got == kept() and 0 < few < len(turns) - few
 
 
+def test_only_crowded_buckets_take_leaders(spark, monkeypatch):
+    """Pairs of two or three, which the end decides, aren't read again in every turn of a large group's leaders."""
+    seen, leaders = [], minhash.leaders
+
+    def counted(open_, kinds, turn):
+        seen.append(open_.groupBy("bucket").count().agg(F.min("count")).first()[0])
+        return leaders(open_, kinds, turn)
+
+    monkeypatch.setattr(minhash, "leaders", counted)
+    rng = random.Random(36)
+    noisy = lambda base, rate: " ".join(w if rng.random() > rate else f"z{rng.randrange(10**6)}" for w in base)
+    large = words(rng, 150, 3000).split()
+    texts = [noisy(large, 0.03) for _ in range(120)]
+    for _ in range(60):
+        small = words(rng, 150, 3000).split()
+        texts += [noisy(small, 0.01) for _ in range(rng.randint(2, 3))]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect())
+    assert seen and min(seen) > 2 * minhash.FEW
+    want, fps = list(plain_groups(texts)), [int(f) for f in simhash.fingerprint_of(texts)]
+    for a in range(len(texts)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    assert got == sorted(set(want)) and len(got) < len(texts)
+
+
 def test_pipeline_near_dedup_edges(spark, edge):
     kept = corpus_pipeline.near_dedup(spark, edge, "")
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 1
