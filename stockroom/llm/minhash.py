@@ -298,14 +298,16 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     Columns and their order stay. Only the rows' keys are shuffled; whole rows are stored once and read back by key."""
     names = docs.columns
-    rows = keyed(docs, text, doc_id)
-    marked, joined = linked(rows, text, doc_id)
-    none = F.col("id").isNull().alias("none")
-    least = marked.groupBy("own").agg(F.min(F.struct(none, "id")).alias("best"))
-    least = least.join(joined, "own", "left").select("own", F.coalesce("component", "own").alias("component"), "best")
-    chosen = least.groupBy("component").agg(F.min(F.struct("best.none", "best.id", "own")).alias("chosen")).select("component", "chosen.id", "chosen.own")
-    keys = marked.select("key", F.col("own").alias("own_"), F.col("id").alias("id_")).distinct()
-    keys = keys.join(chosen, (keys["own_"] == chosen["own"]) & keys["id_"].eqNullSafe(chosen["id"])).select(F.col("key").alias("__key"), F.col("component").alias("__component"))
-    kept = rows.join(common.cut(keys.distinct()), "__key")
+    with common.freed_shuffles(docs.sparkSession):
+        rows = keyed(docs, text, doc_id)
+        marked, joined = linked(rows, text, doc_id)
+        none = F.col("id").isNull().alias("none")
+        least = marked.groupBy("own").agg(F.min(F.struct(none, "id")).alias("best"))
+        least = least.join(joined, "own", "left").select("own", F.coalesce("component", "own").alias("component"), "best")
+        chosen = least.groupBy("component").agg(F.min(F.struct("best.none", "best.id", "own")).alias("chosen")).select("component", "chosen.id", "chosen.own")
+        keys = marked.select("key", F.col("own").alias("own_"), F.col("id").alias("id_")).distinct()
+        keys = keys.join(chosen, (keys["own_"] == chosen["own"]) & keys["id_"].eqNullSafe(chosen["id"])).select(F.col("key").alias("__key"), F.col("component").alias("__component"))
+        keys = common.cut(keys.distinct())
+    kept = rows.join(keys, "__key")
     order = Window.partitionBy("__component").orderBy(F.col(text), F.to_json(F.struct(*names)))
     return kept.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*names)

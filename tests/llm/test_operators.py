@@ -1,8 +1,10 @@
 """Training-data operators against brute force on small fixtures, and their edge cases."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -665,6 +667,42 @@ def test_only_crowded_buckets_take_leaders(spark, monkeypatch):
     assert got == sorted(set(want)) and len(got) < len(texts)
 
 
+def test_near_dedup_gives_its_shuffle_files_back(spark, monkeypatch):
+    """Its many queries store what they find; files that none will read again must not wait for the driver's garbage."""
+    folder = spark.conf.get("spark.local.dir")
+    monkeypatch.setattr(minhash, "FEW", 0)
+    files = lambda: {f for _, _, names in os.walk(folder) for f in names if re.fullmatch(r"shuffle_.*\.data", f)}
+    rng = random.Random(37)
+    base = words(rng, 150, 3000).split()
+    docs = frame(spark, [" ".join(w if rng.random() > 0.03 else f"z{rng.randrange(10**6)}" for w in base) for _ in range(60)])
+    before = files()
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    for _ in range(50):  # they go beside the work
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and len(kept.collect()) == len(kept.collect()) > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_components_end_at_stars(spark, monkeypatch):
+    """No round of joins confirms what is known: stars take none, a path of 2^k links about k."""
+    rounds, stars = [], graph.stars
+    monkeypatch.setattr(graph, "stars", lambda edges: rounds.append(stars(edges)) or rounds[-1])
+    rng = random.Random(38)
+    place = rng.sample(range(-200, 200), 257)
+    for edges, most in (([(0, k) for k in range(1, 40)], 0), ([(k, 99) for k in range(40)], 1), (list(zip(place, place[1:])), 10), ([(rng.randrange(90), rng.randrange(90)) for _ in range(70)], 6), ([], 0)):
+        want = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in want:
+            for a, b in edges:
+                if a != b:
+                    want[a] = want[b] = min(want[a], want[b])
+        rounds.clear()
+        assert {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()} == want
+        assert len(rounds) - 1 <= most
+
+
 def test_pipeline_near_dedup_edges(spark, edge):
     kept = corpus_pipeline.near_dedup(spark, edge, "")
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 1
