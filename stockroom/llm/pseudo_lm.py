@@ -7,8 +7,12 @@ whole corpus. So no two words are confounded, and what a score rests on grows wi
 
 The network sees a neighbour as one of a few kinds (the most frequent words each their own, the others by bands of rank),
 the next ones finely and those beyond coarsely. A window is then one of CONTEXTS, and which word stands how often in which
-context is all that training needs of the texts: every position of every text counts, sums commute, and neither the model
-nor a score depends on how rows lie in files or partitions.
+context is all that this training needs of the texts: every position of every text counts, sums commute, and neither that model
+nor a score by it depends on how rows lie in files or partitions.
+
+From there `with_windows` goes on, and operator 5's query scores by it: each of the VOCABULARY ids has a vector of its own at each
+of the four places, learned from every window of all texts in tasks whose weights are averaged. What it learns depends on
+which texts lie in a task together.
 
 Scale: texts are encoded once, in blocks of stored rows. Distinct words of a block go to buckets of a hash, which send back
 counts over all texts; a word that a third of all rows hold is sent once by each block. Counts by context come combined
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,10 @@ NEAR = ALONE + len(BANDS) + 1
 #: Kinds of the neighbours beyond: frequent words, and all else.
 FAR, FREQUENT = 2, 64
 SIDE, HIDDEN = 2, 32
+#: Windows of one step, and the lengths of steps for the vectors at the places and for the output.
+STEP, PLACE_RATE, OUTPUT_RATE = 16384, 0.15, 0.02
+#: Units of the sums from which tasks' weights are averaged; whole numbers, so that their order is nothing.
+UNIT = 2.0**-24
 CONTEXTS = FAR * NEAR * NEAR * FAR
 ROUNDS, RATE = 120, 0.05
 BLOCK_BYTES = 4 << 20
@@ -66,6 +74,8 @@ class Corpus:
     bucket_words: np.ndarray
     counts: DataFrame
     buckets: int
+    network: WindowNetwork | None = None
+    windows: Windows | None = None
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         return ids_of(self.words, hashes)
@@ -168,6 +178,96 @@ class WindowNetwork:
         return self
 
 
+class Windows:
+    """The network with a vector of its own for every id at each of the four places, from the texts' windows themselves.
+
+    It starts from a `WindowNetwork`, where all ids of a kind share the kind's vector."""
+
+    def __init__(self, network: WindowNetwork):
+        near, far = kinds()
+        self.places = [w[k] for w, k in zip(network.weights()[:4], (far, near, near, far))]
+        members = network.members.reshape(HIDDEN, -1, CLASS).transpose(1, 0, 2)
+        self.output = [network.classes, network.class_bias, np.ascontiguousarray(members), network.member_bias.reshape(-1, CLASS)]
+
+    def weights(self) -> list[np.ndarray]:
+        return [*self.places, *self.output]
+
+    def copy(self) -> Windows:
+        other = object.__new__(Windows)
+        other.places, other.output = [w.copy() for w in self.places], [w.copy() for w in self.output]
+        return other
+
+    def learning(self) -> Windows:
+        self.squares = [np.full_like(w, 0.01) for w in self.weights()]
+        return self
+
+    def batch(self, window: list[np.ndarray], ids: np.ndarray, learn: bool) -> tuple[np.ndarray, list]:
+        """Log-probability of each id in its window (ids at each place); and the gradient of their negative sum: (ids,
+        gradient) of each place, and that of the output's weights."""
+        cls = ids // CLASS
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        window, cls, member = [x[order] for x in window], cls[order], ids[order] % CLASS
+        h = sum(w[x] for w, x in zip(self.places, window))
+        np.tanh(h, out=h)
+        classes, class_bias, members, member_bias = self.output
+        safe = max(np.abs(classes).sum(axis=0).max() + np.abs(class_bias).max(), np.abs(members).sum(axis=1).max() + np.abs(member_bias).max()) < 80
+        found, gradient = np.zeros(len(ids), h.dtype), [np.zeros_like(w) for w in self.output] if learn else []
+
+        def softmax_of(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not safe:
+                x -= x.max(axis=1, keepdims=True)
+            hit = x[np.arange(len(x)), at]
+            np.exp(x, out=x)
+            total = x.sum(axis=1)
+            if learn:
+                x /= total[:, None]
+                x[np.arange(len(x)), at] -= 1
+            return hit - np.log(total), x
+
+        found, e = softmax_of(h @ classes + class_bias, cls)
+        if learn:
+            d = e @ classes.T
+            gradient[0], gradient[1] = h.T @ e, e.sum(axis=0)
+        starts = np.searchsorted(cls, np.arange(len(members) + 1))
+        for c in np.flatnonzero(np.diff(starts)):
+            of = slice(starts[c], starts[c + 1])
+            likely, e = softmax_of(h[of] @ members[c] + member_bias[c], member[of])
+            found[of] += likely
+            if learn:
+                d[of] += e @ members[c].T
+                gradient[2][c], gradient[3][c] = h[of].T @ e, e.sum(axis=0)
+        back = np.empty_like(found)
+        back[order] = found
+        if not learn:
+            return back, []
+        d *= 1 - h * h
+        sums = []
+        for x in window:
+            by = np.argsort(x.astype(np.uint16), kind="stable")
+            x = x[by]
+            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            sums.append((x[first], np.add.reduceat(d[by], first, axis=0)))
+        return back, [*sums, *gradient]
+
+    def step(self, window: list[np.ndarray], ids: np.ndarray) -> None:
+        """One step down the gradient, each weight by what its gradients have been."""
+        _, gradient = self.batch(window, ids, True)
+        for w, q, (at, g) in zip(self.places, self.squares, gradient[:4]):
+            q[at] += g * g
+            w[at] -= PLACE_RATE * g / np.sqrt(q[at])
+        for w, q, g in zip(self.output, self.squares[4:], gradient[4:]):
+            q += g * g
+            w -= OUTPUT_RATE * g / np.sqrt(q)
+
+
+def surroundings(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The ids at each place of the window around each token of texts that stand one behind the other."""
+    wide = np.full(len(ids) + 2 * SIDE * (len(sizes) + 1), VOCABULARY)
+    at = np.arange(len(ids)) + np.repeat(2 * SIDE * np.arange(1, len(sizes) + 1), sizes)
+    wide[at] = ids
+    return [wide[at + k] for k in (-2, -1, 1, 2)]
+
+
 def log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=-1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
@@ -380,7 +480,46 @@ def learn_blocks(blocks: DataFrame) -> Corpus:
     network = WindowNetwork(n)
     if n.sum():
         network.learn(seen.reshape(CONTEXTS, VOCABULARY))
-    return Corpus(words, network.log_probabilities().astype(np.float32), n[WORDS:], distinct[WORDS:], counts, buckets)
+    return Corpus(words, network.log_probabilities().astype(np.float32), n[WORDS:], distinct[WORDS:], counts, buckets, network)
+
+
+def with_windows(blocks: DataFrame, corpus: Corpus) -> Corpus:
+    """The corpus with `Windows` learned from every window of all texts, once.
+
+    Each task goes over its blocks by steps, from the corpus' network on. What it has moved is averaged over the tasks: an
+    id's vector by how often each task met the id at that place, the output by positions."""
+    words, start = corpus.words, Windows(corpus.network)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, met, n = start.copy().learning(), np.zeros((4, VOCABULARY + 1), np.int64), 0
+        for batch in batches:
+            for sizes, tokens, hashes in zip(*(batch.column(c).to_pylist() for c in ("sizes", "tokens", "hashes"))):
+                ids = ids_of(words, np.frombuffer(hashes, "<u8"))[loosened(tokens, "<i4")]
+                window = surroundings(ids, loosened(sizes, "<i4"))
+                for k, x in enumerate(window):
+                    met[k] += np.bincount(x, minlength=VOCABULARY + 1)
+                for at in range(0, len(ids), STEP):
+                    mine.step([x[at : at + STEP] for x in window], ids[at : at + STEP])
+                n += len(ids)
+        if n:
+            for k, (now, was) in enumerate(zip(mine.weights(), start.weights())):
+                weight = met[k] if k < 4 else np.array([n])
+                moved = np.rint((now.astype(float) - was) / UNIT).astype(np.int64).reshape(len(weight), -1) * weight[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([squeezed(moved, "<i8")]), pa.array([squeezed(weight, "<i8")])], ["k", "moved", "weight"])
+
+    def together(rows: pa.Table) -> pa.Table:
+        total = lambda c: squeezed(sum(loosened(x.as_py(), "<i8") for x in rows.column(c)), "<i8")
+        return pa.table({"k": rows.column("k")[:1], "moved": pa.array([total("moved")]), "weight": pa.array([total("weight")])})
+
+    schema = "k long, moved binary, weight binary"
+    moved = blocks.select("block", "sizes", "tokens", "hashes").sortWithinPartitions("block").mapInArrow(work, schema)
+    moved = moved.groupBy("k", F.pmod(F.spark_partition_id(), F.lit(64)).alias("__part")).applyInArrow(lambda _, rows: together(rows), schema)
+    out = start.copy()
+    for r in moved.groupBy("k").applyInArrow(together, schema).collect():  # the weights once
+        weight = loosened(r["weight"], "<i8")
+        w = out.weights()[r["k"]]
+        w += (loosened(r["moved"], "<i8").reshape(len(weight), -1) * UNIT / np.maximum(weight, 1)[:, None]).reshape(w.shape).astype(w.dtype)
+    return replace(corpus, windows=out)
 
 
 def scored_blocks(blocks: DataFrame, corpus: Corpus, fields: list[T.StructField]) -> DataFrame:
@@ -398,8 +537,15 @@ def scored_blocks(blocks: DataFrame, corpus: Corpus, fields: list[T.StructField]
 
     asked = names(blocks, corpus.buckets).groupBy("bucket")
     replies = asked.cogroup(counts.groupBy("bucket")).applyInArrow(answer, "block long, hashes binary, totals binary")
-    table, keep = corpus.table.ravel(), [f.name for f in fields]  # CONTEXTS x VOCABULARY, whatever the input
-    corpus = Corpus(corpus.words, corpus.table, corpus.bucket_tokens, corpus.bucket_words, None, corpus.buckets)
+    windows, keep = corpus.windows, [f.name for f in fields]
+    table = None if windows else corpus.table.ravel()  # CONTEXTS x VOCABULARY, whatever the input
+    corpus = replace(corpus, table=None, counts=None, network=None, windows=None)
+
+    def likely(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if not windows:
+            return table[contexts(ids, sizes) * VOCABULARY + ids]
+        around = surroundings(ids, sizes)
+        return np.concatenate([windows.batch([x[at : at + STEP] for x in around], ids[at : at + STEP], False)[0] for at in range(0, len(ids), STEP)])
 
     def score(block: pa.Table, heard: pa.Table) -> pa.Table:
         rows = pa.ipc.open_stream(zlib.decompress(block.column("rows")[0].as_py())).read_all()
@@ -409,7 +555,7 @@ def scored_blocks(blocks: DataFrame, corpus: Corpus, fields: list[T.StructField]
         order = np.argsort(known)
         share = corpus.shares(hashes, total[order][np.searchsorted(known[order], hashes)]) if len(hashes) else np.zeros(0)
         ids = corpus.ids(hashes)[tokens]
-        every = table[contexts(ids, sizes) * VOCABULARY + ids] + share[tokens] if len(ids) else np.zeros(0)
+        every = likely(ids, sizes) + share[tokens] if len(ids) else np.zeros(0)
         texts = np.repeat(np.arange(len(sizes)), sizes)
         summed_ = np.bincount(texts, every, len(sizes)).astype(float)
         columns = [pa.array(sizes.astype(np.int64)), pa.array(summed_), pa.array(summed_ / np.maximum(sizes, 1), mask=sizes == 0)]
@@ -419,8 +565,10 @@ def scored_blocks(blocks: DataFrame, corpus: Corpus, fields: list[T.StructField]
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, T.StructType([*fields, *added]))
 
 
-def learn(docs: DataFrame, text: str = "text") -> Corpus:
-    return learn_blocks(encoded(docs, text, ()))
+def learn(docs: DataFrame, text: str = "text", windows: bool = False) -> Corpus:
+    """With `windows` neighbours are ids and not kinds; operator 5's query asks for that."""
+    blocks = encoded(docs, text, ())
+    return with_windows(blocks, learn_blocks(blocks)) if windows else learn_blocks(blocks)
 
 
 def scored(docs: DataFrame, corpus: Corpus, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -432,4 +580,4 @@ def scored(docs: DataFrame, corpus: Corpus, text: str = "text", keep: tuple[str,
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     blocks = encoded(docs)
-    return scored_blocks(blocks, learn_blocks(blocks), [docs.schema["doc_id"]])
+    return scored_blocks(blocks, with_windows(blocks, learn_blocks(blocks)), [docs.schema["doc_id"]])

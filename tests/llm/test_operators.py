@@ -524,6 +524,50 @@ def test_lm_edges(spark, edge):
     assert pseudo_lm.scored(edge.limit(0), pseudo_lm.learn(edge.limit(0))).count() == 0
 
 
+def test_lm_windows_gradient():
+    rng = np.random.default_rng(5)
+    network = pseudo_lm.Windows(pseudo_lm.WindowNetwork(rng.integers(1, 9, pseudo_lm.VOCABULARY).astype(float), kind=np.float64))
+    window = [rng.choice([3, 500, 501, pseudo_lm.VOCABULARY], 60) for _ in range(4)]
+    ids = rng.choice([1, 70, 71, 4000], 60)
+    _, gradient = network.batch(window, ids, True)
+    for k, w in enumerate(network.weights()):
+        g = gradient[k]
+        if k < 4:
+            g = np.zeros_like(w)
+            g[gradient[k][0]] = gradient[k][1]
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, step = w[at], 1e-5
+        w[at] = old + step
+        up = -network.batch(window, ids, False)[0].sum()
+        w[at] = old - step
+        down = -network.batch(window, ids, False)[0].sum()
+        w[at] = old
+        assert abs((up - down) / (2 * step) - g[at]) < 1e-5 * max(1, abs(g[at]))
+    every = np.arange(pseudo_lm.VOCABULARY)
+    found = network.batch([np.full(len(every), x[0]) for x in window], every, False)[0]
+    assert abs(np.exp(found).sum() - 1) < 1e-9
+
+
+def test_lm_windows_tell_neighbours_of_one_kind_apart(spark):
+    """A word of the last band foretells the next one; by kinds all such words are one."""
+    rng = random.Random(41)
+    texts = [" ".join(f"a{k} b{k}" for k in (rng.randrange(300) for _ in range(60))) for _ in range(300)]
+    docs = frame(spark, texts).repartition(3, "doc_id")
+    mean = lambda corpus: pseudo_lm.scored(docs, corpus).agg(F.sum("log_probability") / F.sum("n_tokens")).first()[0]
+    kinds, windows = (mean(pseudo_lm.learn(docs, windows=w)) for w in (False, True))
+    query = pseudo_lm.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), windows=True)
+    got = {r["doc_id"]: r["log_probability"] for r in registry.QUERIES["op5_lm_scoring"](spark, "/root/testdata/sf0.001").collect()}
+    want = {r["doc_id"]: r["log_probability"] for r in pseudo_lm.scored(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), query).collect()}
+    assert windows > kinds + 0.2 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 * max(1, abs(want[k])) for k in got)
+
+
+def test_lm_windows_edges(spark, edge):
+    corpus = pseudo_lm.learn(edge, windows=True)
+    rows = {r["doc_id"]: (r["n_tokens"], r["log_probability"], r["mean_log_probability"]) for r in pseudo_lm.scored(edge, corpus).collect()}
+    assert rows[0] == rows[1] == rows[3] == (0, 0.0, None) and len(rows) == len(EDGE) - 1
+    assert pseudo_lm.scored(edge.limit(0), pseudo_lm.learn(edge.limit(0), windows=True)).count() == 0
+
+
 def test_digest_of_nothing(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert bpe.PairIndexBpe(bpe.default_path()).encode([None, ""]) == [b"", b""] and len(empty) == 64
