@@ -54,7 +54,7 @@ def x10(spark, sf):
     return references.folded(references.hits(trees(spark, sf)), F.lit("Own1/net-1")).select("tree", "kind", "ref", "occurrences")
 
 
-@query("j17_a19_primary_work", FOLDED + """, q as (select *, kind = 'hub' and rank < 3 as asked from f), r as (select *, asked and row_number() over (partition by tree, asked order by rank, ref) <= 20 and ref like '%1' as resolved from q)
+@query("j17_a19_primary_work", FOLDED + """, q as (select *, kind = 'hub' and rank < 3 as asked from f), r as (select *, asked and ref like '%1' as resolved from q)
   select tree, case when count(*) filter (resolved) = 1 then max(ref) filter (resolved) end as primary, case count(*) filter (resolved) when 1 then 'one' when 0 then 'none resolves' else 'several resolve' end as reason from r group by tree""")
 def a19(spark, sf):
     items = cut(references.folded(references.hits(trees(spark, sf))))  # read twice, and the texts once

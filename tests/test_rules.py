@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from stockroom.operators import classify, enrich, overlay, rules
+from stockroom.operators import classify, enrich, overlay, references, rules
 from stockroom.sources import headers, scans
 
 RULES = "artifact_type string, label string, glob string, required boolean, ordinal int"
@@ -236,6 +236,19 @@ def test_records(spark):
     assert [r["ref"] for r in items.orderBy(*records.reference_order()).collect()] == ["a", "c", "b", "d"]
 
 
+def test_every_shown_work_is_resolved(spark):
+    """However many works a tree shows; what is mentioned, or no work, isn't asked for."""
+    rows = [("t", "hub", f"own/m{i:02}", "declared" if i < 30 else "evidence") for i in range(60)] + [("t", "hub", "own/said", "mentioned"), ("t", "image", "own/m59", "declared"), ("u", "hub", "own/m01", "evidence"), ("u", "hub", "Own/M59", "evidence")]
+    items = spark.createDataFrame(rows, "tree string, kind string, ref string, tier string")
+    out = references.resolved(items, spark.createDataFrame([("own/M59",), ("own/said",), ("own/M01",), ("own/m01",)], "ref string"))
+    got = {(r["tree"], r["kind"], r["ref"]): r["resolved"] for r in out.collect()}
+    assert len(got) == len(rows) == out.count()
+    assert sum(v is False for v in got.values()) == 58 and got[("t", "hub", "own/m01")] and got[("t", "hub", "own/m59")]
+    assert got[("t", "hub", "own/said")] is None and got[("t", "image", "own/m59")] is None
+    only = references.resolved(items, spark.createDataFrame([("own/m59",)], "ref string"))
+    assert {r["tree"]: (r["primary"], r["reason"]) for r in references.primary(only).collect()} == {"t": ("own/m59", "one"), "u": ("Own/M59", "one")}
+
+
 def test_ranged_sources_prune_the_listing_and_keep_failures(spark):
     from stockroom.sources import ranged
 
