@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockroom.operators import classify, weights
 from stockroom.operators.ranks import by_size
-from stockroom.plans.registry import cut, query
+from stockroom.plans.registry import query
 
 LISTING = """select l_orderkey as aid, n, l_partkey % 8 as k, l_suppkey as s, l_partkey as p, cast(round(l_extendedprice * 100) as bigint) as size, l_quantity as quantity from
   (select l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_quantity, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as n from lineitem) as numbered"""
@@ -18,8 +18,7 @@ PATH = """case k when 0 then concat('w', n, '.safetensors') when 1 then concat('
   when 4 then concat('pytorch', n, '.bin') when 5 then concat('copy/w', n - 1, '.safetensors') when 6 then concat('README.', n) else concat('notes', n, '.txt') end"""
 
 
-def listing(spark: SparkSession, sf: str) -> DataFrame:
-    lines = by_size(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", each=200_000)  # a task's part, in all steps up to the end
+def listing(spark: SparkSession, lines: DataFrame) -> DataFrame:
     rows = spark.sql(LISTING.replace("from lineitem", "from {lineitem}"), lineitem=lines)
     digest = F.when(F.col("quantity") != 7, F.sha2((F.col("s") % 4).cast("string"), 256))
     return rows.withColumn("path", F.expr(PATH)).withColumn("sha256", digest)
@@ -28,8 +27,8 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 def facts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """What `classify.classified` takes."""
     classify.by_artifact(spark)
-    rows = listing(spark, sf)
-    aids = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("aid")).distinct()
+    lines = by_size(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", each=200_000)  # a task's part, in all steps up to the end
+    rows, aids = listing(spark, lines), lines.select(F.col("l_orderkey").alias("aid")).distinct()
     aid, s, gguf = F.col("aid"), F.col("s"), F.col("k").isin(2, 3)
     index = F.when(aid % 4 == 0, '{"metadata": {}, "weight_map": {"a": "w1.safetensors", "b": "w3.safetensors", "c": "sub/w2.safetensors"}}').when(aid % 4 == 1, "{broken")
     root = F.when(aid % 3 == 0, '{"torch_dtype": "bfloat16"}').when(aid % 3 == 1, '{"quantization_config": {"quant_method": "awq"}}')
@@ -139,5 +138,5 @@ def a12(spark, sf):
   select q.aid, case when not part or not rest then null when every and fits_name then l1.every_t when every and fits_path then l2.every_t else l3.every_t end as include,
   case when part and not rest then 'nothing would be left' end as note, case when part and rest then not (every and (fits_name or fits_path)) end as explicit_paths from q left join l1 using (aid) left join l2 using (aid) left join l3 using (aid)""")
 def k12(spark, sf):
-    files, _ = classify.classified(**facts(spark, sf))
-    return classify.keep_list(cut(files)).select("aid", F.array_join("include", ",").alias("include"), "note", "explicit_paths")
+    x = facts(spark, sf)
+    return classify.kept_patterns(classify.skipped(x["files"], x["indexes"]).where("aid is not null")).select("aid", F.array_join("include", ",").alias("include"), "note", "explicit_paths")

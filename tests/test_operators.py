@@ -264,6 +264,16 @@ def test_classification_stays_by_artifact(spark, small):
     assert exchanges(sets) < 13  # 15 before
 
 
+def test_keep_lists_order_files_once(spark, small):
+    """No file is stored on the way, and an artifact's files are ordered for numbers, sets, twins and names, not for each join."""
+    from stockroom.plans import classification
+
+    frame = classification.k12(spark, small)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "cut-" not in plan and exchanges(frame) <= 3
+    assert plan.count("Join") <= 2  # 9 before, and those of the classification in the run that stored the files
+
+
 def test_parts_grow_with_the_rows(spark):
     from stockroom.operators import ranks
 
