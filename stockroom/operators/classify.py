@@ -5,9 +5,8 @@ columns of a set; then the rules, one cascade in a fixed order; then patterns th
 are judged in one job. A group-level file that an index claims stays in its group alone.
 
 Scale: whatever is joined, grouped or ordered here is so within an artifact. With `by_artifact` tables that lie by artifact once
-stay so: joins on artifact and path, folder or digest, the groups and the windows need no further shuffle. What indexes say is
-hashed in its task, so that files needn't be ordered to meet it. What is left out stands on names, indexes and digests (`skipped`);
-a keep list asks for no more, and is made set by set.
+stay so: joins on artifact and path, folder or digest, the groups and the windows need no further shuffle. What is left
+out stands on names, indexes and digests (`skipped`); a keep list asks for no more, and is made set by set.
 """
 
 from __future__ import annotations
@@ -38,11 +37,6 @@ def by_artifact(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
-def hashed(table: DataFrame) -> DataFrame:
-    """The side of a join within artifacts that is hashed, so that the files of the other needn't be ordered for it."""
-    return table.hint("shuffle_hash")
-
-
 def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
@@ -61,17 +55,19 @@ def index_members(indexes: DataFrame) -> DataFrame:
     return x.where(~F.contains("name", F.lit("/"))).select("aid", "index", joined(folder(F.col("index")), F.col("name")).alias("path")).groupBy("aid", "path").agg(F.min("index").alias("index"))
 
 
-def file_sets(files: DataFrame, indexes: DataFrame) -> DataFrame:
+def file_sets(files: DataFrame, indexes: DataFrame, hashed: bool = False) -> DataFrame:
     """Files with the set they belong to: kind, format, and the set's name within the artifact.
 
     An unreadable index taints the loose tensor files of its own folder; a readable one that names tensor files makes
-    those of its folder that it doesn't claim orphans."""
+    those of its folder that it doesn't claim orphans. With `hashed`, what indexes say is hashed in its task, so that files
+    needn't be ordered to meet it."""
     low, dir_ = F.lower("path"), folder(F.col("path"))
     named = F.exists(F.map_values("map"), lambda n: F.lower(n).endswith(".safetensors"))
     state = indexes.select("aid", folder(F.col("path")).alias("dir"), weight_map(F.col("text")).alias("map"))
     state = state.select("aid", "dir", F.col("map").isNotNull().alias("ok"), F.coalesce(named, F.lit(False)).alias("named"))
     state = state.groupBy("aid", "dir").agg(F.bool_and("ok").alias("all_ok"), F.bool_or("named").alias("some_named"))
-    x = files.withColumn("dir", dir_).join(hashed(index_members(indexes)), ["aid", "path"], "left").join(hashed(state), ["aid", "dir"], "left")
+    side = (lambda table: table.hint("shuffle_hash")) if hashed else lambda table: table
+    x = files.withColumn("dir", dir_).join(side(index_members(indexes)), ["aid", "path"], "left").join(side(state), ["aid", "dir"], "left")
     form = F.when(low.endswith(".safetensors"), "safetensors").when(low.endswith(".gguf"), "gguf").when(low.rlike(WEIGHT), "legacy").otherwise("support")
     kind = (
         F.when(form.isin("gguf", "support"), form)
@@ -181,7 +177,7 @@ def is_skipped() -> Column:
 def skipped(files: DataFrame, indexes: DataFrame) -> DataFrame:
     """Sets with their paths and `skip`, as in `classified`: names, indexes and digests decide on twins, so nothing else is asked."""
     of = [F.min("path").alias("first_path"), F.collect_list("path").alias("paths"), F.count("*").alias("files"), known_digests().alias("digests")]
-    sets = with_twins(file_sets(files, indexes).groupBy(*SET).agg(*of))
+    sets = with_twins(file_sets(files, indexes, hashed=True).groupBy(*SET).agg(*of))
     return sets.select(*SET, "files", "paths", is_skipped().alias("skip"))
 
 
